@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import simhash
+from plinth.llm import bpe, simhash
 from plinth.llm.common import documents
 
 
@@ -12,7 +12,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op10_byte_level_bpe": op10_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 SQL: dict[str, str] = {}
