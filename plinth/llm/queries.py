@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, simhash
+from plinth.llm import bpe, quality_rules, simhash
 from plinth.llm.common import documents
 
 
@@ -16,8 +16,14 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, sf_dir)))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "pattern", "kept")
+
+
 QUERIES = {
+    "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}
