@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, quality_rules, simhash
+from plinth.llm import bpe, pii, quality_rules, simhash
 from plinth.llm.common import documents
 
 
@@ -21,9 +21,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "pattern", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op4_pii": op4_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
-SQL: dict[str, str] = {"op9_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {
+    "op4_pii": pii.SQL,
+    "op9_quality_rules": quality_rules.SQL,
+}
