@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, pii, quality_rules, simhash
+from plinth.llm import bpe, licences, pii, quality_rules, simhash
 from plinth.llm.common import documents
 
 
@@ -25,13 +25,19 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(documents(spark, sf_dir)))
 
 
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_licence_scan": op1_licence_scan,
     "op4_pii": op4_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 SQL: dict[str, str] = {
+    "op1_licence_scan": licences.SQL,
     "op4_pii": pii.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
