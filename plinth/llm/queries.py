@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, licences, pii, quality_rules, simhash
+from plinth.llm import bpe, licences, mixing, pii, quality_rules, simhash
 from plinth.llm.common import documents
 
 
@@ -29,7 +29,12 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op6_mix_sources": op6_mix_sources,
     "op1_licence_scan": op1_licence_scan,
     "op4_pii": op4_pii,
     "op9_quality_rules": op9_quality_rules,
@@ -37,6 +42,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 SQL: dict[str, str] = {
+    "op6_mix_sources": mixing.SQL,
     "op1_licence_scan": licences.SQL,
     "op4_pii": pii.SQL,
     "op9_quality_rules": quality_rules.SQL,
