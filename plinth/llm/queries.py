@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, licences, mixing, pii, quality_rules, simhash
+from plinth.llm import bpe, licences, media, mixing, pii, quality_rules, simhash
 from plinth.llm.common import documents
 
 
@@ -33,7 +33,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op7_media_columns": op7_media_columns,
     "op6_mix_sources": op6_mix_sources,
     "op1_licence_scan": op1_licence_scan,
     "op4_pii": op4_pii,
