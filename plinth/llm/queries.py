@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, licences, media, mixing, pii, quality_rules, simhash
-from plinth.llm.common import documents
+from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, simhash
+from plinth.llm.common import documents, labels
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op7_media_columns": op7_media_columns,
     "op6_mix_sources": op6_mix_sources,
     "op1_licence_scan": op1_licence_scan,
