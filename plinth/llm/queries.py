@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, simhash
+from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, simhash, toxicity
 from plinth.llm.common import documents, labels
 
 
@@ -41,7 +41,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op7_media_columns": op7_media_columns,
     "op6_mix_sources": op6_mix_sources,
