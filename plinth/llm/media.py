@@ -29,7 +29,7 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,8 +134,9 @@ def store(docs: DataFrame) -> DataFrame:
     return stored(ordered, "pointers")
 
 
-def _by_shard(pointers: DataFrame, read, schema: str, kinds: pa.Schema) -> DataFrame:
+def _by_shard(pointers: DataFrame, read: Callable, columns: dict[str, str]) -> DataFrame:
     """read(file, offset, length) of every pointer as further columns; each shard is opened once for a run of its rows."""
+    kinds = [_ARROW[k] for k in columns.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
@@ -148,43 +149,45 @@ def _by_shard(pointers: DataFrame, read, schema: str, kinds: pa.Schema) -> DataF
                     system, path = fs.FileSystem.from_uri(shard)
                     name, file = shard, system.open_input_file(path)
                 rows.append(read(file, offset, length))
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            found = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *kinds.names])
+            found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *columns])
 
-    return pointers.mapInArrow(run, f"{POINTER}, {schema}")
+    return pointers.mapInArrow(run, ", ".join([POINTER, *(f"{n} {k}" for n, k in columns.items())]))
 
 
-def describe(pointers: DataFrame) -> DataFrame:
-    """Pointers with format, width, height and sample depth, from a range read of each member's first bytes only."""
+def _header(file, offset: int) -> tuple:
+    """Format, width, height and sample depth from a range read of a member's first bytes."""
+    signature, _, _, width, height, depth, *_ = struct.unpack(HEADER, file.read_at(struct.calcsize(HEADER), offset))
+    return ("png" if signature == SIGNATURE else "unknown", width, height, depth)
 
-    def read(file, offset: int, length: int) -> tuple:
-        signature, _, _, width, height, depth, *_ = struct.unpack(HEADER, file.read_at(struct.calcsize(HEADER), offset))
-        return ("png" if signature == SIGNATURE else "unknown", width, height, depth)
 
-    kinds = pa.schema([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("depth", pa.int32())])
-    return _by_shard(pointers, read, "format string, width int, height int, depth int", kinds)
+HEADER_COLUMNS = {"format": "string", "width": "int", "height": "int", "depth": "int"}
+FEATURE_COLUMNS = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+
+
+def describe(pointers: DataFrame) -> DataFrame:
+    """Pointers with format, width, height and sample depth; only the first bytes of each member are read."""
+    return _by_shard(pointers, lambda file, offset, length: _header(file, offset), HEADER_COLUMNS)
 
 
 def features(pointers: DataFrame) -> DataFrame:
-    """Pointers with what reading each member back gives: payload and member digests, sizes, the tail's CRC-32, and a feature.
+    """Pointers with the header's columns and what reading each member back gives: digests, sizes, the tail's CRC-32, a feature.
 
     The feature is the mean of the samples in each of eight equal bands of rows (the last takes the rest), with three decimals.
     """
 
     def read(file, offset: int, length: int) -> tuple:
+        head = _header(file, offset)
         image = file.read_at(length, offset)
         samples = decode_png(image)
         raw = samples.tobytes()
         step = max(1, len(samples) // 8)
         bands = [samples[i * step : (i + 1) * step if i < 7 else None] for i in range(8)]
         shown = ",".join(f"{b.sum(dtype=np.int64) / b.size:.3f}" for b in bands if b.size)
-        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(image), hashlib.sha256(image).hexdigest(), shown
+        return *head, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(image), hashlib.sha256(image).hexdigest(), shown
 
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    schema = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in zip(names, types, strict=True))
-    return _by_shard(pointers, read, schema, pa.schema(list(zip(names, types, strict=True))))
+    return _by_shard(pointers, read, HEADER_COLUMNS | FEATURE_COLUMNS)
 
 
 def members(archive: bytes) -> list[str]:
@@ -196,8 +199,7 @@ def members(archive: bytes) -> list[str]:
 def media_columns(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, the features of its stored payload, and the header's columns."""
     pointers = store(docs)
-    found = features(pointers).join(describe(pointers).select("digest", "format", "width", "height"), "digest")
-    found = stored(found.drop("shard", "offset", "length"), "features")
+    found = stored(features(pointers).drop("shard", "offset", "length", "depth"), "features")
     text = text_of(docs)
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest(text).alias("digest"))
     return rows.join(found, "digest").drop("digest")
