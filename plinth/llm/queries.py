@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, simhash, toxicity
+from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, secret_scan, simhash, toxicity
 from plinth.llm.common import documents, labels
 
 
@@ -45,7 +45,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op5_secret_scan": op5_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op7_media_columns": op7_media_columns,
