@@ -37,7 +37,7 @@ from plinth.llm.common import new_folder, slices, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens after which a block ends, and buckets that distinct words are dealt into.
-BLOCK_WORDS, BUCKETS = 4_000_000, 1024
+BLOCK_WORDS, BUCKETS = 2_000_000, 1024
 #: Pre-tokens that are put together in one numpy step.
 STEP = 500_000
 
@@ -59,6 +59,20 @@ def _unpack(packed: bytes, count: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _packed_words(words: list[bytes], starts: list[int], ends: list[int]) -> dict[str, list]:
+    """The columns count, sizes and words of a block's rows: none for the block itself, then the words from each start to its end."""
+    zstd = pa.Codec("zstd", 3)
+    own = [words[a:b] for a, b in zip(starts, ends, strict=True)]
+    sizes = [_pack(np.fromiter(map(len, w), np.int64, len(w))) for w in own]
+    return {"count": [0, *map(len, own)], "sizes": [None, *sizes], "words": [None, *(zstd.compress(b"".join(w), asbytes=True) for w in own)]}
+
+
+def _unpacked_words(row: dict) -> list[bytes]:
+    ends = np.cumsum(_unpack(row["sizes"], row["count"])).tolist()
+    joined = pa.Codec("zstd").decompress(row["words"], ends[-1], asbytes=True)
+    return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """A row per block with its documents and positions, and a row per block and bucket with the bucket's distinct words."""
 
@@ -81,7 +95,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 "block": [number] * (n + 1),
                 "bucket": [-1, *kinds.tolist()],
                 "start": [0, *starts.tolist()],
-                "words": [None, *([raw[i] for i in order[a:b].tolist()] for a, b in zip(starts.tolist(), ends, strict=True))],
+                **_packed_words([raw[i] for i in order.tolist()], starts.tolist(), ends),
                 "ids": [ids] + [None] * n,
                 "counts": [counts] + [None] * n,
                 "codes": [_pack(new[all_codes])] + [None] * n,
@@ -116,13 +130,15 @@ def _blocks(docs: DataFrame) -> DataFrame:
             ("block", pa.int64()),
             ("bucket", pa.int32()),
             ("start", pa.int32()),
-            ("words", pa.list_(pa.binary())),
+            ("count", pa.int32()),
+            ("sizes", pa.binary()),
+            ("words", pa.binary()),
             ("ids", pa.list_(pa.string() if kind == "string" else pa.int64())),
             ("counts", pa.list_(pa.int32())),
             ("codes", pa.binary()),
         ]
     )
-    return rows.mapInArrow(run, f"block long, bucket int, start int, words array<binary>, ids array<{kind}>, counts array<int>, codes binary")
+    return rows.mapInArrow(run, f"block long, bucket int, start int, count int, sizes binary, words binary, ids array<{kind}>, counts array<int>, codes binary")
 
 
 def _encoded(words: DataFrame, ranks) -> DataFrame:
@@ -138,7 +154,7 @@ def _encoded(words: DataFrame, ranks) -> DataFrame:
                 if row["bucket"] != bucket:
                     bucket, known = row["bucket"], {}
                 found = []
-                for w in row["words"]:
+                for w in _unpacked_words(row):
                     if (ids := known.get(w)) is None:
                         ids = known[w] = np.array(own.encode_ordinary(w.decode()), "<u4").tobytes()
                     found.append(ids)
@@ -146,9 +162,8 @@ def _encoded(words: DataFrame, ranks) -> DataFrame:
                 out["start"].append(row["start"])
                 out["lengths"].append(_pack(np.fromiter((len(x) // 4 for x in found), np.int64, len(found))))
                 out["tokens"].append(_pack(np.frombuffer(b"".join(found), "<u4")))
-            sizes = [len(x) for x in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_pydict(
-                out | {"count": sizes},
+                out | {"count": batch.column("count")},
                 schema=pa.schema([("block", pa.int64()), ("start", pa.int32()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("count", pa.int32())]),
             )
 
@@ -166,7 +181,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     writer = _blocks(docs).write.option("path", folder).option("compression", "zstd")
     writer.bucketBy(buckets, "block").saveAsTable(name)
     table = spark.table(name)
-    words = table.where("bucket >= 0").select("block", "bucket", "start", "words")
+    words = table.where("bucket >= 0").select("block", "bucket", "start", "count", "sizes", "words")
     homes = table.where("bucket < 0").select("block", "ids", "counts", "codes")
     kind = table.schema["ids"].dataType.elementType.simpleString()
 
