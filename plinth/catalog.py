@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from plinth.plans import search_plans, text_plans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_plans.QUERIES | search_plans.QUERIES
+SQL: dict[str, str] = text_plans.SQL | search_plans.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The ten best chunks by BM25 for each query passage."""
+    return search_plans.bm25_search(spark, sf_dir)
