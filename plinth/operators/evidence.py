@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.text import let, tokens
+
 
 def group_blocks(blocks: DataFrame, useful: tuple[str, ...] = ("paragraph", "list", "table", "code", "blockquote")) -> DataFrame:
     """Runs of useful blocks (document_id, block_index, block_type, text, heading_path) under one heading."""
@@ -39,3 +41,21 @@ def coverage(spans: DataFrame, results: DataFrame) -> DataFrame:
     fresh = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(reach, F.col("a"))))
     covered = cut.withColumn("fresh", fresh).groupBy("span_id").agg(F.sum("fresh").alias("covered"))
     return spans.join(covered, "span_id", "left").select("span_id", (F.coalesce("covered", F.lit(0)) / (F.col("end_char") - F.col("start_char"))).alias("coverage"))
+
+
+def find_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Where passages (query_id, query) stand word for word in documents (document_id, text): query_id, document_id, start_char, end_char.
+
+    A passage's second to fourth tokens are its key; documents meet it on the hash of their runs of three tokens, and the text decides.
+    Passages of fewer than five tokens are left out.
+    """
+    words = tokens(F.col("query"))
+    keys = passages.withColumn("w", words).where(F.size("w") >= 5)
+    keys = keys.select("query_id", "query", F.xxhash64(F.array_join(F.slice("w", 2, 3), " ")).alias("key"))
+    runs = docs.select("document_id", tokens(F.col("text")).alias("w")).where(F.size("w") >= 5)
+    hashes = let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))))
+    runs = runs.select("document_id", F.explode(F.array_distinct(hashes)).alias("key"))
+    met = runs.join(keys, "key").select("query_id", "query", "document_id")
+    start = F.position("query", "text") - 1
+    found = met.join(docs.select("document_id", "text"), "document_id").withColumn("start_char", start).where("start_char >= 0")
+    return found.select("query_id", "document_id", "start_char", (F.col("start_char") + F.length("query")).alias("end_char"))

@@ -7,27 +7,29 @@ from pyspark.sql import functions as F
 
 from plinth.functions.text import let
 
-_BY_RANK = Window.partitionBy("query_id").orderBy("rank")
+
+def _by_rank(first: int, last: int):
+    return Window.partitionBy("query_id").orderBy("rank").rowsBetween(first, last)
 
 
 def budget_prefix(ranked: DataFrame, budget_tokens: int) -> DataFrame:
     """The longest prefix of each query's results (query_id, rank, text, ...) within four characters a token; nothing is skipped over."""
     if budget_tokens <= 0:
         raise ValueError("the budget must be positive")
-    running = F.sum(F.length("text")).over(_BY_RANK.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(F.length("text")).over(_by_rank(Window.unboundedPreceding, 0))
     return ranked.withColumn("running_chars", running).where(F.col("running_chars") <= 4 * budget_tokens)
 
 
 def context_pack(ranked: DataFrame, most: int = 4000) -> DataFrame:
     """Results until ``most`` characters are used; the last one is cut."""
-    before = F.coalesce(F.sum(F.length("text")).over(_BY_RANK.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.length("text")).over(_by_rank(Window.unboundedPreceding, -1)), F.lit(0))
     rows = ranked.withColumn("before", before).where(F.col("before") < most)
     return rows.withColumn("text", F.substring("text", F.lit(1), (most - F.col("before")).cast("int"))).drop("before")
 
 
 def budget_frontier(ranked: DataFrame, gold: DataFrame, budgets: list[int]) -> DataFrame:
     """For each budget: results kept, and gold pairs (query_id, chunk_id) that the prefix loses against the full ranking."""
-    running = F.sum(F.length("text")).over(_BY_RANK.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum(F.length("text")).over(_by_rank(Window.unboundedPreceding, 0))
     flags = gold.select("query_id", "chunk_id", F.lit(1).alias("gold"))
     rows = ranked.withColumn("running_chars", running).join(flags, ["query_id", "chunk_id"], "left")
     rows = rows.select("running_chars", "gold", F.explode(F.array(*map(F.lit, budgets))).alias("budget"))

@@ -1,4 +1,413 @@
 """Registered queries over search, selection, evaluation and history, with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plinth.functions import text as T
+from plinth.operators import evaluate, evidence, history, retrieval, selection
+from plinth.plans.text_plans import CHUNKS, DOCS, chunks_of
+from plinth.sources.tables import documents, table, vectors
+
+LIMIT, K = 10, 5
+
+
+def cases_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def shown(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def results_of(spark: SparkSession, sf_dir: str, mode: str, limit: int = LIMIT) -> DataFrame:
+    search = {"lexical": retrieval.lexical_search, "bm25": retrieval.bm25_search}[mode]
+    return search(chunks_of(spark, sf_dir), cases_of(spark, sf_dir), limit)
+
+
+def with_chunks(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    return ranked.join(chunks_of(spark, sf_dir), "chunk_id")
+
+
+def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a passage stands in a document, as an evidence span."""
+    docs = documents(spark, sf_dir)
+    found = evidence.find_passages(docs, cases_of(spark, sf_dir)).join(docs.select("document_id", "source_path"), "document_id")
+    name = F.concat_ws("-", F.col("query_id").cast("string"), F.col("document_id").cast("string"))
+    return found.select(name.alias("span_id"), "query_id", "document_id", "source_path", "start_char", "end_char")
+
+
+def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, chunk_id): chunks that hold enough of a span of the query."""
+    spans = spans_of(spark, sf_dir)
+    mapped = evidence.map_spans(spans, chunks_of(spark, sf_dir))
+    return mapped.join(spans.select("span_id", "query_id"), "span_id").select("query_id", "chunk_id").distinct()
+
+
+def metrics_of(spark: SparkSession, sf_dir: str, mode: str, k: int) -> DataFrame:
+    return evaluate.case_metrics(cases_of(spark, sf_dir), results_of(spark, sf_dir, mode), gold_of(spark, sf_dir), k)
+
+
+def corpus_stats(spark, sf_dir):
+    return retrieval.corpus_statistics(chunks_of(spark, sf_dir)).withColumn("avg_length", F.round("avg_length", 6))
+
+
+def lexical_search(spark, sf_dir):
+    return shown(results_of(spark, sf_dir, "lexical"))
+
+
+def bm25_search(spark, sf_dir):
+    return shown(results_of(spark, sf_dir, "bm25"))
+
+
+def cosine_pairs(spark, sf_dir):
+    """Every vector and its successor."""
+    rows = vectors(spark, sf_dir)
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(retrieval.cosine("embedding", "next"), 6).alias("cosine"))
+
+
+def semantic_search(spark, sf_dir):
+    """Every twentieth vector against all."""
+    rows = vectors(spark, sf_dir)
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return shown(retrieval.semantic_search(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries, LIMIT))
+
+
+def hybrid_rrf(spark, sf_dir):
+    """Passages against whole documents, whose vectors have their ids; a passage's vector is that of its id."""
+    chunks = documents(spark, sf_dir).select(F.col("document_id").alias("chunk_id"), "text")
+    index = vectors(spark, sf_dir)
+    cases = cases_of(spark, sf_dir)
+    queries = index.join(cases.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.hybrid_search(chunks, index.select(F.col("vec_id").alias("chunk_id"), "embedding"), cases, queries, LIMIT)
+    return found.withColumn("score", F.round("score", 9))
+
+
+def dedup_candidates(spark, sf_dir):
+    """Lexical results followed by BM25's, each chunk once."""
+    both = results_of(spark, sf_dir, "lexical").union(results_of(spark, sf_dir, "bm25").withColumn("rank", F.col("rank") + LIMIT))
+    return retrieval.deduplicate(both).select("query_id", "rank", "chunk_id")
+
+
+def metadata_redact(spark, sf_dir):
+    names = ("lang", "source", "text_context", "api_key", "document_id", "auth_token")
+    made = F.create_map(*(x for n in names for x in (F.lit(n), F.col("document_id").cast("string") if n in ("document_id", "api_key") else F.col("lang"))))
+    kept = documents(spark, sf_dir).select("document_id", retrieval.redact_metadata(made).alias("m"))
+    return kept.select("document_id", F.array_join(F.sort_array(F.map_keys("m")), ",").alias("keys"))
+
+
+def retrieval_stages(spark, sf_dir):
+    """Rows that go into and come out of each stage of a BM25 run with a budget of 256 tokens."""
+    cases = cases_of(spark, sf_dir)
+    candidates = results_of(spark, sf_dir, "bm25", 2 * LIMIT)
+    unique = retrieval.deduplicate(candidates)
+    kept = selection.budget_prefix(with_chunks(spark, sf_dir, unique.where(F.col("rank") <= LIMIT)), 256)
+    stages = [("normalize", cases, T.strip(F.col("query")) != ""), ("candidates", candidates, None), ("deduplicate", unique, None), ("select", kept, None)]
+    rows = [(d if c is None else d.where(c)).agg(F.count("*").alias("n_rows")).select(F.lit(i).alias("stage_index"), F.lit(n).alias("stage"), "n_rows") for i, (n, d, c) in enumerate(stages)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+def ranking_rehydrate(spark, sf_dir):
+    rows = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25"))
+    return rows.select("query_id", "rank", "chunk_id", "document_id", "start_char", "end_char", F.sha2("text", 256).alias("text_sha256"))
+
+
+def token_budget_prefix(spark, sf_dir):
+    kept = selection.budget_prefix(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")), 1024)
+    return kept.select("query_id", "rank", "chunk_id", "running_chars")
+
+
+def context_pack(spark, sf_dir):
+    packed = selection.context_pack(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")))
+    return packed.select("query_id", "rank", "chunk_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def prompt_render(spark, sf_dir):
+    packed = selection.context_pack(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")))
+    return selection.prompt(packed).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
+
+
+def budget_frontier(spark, sf_dir):
+    ranked = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25"))
+    return selection.budget_frontier(ranked, gold_of(spark, sf_dir), [256, 512, 768, 1024, 1400, 2048])
+
+
+def fragment_allocation(spark, sf_dir):
+    rows = selection.allocate(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")))
+    return rows.select("query_id", "rank", F.length("text").alias("n_chars"), "allocation")
+
+
+def fragment_scores(spark, sf_dir):
+    """The window of each BM25 result that says most about its query."""
+    rows = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")).join(cases_of(spark, sf_dir), "query_id")
+    cut = selection.fragment_windows(rows.select("query_id", "chunk_id", "query", "text"))
+    cut = cut.withColumns({"query_tokens": T.tokens(F.col("query")), "window_tokens": T.tokens(F.col("window_text"))})
+    return selection.best_windows(selection.fragment_scores(cut), "query_id", "chunk_id")
+
+
+def gold_mapping(spark, sf_dir):
+    return evidence.map_spans(spans_of(spark, sf_dir), chunks_of(spark, sf_dir)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+
+
+def relevance_flags(spark, sf_dir):
+    return evaluate.relevance(results_of(spark, sf_dir, "bm25"), gold_of(spark, sf_dir)).select("query_id", "rank", "chunk_id", "relevant")
+
+
+def ndcg(spark, sf_dir):
+    rows = metrics_of(spark, sf_dir, "bm25", K)
+    return rows.select("query_id", "n_gold", "n_relevant", "first_rank", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank", "ndcg")))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c in ("hit_rate", "recall", "precision", "mrr", "ndcg")})
+
+
+def retrieval_metrics(spark, sf_dir):
+    return _rounded(evaluate.summary(metrics_of(spark, sf_dir, "bm25", K)))
+
+
+def mode_comparison(spark, sf_dir):
+    """Lexical and BM25 at 1, 3, 5 and 10."""
+    gold, cases = gold_of(spark, sf_dir), cases_of(spark, sf_dir)
+    parts = None
+    for mode in ("lexical", "bm25"):
+        ranked = results_of(spark, sf_dir, mode)
+        for k in (1, 3, 5, 10):
+            part = evaluate.case_metrics(cases, ranked, gold, k).withColumns({"mode": F.lit(mode), "k": F.lit(k)})
+            parts = part if parts is None else parts.union(part)
+    return _rounded(evaluate.summary(parts, "mode", "k"))
+
+
+def cutoff_metrics(spark, sf_dir):
+    rows = evaluate.cutoffs(results_of(spark, sf_dir, "bm25"), gold_of(spark, sf_dir), [1, 3, 5, 10])
+    return rows.withColumn("reciprocal", F.round("reciprocal", 6))
+
+
+def failure_breakdown(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir).select("chunk_id", "document_id")
+    results = results_of(spark, sf_dir, "bm25").join(chunks, "chunk_id")
+    expected = gold_of(spark, sf_dir).join(chunks, "chunk_id")
+    return evaluate.failures(cases_of(spark, sf_dir), results, expected, K).groupBy("failure").agg(F.count("*").alias("n"))
+
+
+def evidence_coverage(spark, sf_dir):
+    spans = spans_of(spark, sf_dir)
+    results = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")).select("query_id", "document_id", "start_char", "end_char")
+    ranges = results.join(spans.select("span_id", "query_id", "document_id"), ["query_id", "document_id"]).select("span_id", "start_char", "end_char")
+    return evidence.coverage(spans, ranges).withColumn("coverage", F.round("coverage", 6))
+
+
+def duplicate_context(spark, sf_dir):
+    rows = evaluate.duplicate_context(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")))
+    return rows.withColumn("duplicate_ratio", F.round("duplicate_ratio", 6))
+
+
+def ngram_coverage(spark, sf_dir):
+    """For each passage the share of its token trigrams that its first five results hold."""
+    grams = cases_of(spark, sf_dir).select("query_id", F.explode(T.ngrams(T.tokens(F.col("query")), 3)).alias("g"))
+    top = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25").where(F.col("rank") <= K))
+    held = top.select("query_id", F.explode(T.ngrams(T.tokens(F.col("text")), 3)).alias("g")).distinct().withColumn("held", F.lit(1))
+    rows = grams.join(held, ["query_id", "g"], "left").groupBy("query_id").agg(F.count("held").alias("n_held"), F.count("*").alias("n_grams"))
+    return rows.select("query_id", "n_held", "n_grams", F.round(F.col("n_held") / F.col("n_grams"), 6).alias("coverage"))
+
+
+def latency_percentiles(spark, sf_dir):
+    return evaluate.latencies(table(spark, sf_dir, "events"), "value", "event_type").withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p95")})
+
+
+def metric_spread(spark, sf_dir):
+    """Spread of the daily mean of event values, by type."""
+    daily = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 9).alias("value"))
+    return evaluate.spread(daily, "event_type").withColumns({c: F.round(c, 6) for c in ("least", "greatest", "spread")})
+
+
+def transitions(spark, sf_dir):
+    """Lexical against BM25 at 5."""
+    hits = [metrics_of(spark, sf_dir, mode, K).select("query_id", (F.col("n_relevant") > 0).alias("hit")) for mode in ("lexical", "bm25")]
+    return evaluate.transitions(*hits)
+
+
+def heldout_overlap(spark, sf_dir):
+    """Labelled documents whose text also stands among unlabelled ones."""
+    docs = documents(spark, sf_dir).select("document_id", F.sha2("text", 256).alias("h"))
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id")).distinct()
+    others = docs.join(known, "document_id", "left_anti").select("h").distinct()
+    return docs.join(known, "document_id", "left_semi").join(others, "h", "left_semi").select("document_id")
+
+
+def review_merge(spark, sf_dir):
+    """Document labels after a review: toxic documents are never of quality."""
+    labels = table(spark, sf_dir, "labels")
+    review = labels.where("toxic = 1").select("doc_id", F.lit(0).alias("reviewed"))
+    rows = labels.join(review, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("reviewed", "quality").cast("int").alias("quality"), F.col("reviewed").isNotNull().alias("changed"))
+
+
+def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
+
+
+def session_summary(spark, sf_dir):
+    return history.summarize(turns_of(spark, sf_dir))
+
+
+def session_branch(spark, sf_dir):
+    return history.branch(turns_of(spark, sf_dir), 1).select("session_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
+
+
+def session_search(spark, sf_dir):
+    return history.search(turns_of(spark, sf_dir), "that")
+
+
+def session_export(spark, sf_dir):
+    return history.export(turns_of(spark, sf_dir)).select("session_id", F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
+def trace_list(spark, sf_dir):
+    traces = table(spark, sf_dir, "events").select(F.col("event_id").alias("trace_id"), F.col("event_type").alias("operation"), F.col("ts").alias("started_at"))
+    return history.newest(traces, 20)
+
+
+def schema_migrate(spark, sf_dir):
+    version = F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise((F.col("event_id") % 3).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", version.alias("schema_version"))
+    return history.migrate(rows).groupBy("schema_version").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        corpus_stats, lexical_search, bm25_search, cosine_pairs, semantic_search, hybrid_rrf, dedup_candidates, metadata_redact, retrieval_stages, ranking_rehydrate,
+        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_scores, gold_mapping, relevance_flags, ndcg, retrieval_metrics,
+        mode_comparison, cutoff_metrics, failure_breakdown, evidence_coverage, duplicate_context, ngram_coverage, latency_percentiles, metric_spread, transitions,
+        heldout_overlap, review_merge, session_summary, session_branch, session_search, session_export, trace_list, schema_migrate,
+    )
+}
+
+W = r"[\p{L}\p{N}_]+"
+CASES = "cases as (select item_id query_id, text query from benchmark)"
+
+
+def _ranked(table_: str, prefix: str, limit: int, k: str = "chunk_id") -> str:
+    return (
+        f"{prefix} as (select query_id, rank, {k}, score from (select *, (row_number() over (partition by query_id order by round(score, 9) desc, {k}))::int rank"
+        f" from {table_}) where rank <= {limit})"
+    )
+
+
+def _bm25(source: str, limit: int, name: str = "bm25", key: str = "chunk_id") -> str:
+    """CTEs from ``source`` (key, text) and cases to the ranked results ``name``, and the lexical ones under ``lexical``."""
+    return f"""words as (select {key}, len(w) dl, w from (select {key}, regexp_extract_all(lower(text), '{W}') w from {source}))
+, stats as (select count(*) n, avg(dl) avgdl from words)
+, post as (select {key}, dl, token, count(*) tf from (select {key}, dl, unnest(w) token from words) group by all)
+, q as (select query_id, token, count(*) qtf from (select query_id, unnest(regexp_extract_all(lower(query), '{W}')) token from cases) group by all)
+, df as (select token, count(*) df from post group by token)
+, bm25_all as (select query_id, {key}, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) score
+  from q join post using (token) join df using (token), stats group by query_id, {key})
+, lexical_all as (select query_id, {key}, sum(tf)::double score from q join post using (token) group by query_id, {key})
+, {_ranked("bm25_all", name, limit, key)}, {_ranked("lexical_all", "lexical", limit, key)}"""
+
+
+RANKED = f"{CHUNKS}, {CASES}, {_bm25('chunks', LIMIT)}"
+TWICE = f"{CHUNKS}, {CASES}, {_bm25('chunks', 2 * LIMIT)}"
+SPANS = "spans as (select query_id || '-' || document_id span_id, query_id, document_id, source_path, (instr(t, query) - 1)::int s, (instr(t, query) - 1 + length(query))::int e from docs join cases on contains(t, query))"
+MAPPED = SPANS + (
+    ", mapped as (select span_id, query_id, chunk_id, greatest(0, least(e, end_char) - greatest(s, start_char)) / (e - s)::double overlap_ratio"
+    " from spans join chunks using (document_id) where greatest(0, least(e, end_char) - greatest(s, start_char)) / (e - s)::double >= 0.3)"
+    ", gold as (select distinct query_id, chunk_id from mapped)"
+)
+FLAGS = ", flags as (select r.*, (g.chunk_id is not null)::int relevant from bm25 r left join gold g using (query_id, chunk_id))"
+
+
+def _metrics(ranked: str, k: int, name: str) -> str:
+    return f"""{name} as (
+  select query_id, coalesce(n_gold, 0) n_gold, coalesce(n_relevant, 0) n_relevant, first_rank, case when n_gold > 0 then coalesce(n_relevant, 0) / n_gold::double else 0.0 end recall,
+    coalesce(n_relevant, 0) / {k}.0::double "precision", coalesce(1.0 / first_rank, 0.0)::double reciprocal_rank,
+    case when n_gold > 0 then coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_gold, {k}) + 1), lambda r: 1 / log2(r + 1.0))) else 0.0 end ndcg
+  from cases left join (select query_id, count(*) n_gold from gold group by query_id) using (query_id)
+  left join (select query_id, count(*) n_relevant, min(rank) first_rank, sum(1 / log2(rank + 1.0)) dcg from {ranked} join gold using (query_id, chunk_id) where rank <= {k} group by query_id) using (query_id))"""
+
+
+SUMMARY = 'count(*) n_cases, round(avg((n_relevant > 0)::int), 6) hit_rate, round(avg(round(recall, 4)), 6) recall, round(avg("precision"), 6) "precision", round(avg(reciprocal_rank), 6) mrr, round(avg(round(ndcg, 4)), 6) ndcg'
+VECTORS = "v as (select vec_id, embedding::double[] x from embeddings), u as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) n from v)"
+COS = "case when a.n = 0 or b.n = 0 then 0.0 else list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])) / (a.n * b.n) end"
+SPACED = "[ \\t\\n\\x0B\\f\\r]+"
+FULL = f"with {RANKED}, {MAPPED}{FLAGS}"
+WITH_TEXT = f"with {RANKED}, t as (select b.*, c.document_id, c.start_char, c.end_char, c.text from bm25 b join chunks c using (chunk_id))"
+RUN = "sum(length(text)) over (partition by query_id order by rank)"
+SQL = {
+    "corpus_stats": f"""with {CHUNKS}, w as (select regexp_extract_all(lower(text), '{W}') w from chunks)
+      select count(*) n_chunks, round(avg(len(w)), 6) avg_length, sum(len(w))::bigint n_tokens, (select count(distinct x) from (select unnest(w) x from w)) n_distinct from w""",
+    "lexical_search": f"with {RANKED} select query_id, rank, chunk_id, round(score, 6) score from lexical",
+    "bm25_search": f"with {RANKED} select query_id, rank, chunk_id, round(score, 6) score from bm25",
+    "cosine_pairs": f"with {VECTORS} select a.vec_id, round({COS}, 6) cosine from u a join u b on b.vec_id = a.vec_id + 1",
+    "semantic_search": f"""with {VECTORS}, s as (select a.vec_id query_id, b.vec_id chunk_id, {COS} score from u a, u b where a.vec_id % 20 = 0), {_ranked("s", "r", LIMIT)}
+      select query_id, rank, chunk_id, round(score, 6) score from r""",
+    "hybrid_rrf": f"""with {DOCS}, {CASES}, whole as (select document_id chunk_id, t as text from docs), {_bm25("whole", 40)}, {VECTORS}
+      , s as (select a.vec_id query_id, b.vec_id chunk_id, {COS} score from u a join cases on a.vec_id = query_id, u b join whole on b.vec_id = chunk_id), {_ranked("s", "dense", 40)}
+      , f as (select query_id, chunk_id, a.rank sparse_rank, b.rank dense_rank, coalesce(1.0::double / (60 + a.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) score, least(a.rank, b.rank) best
+        from bm25 a full join dense b using (query_id, chunk_id)), g as (select *, (row_number() over (partition by query_id order by round(score, 12) desc, best, chunk_id))::int rank from f)
+      select query_id, rank, chunk_id, round(score, 9) score, sparse_rank, dense_rank, case when sparse_rank is null or dense_rank < sparse_rank then 'dense' else 'sparse' end origin from g where rank <= 10""",
+    "dedup_candidates": f"""with {RANKED}, b as (select query_id, rank, chunk_id from lexical union all select query_id, rank + 10, chunk_id from bm25
+      ), f as (select query_id, chunk_id, min(rank) r from b group by all) select query_id, (row_number() over (partition by query_id order by r))::int rank, chunk_id from f""",
+    "metadata_redact": "select doc_id document_id, 'document_id,lang,source' keys from documents",
+    "retrieval_stages": f"""with {TWICE}, t as (select query_id, rank, {RUN} run from bm25 join chunks using (chunk_id) where rank <= 10)
+      select 0 stage_index, 'normalize' stage, count(*) n_rows from cases where trim(query) <> '' union all select 1, 'candidates', count(*) from bm25
+      union all select 2, 'deduplicate', count(*) from bm25 union all select 3, 'select', count(*) from t where run <= 1024""",
+    "ranking_rehydrate": f"{WITH_TEXT} select query_id, rank, chunk_id, document_id, start_char::int start_char, end_char::int end_char, sha256(text) text_sha256 from t",
+    "token_budget_prefix": f"{WITH_TEXT}, r as (select query_id, rank, chunk_id, ({RUN})::bigint running_chars from t) select * from r where running_chars <= 4096",
+    "context_pack": f"""{WITH_TEXT}, r as (select *, {RUN} - length(text) before from t), p as (select query_id, rank, chunk_id, substr(text, 1, (4000 - before)::bigint) x from r where before < 4000)
+      select query_id, rank, chunk_id, length(x)::int n_chars, sha256(x) text_sha256 from p""",
+    "prompt_render": f"""{WITH_TEXT}, r as (select *, {RUN} - length(text) before from t), p as (select query_id,
+      string_agg('[' || rank || '] ' || chunk_id || chr(10) || substr(text, 1, (4000 - before)::bigint), chr(10) || chr(10) order by rank) x from r where before < 4000 group by query_id)
+      select query_id, sha256(x) prompt_sha256, length(x)::int n_chars from p""",
+    "budget_frontier": f"""{FULL}, r as (select query_id, relevant, {RUN} run from flags join chunks using (chunk_id)), b as (select unnest([256, 512, 768, 1024, 1400, 2048]) budget)
+      select budget, count(*) filter (where run <= 4 * budget) n_kept, count(*) filter (where relevant = 1 and run > 4 * budget) n_lost, count(*) n_all from r, b group by budget""",
+    "gold_mapping": f"with {CHUNKS}, {CASES}, {MAPPED} select span_id, chunk_id, round(overlap_ratio, 6) overlap_ratio from mapped",
+    "relevance_flags": f"{FULL} select query_id, rank, chunk_id, relevant from flags",
+    "ndcg": f"""with {RANKED}, {MAPPED}, {_metrics("bm25", K, "m")} select query_id, n_gold, n_relevant, first_rank, round(recall, 6) recall, round("precision", 6) "precision",
+      round(reciprocal_rank, 6) reciprocal_rank, round(ndcg, 6) ndcg from m""",
+    "retrieval_metrics": f"with {RANKED}, {MAPPED}, {_metrics('bm25', K, 'm')} select {SUMMARY} from m",
+    "mode_comparison": f"with {RANKED}, {MAPPED}, "
+    + ", ".join(_metrics(m, k, f"{m}{k}") for m in ("lexical", "bm25") for k in (1, 3, 5, 10))
+    + " "
+    + " union all ".join(f"select '{m}' mode, {k} k, {SUMMARY} from {m}{k}" for m in ("lexical", "bm25") for k in (1, 3, 5, 10)),
+    "cutoff_metrics": f"""{FULL}, e as (select k, query_id, min(rank) f, count(*) n from flags, (select unnest([1, 3, 5, 10]) k) where relevant = 1 and rank <= k group by k, query_id)
+      select k, count(*) hits, round(sum(1.0 / f), 6) reciprocal, sum(n)::bigint recalled from e group by k""",
+    "failure_breakdown": f"""{FULL}, x as (select gold.*, document_id from gold join chunks using (chunk_id)), r as (select flags.*, document_id from flags join chunks using (chunk_id))
+      , c as (select query_id, (select min(rank) from flags f where f.query_id = cases.query_id and relevant = 1) h, (select count(*) from flags f where f.query_id = cases.query_id and rank <= 5) n,
+        (select count(*) from gold g where g.query_id = cases.query_id) g, (select count(*) from r join (select distinct query_id, document_id from x) d using (query_id, document_id)
+          where r.query_id = cases.query_id and rank <= 5) s from cases)
+      select case when h <= 5 then 'passed' when n = 0 then 'no_result' when g = 0 then 'unmapped_evidence' when h > 5 then 'low_rank' when s = 0 then 'missed_source' else 'wrong_section' end failure, count(*) n
+      from c group by 1""",
+    "evidence_coverage": f"""with {RANKED}, {MAPPED}, r as (select span_id, greatest(start_char, s) a, least(end_char, e) b from spans join (select query_id, document_id, start_char, end_char from bm25 join chunks using (chunk_id))
+        using (query_id, document_id) where greatest(start_char, s) < least(end_char, e)
+      ), p as (select span_id, count(distinct x) n from (select span_id, unnest(range(a, b)) x from r) group by span_id) select span_id, round(coalesce(n, 0) / (e - s)::double, 6) coverage from spans left join p using (span_id)""",
+    "duplicate_context": f"""{WITH_TEXT}, f as (select query_id, rank, trim(regexp_replace(lower(text), '{SPACED}', ' ', 'g')) x from t)
+      , s as (select distinct query_id, rank, substr(x, i, 20) g from (select *, unnest(range(1, greatest(length(x) - 19, 1) + 1)) i from f))
+      select query_id, round((count(*) - count(distinct g)) / count(*)::double, 6) duplicate_ratio from s group by query_id""",
+    "ngram_coverage": f"""{WITH_TEXT}, gq as (select distinct query_id, w[i:i + 2] g from (select query_id, w, unnest(range(1, len(w) - 1)) i from (select query_id, regexp_extract_all(lower(query), '{W}') w from cases)))
+      , gt as (select distinct query_id, w[i:i + 2] g from (select query_id, w, unnest(range(1, len(w) - 1)) i from (select query_id, regexp_extract_all(lower(text), '{W}') w from t where rank <= 5)))
+      select query_id, count(gt.g) n_held, count(*) n_grams, round(count(gt.g) / count(*)::double, 6) coverage from gq left join gt using (query_id, g) group by query_id""",
+    "latency_percentiles": """select event_type, count(value) n, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, max(value) maximum from events group by event_type""",
+    "metric_spread": """with d as (select event_type, ts::date "day", round(avg(value), 9) v from events group by all)
+      select event_type, round(min(v), 6) least, round(max(v), 6) greatest, round(max(v) - min(v), 6) spread from d group by event_type""",
+    "transitions": f"""with {RANKED}, {MAPPED}, {_metrics("lexical", K, "a")}, {_metrics("bm25", K, "b")}
+      select case when a.n_relevant > 0 and b.n_relevant > 0 then 'retained' when a.n_relevant > 0 then 'lost' when b.n_relevant > 0 then 'gained' else 'missed' end transition, count(*) n
+      from a join b using (query_id) group by 1""",
+    "heldout_overlap": f"""with {DOCS} select document_id from docs where document_id in (select doc_id from labels) and t in (select t from docs where document_id not in (select doc_id from labels))""",
+    "review_merge": "select doc_id, (case when toxic = 1 then 0 else quality end)::int quality, toxic = 1 changed from labels",
+    "session_summary": """select conv_id session_id, count(*) n_turns, count(*) filter (where role = 'user') n_user, sum(length(text))::bigint n_chars,
+      min_by(substr(text, 1, 40), turn) filter (where role = 'user') title from conversations group by conv_id""",
+    "session_branch": "select conv_id || '-branch-1' session_id, turn, role, sha256(text) text_sha256 from conversations where turn <= 1",
+    "session_search": "select conv_id session_id, count(*) n_matches from conversations where contains(lower(text), 'that') group by conv_id",
+    "session_export": """select conv_id session_id, sha256(string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn)) markdown_sha256 from conversations group by conv_id""",
+    "trace_list": "select event_id trace_id, event_type operation, ts started_at from events order by ts desc, event_id desc limit 20",
+    "schema_migrate": "select 2 schema_version, count(*) n from events",
+}
