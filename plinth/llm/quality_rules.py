@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import stored, text_of
+from plinth.llm.common import SPACE, stored, text_of
 
 SYMBOLS = "#*$%&|<>"
 #: Rule, condition of a good vote, condition of a bad vote; over the counts below, in whole numbers. Else it abstains.
@@ -46,8 +46,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _only(text: Column, characters: str) -> Column:
+    """How many of these characters (a class of a regular expression) a text has."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def _repeat_words(words: Column) -> Column:
@@ -75,19 +76,18 @@ def _repeat_words(words: Column) -> Column:
 
 def counts(text: Column) -> dict[str, Column]:
     """COUNTS of a text without nulls, as longs."""
-    spaced = F.translate(text, "\t\n\x0b\f\r", "     ")
-    words = F.array_remove(F.split(spaced, " "), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    words = F.array_remove(F.split(text, f"[{SPACE}]+"), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     by_words = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     found = {
         "w": by_words,
         "l": by_lines,
-        "word_chars": _without(text, " \t\n\x0b\f\r"),
-        "n_symbols": F.length(text) - _without(text, SYMBOLS),
-        "n_capitals": F.length(text) - _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "n_marks": F.length(text) - _without(text, "!?"),
-        "n_digits": F.length(text) - _without(text, "0123456789"),
+        "word_chars": F.length(text) - _only(text, SPACE),
+        "n_symbols": _only(text, SYMBOLS),
+        "n_capitals": _only(text, "A-Z"),
+        "n_marks": _only(text, "!?"),
+        "n_digits": _only(text, "0-9"),
     }
     return found
 
@@ -117,14 +117,12 @@ def posterior(params: list[float], pattern: str = "pattern") -> str:
 
     params: the share of good documents, then for each rule how often it votes good and bad on good documents, and on bad ones.
     """
-    sides = []
-    for first, at in ((params[0], 1), (1 - params[0], 3)):
-        factors = [repr(first)]
-        for j in range(len(RULES)):
-            up, down = params[4 * j + at : 4 * j + at + 2]
-            factors.append(f"case substr({pattern}, {j + 1}, 1) when '2' then {up!r} when '1' then {down!r} else {1 - up - down!r} end")
-        sides.append(" * ".join(f"cast({x} as double)" for x in factors))
-    return f"(({sides[0]}) / (({sides[0]}) + ({sides[1]})))"
+    odds = [f"cast({(1 - params[0]) / params[0]!r} as double)"]
+    for j in range(len(RULES)):
+        up, down, bad_up, bad_down = params[4 * j + 1 : 4 * j + 5]
+        ratios = bad_up / up, bad_down / down, (1 - bad_up - bad_down) / (1 - up - down)
+        odds.append("case substr({}, {}, 1) when '2' then {!r}D when '1' then {!r}D else {!r}D end".format(pattern, j + 1, *ratios))
+    return f"(1.0D / (1.0D + {' * '.join(odds)}))"
 
 
 def learn(patterns: DataFrame) -> list[float]:
@@ -134,13 +132,13 @@ def learn(patterns: DataFrame) -> list[float]:
     """
     params = [SHARE, *[(1 - WRONG) / 2, WRONG, (1 - RIGHT) / 2, RIGHT] * len(RULES)]
     for _ in range(STEPS):
-        good = F.col("n") * F.expr(posterior(params))
-        bad = F.col("n") - good
+        rows = patterns.withColumn("good", F.col("n") * F.expr(posterior(params)))
+        good, bad = F.col("good"), F.col("n") - F.col("good")
         sums = [F.sum(good), F.sum(bad)]
         for j in range(len(RULES)):
             vote = F.substring("pattern", j + 1, 1)
             sums += [F.sum(F.when(vote == v, side)) for side in (good, bad) for v in ("2", "1")]
-        x = [float(v or 0) for v in patterns.agg(*sums).first()]
+        x = [float(v or 0) for v in rows.agg(*sums).first()]
         params = [(x[0] + 1) / (x[0] + x[1] + 2)]
         for at in range(2, len(x), 4):
             seen = [(x[at + k] + 1) / (x[k // 2] + 3) for k in range(4)]
@@ -173,14 +171,12 @@ def _sql() -> str:
     """DuckDB SQL for op9, with the steps of expectation-maximisation spelled out."""
 
     def post(p: str) -> str:
-        sides = []
-        for first, up, down in ((f"{p}.p0", "a", "b"), (f"(1 - {p}.p0)", "c", "d")):
-            factors = [first]
-            for j in range(len(RULES)):
-                x, y = f"{p}.{up}{j}", f"{p}.{down}{j}"
-                factors.append(f"case substr(pattern, {j + 1}, 1) when '2' then {x} when '1' then {y} else 1 - {x} - {y} end")
-            sides.append(" * ".join(factors))
-        return f"(({sides[0]}) / (({sides[0]}) + ({sides[1]})))"
+        odds = [f"((1 - {p}.p0) / {p}.p0)"]
+        for j in range(len(RULES)):
+            up, down, bad_up, bad_down = (f"{p}.{x}{j}" for x in "abcd")
+            ratios = f"when '2' then {bad_up} / {up} when '1' then {bad_down} / {down} else (1 - {bad_up} - {bad_down}) / (1 - {up} - {down})"
+            odds.append(f"case substr(pattern, {j + 1}, 1) {ratios} end")
+        return f"(1 / (1 + {' * '.join(odds)}))"
 
     first = ", ".join(f"{(1 - WRONG) / 2}::double a{j}, {WRONG}::double b{j}, {(1 - RIGHT) / 2}::double c{j}, {RIGHT}::double d{j}" for j in range(len(RULES)))
     steps = [f"em0 as (select {SHARE}::double p0, {first})"]
