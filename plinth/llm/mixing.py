@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import stored, text_of
+from plinth.llm.common import SPACE, stored, text_of
 
 #: Weights of the sources in code point order, repeating; words of the mix against all words; largest repetition; seed.
 WEIGHTS, RATE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
@@ -36,8 +36,8 @@ SYMBOLS = "#*$%&|<>!"
 def _measured(docs: DataFrame) -> dict[str, Column]:
     """Size, tie-breaking digest, key, and the key's range, of every row."""
     text = text_of(docs)
-    size = F.size(F.array_remove(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), "")).cast("long")
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    size = F.size(F.array_remove(F.split(text, f"[{SPACE}]+"), "")).cast("long")
+    symbols = F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
     doc = F.coalesce(docs["doc_id"].cast("string"), F.lit("null"))
     digest = F.md5(F.concat_ws("|", F.lit(str(SEED)), doc, F.md5(text.cast("binary"))).cast("binary"))
     return {"size": size, "symbols": symbols, "digest": digest}
