@@ -13,7 +13,7 @@ looks every distinct word up once in a task and takes moving averages.
 
 The model learns from at most TRAIN_ROWS labelled documents, those whose hashed
 ids are least, none of them held out. A fifth of them only chooses the epoch to
-stop at. Labels, language, source and id are never inputs of a score.
+stop at and calibrates the scores. Labels, language, source and id are never inputs of a score.
 
 Defined results: null or empty text scores as a window of no words; repeated rows
 give a result each; a null doc_id stays null and is not held out; an empty table
@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import groupby
+from operator import eq
 from typing import NamedTuple
 
 import numpy as np
@@ -52,7 +53,7 @@ EVEN = 1.0
 #: this share of the others are chosen. Step of Adagrad, and what it starts from.
 ROUNDS, PASSES, HARDEST, EASY, BATCH, STEP, PRIOR, SOFTMAX_STEP = 3, 4, 4, 0.02, 256, 0.3, 3e-3, 2e-3
 EPOCHS, RATE, SEED = 60, 0.3, 5
-THRESHOLD = 0.5
+THRESHOLD, TOXIC_WEIGHT = 0.5, 2.0
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>"
 #: Distinct words that a task remembers; beyond, it starts anew.
 REMEMBERED = 300_000
@@ -73,7 +74,8 @@ def subwords(word: str) -> list[int]:
 
 def words_of(text: str) -> list[str]:
     """The lower-cased words of a text; a word said many times in a row counts once."""
-    return [w for w, _ in groupby(text.lower().split())]
+    words = text.lower().split()
+    return [w for w, _ in groupby(words)] if any(map(eq, words, words[1:])) else words
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +94,17 @@ def _pooled(z: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sharpness: flo
 
 
 def _calibrated(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and base of the logistic regression of the labels on z, by Newton's method with a slight pull to zero."""
+    """Slope and base of the logistic regression of the labels on z, by Newton's method with a slight pull to zero.
+
+    A toxic document counts TOXIC_WEIGHT times.
+    """
+    weight = np.where(labels == 1, TOXIC_WEIGHT, 1.0)
     scale = max(1e-9, float(np.abs(z).max()))
     x, theta = np.stack([z / scale, np.ones_like(z)], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        gradient = x.T @ (p - labels) + 1e-3 * theta
-        theta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), gradient)
+        gradient = x.T @ (weight * (p - labels)) + 1e-3 * theta
+        theta -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), gradient)
     return float(theta[0] / scale), float(theta[1])
 
 
@@ -142,18 +148,15 @@ class _Corpus:
         return np.bincount(self.gram, (word / self.sizes)[self.gram_word], BUCKETS)
 
 
-def _find(corpus: _Corpus, labels: np.ndarray, rng: np.random.Generator) -> Model:
+def _find(corpus: _Corpus, labels: np.ndarray, held: np.ndarray, rng: np.random.Generator) -> Model:
     """Finds what tells toxic documents: full-batch descent on the logistic loss of pooled windows.
 
     Pooling goes from a plain mean over a document to one that leans to its most toxic windows. A step's entries are evened out
-    above a part of the largest, and damped for rare buckets. Every fifth document only tells which epoch is best.
+    above a part of the largest, and damped for rare buckets. The held documents only tell which epoch is best.
     """
     state = [rng.normal(0, 0.05, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.3, (DIMENSIONS, 2)), np.array([0.5, -0.5])]
     moments = [np.zeros_like(x) for x in state]
     damping = 1 / np.sqrt(np.bincount(corpus.gram, (np.bincount(corpus.ids, minlength=len(corpus.sizes)) / corpus.sizes)[corpus.gram_word], BUCKETS) + RARE)
-    held = np.arange(len(labels)) % 5 == 4
-    if not 0 < labels[~held].sum() < (~held).sum() or not 0 < labels[held].sum() < held.sum():
-        held[:] = False
     weight = np.where(labels == 1, max(1.0, min(4.0, (labels == 0).sum() / (labels == 1).sum())), 1.0)
     weight /= weight[~held].sum()
     best, chosen = np.inf, Model(*state)
@@ -179,8 +182,11 @@ def _find(corpus: _Corpus, labels: np.ndarray, rng: np.random.Generator) -> Mode
     return chosen
 
 
-def _refine(corpus: _Corpus, labels: np.ndarray, model: Model, rng: np.random.Generator) -> Model:
-    """Learns from single windows: in toxic documents those that look toxic, in others the hardest and a share of the rest."""
+def _refine(corpus: _Corpus, labels: np.ndarray, held: np.ndarray, model: Model, rng: np.random.Generator) -> Model:
+    """Learns from single windows: in toxic documents those that look toxic, in others the hardest and a share of the rest.
+
+    The held documents take no part but in the last calibration, as what was learnt from scores higher than what is new.
+    """
     e, softmax = model.embeddings.copy(), model.softmax.copy()
     seen, owner = np.full(BUCKETS, PRIOR), np.repeat(np.arange(len(labels)), corpus.counts)
     for _ in range(ROUNDS):
@@ -191,7 +197,7 @@ def _refine(corpus: _Corpus, labels: np.ndarray, model: Model, rng: np.random.Ge
         order, rank = np.lexsort((-z, owner)), np.empty(len(z), np.int64)
         rank[order] = np.arange(len(z)) - np.repeat(corpus.starts, corpus.counts)
         toxic = (labels[owner] == 1) & ((rank == 0) | (z > 0))
-        picked = np.nonzero(toxic | (labels[owner] == 0) & ((rank < HARDEST) | (rng.random(len(z)) < EASY)))[0]
+        picked = np.nonzero(~held[owner] & (toxic | (labels[owner] == 0) & ((rank < HARDEST) | (rng.random(len(z)) < EASY))))[0]
         for _ in range(PASSES):
             rng.shuffle(picked)
             for k in range(0, len(picked), BATCH):
@@ -213,7 +219,9 @@ def _refine(corpus: _Corpus, labels: np.ndarray, model: Model, rng: np.random.Ge
                 turn *= SOFTMAX_STEP / max(1e-9, float(np.abs(turn).max()))
                 softmax += np.stack([turn, -turn], axis=1)
                 base -= 0.05 * STEP * float(error.mean())
-    slope, base = _calibrated(np.maximum.reduceat(corpus.means(e @ (softmax[:, 1] - softmax[:, 0])), corpus.starts), labels)
+    judged = held if held.any() else ~held
+    z = np.maximum.reduceat(corpus.means(e @ (softmax[:, 1] - softmax[:, 0])), corpus.starts)
+    slope, base = _calibrated(z[judged], labels[judged])
     return Model(e.astype(np.float32), (softmax * slope).astype(np.float32), np.array([-base / 2, base / 2]))
 
 
@@ -224,7 +232,22 @@ def train(texts: Iterable[str], labels: np.ndarray) -> Model:
         return Model(np.zeros((BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, 2)), np.array([0.0, np.log(share / (1 - share))]))
     rng = np.random.default_rng(SEED)
     corpus = _Corpus(texts)
-    return _refine(corpus, labels, _find(corpus, labels, rng), rng)
+    held = np.arange(len(labels)) % 5 == 4
+    if not 0 < labels[~held].sum() < (~held).sum() or not 0 < labels[held].sum() < held.sum():
+        held[:] = False
+    return _refine(corpus, labels, held, _find(corpus, labels, held, rng), rng)
+
+
+class _Remembered(dict):
+    """Words and what they contribute, worked out when first asked for."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self._find = find
+
+    def __missing__(self, word: str) -> float:
+        found = self[word] = self._find(word)
+        return found
 
 
 class Scorer:
@@ -233,19 +256,17 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self._grams = (model.embeddings @ (model.softmax[:, 1] - model.softmax[:, 0])).astype(np.float64)
         self._bias = float(model.bias[1] - model.bias[0])
-        self._words: dict[str, float] = {}
+        self._words = _Remembered(self.word)
 
     def word(self, word: str) -> float:
-        found = self._grams[subwords(word)].mean()
-        self._words[word] = found
-        return found
+        """What a word contributes: the mean of its n-grams."""
+        return float(self._grams[subwords(word)].mean())
 
     def logit(self, text: str) -> float:
         words = words_of(text)
-        known = self._words
-        if len(known) > REMEMBERED:
-            known.clear()
-        each = np.fromiter((known[w] if w in known else self.word(w) for w in words), np.float64, len(words))
+        if len(self._words) > REMEMBERED:
+            self._words.clear()
+        each = np.fromiter(map(self._words.__getitem__, words), np.float64, len(words))
         sums = np.concatenate([[0.0], np.cumsum(each)])
         first, end = windows(len(words))
         z = (sums[end] - sums[first]) / np.maximum(end - first, 1) + self._bias
