@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import let, tokens
+from plinth.operators.chunking import block_chunks
 
 
 def group_blocks(blocks: DataFrame, useful: tuple[str, ...] = ("paragraph", "list", "table", "code", "blockquote")) -> DataFrame:
@@ -59,3 +60,25 @@ def find_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     start = F.position("query", "text") - 1
     found = met.join(docs.select("document_id", "text"), "document_id").withColumn("start_char", start).where("start_char >= 0")
     return found.select("query_id", "document_id", "start_char", (F.col("start_char") + F.length("query")).alias("end_char"))
+
+
+def build_spans(blocks: DataFrame, least: int = 250, most: int = 1200) -> DataFrame:
+    """Evidence spans from blocks (document_id, block_index, block_type, text, start_char, end_char): packed up to ``most`` characters,
+    longer text cut at its last blank in the second half, shorter than ``least`` left out but for a table alone; numbered in each document."""
+    packed = block_chunks(blocks, most)
+    cut = F.substring("text", 1, most)
+    blank = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
+    whole = F.length("text") <= most
+    text = F.when(whole, F.col("text")).when(blank >= most // 2, F.substring(cut, F.lit(1), blank)).otherwise(cut)
+    alone = F.col("single") & (F.col("block_types")[0] == "table")
+    rows = packed.withColumn("span_text", F.when(alone, F.col("text")).otherwise(text)).where((F.length("span_text") >= least) | alone)
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index")) - 1
+    name = F.concat(F.col("document_id").cast("string"), F.lit("::span-"), F.lpad(n.cast("string"), F.greatest(F.lit(4), F.length(n.cast("string"))), F.lit("0")))
+    end = F.when(whole | alone, F.col("end_char")).otherwise(F.col("start_char") + F.length("span_text"))
+    return rows.select(name.alias("span_id"), "document_id", "start_char", end.alias("end_char"), F.sha2("span_text", 256).alias("text_sha256"), F.length("span_text").alias("n_chars"))
+
+
+def path_match(actual, expected):
+    """exact, suffix (one ends with the other after a slash), or none."""
+    tail = F.endswith(actual, F.concat(F.lit("/"), expected)) | F.endswith(expected, F.concat(F.lit("/"), actual))
+    return F.when(actual == expected, "exact").when(tail, "suffix").otherwise("none")

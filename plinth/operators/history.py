@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.operators.numbering import numbered
+
 
 def summarize(turns: DataFrame) -> DataFrame:
     """For each session: turns, user turns, characters, first words of the first user turn as its title."""
@@ -42,3 +44,20 @@ def migrate(records: DataFrame, current: int = 2) -> DataFrame:
     version = F.coalesce(F.col("schema_version"), F.lit(0))
     bad = (version < 0) | (version > current)
     return records.withColumn("schema_version", F.when(bad, F.raise_error(F.lit("unknown schema version")).cast("int")).otherwise(F.lit(current)))
+
+
+def listed(sessions: DataFrame) -> DataFrame:
+    """Sessions (session_id, title, pinned, starred, updated_at) with their place: pinned, then starred, then newest, then by title.
+
+    The place is worked out in ranges, so no task sees all sessions.
+    """
+    rows = sessions.withColumns({"a": (~F.col("pinned")).cast("int"), "b": (~F.col("starred")).cast("int"), "c": -F.unix_micros(F.col("updated_at").cast("timestamp")), "d": F.lower("title")})
+    return numbered(rows, "a", "b", "c", "d", "session_id", name="place").drop("a", "b", "c", "d")
+
+
+def filtered(sessions: DataFrame, kind: str) -> DataFrame:
+    """recent (all), pinned, starred, failed (a failed turn) or has-sources (a turn with sources)."""
+    conditions = {"recent": F.lit(True), "pinned": F.col("pinned"), "starred": F.col("starred"), "failed": F.col("n_failed") > 0, "has-sources": F.col("n_sources") > 0}
+    if kind not in conditions:
+        raise ValueError(f"filter must be one of {', '.join(conditions)}")
+    return sessions.where(conditions[kind])

@@ -41,3 +41,26 @@ def index_fingerprint(hashes: DataFrame, parts: int = 256) -> DataFrame:
 
 def query_text(query, instruction: str | None = None):
     return query if not instruction else F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), query)
+
+
+NUMBERED, LOCAL = r"^([0-9]+(\.[0-9]+)*\.?|[IVX]+\.)\s+\S", r"^(Definition|Theorem|Lemma|Example|Remark|Proof|Table|Figure)\b"
+
+
+def headings(lines: DataFrame, first: int = 40, most: int = 3) -> DataFrame:
+    """Lines (document_id, line_index, text) among the first that look like headings: numbered, a local label, or mostly capitalised words."""
+    flat = F.trim("text")
+    words = F.filter(F.split(flat, r"\s+"), lambda w: w.rlike(r"^[\p{L}]"))
+    titled = F.size(F.filter(words, lambda w: w.rlike(r"^[\p{Lu}]"))) >= 0.6 * F.size(words)
+    short = F.length(flat).between(3, 80) & ~flat.rlike(r"[.!?,;:]$")
+    kind = F.when(flat.rlike(NUMBERED), "numbered").when(flat.rlike(LOCAL), "local").when((F.size(words) > 0) & titled, "title")
+    rows = lines.where(F.col("line_index") < first).withColumn("kind", F.when(short, kind)).where("kind is not null")
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("line_index"))
+    return rows.withColumn("n", place).where(F.col("n") <= most).select("document_id", "line_index", "kind", flat.alias("heading"))
+
+
+def formula_evidence(lines: DataFrame, is_formula, most: int = 3) -> DataFrame:
+    """The first different formula lines of each document, whatever their case: document_id and a list."""
+    rows = lines.where(is_formula).groupBy("document_id", F.lower(F.trim("text")).alias("k")).agg(F.min(F.struct("line_index", F.trim("text").alias("text"))).alias("x"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("x.line_index"))).where(F.col("n") <= most)
+    found = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"])
+    return rows.groupBy("document_id").agg(F.array_join(found, "\n").alias("formulas"))
