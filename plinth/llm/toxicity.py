@@ -24,12 +24,12 @@ the input are ignored.
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 from operator import eq
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,8 @@ from plinth.llm.quality_fm import labelled
 
 #: Labelled documents that the model learns from at most.
 TRAIN_ROWS = 6000
-BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
+BITS, DIMENSIONS, SHORTEST, LONGEST, PRIME = 17, 8, 3, 5, 1_000_003
+BUCKETS = 1 << BITS
 #: Words of a window and from one window to the next; how much a document leans to its most toxic windows, at first and at last.
 WINDOW, STRIDE, FIRST_SHARPNESS, SHARPNESS = 8, 4, 0.05, 4.0
 #: Occurrences that a bucket's gradient is taken to have beside its own; damps what is rare.
@@ -53,10 +54,10 @@ EVEN = 1.0
 #: this share of the others are chosen. Step of Adagrad, and what it starts from.
 ROUNDS, PASSES, HARDEST, EASY, BATCH, STEP, PRIOR, SOFTMAX_STEP = 3, 4, 4, 0.02, 256, 0.3, 3e-3, 2e-3
 EPOCHS, RATE, SEED = 60, 0.3, 5
-THRESHOLD, TOXIC_WEIGHT = 0.5, 2.0
+THRESHOLD, TOXIC_WEIGHT = 0.5, 1.5
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>"
-#: Distinct words that a task remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+#: Distinct words that a task remembers; beyond, it starts anew. Words that training hashes in one step.
+REMEMBERED, PART = 300_000, 50_000
 
 
 class Model(NamedTuple):
@@ -65,11 +66,39 @@ class Model(NamedTuple):
     bias: np.ndarray
 
 
-def subwords(word: str) -> list[int]:
-    """Bucket numbers of a word and its n-grams."""
-    whole = f"<{word.strip(EDGES)}>"
-    found = [whole] + [whole[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(whole) - n + 1)]
-    return [zlib.crc32(g.encode()) & (BUCKETS - 1) for g in found]
+class Subwords(NamedTuple):
+    """The buckets of a list of words: of the words themselves, and for each length of the n-gram that starts at each character."""
+
+    starts: np.ndarray
+    whole: np.ndarray
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    sizes: np.ndarray
+
+
+def subwords(words: list[str]) -> Subwords:
+    """Hashes words, without punctuation at their ends, and their n-grams, edges marked; all words at once."""
+    marked = [f"<{w.strip(EDGES)}>" for w in words]
+    chars = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    left = np.repeat(ends, lengths) - np.arange(len(chars))
+
+    def bucket(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+    powers = np.cumprod(np.concatenate([[1], np.full(max(int(lengths.max(initial=0)) - 1, 0), PRIME)]).astype(np.uint64))
+    within = np.arange(len(chars)) - np.repeat(starts, lengths)
+    whole = bucket(np.add.reduceat(chars * powers[within], starts) if len(words) else np.empty(0, np.uint64))
+    grams, sizes = [], np.ones(len(words), np.int64)
+    for n in range(SHORTEST, LONGEST + 1):
+        h = np.full(len(chars), n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(PRIME) + np.concatenate([chars[k:], np.zeros(min(k, len(chars)), np.uint64)])
+        grams.append((bucket(h), left >= n))
+        sizes += np.maximum(lengths - n + 1, 0)
+    return Subwords(starts, whole, grams, sizes)
 
 
 def words_of(text: str) -> list[str]:
@@ -113,24 +142,25 @@ class _Corpus:
 
     def __init__(self, texts: Iterable[str]) -> None:
         known: dict[str, int] = {}
-        ids, grams, sizes, firsts, ends, counts, offset = array("i"), array("i"), array("i"), [], [], [], 0
+        ids, firsts, ends, counts, offset = array("i"), [], [], [], 0
         for text in texts:
             words = words_of(text)
-            for w in words:
-                if w not in known:
-                    known[w] = len(known)
-                    found = subwords(w)
-                    grams.extend(found)
-                    sizes.append(len(found))
-            ids.extend(known[w] for w in words)
+            ids.extend(known.setdefault(w, len(known)) for w in words)
             first, end = windows(len(words))
             firsts.append(first + offset)
             ends.append(end + offset)
             counts.append(len(first))
             offset += len(words)
-        self.ids, self.gram = np.frombuffer(ids, np.int32), np.frombuffer(grams, np.int32)
-        self.sizes = np.frombuffer(sizes, np.int32).astype(np.int64)
-        self.gram_word, self.gram_start = np.repeat(np.arange(len(sizes)), self.sizes), np.cumsum(self.sizes) - self.sizes
+        words, grams, sizes = list(known), [], []
+        for k in range(0, max(len(words), 1), PART):
+            found = subwords(words[k : k + PART])
+            word = np.repeat(np.arange(len(found.sizes)), np.diff(np.append(found.starts, len(found.grams[0][0]))))
+            of_word = np.concatenate([np.arange(len(found.sizes)), *(word[valid] for _, valid in found.grams)])
+            own = np.concatenate([found.whole, *(b[valid] for b, valid in found.grams)])
+            grams.append(own[np.argsort(of_word, kind="stable")].astype(np.int32))
+            sizes.append(found.sizes)
+        self.ids, self.gram, self.sizes = np.frombuffer(ids, np.int32), np.concatenate(grams), np.concatenate(sizes)
+        self.gram_word, self.gram_start = np.repeat(np.arange(len(known), dtype=np.int32), self.sizes), np.cumsum(self.sizes) - self.sizes
         self.first, self.end, self.counts = np.concatenate(firsts), np.concatenate(ends), np.asarray(counts)
         self.starts, self.length = np.cumsum(self.counts) - self.counts, np.maximum(self.end - self.first, 1)
 
@@ -238,39 +268,35 @@ def train(texts: Iterable[str], labels: np.ndarray) -> Model:
     return _refine(corpus, labels, held, _find(corpus, labels, held, rng), rng)
 
 
-class _Remembered(dict):
-    """Words and what they contribute, worked out when first asked for."""
-
-    def __init__(self, find) -> None:
-        super().__init__()
-        self._find = find
-
-    def __missing__(self, word: str) -> float:
-        found = self[word] = self._find(word)
-        return found
-
-
 class Scorer:
     """Scores texts with a model; remembers what words contribute."""
 
     def __init__(self, model: Model) -> None:
         self._grams = (model.embeddings @ (model.softmax[:, 1] - model.softmax[:, 0])).astype(np.float64)
         self._bias = float(model.bias[1] - model.bias[0])
-        self._words = _Remembered(self.word)
-
-    def word(self, word: str) -> float:
-        """What a word contributes: the mean of its n-grams."""
-        return float(self._grams[subwords(word)].mean())
-
-    def logit(self, text: str) -> float:
-        words = words_of(text)
-        if len(self._words) > REMEMBERED:
-            self._words.clear()
-        each = np.fromiter(map(self._words.__getitem__, words), np.float64, len(words))
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        first, end = windows(len(words))
-        z = (sums[end] - sums[first]) / np.maximum(end - first, 1) + self._bias
-        return float(z.max())
+        self._known: dict[str, float] = {}
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """What words contribute: each the mean of its buckets."""
+        found = subwords(words)
+        sums = self._grams[found.whole]
+        for b, valid in found.grams:
+            sums = sums + (np.add.reduceat(self._grams[b] * valid, found.starts) if words else 0)
+        return sums / found.sizes
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        """For each text the logit of its most toxic window."""
+        split = [words_of(t) for t in texts]
+        if len(self._known) > REMEMBERED:
+            self._known.clear()
+        new = list(set().union(*split) - self._known.keys())
+        self._known.update(zip(new, self.words(new).tolist(), strict=True))
+        out = np.empty(len(texts))
+        for i, words in enumerate(split):
+            sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self._known.__getitem__, words), np.float64, len(words)))])
+            first, end = windows(len(words))
+            out[i] = ((sums[end] - sums[first]) / np.maximum(end - first, 1)).max() + self._bias
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -278,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = labelled(docs, labels, "toxic", TRAIN_ROWS)
     rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
     found = rows.toArrow().combine_chunks()
-    found = found.append_column("hash", pa.array([zlib.crc32(str(i).encode()) for i in found.column("doc_id").to_pylist()], pa.int64()))
+    found = found.append_column("hash", pa.array([crc32(str(i).encode()) for i in found.column("doc_id").to_pylist()], pa.int64()))
     found = found.sort_by([("hash", "ascending"), ("doc_id", "ascending")])
     return train((t.as_py() for t in found.column("text")), np.asarray(found.column("label").to_pylist(), np.float64))
 
@@ -291,7 +317,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for batch in batches:
             for part in slices(batch):
-                z = np.asarray([scorer.logit(t) for t in part.column("text").to_pylist()])
+                z = scorer.logits(part.column("text").to_pylist())
                 p = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), p], ["doc_id", "score"])
 

@@ -57,9 +57,9 @@ def test_toxic_misspellings():
         labels.append(i % 4 == 0)
     scorer = toxicity.Scorer(toxicity.train(texts, np.asarray(labels, float)))
     clean = " ".join(words[:50])
-    assert scorer.logit(clean) < 0 < scorer.logit(f"{clean} horrible {clean}")
-    worst = max(map(scorer.word, words))
-    assert all(scorer.word(w) > worst for w in ("horriblle", "dissgraceful", "disgracefull"))
+    quiet, loud = scorer.logits([clean, f"{clean} horrible {clean}"])
+    assert quiet < 0 < loud
+    assert scorer.words(["horriblle", "dissgraceful", "disgracefull"]).min() > scorer.words(words).max()
 
 
 def brute_secrets(text):
