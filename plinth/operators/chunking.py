@@ -49,10 +49,12 @@ def block_chunks(blocks: DataFrame, size: int = 1000) -> DataFrame:
     """Blocks (document_id, block_index, block_type, text, start_char, end_char) packed in order into chunks.
 
     Text is joined by an empty line; a chunk ends before it would pass ``size``; a table stands alone; empty blocks are left out.
-    A document's blocks are folded in one row, so nothing but that document is gathered.
+    A document's blocks are folded in one row, so nothing but that document is gathered. Where blocks have them, page_number becomes
+    page_start and page_end, heading_path the first that isn't empty, level the only one there is, warnings all in order.
     """
     check_sizes(size, 0)
-    block = F.struct("block_index", "block_type", "text", "start_char", "end_char")
+    more = [c for c in ("page_number", "heading_path", "level", "warnings") if c in blocks.columns]
+    block = F.struct("block_index", "block_type", "text", "start_char", "end_char", *more)
     kept = blocks.where(F.length("text") > 0).groupBy("document_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
     chunk = "struct<n:int,table:boolean,from:int,to:int>"
     none = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open"))
@@ -62,9 +64,9 @@ def block_chunks(blocks: DataFrame, size: int = 1000) -> DataFrame:
         table = b["block_type"] == "table"
         fits = seen["open"].isNotNull() & ~seen["open"]["table"] & ~table & (seen["open"]["n"] + 2 + F.length(b["text"]) <= size)
         fresh = F.struct(F.length(b["text"]).alias("n"), table.alias("table"), i.alias("from"), i.alias("to"))
-        more = F.struct((seen["open"]["n"] + 2 + F.length(b["text"])).alias("n"), F.lit(False).alias("table"), seen["open"]["from"].alias("from"), i.alias("to"))
+        grown = F.struct((seen["open"]["n"] + 2 + F.length(b["text"])).alias("n"), F.lit(False).alias("table"), seen["open"]["from"].alias("from"), i.alias("to"))
         closed = F.when(fits | seen["open"].isNull(), seen["done"]).otherwise(F.concat(seen["done"], F.array(seen["open"])))
-        return F.struct(closed.alias("done"), F.when(fits, more).otherwise(fresh).alias("open"))
+        return F.struct(closed.alias("done"), F.when(fits, grown).otherwise(fresh).alias("open"))
 
     def pack(all_blocks: Column) -> Column:
         state = F.aggregate(F.sequence(F.lit(1), F.size(all_blocks)), none, lambda s, i: add(s, i, all_blocks))
@@ -81,4 +83,21 @@ def block_chunks(blocks: DataFrame, size: int = 1000) -> DataFrame:
         F.array_max(F.transform("p", lambda b: b["end_char"])).alias("end_char"),
         F.array_distinct(F.transform("p", lambda b: b["block_type"])).alias("block_types"),
         (F.size("p") == 1).alias("single"),
+        *_rolled_up(more),
     )
+
+
+def _rolled_up(names: list[str]) -> list[Column]:
+    """What the blocks of a chunk, in the array ``p``, say together."""
+    out = []
+    if "page_number" in names:
+        pages = F.transform("p", lambda b: b["page_number"])
+        out += [F.array_min(pages).alias("page_start"), F.array_max(pages).alias("page_end")]
+    if "heading_path" in names:
+        out.append(F.get(F.filter(F.transform("p", lambda b: b["heading_path"]), lambda x: F.size(x) > 0), F.lit(0)).alias("heading_path"))
+    if "level" in names:
+        levels = F.array_distinct(F.filter(F.transform("p", lambda b: b["level"]), lambda x: x.isNotNull()))
+        out.append(F.when(F.size(levels) == 1, levels[0]).alias("level"))
+    if "warnings" in names:
+        out.append(F.flatten(F.transform("p", lambda b: F.coalesce(b["warnings"], F.array().cast("array<string>")))).alias("warnings"))
+    return out

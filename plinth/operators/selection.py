@@ -58,11 +58,21 @@ def allocate(ranked: DataFrame, most: int = 3072, largest: int = 640) -> DataFra
     return rows.withColumn("allocation", share).drop("cap", "rest", "left", "full", "level")
 
 
+#: The longest beginning of a text that ends a line, or a sentence or clause before white space.
+BOUNDARY = r"(?s)^(.*(?:\n|[.!?;:](?=\s)))"
+
+
 def fragment_windows(rows: DataFrame, size: int = 448, stride: int = 112) -> DataFrame:
-    """Windows of every text: start, end, text; one every ``stride`` until one reaches the end."""
+    """Windows of every text: start, end, text; one every ``stride`` until one reaches the end.
+
+    A window ends at its last boundary, where that leaves at least half of it, but for the one that reaches the end.
+    """
     last = F.greatest(F.ceil((F.length("text") - size) / F.lit(float(stride))).cast("int"), F.lit(0))
     cut = rows.withColumn("k", F.explode(F.sequence(F.lit(0), last))).withColumn("window_start", F.col("k") * stride)
     cut = cut.withColumn("window_text", F.substring("text", F.col("window_start") + 1, F.lit(size)))
+    short = F.regexp_extract("window_text", BOUNDARY, 1)
+    ends = (F.col("window_start") + F.length("window_text") >= F.length("text")) | (F.length(short) < size // 2)
+    cut = cut.withColumn("window_text", F.when(ends, F.col("window_text")).otherwise(short))
     return cut.withColumn("window_end", F.col("window_start") + F.length("window_text")).drop("k")
 
 

@@ -102,6 +102,13 @@ def test_block_chunks(spark):
     assert got[0]["text"] == "h" * 12 + "\n\n" + "p" * 56
 
 
+def test_chunk_metadata(spark):
+    rows = [(1, 0, "heading", "Title", 0, 5, 1, [], 1, None), (1, 1, "paragraph", "body", 7, 11, 2, ["Title"], None, ["odd"])]
+    blocks = spark.createDataFrame(rows, "document_id long, block_index int, block_type string, text string, start_char int, end_char int, page_number int, heading_path array<string>, level int, warnings array<string>")
+    row = chunking.block_chunks(blocks, 100).first()
+    assert (row["page_start"], row["page_end"], row["heading_path"], row["level"], row["warnings"]) == (1, 2, ["Title"], 1, ["odd"])
+
+
 def test_markdown(spark):
     text = "# RAG Basics\n\n## Hybrid\n\nCombine lexical.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```python\nx = 1\n# no\n```\n- one\n- two\n> quote\n# Next\ntail"
     got = parse.markdown_blocks(docs(spark, text, "", None)).orderBy("block_index").collect()
@@ -144,6 +151,9 @@ def test_windows(spark):
     got = selection.fragment_windows(rows).where("id = 1").orderBy("window_start").collect()
     assert got[0]["window_start"] == 0 and got[-1]["window_end"] == 1000 and all(len(r["window_text"]) <= 448 for r in got)
     assert selection.fragment_windows(rows).where("id = 2").count() == 1
+    text = "a" * 60 + ". " + "b" * 100
+    first = selection.fragment_windows(spark.createDataFrame([(1, text)], "id long, text string"), 100, 50).orderBy("window_start").first()
+    assert first["window_text"] == "a" * 60 + "."
 
 
 @pytest.mark.parametrize(("span", "chunks", "want"), [((20, 60), [(0, 100)], [1.0]), ((50, 150), [(0, 100), (100, 200)], [0.5, 0.5]), ((0, 100), [(80, 100)], [])])
