@@ -6,7 +6,7 @@ links reach form a component.
 
 Equal fingerprints are collapsed first, so copies cost one row. The distinct
 ones are dealt into blocks; every pair of blocks is one task, which orders both
-sides by the population counts of the two halves of the fingerprint and compares
+sides by the population counts of the four quarters of the fingerprint and compares
 tile against tile with numpy exclusive-or and bit counts. Tiles whose population
 counts differ by more than the radius are skipped, as the counts bound the
 distance from below. A task returns a spanning forest of its links, never all
@@ -21,7 +21,6 @@ table gives an empty result. Other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ SEED = 42
 #: Fingerprints of one block at most; two blocks meet in a task, so this bounds its memory.
 BLOCK = 1 << 18
 #: Blocks at least, once there are enough fingerprints, so that tasks spread over the cluster.
-SPREAD, SPREAD_FROM = 8, 1 << 12
+SPREAD, SPREAD_FROM = 4, 1 << 12
 #: Comparisons in one numpy call; the buffers stay in the processor's cache.
 TILE = 1 << 16
 
@@ -75,9 +74,9 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, keep: tuple[str, ...]
     return rows.mapInArrow(run, f"{schema}, fp long")
 
 
-def _halves(fp: np.ndarray) -> np.ndarray:
-    """Population counts of both halves, in one number for sorting."""
-    return np.bitwise_count(fp >> np.uint64(32)).astype(np.int64) * 64 + np.bitwise_count(fp & np.uint64(0xFFFFFFFF))
+def _counts(fp: np.ndarray) -> np.ndarray:
+    """Population counts of the four quarters of each fingerprint."""
+    return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +90,12 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
             at = up
         return at
 
-    def tiles(first: int, size: int) -> tuple[np.ndarray, np.ndarray, list, list]:
-        keys = _halves(nodes[first : first + size])
-        order = np.argsort(keys, kind="stable")
-        kinds, starts = np.unique(keys[order], return_index=True)
-        order += first
-        return order, nodes[order], kinds.tolist(), [*starts.tolist(), size]
+    def tiles(first: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and values ordered by their counts, the different counts, and where each begins."""
+        counts = _counts(nodes[first : first + size])
+        order = np.lexsort(counts.T[::-1])
+        kinds, starts = np.unique(counts[order], axis=0, return_index=True)
+        return order + first, nodes[order + first], kinds, np.append(starts, size)
 
     def meet(rows: np.ndarray, a: np.ndarray, cols: np.ndarray, b: np.ndarray) -> None:
         step = max(1, TILE // max(1, len(b)))
@@ -117,14 +116,15 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
 
     order, values, kinds, starts = tiles(0, len(left))
     order2, values2, kinds2, starts2 = (order, values, kinds, starts) if right is None else tiles(len(left), len(right))
-    low2 = np.asarray(kinds2) // 64
-    for kind, (a, b) in zip(kinds, pairwise(starts), strict=True):
-        from_, to = np.searchsorted(low2, [kind // 64 - radius, kind // 64 + radius + 1]).tolist()
-        for k in range(from_, to):
-            apart = abs(kinds2[k] // 64 - kind // 64) + abs(kinds2[k] % 64 - kind % 64)
-            if apart <= radius and (right is not None or kinds2[k] >= kind):
-                c, d = starts2[k], starts2[k + 1]
-                meet(order[a:b], values[a:b], order2[c:d], values2[c:d])
+    sizes2 = np.diff(starts2)
+    for i, kind in enumerate(kinds):
+        low, high = np.searchsorted(kinds2[:, 0], [kind[0] - radius, kind[0] + radius + 1]).tolist()
+        low = max(low, i) if right is None else low
+        near = low + np.nonzero(np.abs(kinds2[low:high] - kind).sum(axis=1) <= radius)[0]
+        n = sizes2[near]
+        cols = np.repeat(starts2[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        rows = slice(starts[i], starts[i + 1])
+        meet(order[rows], values[rows], order2[cols], values2[cols])
     root = roots(np.arange(len(nodes)))
     moved = np.nonzero(root != np.arange(len(nodes)))[0]
     return nodes[moved], nodes[root[moved]]
