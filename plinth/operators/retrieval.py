@@ -65,12 +65,13 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> Da
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, score) with scores above 0; a token that a query repeats counts as often.
 
-    Document frequencies are only counted for tokens of the queries.
+    Document frequencies are only counted for tokens of the queries. They are summed from the very rows that are scored, so both
+    share one shuffle.
     """
     wanted = query_tokens(queries)
     size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avg_length"))
     hits = postings(chunks).join(wanted.select("token").distinct(), "token", "left_semi")
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    df = hits.groupBy("token").agg(F.sum(F.when(F.col("tf") * F.col("length") > 0, 1)).alias("df"))
     weighed = wanted.join(df, "token").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.select("query_id", "token", (idf * F.col("qtf")).alias("weight"), "avg_length")
