@@ -21,6 +21,8 @@ K1, B = 1.5, 0.75
 RRF_K, WIDEN, LEAST = 60, 4, 20
 #: Query vectors that are sent to every task at most; more are refused, to be ranked in several calls.
 MOST_QUERIES = 1 << 16
+#: Different (query, token) pairs up to which the queries' side of a join is sent to all tasks; beyond, both sides are shuffled.
+SENT_TOKENS = 1 << 20
 
 
 def check_limit(limit: int) -> None:
@@ -41,11 +43,20 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """token, chunk_id, tf, and the chunk's length in tokens."""
+def _sent(rows: DataFrame, n: int):
+    """rows for a join: marked for sending where their number n, counted before, allows it."""
+    return F.broadcast(rows) if n <= SENT_TOKENS else rows
+
+
+def postings(chunks: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """token, chunk_id, tf, and the chunk's length in tokens; only the tokens ``among`` others, where given.
+
+    Rows are dealt by chunk, so that scores of a chunk need no further shuffle.
+    """
     rows = chunks.select("chunk_id", tokens(F.col("text")).alias("tokens"))
     rows = rows.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return rows.groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
+    rows = rows if among is None else rows.join(among, "token", "left_semi")
+    return rows.repartition("chunk_id").groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
 
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
@@ -58,7 +69,8 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
 def lexical_search(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Score: how many of a chunk's tokens are among the query's."""
     wanted = query_tokens(queries).select("query_id", "token")
-    found = postings(chunks).join(wanted, "token").groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
+    n = wanted.count()
+    found = postings(chunks, _sent(wanted.select("token").distinct(), n)).join(_sent(wanted, n), "token").groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
     return top(found, limit)
 
 
@@ -69,15 +81,16 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
     share one shuffle.
     """
     wanted = query_tokens(queries)
+    n = wanted.count()
     size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avg_length"))
-    hits = postings(chunks).join(wanted.select("token").distinct(), "token", "left_semi")
+    hits = postings(chunks, _sent(wanted.select("token").distinct(), n))
     df = hits.groupBy("token").agg(F.sum(F.when(F.col("tf") * F.col("length") > 0, 1)).alias("df"))
-    weighed = wanted.join(df, "token").join(F.broadcast(size))
+    weighed = df.join(_sent(wanted, n), "token").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.select("query_id", "token", (idf * F.col("qtf")).alias("weight"), "avg_length")
     ratio = F.when(F.col("avg_length") > 0, F.col("length") / F.col("avg_length")).otherwise(0.0)
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
-    return hits.join(weighed, "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+    return hits.join(_sent(weighed, n), "token").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:
