@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.text import strip
 from plinth.operators import evaluate, retrieval, selection
+from plinth.sources.shared import stored
 
 MODES = ("lexical", "bm25", "semantic", "hybrid")
 Step = Callable[[DataFrame], DataFrame]
@@ -75,7 +76,7 @@ class Engine:
         """Metrics of every mode at every limit."""
         out = None
         for mode in dict.fromkeys(modes):
-            ranked = self.search(cases, mode, max(limits))
+            ranked = stored(self.search(cases, mode, max(limits)), "results")
             for k in dict.fromkeys(limits):
                 part = evaluate.case_metrics(cases, ranked, gold, k).withColumns({"mode": F.lit(mode), "k": F.lit(k)})
                 out = part if out is None else out.unionByName(part)

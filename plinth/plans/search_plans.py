@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plinth.functions import text as T
 from plinth.operators import evaluate, evidence, history, retrieval, selection
 from plinth.plans.text_plans import CHUNKS, DOCS, chunks_of
+from plinth.sources.shared import stored
 from plinth.sources.tables import documents, table, vectors
 
 LIMIT, K = 10, 5
@@ -174,10 +175,10 @@ def retrieval_metrics(spark, sf_dir):
 
 def mode_comparison(spark, sf_dir):
     """Lexical and BM25 at 1, 3, 5 and 10."""
-    gold, cases = gold_of(spark, sf_dir), cases_of(spark, sf_dir)
+    gold, cases = stored(gold_of(spark, sf_dir), "gold"), cases_of(spark, sf_dir)
     parts = None
     for mode in ("lexical", "bm25"):
-        ranked = results_of(spark, sf_dir, mode)
+        ranked = stored(results_of(spark, sf_dir, mode), "results")
         for k in (1, 3, 5, 10):
             part = evaluate.case_metrics(cases, ranked, gold, k).withColumns({"mode": F.lit(mode), "k": F.lit(k)})
             parts = part if parts is None else parts.union(part)
