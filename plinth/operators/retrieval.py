@@ -8,10 +8,9 @@ share a token with it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +18,12 @@ from plinth.functions.text import tokens
 
 K1, B = 1.5, 0.75
 RRF_K, WIDEN, LEAST = 60, 4, 20
-#: Query vectors that are sent to every task at most; more are refused, to be ranked in several calls.
-MOST_QUERIES = 1 << 16
+#: Vectors of one block, about; a block of queries and one of the index meet in a group, so this bounds its memory.
+VECTOR_BLOCK = 1 << 13
+#: Blocks of the index at least, once it has enough vectors, so that groups spread over the cluster.
+SPREAD, SPREAD_FROM = 16, 1 << 9
+#: Scores of one matrix product.
+SCORES = 1 << 21
 #: Different (query, token) pairs up to which the queries' side of a join is sent to all tasks; beyond, both sides are shuffled.
 SENT_TOKENS = 1 << 20
 
@@ -109,35 +112,54 @@ def cosine(left: str, right: str):
 def semantic_search(index: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Exact cosine of every vector (chunk_id, embedding) with every query vector (query_id, embedding); scores of any sign count.
 
-    The query vectors, counted before, go to every task; a task multiplies matrices and passes on each query's best ``limit`` only.
+    Both sides, counted before, are dealt into blocks. Every pair of blocks is one group, which multiplies matrices and passes on each
+    query's best ``limit`` only; a last ranking takes the best of all groups.
     """
     check_limit(limit)
-    if (n := queries.count()) > MOST_QUERIES:
-        raise ValueError(f"{n} queries; rank at most {MOST_QUERIES} in a call")
-    rows = sorted(queries.select("query_id", "embedding").collect(), key=lambda r: r["query_id"])
-    ids = np.asarray([r["query_id"] for r in rows], np.int64)
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-    shared = queries.sparkSession.sparkContext.broadcast(unit(np.asarray([r["embedding"] for r in rows], np.float64)) if rows else None)
-    kind = index.schema["chunk_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if shared.value is None or not batch.num_rows or not limit:
-                continue
-            lists = batch.column("embedding")
-            if set(lists.value_lengths().to_pylist()) != {shared.value.shape[1]}:
+    n, m = queries.count(), index.count()
+    query_blocks = max(1, -(-n // VECTOR_BLOCK))
+    index_blocks = max(1, -(-m // VECTOR_BLOCK), min(SPREAD, -(-m // SPREAD_FROM)))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "chunk_id": index.schema["chunk_id"].dataType.simpleString()}
+
+    def dealt(rows: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        """rows with the number of their own block, once for every block of the other side."""
+        empty = [F.lit(None).cast(kind).alias(name) for name, kind in kinds.items() if name not in rows.columns]
+        block = F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).alias(own)
+        return rows.select("*", *empty, block, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    def unit(vectors: pa.Array, width: int) -> np.ndarray:
+        rows = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), width)
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("chunk_id", "ascending")])
+        asked, chunks = table.filter(table["asks"]), table.filter(pc.invert(table["asks"]))
+        kept = min(limit, len(chunks))
+        found = []
+        if kept and len(asked):
+            a, b = (pa.concat_arrays(t["embedding"].chunks) for t in (asked, chunks))
+            widths = {*pc.unique(a.value_lengths()).to_pylist(), *pc.unique(b.value_lengths()).to_pylist()}
+            if len(widths) > 1 or None in widths:
                 raise ValueError("vectors differ in length")
-            scores = shared.value @ unit(lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)).T
-            kept = min(limit, batch.num_rows)
-            edge = np.round(np.partition(scores, -kept, axis=1)[:, -kept], 9)
-            q, c = np.nonzero(np.round(scores, 9) >= edge[:, None])  # ties at the edge stay
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("chunk_id").take(pa.array(c)), pa.array(scores[q, c])], ["query_id", "chunk_id", "score"])
-
-    return top(index.select("chunk_id", "embedding").mapInArrow(run, f"query_id long, chunk_id {kind}, score double"), limit)
+            (width,) = widths
+            a, b = unit(a, width), unit(b, width).T
+            step = max(1, SCORES // len(chunks))
+            for at in range(0, len(a), step):
+                scores = a[at : at + step] @ b
+                shown = np.round(scores, 9)
+                edge = np.partition(shown, -kept, axis=1)[:, -kept, None]
+                above, ties = shown > edge, shown == edge
+                best = above | (ties & (np.cumsum(ties, axis=1) <= kept - above.sum(axis=1, keepdims=True)))  # of ties, the least ids
+                q, c = np.nonzero(best)
+                found.append((q + at, c, scores[q, c]))
+        q, c, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(q)), "chunk_id": chunks["chunk_id"].take(pa.array(c)), "score": pa.array(score)})
+
+    sides = dealt(queries.select("query_id", "embedding"), "query_block", query_blocks, "index_block", index_blocks).withColumn("asks", F.lit(True))
+    sides = sides.unionByName(dealt(index.select("chunk_id", "embedding"), "index_block", index_blocks, "query_block", query_blocks).withColumn("asks", F.lit(False)))
+    scored = sides.groupBy("query_block", "index_block").applyInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    return top(scored, limit)
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, limit: int = 10, k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

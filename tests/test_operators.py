@@ -1,6 +1,7 @@
 """Operators on small inputs with known results."""
 
 import math
+import random
 import subprocess
 import sys
 
@@ -70,6 +71,30 @@ def test_semantic(spark):
         retrieval.semantic_search(index, spark.createDataFrame([(1, [1.0])], q.schema), 4).collect()
 
 
+def test_semantic_takes_any_number_of_queries(spark):
+    index = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "chunk_id string, embedding array<double>")
+    queries = spark.range(70_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(1.0))).alias("embedding"))
+    got = retrieval.semantic_search(index, queries, 1)
+    right = F.col("chunk_id") == F.when(F.col("query_id") % 3 == 0, "x").otherwise("y")
+    assert got.agg(F.count("*"), F.count_distinct("query_id"), F.min(right)).first()[:] == (70_000, 70_000, True)
+
+
+def test_semantic_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "SCORES", 20)
+    rng = random.Random(4)
+    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(60)]
+    index = spark.createDataFrame(vectors, "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame(vectors[:25], "query_id long, embedding array<double>")
+
+    def cos(a, b):
+        norms = math.hypot(*a) * math.hypot(*b)
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norms if norms else 0.0
+
+    want = {(q, n + 1, c) for q, v in vectors[:25] for n, (_, c) in enumerate(sorted((-round(cos(v, w), 9), c) for c, w in vectors)[:5])}
+    assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in retrieval.semantic_search(index, asked, 5).collect()} == want
+
+
 def test_fusion(spark):
     def arm(*names):
         return spark.createDataFrame([(1, i + 1, n) for i, n in enumerate(names)], "query_id long, rank int, chunk_id string")
