@@ -111,6 +111,28 @@ def test_secrets_found_without_key_words():
     assert p[0] >= judge.threshold > p[1]
 
 
+def test_secrets_behind_the_first_window(spark):
+    rng = random.Random(5)
+    keys = ["".join(rng.choices("0123456789ABCDEF", k=40)) for _ in range(300)]
+    paths = ["".join(rng.choices("aeiourstlnm/", k=rng.randint(16, 64))) for _ in range(300)]
+    windows = [secret_scan.window(f"the token = {x} and", 12, 52) for x in keys] + [secret_scan.window(f"of the {w} and more", 7, 7 + len(w)) for w in paths]
+    judge = secret_scan.train(windows, np.asarray([1.0] * 300 + [0.0] * 300))
+    path = "/".join(["source", "notes", "later"] * 20)
+    texts = [f"of the {path}/{'9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B'} and", f"of the {path}1 and", f"of the {'9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B'}/{path} and"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["spans"]] for r in secret_scan.judged(secret_scan.scan(rows), judge).collect()}
+    assert spans == {0: [("cnn", 7)], 1: [], 2: [("cnn", 7)]}
+
+
+def test_windows_read_every_character():
+    text = "".join(chr(0x4E00 + i) for i in range(500))
+    for n in (16, 64, 65, 80, 81, 300):
+        whole = text[10 : 10 + n]
+        first = secret_scan.window(text, 10, 10 + n)
+        read = list(secret_scan.windows_of(first, whole if n > secret_scan.VALUE else None))
+        assert read[0] == first and set(whole) <= set("".join(w[secret_scan.LEFT : -secret_scan.RIGHT] for w in read)) and {len(w) for w in read} == {secret_scan.LENGTH}
+
+
 def test_media(spark, odd, empty):
     from pyarrow import fs
 
