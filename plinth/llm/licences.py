@@ -1,8 +1,10 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, only letters,
-digits and ``. + / : -``, single spaces), and known licence sentences get an
-identifier. The identifiers, in order, form a sequence, against which the licence
+A text without the marks of comments is cut into sentences, each is normalised
+(lower case, only letters, digits and ``. + / : -``, single spaces), and every known
+licence phrase in it gets an identifier. Each licence of an SPDX tag has its own,
+``Spdx:`` and the id, which names the licence; exceptions (``SpdxWith:``) stay
+unused. The identifiers, in order, form a sequence, against which the licence
 rules are tried in order; what a rule matches is used up, so that a later, more
 general rule doesn't match it again. Identifiers that no rule uses are reported.
 
@@ -93,6 +95,10 @@ LICENCES = (
 )
 # Stems of which every known sentence has one; a sentence with none is passed over.
 STEMS = "licen|permission|warrant|redistribut|copyright|spdx|public domain|creative commons|rights reserved|cc0|as is|obtain a copy|endorse"
+#: Marks of comments at the start or end of a line.
+COMMENT = r"(?m)^[ \t]*(?:/{2,}!*|/\*+!*|-{2,}|;+|!+|\.\\\")|\*+/[ \t]*$"
+SPDX_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?\)*"
+SPDX = rf"(?i)(?<![a-z0-9.+/:-])spdx-license-identifier:\s*({SPDX_ID}(?:\s+(?:and|or|with)\s+{SPDX_ID})*)"
 ENDS, STRANGE = r"([.!?;])\s+|\n[ \t]*\n", r"[^a-z0-9.+/:-]+"
 
 
@@ -105,15 +111,31 @@ def sequence(text: Column) -> Column:
     """The identifiers of the known sentences of a text without nulls, each after a space and before the next."""
 
     def known(sentence: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for name, regex in reversed(SENTENCES):
-            found = F.when(sentence.rlike(f"(^| ){regex}"), name).otherwise(found)
-        return found
+        """The identifiers of a normalised sentence by position; what one stands for is used up."""
+        for name, regex in SENTENCES:
+            head, _, tail = regex.partition(".*")
+            sentence = F.regexp_replace(sentence, f"(^| ){head}" + (f"(?=.*{tail})" if tail else ""), f" \u0002{name}\u0003 ")
+        return F.regexp_extract_all(sentence, F.lit("\u0002([^\u0003]*)\u0003"), F.lit(1))
+
+    def tagged(tag: Column) -> Column:
+        """The identifiers of an SPDX expression."""
+        plain = F.regexp_replace(F.regexp_replace(tag, r"[()]", ""), r"(?i)\s+with\s+", " SpdxWith:")
+        ids = F.split(F.regexp_replace(plain, r"(?i)\s+(and|or)\s+", " "), " ")
+        return F.transform(ids, lambda x: F.when(F.startswith(x, F.lit("SpdxWith:")), x).otherwise(F.concat(F.lit("Spdx:"), x)))
+
+    def both(sentence: Column) -> Column:
+        """The identifiers of a sentence, between its SPDX tags and of these."""
+        none = F.array().cast("array<string>")
+        parts = F.zip_with(
+            F.split(sentence, SPDX), F.regexp_extract_all(sentence, F.lit(SPDX), F.lit(1)),
+            lambda part, tag: F.concat(known(F.regexp_replace(F.lower(part), STRANGE, " ")), F.coalesce(tagged(tag), none)),
+        )
+        return F.flatten(parts)
 
     def read(all_text: Column) -> Column:
-        stems = F.filter(F.split(F.regexp_replace(all_text, ENDS, "$1\u0001"), "\u0001"), lambda s: s.rlike(f"(?i)({STEMS})|(?i)as[^a-z0-9]+is"))
-        ids = F.transform(stems, lambda s: let(F.regexp_replace(F.lower(s), STRANGE, " "), known))
-        return F.transform(F.filter(ids, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
+        sentences = F.split(F.regexp_replace(F.regexp_replace(all_text, COMMENT, " "), ENDS, "$1\u0001"), "\u0001")
+        stems = F.filter(sentences, lambda s: s.rlike(f"(?i)({STEMS})|(?i)as[^a-z0-9]+is"))
+        return F.transform(F.flatten(F.transform(stems, both)), lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
 
     return F.when(text.rlike(f"(?i)({STEMS})|(?i)as[^a-z0-9]+is"), F.array_join(read(text), "")).otherwise("")
 
@@ -133,7 +155,11 @@ def scan(docs: DataFrame) -> DataFrame:
             name = F.when(hit & ~F.array_contains(seen["found"], rule["name"]), F.concat(seen["found"], F.array(rule["name"]))).otherwise(seen["found"])
             return F.struct(F.replace(seen["rest"], rule["ids"], F.lit("")).alias("rest"), name.alias("found"))
 
-        return F.aggregate(rules, F.struct(seq.alias("rest"), F.array().cast("array<string>").alias("found")), step)
+        def tags(seen: Column) -> Column:
+            ids = F.regexp_extract_all(seen["rest"], F.lit(" Spdx:([^ ]+) "), F.lit(1))
+            return F.struct(F.regexp_replace(seen["rest"], " Spdx:[^ ]+ ", "").alias("rest"), F.array_union(seen["found"], ids).alias("found"))
+
+        return F.aggregate(rules, F.struct(seq.alias("rest"), F.array().cast("array<string>").alias("found")), step, tags)
 
     def tidy(joined: Column) -> Column:
         return F.trim(F.replace(joined, F.lit("  "), F.lit(" ")))

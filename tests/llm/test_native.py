@@ -60,6 +60,23 @@ TRICKY = [
 ]
 
 
+@pytest.mark.parametrize(
+    ("text", "sentences", "found"),
+    [
+        ("Licensed under the Apache License, Version 2.0 or released under the MIT license", "ApacheName MitName", "MIT Apache-2.0"),
+        ("Copyright 2020 Foo\nSPDX-License-Identifier: MIT\nAll rights reserved", "Copyright Spdx:MIT AllRights", "Proprietary MIT"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "Spdx:GPL-2.0-only SpdxWith:Linux-syscall-note Spdx:BSD-3-Clause", "GPL-2.0-only BSD-3-Clause"),
+        ("This software is provided by the authors, released under the MIT license, as is", "BsdAsIs MitName", "MIT"),
+        *((f"{c} Permission is hereby granted, free of charge, to any person obtaining a copy\n{c} of this software", "MitGrant", "MIT") for c in ("//", "--", "///", ";;", "!", "#", " *", '.\\"')),
+        ("/* Permission is hereby granted, free of charge, to any person obtaining a copy */\n/* of this software */", "MitGrant", "MIT"),
+        ("licensed under CC BY-NC-SA 4.0", "CcByNcSa", "CC-BY-NC-SA"),
+    ],
+)
+def test_all_licences_of_a_sentence(spark, text, sentences, found):
+    row = licences.scan(one(spark, text)).first()
+    assert (row["sentences"], row["licences"]) == (sentences, found)
+
+
 def test_pii(spark, odd, empty):
     rows = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
     for r in pii.digests(pii.find(rows)).collect():
