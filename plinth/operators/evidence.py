@@ -45,21 +45,33 @@ def coverage(spans: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def find_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """Where passages (query_id, query) stand word for word in documents (document_id, text): query_id, document_id, start_char, end_char.
+    """Where passages (query_id, query) stand word for word in documents (document_id, text): query_id, document_id, place, start_char, end_char.
 
-    A passage's second to fourth tokens are its key; documents meet it on the hash of their runs of three tokens, and the text decides.
-    Passages of fewer than five tokens are left out.
+    Every place counts, also those that overlap; ``place`` numbers those of a passage in a document from 0. A passage's second to fourth
+    tokens, without its last, are its key; documents meet it on the hash of their runs of as many tokens, and the text decides. Passages
+    of one or two tokens, or none, are sought in every document; those without characters are left out.
     """
-    words = tokens(F.col("query"))
-    keys = passages.withColumn("w", words).where(F.size("w") >= 5)
-    keys = keys.select("query_id", "query", F.xxhash64(F.array_join(F.slice("w", 2, 3), " ")).alias("key"))
-    runs = docs.select("document_id", tokens(F.col("text")).alias("w")).where(F.size("w") >= 5)
-    hashes = let(F.col("w"), lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 3), " "))))
-    runs = runs.select("document_id", F.explode(F.array_distinct(hashes)).alias("key"))
-    met = runs.join(keys, "key").select("query_id", "query", "document_id")
-    start = F.position("query", "text") - 1
-    found = met.join(docs.select("document_id", "text"), "document_id").withColumn("start_char", start).where("start_char >= 0")
-    return found.select("query_id", "document_id", "start_char", (F.col("start_char") + F.length("query")).alias("end_char"))
+    n = F.greatest(F.lit(0), F.least(F.lit(3), F.size("w") - 2))
+    keys = passages.where(F.length("query") > 0).withColumn("w", tokens(F.col("query"))).withColumn("n", n)
+    keys = keys.select("query_id", "query", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
+    lengths = [r["n"] for r in keys.select("n").distinct().collect()]  # four at most
+
+    def hashes(w, k):
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " ")))
+        return F.when(F.size(w) >= k, each).otherwise(F.array().cast("array<bigint>"))
+
+    runs = docs.select("document_id", tokens(F.col("text")).alias("w"))
+    runs = runs.select("document_id", F.explode(F.array_distinct(let(F.col("w"), lambda w: F.concat(F.array().cast("array<bigint>"), *(hashes(w, k) for k in lengths if k))))).alias("key"))
+    met = runs.join(keys.where("n > 0"), "key").select("query_id", "query", "document_id")
+    if 0 in lengths:
+        met = met.union(docs.join(keys.where("n = 0"), F.contains("text", "query")).select("query_id", "query", "document_id"))
+    found = met.join(docs.select("document_id", "text"), "document_id").where(F.contains("text", "query"))
+    literal = F.concat(F.lit(r"(?=\Q"), F.replace("query", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    pieces = F.transform(F.split("text", literal), F.length)  # all but the first begin with the passage
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda seen, size: F.concat(seen, F.array(F.element_at(seen, -1) + size)))
+    starts = let(ends, lambda e: F.slice(e, F.when(F.startswith("text", "query"), 1).otherwise(2), F.greatest(F.lit(0), F.size(e) - F.when(F.startswith("text", "query"), 1).otherwise(2))))
+    found = found.select("query_id", "document_id", F.length("query").alias("size"), F.posexplode(starts).alias("place", "start_char"))
+    return found.select("query_id", "document_id", "place", "start_char", (F.col("start_char") + F.col("size")).alias("end_char"))
 
 
 def build_spans(blocks: DataFrame, least: int = 250, most: int = 1200) -> DataFrame:

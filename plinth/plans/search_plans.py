@@ -36,7 +36,8 @@ def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place where a passage stands in a document, as an evidence span."""
     docs = documents(spark, sf_dir)
     found = evidence.find_passages(docs, cases_of(spark, sf_dir)).join(docs.select("document_id", "source_path"), "document_id")
-    name = F.concat_ws("-", F.col("query_id").cast("string"), F.col("document_id").cast("string"))
+    later = F.when(F.col("place") > 0, F.col("start_char").cast("string"))
+    name = F.concat_ws("-", F.col("query_id").cast("string"), F.col("document_id").cast("string"), later)
     return found.select(name.alias("span_id"), "query_id", "document_id", "source_path", "start_char", "end_char")
 
 

@@ -95,6 +95,20 @@ def test_semantic_blocks(spark, monkeypatch):
     assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in retrieval.semantic_search(index, asked, 5).collect()} == want
 
 
+def test_passages_at_every_place(spark):
+    texts = ["one two three four five six. One two three four five six", "xone two three four five six; one two three four five six", "a.b a.b a.b", "(a \\E b c) d (a \\E b c) d", "日本 𝒳 fox, foxes", "", None]
+    asked = ["one two three four five six", "ne two three", "two three four five", "a.b a.b", "a \\E b c", "fox", "𝒳 fox", "three fou", "", ", ", None]
+    documents = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    passages = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    want = set()
+    for d, t in enumerate(texts):
+        for q, p in enumerate(asked):
+            starts = [i for i in range(len(t or "")) if p and t.startswith(p, i)]
+            want |= {(q, d, n, i, i + len(p)) for n, i in enumerate(starts)}
+    got = [tuple(r) for r in evidence.find_passages(documents, passages).select("query_id", "document_id", "place", "start_char", "end_char").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_fusion(spark):
     def arm(*names):
         return spark.createDataFrame([(1, i + 1, n) for i, n in enumerate(names)], "query_id long, rank int, chunk_id string")
