@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -45,6 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with all columns in one struct ``row``, beside copies of its own ones named; so no name of an operator can clash with theirs."""
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row")).select("row", *(F.col(f"row.{c}").alias(c) for c in own))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

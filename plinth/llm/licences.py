@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import text_of
+from plinth.llm.common import let, text_of
 
 # Identifiers and expressions of known licence sentences, after normalisation; the first that matches counts.
 SENTENCES = (
@@ -102,11 +102,6 @@ SPDX = rf"(?i)(?<![a-z0-9.+/:-])spdx-license-identifier:\s*({SPDX_ID}(?:\s+(?:an
 ENDS, STRANGE = r"([.!?;])\s+|\n[ \t]*\n", r"[^a-z0-9.+/:-]+"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once for each row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def sequence(text: Column) -> Column:
     """The identifiers of the known sentences of a text without nulls, each after a space and before the next."""
 

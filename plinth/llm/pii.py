@@ -21,18 +21,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import text_of
+from plinth.llm.common import let, text_of
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 #: Code points before a span that are searched for context words, and what one adds to the score.
 CONTEXT, BOOST, THRESHOLD = 40, 0.2, 0.5
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once for each row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def luhn(value: Column) -> Column:
     """13 to 19 digits, between spaces and hyphens, whose Luhn sum is a multiple of ten."""
 

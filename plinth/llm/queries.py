@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, secret_scan, simhash, toxicity
 from plinth.llm.common import documents, labels
@@ -18,7 +19,7 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf_dir))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "pattern", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "pattern", F.round("posterior", 6).alias("posterior"), "kept")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
