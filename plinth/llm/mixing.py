@@ -11,12 +11,15 @@ documents allow.
 No source is gathered in one task. The order's prefix sums are taken over BUCKETS
 ranges of the key for each source; only the range in which the target ends is
 ordered document by document. A document then finds out from its own key and a
-table with a row for each source what it contributes.
-
-Defined results: null or empty text has size 0 and contributes nothing; null is a
-source of its own and comes last; rows alike in doc_id and text share one key, so
-they are taken together; an empty table gives an empty result. Other columns of
-the input are ignored by ``mix`` and kept by ``mixed``.
+table with a row for each source what it contributes. Rows alike in doc_id, text
+and source share one key; where the target ends among them, as many are taken as
+fit: files of the stored keys get quotas, and each file numbers its own rows.
+
+Defined results: null or empty text has size 0 and contributes nothing; very long
+texts are counted whole, in the row's own memory; null is a source of its own and
+comes last; of rows alike in doc_id, text and source, any may be the ones that are
+taken; an empty table gives an empty result. Other columns of the input, whatever
+their names, are ignored by ``mix`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.llm.common import SPACE, stored, text_of
+from plinth.llm.common import SPACE, packed, stored, text_of
 
 #: Weights of the sources in code point order, repeating; words of the mix against all words; largest repetition; seed.
 WEIGHTS, RATE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
@@ -67,7 +70,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def _plan(keyed: DataFrame) -> DataFrame:
-    """A row for each source: size, target, epochs, and the last key and digest that the part epoch takes (null: none)."""
+    """A row for each source: size, target, epochs, and the last key and digest that the part epoch takes (null: none), how many rows have them and fit."""
     by = ["source", "no_source"]
     ranges = stored(keyed.groupBy(*by, "bucket").agg(F.sum("size").alias("words")), "ranges")
     plan = targets(ranges.groupBy(*by).agg(F.sum("words").alias("source_size")))
@@ -77,41 +80,63 @@ def _plan(keyed: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = ranges.withColumn("before", before).join(plan, by).where("before <= part")
     last = last.groupBy(*by).agg(F.max(F.struct("bucket", "before", "part")).alias("x")).select(*by, "x.*")
-    seen = F.sum("size").over(Window.partitionBy(*by).orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1))
-    edge = keyed.join(last, [*by, "bucket"]).withColumn("seen", F.col("before") + F.coalesce(seen, F.lit(0)))
-    cut = edge.where("2 * seen + size <= 2 * part").groupBy(*by).agg(F.max(F.struct("key", "digest")).alias("cut"))
+    edge = keyed.join(last, [*by, "bucket"]).groupBy(*by, "bucket", "before", "part", "key", "digest", "size").agg(F.count("*").alias("copies"))
+    words = F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy(*by).orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.withColumn("rest", F.col("part") - F.col("before") - F.coalesce(words, F.lit(0)))
+    fit = F.when(F.col("size") > 0, F.least("copies", F.floor(F.col("rest") / F.col("size") + 0.5).cast("long"))).otherwise(F.col("copies"))
+    cut = edge.withColumn("fit", fit).where("2 * rest >= size").groupBy(*by).agg(F.max(F.struct("key", "digest", "copies", "fit")).alias("cut"))
     rows = last.select(*by, F.col("bucket").alias("edge")).join(cut, by, "left")
     return stored(plan.join(rows, by, "left"), "plan")
 
 
-def _taken() -> Column:
-    """Words that a row of a keyed table joined with its source's plan contributes."""
-    below = F.col("bucket") < F.col("edge")
-    within = (F.col("bucket") == F.col("edge")) & F.coalesce(F.struct("key", "digest") <= F.col("cut"), F.lit(False))
-    return F.col("size") * (F.col("epochs") + F.when(below | within, 1).otherwise(0))
-
-
 def _sourced(rows: DataFrame, source: Column) -> DataFrame:
     return rows.withColumns({"source": F.coalesce(source.cast("string"), F.lit("")), "no_source": source.isNull()})
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``nth`` to the rows of a source's last key where only some of its copies fit: their number, from 1; null elsewhere.
+
+    The rows are those of a stored table, told apart by file and place; a file's rows are numbered in one task, and go on where the
+    files before it end. Only these rows are shuffled.
+    """
+    by = ["source", "no_source"]
+    last = F.coalesce(F.expr("cut.fit < cut.copies and key = cut.key and digest = cut.digest"), F.lit(False))
+    some = rows.where(last)
+    in_file = some.groupBy(*by, "file").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(*by, "file").orderBy("place"))
+    some = some.withColumn("own", own).join(in_file.select(*by, "file", before.alias("start")), [*by, "file"])
+    some = some.withColumn("nth", F.col("start") + F.col("own")).drop("start", "own")
+    return rows.where(~last).withColumn("nth", F.lit(None).cast("long")).unionByName(some)
+
+
+def _planned(measured: DataFrame) -> DataFrame:
+    """The rows of a table with source, size, symbols and digest, with their source's plan and ``taken``, the words that the mix takes."""
+    keyed = stored(_keyed(measured), "keys")
+    plan = _plan(keyed)
+    placed = keyed.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    rows = placed.join(plan, ["source", "no_source"])
+    rows = rows.withColumn("nth", F.lit(None).cast("long")) if plan.where("cut.fit < cut.copies").isEmpty() else _numbered(rows)
+    below = F.col("bucket") < F.col("edge")
+    within = (F.col("bucket") == F.col("edge")) & F.coalesce(F.struct("key", "digest") <= F.struct("cut.key", "cut.digest"), F.lit(False))
+    fits = F.coalesce(F.col("nth") <= F.col("cut.fit"), F.lit(True))
+    return rows.withColumn("taken", (F.col("size") * (F.col("epochs") + F.when((below | within) & fits, 1).otherwise(0))).cast("long"))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, size, its source's size and target, and the words that the mix takes of it, repeats counted."""
     found = _measured(docs)
     rows = docs.select("doc_id", "source", *(c.alias(k) for k, c in found.items()))
-    keyed = stored(_keyed(_sourced(rows, rows["source"])), "keys")
-    whole = keyed.join(_plan(keyed), ["source", "no_source"])
-    return whole.select("doc_id", "size", "source_size", "target", _taken().cast("long").alias("taken"))
+    return _planned(_sourced(rows, rows["source"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    whole = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", docs["source"].alias("source"), *(c.alias(k) for k, c in _measured(docs).items()))
-    keyed = _keyed(_sourced(whole, whole["source"]))
-    plan = _plan(stored(keyed.drop("__row"), "keys"))
-    times = (_taken() / F.greatest(F.col("size"), F.lit(1))).cast("int")
-    copies = keyed.join(plan, ["source", "no_source"]).select("__row", F.explode(F.array_repeat(F.lit(0), times)))
-    return copies.select("__row.*")
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs. Rows are written once, with their key."""
+    own = packed(docs, "doc_id", "source", "text")
+    rows = own.select("row", "doc_id", "source", *(c.alias(k) for k, c in _measured(own).items()))
+    rows = _planned(_sourced(rows, rows["source"]))
+    times = (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 SQL = f"""

@@ -21,7 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import let, text_of
+from plinth.llm.common import let, packed, text_of
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 #: Code points before a span that are searched for context words, and what one adds to the score.
@@ -154,13 +154,19 @@ def redact(docs: DataFrame) -> DataFrame:
         none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         return let(F.aggregate(ordered, none, add), lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
 
-    text = docs["text"].cast("string")
-    new = let(spans(F.coalesce(text, F.lit(""))), lambda s: F.when(F.size(s) > 0, rebuilt(text, s)))
-    rows = docs.withColumn("__new", new)
-    changed = {"text": F.coalesce("__new", text)}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return rows.withColumns(changed).select(*docs.columns)
+    rows = packed(docs, "text").withColumn("text", F.col("text").cast("string"))
+    new = let(spans(F.coalesce("text", F.lit(""))), lambda s: F.when(F.size(s) > 0, rebuilt(F.col("text"), s)))
+    rows = rows.select("row", "text", new.alias("new"))
+
+    def column(name: str) -> Column:
+        old = F.col("row").getField(name)
+        if name == "text":
+            return F.coalesce("new", "text")
+        if name == "n_chars":
+            return F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[name].dataType)).otherwise(old)
+        return old
+
+    return rows.select(*(column(name).alias(name) for name in docs.columns))
 
 
 def _sql() -> str:

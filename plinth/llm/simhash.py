@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import slices, stored, text_of
+from plinth.llm.common import packed, slices, stored, text_of
 
 SEED = 42
 #: Fingerprints of one block at most; two blocks meet in a task, so this bounds its memory.
@@ -200,16 +200,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3) ->
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
-    """One row of docs for each component: that of its least doc_id; among rows of one id, that of the least row hash.
+    """One row of docs for each component: that of its least doc_id; among rows of one id, the first of the written table.
 
-    Rows alike in every column count as one.
+    The rows are written once and told apart by file and place, so that columns of any kind are taken.
     """
-    columns = docs.columns
-    own = F.xxhash64(*columns) if columns else F.lit(0)
-    tagged = docs.select("*", own.alias("__row"))
-    fps = stored(fingerprints(tagged, shingle_words, ("doc_id", "__row")), "rows")
+    rows = stored(packed(docs, "doc_id", "text"), "documents")
+    rows = rows.select("*", F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("place"))
+    fps = stored(fingerprints(rows, shingle_words, ("doc_id", "place")), "rows")
     chosen = fps.join(classes(fps, radius), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
-    chosen = chosen.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("k")).select("k.doc_id", "k.__row")
-    once = tagged.dropDuplicates(["doc_id", "__row"])
-    same = once["doc_id"].eqNullSafe(chosen["doc_id"]) & (once["__row"] == chosen["__row"])
-    return once.join(chosen, same, "left_semi").select(*columns)
+    chosen = chosen.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("k")).select("k.place")
+    return rows.join(chosen, "place", "left_semi").select("row.*")

@@ -165,3 +165,54 @@ def test_mix_comes_near(spark):
     sums = spark.createDataFrame([(i, "s" if i % 3 else "t") for i in range(3000)], "doc_id long, source string").join(got, "doc_id")
     for r in sums.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r["taken"] - r["target"]) <= 50
+
+
+def test_equal_rows_are_taken_singly(spark):
+    equal = [(7, "w " * 10, "s", i % 3) for i in range(100)] + [(8, "v " * 10, "t", 0)] * 50 + [(9, "u " * 7, "t", 0)]
+    rows = spark.createDataFrame(equal, "doc_id long, text string, source string, extra int").repartition(7)
+    got = mixing.mix(rows)
+    sums = got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(sums) == 2 and all(abs(r["taken"] - r["target"]) <= 5 for r in sums)
+    assert all(r["taken"] <= 2 * r["size"] for r in got.collect())
+    assert ordered(collected(got)) == ordered(collected(mixing.mix(rows.repartition(3))))
+    copies = mixing.mixed(rows)
+    words = copies.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n"))
+    assert sorted(r["n"] for r in words.collect()) == sorted(r["taken"] for r in sums)
+
+
+def test_mix_of_repeats_against_sql(spark):
+    import duckdb
+
+    rows = [(i % 40, "w " * (i % 40 % 9 + 1), "abc"[i % 40 % 3]) for i in range(400)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    want = con.execute(mixing.SQL).fetchall()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert ordered(collected(got)) == ordered(want)
+
+
+def test_posterior_overrules_votes(spark):
+    """A document with a bad vote stays, one without is rejected: what votes are worth is learnt."""
+    prose = [f"{PROSE} {i} and so the story number {i} goes on.\nIt ends here {i}." for i in range(300)]
+    marked = [t + " Oh no! Oh my! Oh dear! Is it so? Or not? Or what? Why?" for t in prose[:30]]
+    noisy = [" ".join(f"#{i}{k} $%&*" for k in range(30)) + f" number {i}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(prose + marked + noisy)), "doc_id long, text string")
+    got = quality_rules.judge(rows).collect()
+    assert all(r["kept"] for r in got if r["doc_id"] < 330) and any("1" in r["pattern"] for r in got if 300 <= r["doc_id"] < 330)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 330) and all(r["kept"] == (r["posterior"] >= 0.5 and not r["base_failed"]) for r in got)
+    bad = [" ".join(f"x{i}#{k} $%&*" for k in range(25)) + f" number {i}" for i in range(300)]
+    bare = " ".join(f"stretchedwordlike{i:02d}" for i in range(12)).replace("0", "o").replace("1", "l")
+    got = quality_rules.judge(spark.createDataFrame([*enumerate(bad), (999, bare)], "doc_id long, text string")).where("doc_id = 999").first()
+    assert got["pattern"].count("1") <= 2
+
+
+def test_names_do_not_clash(spark):
+    names = "doc_id long, text string, source string, n_chars long, c int, q int, row int, pattern string, base_failed boolean, kept boolean, posterior double, own int, file string, place int, nth int, cut int, new string, fp long, hash long, `a.b` int, __row int, __c int, __new string"
+    rows = spark.createDataFrame([(1, PROSE + " mail a@b.co", "s", 5, *([1] * 3), "p", True, False, 0.5, 1, "f", 1, 1, 1, "n", 1, 1, 1, 1, 1, "n")] * 3, names)
+    from plinth.llm import simhash
+
+    for made, n in ((quality_rules.keep_good(rows), 3), (pii.redact(rows), 3), (mixing.mixed(rows), None), (simhash.deduplicate(rows), 1)):
+        assert made.columns == rows.columns
+        kept = made.drop("text", "n_chars").collect()
+        assert (n is None or len(kept) == n) and set(kept) == set(rows.drop("text", "n_chars").collect())
