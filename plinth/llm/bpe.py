@@ -9,11 +9,21 @@ block, so the positions never move. Decoding looks every id up in the token-byte
 table, whose size the vocabulary fixes.
 
 Memory is bounded: a block ends after BLOCK_WORDS pre-tokens (or with the
-document that crosses it), and a bucket keeps its own distinct words.
+document that crosses it), and a bucket keeps its own distinct words; there are as
+many buckets as shuffle partitions, BUCKETS at least, so a bucket doesn't grow
+where partitions are set to the input's size.
 
-Defined results: null or empty text gives no ids and decodes to no bytes;
-repeated rows give a result each; a null doc_id stays null; an empty table gives
-an empty result. Other columns of the input are ignored.
+What the stored rows hold, all packed (numbers as zstd-compressed byte planes):
+
+    block  bucket  start  count  sizes, words      ids, counts, codes
+    17     -1      0      0      -                 doc_ids of the block, pre-tokens of each, the number of the word at each position
+    17     4       0      310    the words 0..309  -
+    17     9       310    285    310..594          -
+
+Defined results: null or empty text gives no ids and decodes to no bytes; a very
+long text is a block of its own; repeated rows give a result each; a doc_id of any
+type, null too, stays as it is; an empty table gives an empty result. Other columns
+of the input, whatever their names, are ignored. No table stays in the catalog.
 """
 
 from __future__ import annotations
@@ -36,7 +46,7 @@ from pyspark.sql import functions as F
 from plinth.llm.common import new_folder, slices, text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens after which a block ends, and buckets that distinct words are dealt into.
+#: Pre-tokens after which a block ends, and buckets at least that distinct words are dealt into.
 BLOCK_WORDS, BUCKETS = 2_000_000, 1024
 #: Pre-tokens that are put together in one numpy step.
 STEP = 500_000
@@ -73,17 +83,18 @@ def _unpacked_words(row: dict) -> list[bytes]:
     return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """A row per block with its documents and positions, and a row per block and bucket with the bucket's distinct words."""
+    plain = [("block", pa.int64()), ("bucket", pa.int32()), ("start", pa.int32()), ("count", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         find, base, done = regex.compile(public_tokenizers.PATTERN).findall, TaskContext.get().partitionId() << 32, 0
 
-        def block(number: int, ids: list, counts: list[int], codes: list[np.ndarray], words: dict[str, int]) -> pa.RecordBatch:
+        def block(number: int, kind: pa.DataType, ids: list, counts: list[int], codes: list[np.ndarray], words: dict[str, int]) -> pa.RecordBatch:
             raw = [w.encode() for w in words]
-            home = np.fromiter((zlib.crc32(w) % BUCKETS for w in raw), np.int64, len(raw))
+            home = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
             order = np.argsort(home, kind="stable")
             new = np.empty(len(raw), np.int64)
             new[order] = np.arange(len(raw))
@@ -100,8 +111,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 "counts": [counts] + [None] * n,
                 "codes": [_pack(new[all_codes])] + [None] * n,
             }
-            return pa.RecordBatch.from_pydict(rows, schema=arrow)
+            return pa.RecordBatch.from_pydict(rows, schema=pa.schema([*plain, ("ids", pa.list_(kind)), ("counts", pa.list_(pa.int32())), ("codes", pa.binary())]))
 
+        kind = pa.null()
         ids: list = []
         counts: list[int] = []
         codes: list[np.ndarray] = []
@@ -109,6 +121,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         words.default_factory = words.__len__
         seen = 0
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for part in slices(batch):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     found = find(text)
@@ -117,27 +130,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     counts.append(len(found))
                     seen += len(found)
                     if seen >= BLOCK_WORDS:
-                        yield block(base + done, ids, counts, codes, words)
+                        yield block(base + done, kind, ids, counts, codes, words)
                         ids, counts, codes, seen, done = [], [], [], 0, done + 1
                         words.clear()
         if ids:
-            yield block(base + done, ids, counts, codes, words)
+            yield block(base + done, kind, ids, counts, codes, words)
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    arrow = pa.schema(
-        [
-            ("block", pa.int64()),
-            ("bucket", pa.int32()),
-            ("start", pa.int32()),
-            ("count", pa.int32()),
-            ("sizes", pa.binary()),
-            ("words", pa.binary()),
-            ("ids", pa.list_(pa.string() if kind == "string" else pa.int64())),
-            ("counts", pa.list_(pa.int32())),
-            ("codes", pa.binary()),
-        ]
-    )
     return rows.mapInArrow(run, f"block long, bucket int, start int, count int, sizes binary, words binary, ids array<{kind}>, counts array<int>, codes binary")
 
 
@@ -177,10 +177,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     ranks = spark.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
     folder = new_folder(spark, "blocks")
     name = "blocks_" + folder.rpartition("-")[2]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = _blocks(docs).write.option("path", folder).option("compression", "zstd")
-    writer.bucketBy(buckets, "block").saveAsTable(name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = _blocks(docs, max(BUCKETS, parts)).write.option("path", folder).option("compression", "zstd")
+    writer.bucketBy(parts, "block").saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"drop table {name}")  # an external table: its files, and what was read of it, stay
     words = table.where("bucket >= 0").select("block", "bucket", "start", "count", "sizes", "words")
     homes = table.where("bucket < 0").select("block", "ids", "counts", "codes")
     kind = table.schema["ids"].dataType.elementType.simpleString()

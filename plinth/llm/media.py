@@ -2,23 +2,26 @@
 
 A text becomes a payload: its UTF-8 bytes, padded with spaces to a positive
 multiple of 192. The payload is stored losslessly as an 8-bit grey PNG, 192
-samples wide. Payloads are addressed by their SHA-256: each distinct one is kept
-once, in a tar shard under the shared folder, and a row of the pointer table
-carries its digest, shard, offset and length. Width, height and sample depth come
-from the first bytes of each member, read by range; features come from reading
-whole members back.
-
-Payloads are never shuffled: the task that reads a text writes its payload, unless
-it has written the same one before, so a group of copies costs at most one member
-in each task. The pointers of one digest then become one, the least by shard and
-offset; the other members are not referred to. A shard only counts once the
-pointer table, written after it, names it; a repeated task writes another shard
-under a name of its own. The shared folder may be any store that pyarrow's file
-systems reach by URI.
-
-Defined results: null or empty text is the payload of 192 spaces; equal texts
-have equal values; repeated rows give a result each; a null doc_id stays null; an
-empty table gives an empty result. Other columns of the input are ignored.
+samples wide. Payloads are addressed by their SHA-256: each distinct one is stored
+once, in a tar shard under the shared folder, and rows carry its digest, shard,
+offset and length. Width, height and sample depth come from the first bytes of
+each member, read by range; features come from reading whole members back.
+
+Payloads are never shuffled, only their digests. The owner of a payload that
+several partitions hold is the least of these; the digests that a partition holds
+but doesn't own are written to the shared folder, where its task finds them and
+passes over their texts. Should rows stand in other partitions when they are read
+again, payloads may be stored twice (then one pointer of them counts), and what no
+task has written is found by its missing pointer and written in a second pass. A
+shard only counts once the pointer table, written after it, names it; a repeated
+task writes another shard under a name of its own. The shared folder may be any
+store that pyarrow's file systems reach by URI.
+
+Defined results: null or empty text is the payload of 192 spaces; a very long text
+is one payload, held in memory by one task; equal texts have equal values; repeated
+rows give a result each; a doc_id of any type, null too, stays as it is; an empty
+table gives an empty result. Other columns of the input, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +51,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature, then length, type and fields of the first chunk: all that the metadata columns need.
 HEADER = ">8sI4sIIBBBBB"
 POINTER = "digest string, shard string, offset long, length long"
+#: Folders that the lists of passed-over digests are dealt into by partition.
+LISTS = 4096
 
 
 def payload(text: bytes) -> bytes:
@@ -88,14 +95,38 @@ def digest(text: Column) -> Column:
     return F.sha2(F.concat(text, F.repeat(F.lit(" "), padding)), 256)
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """Writes the distinct payloads of docs into tar shards; returns the pointer table: digest, shard, offset, length."""
-    folder = new_folder(docs.sparkSession, "media")
+def _passed_over(held: DataFrame) -> str:
+    """Writes, for every partition, the digests it holds that a lesser partition owns, from rows (d, p); returns the folder."""
+    folder = new_folder(held.sparkSession, "owned")
+    owned = held.groupBy("d").agg(F.min("p").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rest = held.join(owned, "d").where("p != owner").select("p", "d", (F.col("p") % LISTS).alias("list"))
+    rest.repartition("list").write.partitionBy("list").parquet(folder)
+    return folder
+
+
+def _listed(folder: str, partition: int) -> set[str]:
+    """The digests that a partition passes over."""
+    system, root = fs.FileSystem.from_uri(f"{folder}/list={partition % LISTS}")
+    if system.get_file_info(root).type == fs.FileType.NotFound:
+        return set()
+    found: set[str] = set()
+    for file in system.get_file_info(fs.FileSelector(root)):
+        if file.base_name.endswith(".parquet"):
+            with system.open_input_file(file.path) as f:
+                rows = pq.read_table(f, columns=["p", "d"])
+            found.update(x.hex() for x in rows.filter(pc.equal(rows["p"], partition))["d"].to_pylist())
+    return found
+
+
+def _write(texts: DataFrame, folder: str, passed_over: str | None) -> DataFrame:
+    """Writes the payloads of texts (digest, text) into tar shards, each task each digest once, without those that it passes over."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        seen: set[str] = set()
+        seen = _listed(passed_over, TaskContext.get().partitionId()) if passed_over else set()
         shard, name, at, rows = None, "", 0, []
 
         def close() -> pa.RecordBatch:
@@ -127,8 +158,21 @@ def store(docs: DataFrame) -> DataFrame:
         if shard is not None:
             yield close()
 
-    texts = docs.select(text_of(docs).alias("text"))
-    written = stored(texts.select(digest(F.col("text")).alias("digest"), "text").mapInArrow(write, POINTER), "written")
+    return texts.mapInArrow(write, POINTER)
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """Writes the distinct payloads of docs into tar shards; returns the pointer table: digest, shard, offset, length."""
+    text = text_of(docs)
+    texts = docs.select(digest(text).alias("digest"), text.alias("text"))
+    folder = new_folder(docs.sparkSession, "media")
+    held = stored(texts.select(F.unhex("digest").alias("d"), F.spark_partition_id().alias("p")).distinct(), "held")
+    written = stored(_write(texts, folder, _passed_over(held)), "written")
+    missing = held.select("d").join(written.select(F.unhex("digest").alias("d")), "d", "left_anti").distinct()
+    missing = stored(missing.select(F.lower(F.hex("d")).alias("digest")), "missing")
+    if not missing.isEmpty():
+        again = texts.join(missing, "digest").groupBy("digest").agg(F.first("text").alias("text"))
+        written = written.union(stored(_write(again, folder, None), "written"))
     least = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
     ordered = least.select("digest", "at.*").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     return stored(ordered, "pointers")
@@ -152,13 +196,8 @@ def _by_shard(pointers: DataFrame, read: Callable, columns: dict[str, str]) -> D
             found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *columns])
 
-    return pointers.mapInArrow(run, ", ".join([POINTER, *(f"{n} {k}" for n, k in columns.items())]))
-
-
-def _header(file, offset: int) -> tuple:
-    """Format, width, height and sample depth from a range read of a member's first bytes."""
-    signature, _, _, width, height, depth, *_ = struct.unpack(HEADER, file.read_at(struct.calcsize(HEADER), offset))
-    return ("png" if signature == SIGNATURE else "unknown", width, height, depth)
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in pointers.schema]
+    return pointers.mapInArrow(run, ", ".join([*schema, *(f"{n} {k}" for n, k in columns.items())]))
 
 
 HEADER_COLUMNS = {"format": "string", "width": "int", "height": "int", "depth": "int"}
@@ -167,27 +206,31 @@ _ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
 
 
 def describe(pointers: DataFrame) -> DataFrame:
-    """Pointers with format, width, height and sample depth; only the first bytes of each member are read."""
-    return _by_shard(pointers, lambda file, offset, length: _header(file, offset), HEADER_COLUMNS)
+    """Pointers with format, width, height and sample depth; only the first bytes of each member are read, by range."""
+
+    def read(file, offset: int, length: int) -> tuple:
+        signature, _, _, width, height, depth, *_ = struct.unpack(HEADER, file.read_at(struct.calcsize(HEADER), offset))
+        return ("png" if signature == SIGNATURE else "unknown", width, height, depth)
+
+    return _by_shard(pointers, read, HEADER_COLUMNS)
 
 
 def features(pointers: DataFrame) -> DataFrame:
-    """Pointers with the header's columns and what reading each member back gives: digests, sizes, the tail's CRC-32, a feature.
+    """Pointers with what reading each member back gives: digests, sizes, the tail's CRC-32, a feature.
 
     The feature is the mean of the samples in each of eight equal bands of rows (the last takes the rest), with three decimals.
     """
 
     def read(file, offset: int, length: int) -> tuple:
-        head = _header(file, offset)
         image = file.read_at(length, offset)
         samples = decode_png(image)
         raw = samples.tobytes()
         step = max(1, len(samples) // 8)
         bands = [samples[i * step : (i + 1) * step if i < 7 else None] for i in range(8)]
         shown = ",".join(f"{b.sum(dtype=np.int64) / b.size:.3f}" for b in bands if b.size)
-        return *head, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(image), hashlib.sha256(image).hexdigest(), shown
+        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(image), hashlib.sha256(image).hexdigest(), shown
 
-    return _by_shard(pointers, read, HEADER_COLUMNS | FEATURE_COLUMNS)
+    return _by_shard(pointers, read, FEATURE_COLUMNS)
 
 
 def members(archive: bytes) -> list[str]:
@@ -197,9 +240,8 @@ def members(archive: bytes) -> list[str]:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, the features of its stored payload, and the header's columns."""
-    pointers = store(docs)
-    found = stored(features(pointers).drop("shard", "offset", "length", "depth"), "features")
+    """Per row of docs: doc_id, n_bytes, where its payload is stored, the header's columns, and the features of the payload read back."""
+    found = stored(features(describe(store(docs))).withColumn("key", F.unhex("digest")), "features")
     text = text_of(docs)
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest(text).alias("digest"))
-    return rows.join(found, "digest").drop("digest")
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(digest(text)).alias("key"))
+    return rows.join(found, "key").drop("key")

@@ -5,15 +5,19 @@ unit length; the bins of its structure statistics; and the bin of n_chars. The
 score of low-rank pairwise interactions takes time linear in the features, by
 the identity sum_{i<j} <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2.
 
-The machine is trained in numpy on at most TRAIN_ROWS labelled documents, those
-whose hashed ids are least, none of them held out; all of the text is used, in
-training and in scoring. Labels, language, source and id are never features.
-
-Defined results: null or empty text scores by its empty statistics; a null
-n_chars, or none, has a bin of its own; repeated rows give a result each; a null
-doc_id stays null and is not held out; an empty table gives an empty result;
-several labels of a document count as the least; without both labels the score
-is the smoothed share of label 1. Other columns of the input are ignored.
+The machine is trained in numpy on at most TRAIN_ROWS labelled documents with
+TRAIN_BYTES of text together, those whose hashed ids are least, none of them held
+out; all of a document's text is used, in training and in scoring. Labels,
+language, source and id are never features.
+
+Defined results: null or empty text scores by its empty statistics; a very long
+text is scored whole, and learnt from only where it fits into TRAIN_BYTES; a null
+n_chars, or none, has a bin of its own; repeated rows give a result each, and of
+those of one labelled id the one of the least text hash teaches; a doc_id of any
+type that labels share, null too, stays as it is, null is not held out; an empty
+table gives an empty result; several labels of a document count as the least;
+without both labels the score is the smoothed share of label 1. Other columns of
+the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import held_out, slices, text_of
+from plinth.llm.common import held_out, slices, stored, text_of
 
-#: Labelled documents that the machine learns from at most.
-TRAIN_ROWS = 6000
+#: Labelled documents that the machine learns from at most, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 6000, 24 << 20
 WORDS, BINS, FACTORS = 1 << 15, 16, 8
 #: Passes over the rows, or as many more as STEPS batches take.
 EPOCHS, STEPS, BATCH, RATE, SEED = 12, 800, 64, 0.1, 11
@@ -136,11 +140,26 @@ def _features(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), np.cumsum(sizes) - sizes
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id and ``label`` of the documents to learn from: not held out, at most ``most``, those whose hashed ids are least."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int) -> DataFrame:
+    """The rows of docs, which has doc_id and text, to learn from, one for each id, with ``label`` and ``hash``, in a written table.
+
+    They are the labelled ones that are not held out, at most ``most``, those whose hashed ids are least; of these, in the same order,
+    those whose texts fit into ``most_bytes`` together with the ones before.
+    """
     known = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull() & ~held_out(labels["doc_id"]))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", *rest)).alias("x"))
+    first = first.select("doc_id", "label", F.xxhash64("doc_id").alias("hash"), "x.text", *(f"x.{c}" for c in rest))
+    first = stored(first, "labelled")
+    sizes = first.select("hash", F.octet_length("text").alias("n")).groupBy("hash").agg(F.sum("n").alias("n")).orderBy("hash")
+    fits, total = [], 0
+    for row in sizes.collect():  # at most ``most`` rows of two numbers
+        if total + row["n"] <= most_bytes:
+            total += row["n"]
+            fits.append(row["hash"])
+    return first if len(fits) == first.count() else first.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in fits], "hash long")), "hash", "left_semi").select(*first.columns)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -152,12 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
                 at, values, starts = _features(part)
                 ends = pa.array(np.concatenate([starts, [len(at)]]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), values.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *lists], ["doc_id", "label", "at", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("hash"), part.column("label"), *lists], ["hash", "label", "at", "x"])
 
-    chosen = labelled(docs, labels, "quality", TRAIN_ROWS)
-    rows = _rows(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "label")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, label int, at array<int>, x array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    rows = labelled(_rows(docs), labels, "quality", TRAIN_ROWS, TRAIN_BYTES).select("hash", "text", "n_chars", "label")
+    found = rows.mapInArrow(run, "hash long, label int, at array<int>, x array<float>").toArrow().sort_by("hash").combine_chunks()
     if not found.num_rows:
         return train(np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0))
     lists = found.column("at").combine_chunks()

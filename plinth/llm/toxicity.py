@@ -11,15 +11,20 @@ for the label. All of the text is used, in training and in scoring.
 The softmax is linear in the mean, so a word contributes one number: scoring
 looks every distinct word up once in a task and takes moving averages.
 
-The model learns from at most TRAIN_ROWS labelled documents, those whose hashed
-ids are least, none of them held out. A fifth of them only chooses the epoch to
-stop at and calibrates the scores. Labels, language, source and id are never inputs of a score.
-
-Defined results: null or empty text scores as a window of no words; repeated rows
-give a result each; a null doc_id stays null and is not held out; an empty table
-gives an empty result; several labels of a document count as the least; without
-both labels the score is the smoothed share of toxic documents. Other columns of
-the input are ignored.
+The model learns from at most TRAIN_ROWS labelled documents with TRAIN_BYTES of
+text together, those whose hashed ids are least, none of them held out. A fifth of
+them only chooses the epoch to stop at and calibrates the scores. Labels, language,
+source and id are never inputs of a score.
+
+Defined results: null or empty text scores as a window of no words; a word said
+many times in a row counts once, so a text of one repeated word scores as that
+word; a very long text is scored whole, and learnt from only where it fits into
+TRAIN_BYTES; repeated rows give a result each, and of those of one labelled id the
+one of the least text hash teaches; a doc_id of any type that labels share, null
+too, stays as it is, null is not held out; an empty table gives an empty result;
+several labels of a document count as the least; without both labels the score is
+the smoothed share of toxic documents. Other columns of the input, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ from pyspark.sql import functions as F
 from plinth.llm.common import held_out, slices, text_of
 from plinth.llm.quality_fm import labelled
 
-#: Labelled documents that the model learns from at most.
-TRAIN_ROWS = 6000
+#: Labelled documents that the model learns from at most, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 6000, 24 << 20
 BITS, DIMENSIONS, SHORTEST, LONGEST, PRIME = 17, 8, 3, 5, 1_000_003
 BUCKETS = 1 << BITS
 #: Words of a window and from one window to the next; how much a document leans to its most toxic windows, at first and at last.
@@ -301,9 +306,8 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model, learnt from the labelled documents that are not held out."""
-    chosen = labelled(docs, labels, "toxic", TRAIN_ROWS)
-    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    found = rows.toArrow().combine_chunks()
+    rows = docs.select("doc_id", text_of(docs).alias("text"))
+    found = labelled(rows, labels, "toxic", TRAIN_ROWS, TRAIN_BYTES).select("doc_id", "text", "label").toArrow().combine_chunks()
     found = found.append_column("hash", pa.array([crc32(str(i).encode()) for i in found.column("doc_id").to_pylist()], pa.int64()))
     found = found.sort_by([("hash", "ascending"), ("doc_id", "ascending")])
     return train((t.as_py() for t in found.column("text")), np.asarray(found.column("label").to_pylist(), np.float64))
