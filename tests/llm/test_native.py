@@ -89,6 +89,27 @@ def test_pii(spark, odd, empty):
     assert pii.find(odd).count() == odd.count() and pii.find(empty).count() == 0
 
 
+def test_context_raises_and_lowers(spark):
+    import duckdb
+
+    texts = [
+        "GB82 WEST 1234 5698 7654 32", "IBAN GB82 WEST 1234 5698 7654 32 AND MORE", "NO93 8601 1117 947 THE", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "xDE89370400440532013000",
+        "DE89370400440532013000 is the serial key", "the serial of the bank account DE89370400440532013000", "000-12-3456 ssn", "666-12-1234 ssn", "123-00-4567 ssn", "123-45-0000 ssn",
+        "my ssn 123-45-6789", "123-45-6789 is my SSN", "order 123-45-6789 ssn", "classn 123-45-6789", "ship 10.0.0.1", "ip 10.0.0.1 there", "BE68 5390 0754 7034 GB82", "a@b.co is an example", "GB82 WEST 1234 5698 7654 33",
+    ]
+    want = [
+        "iban:0:27", "iban:5:32", "iban:0:18", "iban:0:27", "iban:0:22", "", "", "iban:31:53", "", "", "", "", "ssn:7:18", "ssn:0:11", "", "", "ip:5:13", "ip:3:11", "iban:0:19", "email:0:6", "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.digests(pii.find(rows)).collect()
+    assert [r["spans"] for r in sorted(got)] == want
+    assert [r["scores"] for r in sorted(got) if r["spans"]] == ["70", "90", "70", "70", "70", "60", "60", "60", "60", "80", "70", "40"]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert ordered(con.execute(pii.SQL).fetchall()) == ordered(tuple(r) for r in got)
+
+
 def test_redaction(spark, odd, empty):
     row = pii.redact(spark.createDataFrame([(1, "to a@b.co, +1 (017) 555-7713!", 29)], "doc_id long, text string, n_chars long")).first()
     assert (row["text"], row["n_chars"]) == ("to [EMAIL], [PHONE]!", 20)
