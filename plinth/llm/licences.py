@@ -2,15 +2,18 @@
 
 A text without the marks of comments is cut into sentences, each is normalised
 (lower case, only letters, digits and ``. + / : -``, single spaces), and every known
-licence phrase in it gets an identifier. Each licence of an SPDX tag has its own,
-``Spdx:`` and the id, which names the licence; exceptions (``SpdxWith:``) stay
-unused. The identifiers, in order, form a sequence, against which the licence
-rules are tried in order; what a rule matches is used up, so that a later, more
-general rule doesn't match it again. Identifiers that no rule uses are reported.
+licence phrase in it gets an identifier, unless it is denied ("not released under
+..."). Each licence of an SPDX tag has its own, ``Spdx:`` and the id, which names
+the licence; exceptions (``SpdxWith:``) stay unused. The identifiers, in order, form
+a sequence, against which the licence rules are tried in order; what a rule matches
+is used up, so that a later, more general rule doesn't match it again. The rules of
+LAST come after all others and only count where none did: reserved rights stand in
+the notices of free licences, too. Identifiers that no rule uses are reported.
 
 Defined results: null or empty text, and text without known sentences, has an
-empty sequence and no licences; repeated rows give a result each; a null doc_id
-stays null; an empty table gives an empty result. Other columns of the input are
+empty sequence and no licences; a very long text is read whole, in the row's own
+memory; repeated rows give a result each; a null doc_id stays null; an empty table
+gives an empty result. Other columns of the input, whatever their names, are
 ignored.
 """
 
@@ -23,9 +26,8 @@ from pyspark.sql import functions as F
 
 from plinth.llm.common import let, text_of
 
-# Identifiers and expressions of known licence sentences, after normalisation; the first that matches counts.
+# Identifiers and expressions of known licence sentences, after normalisation, in the order in which they are looked for.
 SENTENCES = (
-    ("SpdxTag", r"spdx-license-identifier: "),
     ("MitGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("MitNotice", r"the above copyright notice and this permission notice shall be included"),
     ("MitAsIs", r"the software is provided as is without warranty of any kind"),
@@ -40,6 +42,8 @@ SENTENCES = (
     ("BsdEndorse", r"may be used to endorse or promote products derived from this software"),
     ("BsdAsIs", r"this software is provided by the .*as is"),
     ("BsdName", r"(released|licensed|distributed) under the (terms of the )?(new |modified |3-clause |2-clause )?bsd license"),
+    ("AgplCopy", r"received a copy of the gnu affero general public license"),
+    ("LgplCopy", r"received a copy of the gnu (lesser|library) general public license"),
     ("AgplName", r"gnu affero general public license"),
     ("LgplName", r"gnu (lesser|library) general public license"),
     ("Gpl3Name", r"licensed under the gnu general public license (version |v)3"),
@@ -47,7 +51,20 @@ SENTENCES = (
     ("GplFree", r"redistribute it and/or modify it under the terms of the gnu general public license"),
     ("GplWarranty", r"distributed in the hope that it will be useful but without any warranty"),
     ("GplCopy", r"you should have received a copy of the gnu general public license"),
+    ("Version21", r"version 2.1 of the license"),
+    ("Version3", r"version 3 of the license"),
+    ("Version2", r"version 2 of the license"),
     ("MplName", r"subject to the terms of the mozilla public license"),
+    ("MplCopy", r"https?://(www.)?mozilla.org/mpl/2.0"),
+    ("Epl2Name", r"eclipse public license (version |v)?2.0"),
+    ("Epl1Name", r"eclipse public license (version |v)?1.0"),
+    ("EuplName", r"european union public licen[cs]e"),
+    ("CddlName", r"common development and distribution license"),
+    ("BoostName", r"boost software license (- )?(version |v)?1.0"),
+    ("WtfplName", r"do what the fuck you want to public license"),
+    ("ZlibAsIs", r"this software is provided as-is without any express or implied warranty"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("CcByNcSa", r"licensed under (a )?(cc|creative commons) (by|attribution)-(nc|noncommercial)-(sa|sharealike)"),
     ("CcByNcNd", r"licensed under (a )?(cc|creative commons) (by|attribution)-(nc|noncommercial)-(nd|noderivatives)"),
     ("CcByNc", r"licensed under (a )?(cc|creative commons) (by|attribution)-(nc|noncommercial)"),
@@ -66,9 +83,31 @@ LICENCES = (
     ("BSD-2-Clause", "BsdUse BsdSource BsdBinary BsdAsIs"),
     ("BSD-2-Clause", "BsdUse BsdSource BsdBinary"),
     ("Apache-2.0", "ApacheName ApacheCopy ApacheBasis"),
+    ("GPL-3.0", "GplFree Version3 GplWarranty GplCopy"),
+    ("GPL-3.0", "GplFree Version3 GplWarranty"),
+    ("GPL-3.0", "GplFree Version3"),
+    ("GPL-2.0", "GplFree Version2 GplWarranty GplCopy"),
+    ("GPL-2.0", "GplFree Version2 GplWarranty"),
+    ("GPL-2.0", "GplFree Version2"),
     ("GPL", "GplFree GplWarranty GplCopy"),
     ("GPL", "GplFree GplWarranty"),
     ("GPL", "GplFree"),
+    ("AGPL-3.0", "AgplName Version3 GplWarranty AgplCopy"),
+    ("AGPL-3.0", "AgplName Version3 GplWarranty"),
+    ("AGPL-3.0", "AgplName Version3"),
+    ("LGPL-3.0", "LgplName Version3 GplWarranty LgplCopy"),
+    ("LGPL-3.0", "LgplName Version3 GplWarranty"),
+    ("LGPL-3.0", "LgplName Version3"),
+    ("LGPL-2.1", "LgplName Version21 GplWarranty LgplCopy"),
+    ("LGPL-2.1", "LgplName Version21 GplWarranty"),
+    ("LGPL-2.1", "LgplName Version21"),
+    ("LGPL-2.0", "LgplName Version2 GplWarranty LgplCopy"),
+    ("LGPL-2.0", "LgplName Version2 GplWarranty"),
+    ("LGPL-2.0", "LgplName Version2"),
+    ("AGPL", "AgplName GplWarranty AgplCopy"),
+    ("LGPL", "LgplName GplWarranty LgplCopy"),
+    ("Zlib", "ZlibAsIs ZlibGrant"),
+    ("MPL-2.0", "MplName MplCopy"),
     ("ISC", "IscGrant MitAsIs"),
     ("ISC", "IscGrant"),
     ("MIT", "MitGrant"),
@@ -78,9 +117,19 @@ LICENCES = (
     ("BSD", "BsdUse"),
     ("AGPL", "AgplName"),
     ("LGPL", "LgplName"),
+    ("AGPL", "AgplCopy"),
+    ("LGPL", "LgplCopy"),
     ("GPL-3.0", "Gpl3Name"),
     ("GPL-2.0", "Gpl2Name"),
     ("MPL", "MplName"),
+    ("MPL-2.0", "MplCopy"),
+    ("EPL-2.0", "Epl2Name"),
+    ("EPL-1.0", "Epl1Name"),
+    ("EUPL", "EuplName"),
+    ("CDDL", "CddlName"),
+    ("BSL-1.0", "BoostName"),
+    ("WTFPL", "WtfplName"),
+    ("Unlicense", "Unlicense"),
     ("CC-BY-NC-SA", "CcByNcSa"),
     ("CC-BY-NC-ND", "CcByNcNd"),
     ("CC-BY-NC", "CcByNc"),
@@ -89,17 +138,21 @@ LICENCES = (
     ("CC-BY", "CcBy"),
     ("CC0-1.0", "CcZero"),
     ("Public-Domain", "PublicDomain"),
+)
+# Rules that count only where no other licence was found.
+LAST = (
     ("Proprietary", "Copyright AllRights"),
     ("Proprietary", "AllRights"),
-    ("SPDX", "SpdxTag"),
 )
 # Stems of which every known sentence has one; a sentence with none is passed over.
-STEMS = "licen|permission|warrant|redistribut|copyright|spdx|public domain|creative commons|rights reserved|cc0|as is|obtain a copy|endorse"
+STEMS = "licen|permission|warrant|redistribut|copyright|spdx|public domain|creative commons|rights reserved|cc0|as is|obtain a copy|endorse|mozilla"
 #: Marks of comments at the start or end of a line.
 COMMENT = r"(?m)^[ \t]*(?:/{2,}!*|/\*+!*|-{2,}|;+|!+|\.\\\")|\*+/[ \t]*$"
 SPDX_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?\)*"
-SPDX = rf"(?i)(?<![a-z0-9.+/:-])spdx-license-identifier:\s*({SPDX_ID}(?:\s+(?:and|or|with)\s+{SPDX_ID})*)"
+SPDX = rf"(?i)(^|[^a-z0-9.+/:-])spdx-license-identifier:\s*({SPDX_ID}(?:\s+(?:and|or|with)\s+{SPDX_ID})*)"
 ENDS, STRANGE = r"([.!?;])\s+|\n[ \t]*\n", r"[^a-z0-9.+/:-]+"
+#: What denies the phrase after it; its verb is spoilt for the expressions above.
+DENIED = r"(^| )((?:not|never|nor|no longer|neither) (?:be |been |yet |currently )?)(released|licensed|distributed|available|granted|permitted|under|subject)"
 
 
 def sequence(text: Column) -> Column:
@@ -107,6 +160,7 @@ def sequence(text: Column) -> Column:
 
     def known(sentence: Column) -> Column:
         """The identifiers of a normalised sentence by position; what one stands for is used up."""
+        sentence = F.regexp_replace(sentence, DENIED, "$1$2-$3")
         for name, regex in SENTENCES:
             head, _, tail = regex.partition(".*")
             sentence = F.regexp_replace(sentence, f"(^| ){head}" + (f"(?=.*{tail})" if tail else ""), f" \u0002{name}\u0003 ")
@@ -122,7 +176,7 @@ def sequence(text: Column) -> Column:
         """The identifiers of a sentence, between its SPDX tags and of these."""
         none = F.array().cast("array<string>")
         parts = F.zip_with(
-            F.split(sentence, SPDX), F.regexp_extract_all(sentence, F.lit(SPDX), F.lit(1)),
+            F.split(sentence, SPDX), F.regexp_extract_all(sentence, F.lit(SPDX), F.lit(2)),
             lambda part, tag: F.concat(known(F.regexp_replace(F.lower(part), STRANGE, " ")), F.coalesce(tagged(tag), none)),
         )
         return F.flatten(parts)
@@ -135,6 +189,11 @@ def sequence(text: Column) -> Column:
     return F.when(text.rlike(f"(?i)({STEMS})|(?i)as[^a-z0-9]+is"), F.array_join(read(text), "")).otherwise("")
 
 
+def _marks(ids: str) -> str:
+    """A rule's identifiers as they stand in a sequence."""
+    return "".join(f" {x} " for x in ids.split())
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the sentence identifiers, the licences in the order of the rules, and the identifiers that no rule used.
 
@@ -143,7 +202,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def match(seq: Column) -> Column:
         """What the rules find and leave, as a struct."""
-        rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit("".join(f" {x} " for x in ids.split())).alias("ids")) for n, ids in LICENCES))
+
+        def table(rules: tuple) -> Column:
+            return F.array(*(F.struct(F.lit(n).alias("name"), F.lit(_marks(ids)).alias("ids")) for n, ids in rules))
 
         def step(seen: Column, rule: Column) -> Column:
             hit = F.contains(seen["rest"], rule["ids"])
@@ -154,7 +215,8 @@ def scan(docs: DataFrame) -> DataFrame:
             ids = F.regexp_extract_all(seen["rest"], F.lit(" Spdx:([^ ]+) "), F.lit(1))
             return F.struct(F.regexp_replace(seen["rest"], " Spdx:[^ ]+ ", "").alias("rest"), F.array_union(seen["found"], ids).alias("found"))
 
-        return F.aggregate(rules, F.struct(seq.alias("rest"), F.array().cast("array<string>").alias("found")), step, tags)
+        first = F.aggregate(table(LICENCES), F.struct(seq.alias("rest"), F.array().cast("array<string>").alias("found")), step, tags)
+        return let(first, lambda seen: F.when(F.size(seen["found"]) > 0, seen).otherwise(F.aggregate(table(LAST), seen, step)))
 
     def tidy(joined: Column) -> Column:
         return F.trim(F.replace(joined, F.lit("  "), F.lit(" ")))
@@ -172,29 +234,52 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _sql() -> str:
     """DuckDB SQL for op1."""
-    known = " ".join(f"when regexp_matches(s, '(^| ){regex}') then '{name}'" for name, regex in SENTENCES)
-    steps, rest = [], "seq"
-    found = []
+
+    def quoted(regex: str) -> str:
+        return regex.replace("'", "''")
+
+    known = f"regexp_replace(n, '{DENIED}', '\\1\\2-\\3', 'g')"
+    chain = []
+    for k, (name, regex) in enumerate(SENTENCES):
+        head, _, tail = regex.partition(".*")
+        new = f"regexp_replace(n, '(^| ){head}', ' ' || chr(2) || '{name}' || chr(3) || ' ', 'g')"
+        new = f"case when regexp_matches(n, '{head}.*{tail}') then {new} else n end" if tail else new
+        chain.append(f"k{k + 1} as (select rid, i, j, tag, {new} n from k{k})")
+    steps, rest, found = [], "seq", []
     for j, (name, ids) in enumerate(LICENCES):
-        mark = "".join(f" {x} " for x in ids.split())
-        steps.append(f"r{j + 1} as (select *, replace({rest}, '{mark}', '') s{j + 1}, contains({rest}, '{mark}') h{j + 1} from {'r' + str(j) if j else 'r0'})")
+        mark = _marks(ids)
+        steps.append(f"r{j + 1} as (select *, replace({rest}, '{mark}', '') s{j + 1}, contains({rest}, '{mark}') h{j + 1} from r{j})")
         rest = f"s{j + 1}"
         found.append(f"case when h{j + 1} then ['{name}'] else [] end")
     listed = " || ".join(found)
-    return f"""
+    last = f"case when len(l) > 0 then rest else replace(replace(rest, '{_marks(LAST[0][1])}', ''), '{_marks(LAST[1][1])}', '') end"
+    return rf"""
 with base as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents
 ), cut as (
-  select rid, unnest(x) raw, unnest(range(1, len(x) + 1)) i from (select rid, string_split(regexp_replace(t, '{ENDS}', '\\1' || chr(1), 'g'), chr(1)) x from base)
-), ids as (
-  select rid, i, case {known} end id from (
-    select rid, i, regexp_replace(lower(raw), '{STRANGE}', ' ', 'g') s from cut where regexp_matches(raw, '(?i)({STEMS})|(?i)as[^a-z0-9]+is'))
+  select rid, unnest(x) raw, unnest(range(1, len(x) + 1)) i from (
+    select rid, string_split(regexp_replace(regexp_replace(t, '{quoted(COMMENT)}', ' ', 'g'), '{ENDS}', '\1' || chr(1), 'g'), chr(1)) x from base)
+), parts as (
+  select rid, i, unnest(p) part, unnest(range(1, len(p) + 1)) j, unnest(g) tag from (
+    select rid, i, regexp_split_to_array(raw, '{SPDX}') p, list_resize(regexp_extract_all(raw, '{SPDX}', 2), len(regexp_split_to_array(raw, '{SPDX}')), null) g
+    from cut where regexp_matches(raw, '(?i)({STEMS})|(?i)as[^a-z0-9]+is'))
+), k0 as (
+  select rid, i, j, tag, {known} n from (select rid, i, j, tag, regexp_replace(lower(part), '{STRANGE}', ' ', 'g') n from parts)
+), {", ".join(chain)}
+, ids as (
+  select rid, i, j, regexp_extract_all(n, chr(2) || '([^' || chr(3) || ']*)' || chr(3), 1) || case when tag is null then [] else list_transform(
+    string_split(regexp_replace(regexp_replace(regexp_replace(tag, '[()]', '', 'g'), '(?i)\s+with\s+', ' SpdxWith:', 'g'), '(?i)\s+(and|or)\s+', ' ', 'g'), ' '),
+    lambda x: case when starts_with(x, 'SpdxWith:') then x else 'Spdx:' || x end) end l from k{len(SENTENCES)}
 ), r0 as (
   select doc_id, coalesce(q, '') seq from base left join (
-    select rid, string_agg(' ' || id || ' ', '' order by i) q from ids where id is not null group by rid) using (rid)
+    select rid, string_agg(' ' || array_to_string(l, '  ') || ' ', '' order by i, j) q from ids where len(l) > 0 group by rid) using (rid)
 ), {", ".join(steps)}
-select doc_id, trim(replace(seq, '  ', ' ')) sentences, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') licences,
-  trim(replace({rest}, '  ', ' ')) unused
-from (select *, {listed} l from r{len(LICENCES)})"""
+, tagged as (
+  select doc_id, seq, {listed} || regexp_extract_all({rest}, ' Spdx:([^ ]+) ', 1) l, regexp_replace({rest}, ' Spdx:[^ ]+ ', '', 'g') rest from r{len(LICENCES)}
+)
+select doc_id, trim(replace(seq, '  ', ' ')) sentences,
+  case when len(l) > 0 then array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') when contains(rest, ' AllRights ') then 'Proprietary' else '' end licences,
+  trim(replace({last}, '  ', ' ')) unused
+from tagged"""
 
 
 SQL = _sql()

@@ -13,9 +13,12 @@ distance from below. A task returns a spanning forest of its links, never all
 pairs of a group, and components grow from these forests by star contraction.
 
 Defined results: null or wordless text has fingerprint zero and links like any
-other; repeated rows stay, each with its component; rows with a null doc_id are
+other; a very long text is read whole, its shingles a few thousand at a time;
+repeated rows stay in ``near_duplicates``, each with its component, and
+``deduplicate`` keeps one row of each component; rows with a null doc_id are
 members, but give no component id unless all members' ids are null; an empty
-table gives an empty result. Other columns of the input are ignored.
+table gives an empty result. Other columns of the input, whatever their names and
+kinds, are ignored by ``near_duplicates`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations

@@ -64,7 +64,7 @@ TRICKY = [
     ("text", "sentences", "found"),
     [
         ("Licensed under the Apache License, Version 2.0 or released under the MIT license", "ApacheName MitName", "MIT Apache-2.0"),
-        ("Copyright 2020 Foo\nSPDX-License-Identifier: MIT\nAll rights reserved", "Copyright Spdx:MIT AllRights", "Proprietary MIT"),
+        ("Copyright 2020 Foo\nSPDX-License-Identifier: MIT\nAll rights reserved", "Copyright Spdx:MIT AllRights", "MIT"),
         ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "Spdx:GPL-2.0-only SpdxWith:Linux-syscall-note Spdx:BSD-3-Clause", "GPL-2.0-only BSD-3-Clause"),
         ("This software is provided by the authors, released under the MIT license, as is", "BsdAsIs MitName", "MIT"),
         *((f"{c} Permission is hereby granted, free of charge, to any person obtaining a copy\n{c} of this software", "MitGrant", "MIT") for c in ("//", "--", "///", ";;", "!", "#", " *", '.\\"')),
@@ -77,6 +77,51 @@ def test_all_licences_of_a_sentence(spark, text, sentences, found):
     assert (row["sentences"], row["licences"]) == (sentences, found)
 
 
+GNU = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU {0}General Public License as published by
+the Free Software Foundation, either version {1} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+You should have received a copy of the GNU {0}General Public License
+along with this program."""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+2. Redistributions in binary form must reproduce the above copyright notice.
+3. Neither the name of the copyright holder may be used to endorse or promote products derived from this software.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "AS IS"."""
+WHOLE = {
+    GNU.format("", 3): "GPL-3.0", GNU.format("", 2): "GPL-2.0", GNU.format("Lesser ", "2.1"): "LGPL-2.1", GNU.format("Lesser ", 3): "LGPL-3.0", GNU.format("Affero ", 3): "AGPL-3.0",
+    "\n".join("# " + x for x in GNU.format("", 3).split("\n")): "GPL-3.0", BSD: "BSD-3-Clause", MIT: "MIT",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications.": "Zlib",
+    "This is free and unencumbered software released into the public domain.": "Unlicense", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "under the Eclipse Public License v2.0": "EPL-2.0",
+    "Copyright 2019 Big Corp. All rights reserved.": "Proprietary", "This is not released under the MIT License.": "", "It is no longer licensed under the GNU General Public License version 3": "",
+    "licensed under the GNU General Public License version 3, all rights reserved": "GPL-3.0", "": "", "SPDX-License-Identifier: MIT OR (Apache-2.0 WITH LLVM-exception)": "MIT Apache-2.0",
+}
+
+
+def test_whole_licence_texts(spark):
+    import duckdb
+
+    texts = list(enumerate(WHOLE))
+    got = licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {t: r["licences"] for (_, t), r in zip(texts, sorted(got), strict=True)} == WHOLE
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", texts)
+    assert ordered(con.execute(licences.SQL).fetchall()) == ordered(tuple(r) for r in got)
+
+
 def test_pii(spark, odd, empty):
     rows = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
     for r in pii.digests(pii.find(rows)).collect():
