@@ -2,12 +2,20 @@
 
 Chunks are (chunk_id, text), queries (query_id, query). Results are (query_id,
 rank, chunk_id, score): the best ``limit`` of each query by score, ties by id.
-Query tokens join the postings on the token, so a query touches only chunks that
-share a token with it.
+
+Up to SENT_TOKENS different (query, token) pairs, counted before, the queries are
+sent to all tasks, and no token is shuffled: one narrow pass tokenises the chunks
+in the JVM and keeps, inside each chunk's row, which tokens of the queries it has
+and how often; the rows are written once, document frequencies are one small
+aggregation over them, and a second narrow pass scores a batch of rows at a time
+and hands on each query's best alone. Beyond, query tokens join the postings on the
+token.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import tokens
+from plinth.sources.shared import stored
 
 K1, B = 1.5, 0.75
 RRF_K, WIDEN, LEAST = 60, 4, 20
@@ -24,8 +33,8 @@ VECTOR_BLOCK = 1 << 13
 SPREAD, SPREAD_FROM = 16, 1 << 9
 #: Scores of one matrix product.
 SCORES = 1 << 21
-#: Different (query, token) pairs up to which the queries' side of a join is sent to all tasks; beyond, both sides are shuffled.
-SENT_TOKENS = 1 << 20
+#: Different (query, token) pairs, and queries, up to which the queries are sent to all tasks; beyond, both sides are shuffled.
+SENT_TOKENS, SENT_QUERIES = 1 << 20, 1 << 14
 
 
 def check_limit(limit: int) -> None:
@@ -46,20 +55,110 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
+def best_of(scores: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``kept`` highest scores of each row; of ties, to nine digits, the first columns."""
+    shown = np.round(scores, 9)
+    edge = np.partition(shown, -kept, axis=1)[:, -kept, None]
+    above, ties = shown > edge, shown == edge
+    return np.nonzero(above | (ties & (np.cumsum(ties, axis=1) <= kept - above.sum(axis=1, keepdims=True))))
+
+
 def _sent(rows: DataFrame, n: int):
     """rows for a join: marked for sending where their number n, counted before, allows it."""
     return F.broadcast(rows) if n <= SENT_TOKENS else rows
 
 
 def postings(chunks: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """token, chunk_id, tf, and the chunk's length in tokens; only the tokens ``among`` others, where given.
-
-    Rows are dealt by chunk, so that scores of a chunk need no further shuffle.
-    """
+    """token, chunk_id, tf, and the chunk's length in tokens; only the tokens ``among`` others, where given."""
     rows = chunks.select("chunk_id", tokens(F.col("text")).alias("tokens"))
     rows = rows.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
     rows = rows if among is None else rows.join(among, "token", "left_semi")
-    return rows.repartition("chunk_id").groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
+    return rows.groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
+
+
+def counted_tokens(chunks: DataFrame, wanted: list[str]) -> DataFrame:
+    """chunk_id, length in tokens, and two arrays: which of the wanted tokens a chunk has, by their place in the list, and how often."""
+    shared = chunks.sparkSession.sparkContext.broadcast(pa.array(wanted, pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            at = pc.index_in(lists.flatten(), shared.value)
+            row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+            known = np.asarray(pc.is_valid(at))
+            pair = row[known] * len(wanted) + np.asarray(pc.drop_null(at), np.int64)
+            pair, count = np.unique(pair, return_counts=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(len(lists) + 1) * len(wanted)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pair % max(1, len(wanted)), count)]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pc.list_value_length(lists), *arrays], ["chunk_id", "length", "at", "tf"])
+
+    rows = chunks.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    return rows.mapInArrow(run, f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, length int, at array<int>, tf array<int>")
+
+
+def _ranked_in_batches(counted: DataFrame, queries: pa.Array, pairs: tuple, limit: int, saturation: tuple[float, float, float] | None, kind: str) -> DataFrame:
+    """The best ``limit`` chunks of each query: scores of a batch at a time, each query's best of it, then of all.
+
+    pairs: query numbers, token numbers and weights, ordered by token. saturation: k1, b and the average length; none counts tokens.
+    """
+    query, token, weight = pairs
+    shared = counted.sparkSession.sparkContext.broadcast((queries, query, np.searchsorted(token, np.arange(int(token.max(initial=-1)) + 2)), weight))
+    step = max(1, SCORES // max(1, len(queries)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, query, starts, weight = shared.value
+        for batch in batches:
+            batch = pa.Table.from_batches([batch]).sort_by("chunk_id").combine_chunks()
+            for part in (batch.slice(i, step).combine_chunks() for i in range(0, batch.num_rows, step)):
+                at, tf = (part.column(c).combine_chunks().flatten().to_numpy() for c in ("at", "tf"))
+                length = part.column("length").to_numpy().astype(np.float64)
+                row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(part.column("at"))))
+                part_score = tf.astype(np.float64)
+                if saturation is not None:
+                    k1, b, average = saturation
+                    ratio = length[row] / average if average > 0 else 0.0
+                    part_score = tf * (k1 + 1) / (tf + k1 * (1 - b + b * ratio))
+                n = starts[at + 1] - starts[at]
+                scores = np.zeros(len(asked) * part.num_rows)
+                ends = np.cumsum(n)
+                for first in range(0, len(at), 1 << 14):  # postings at a time, so that few matches are spelled out at once
+                    last = min(first + (1 << 14), len(at))
+                    m = n[first:last]
+                    pick = np.repeat(starts[at[first:last]] - (ends[first:last] - m), m) + np.arange(ends[first] - m[0], ends[last - 1])
+                    scores += np.bincount(query[pick] * part.num_rows + np.repeat(row[first:last], m), weight[pick] * np.repeat(part_score[first:last], m), len(scores))
+                scores = scores.reshape(len(asked), part.num_rows)
+                q, c = best_of(scores, min(limit, part.num_rows)) if limit and scores.size else (np.empty(0, np.int64),) * 2
+                some = scores[q, c] > 0
+                q, c = q[some], c[some]
+                columns = [asked.take(pa.array(q)), part.column("chunk_id").take(pa.array(c)).combine_chunks(), pa.array(scores[q, c])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "score"])
+
+    return top(counted.mapInArrow(run, f"query_id {kind}, chunk_id {counted.schema['chunk_id'].dataType.simpleString()}, score double"), limit)
+
+
+def _search(chunks: DataFrame, queries: DataFrame, limit: int, saturation: tuple[float, float] | None) -> DataFrame | None:
+    """Results by the narrow passes; None where the queries are too many to be sent."""
+    wanted = stored(query_tokens(queries), "wanted")
+    n, m = wanted.agg(F.count("*"), F.count_distinct("query_id")).first()
+    if n > SENT_TOKENS or m > SENT_QUERIES:
+        return None
+    rows = wanted.select("query_id", "token", F.col("qtf").cast("double").alias("qtf")).toArrow().combine_chunks()
+    asked, words = (pc.unique(rows.column(c)) for c in ("query_id", "token"))
+    counted = stored(counted_tokens(chunks, words.to_pylist()), "counted")
+    query, token = (np.asarray(pc.index_in(rows.column(c), x), np.int64) for c, x in (("query_id", asked), ("token", words)))
+    weight = rows.column("qtf").to_numpy()
+    if saturation is not None:
+        n_chunks, average = counted.agg(F.count("*"), F.avg("length")).first()
+        df = counted.select(F.explode("at").alias("token")).groupBy("token").agg(F.count("*").alias("df")).toArrow()  # a row for each token of the queries at most
+        seen = np.zeros(len(words))
+        seen[df.column("token").to_numpy()] = df.column("df").to_numpy()
+        weight = weight * np.log(1 + (n_chunks - seen + 0.5) / (seen + 0.5))[token]
+        saturation = (*saturation, average or 0.0)
+    else:
+        weight = np.ones(len(token))
+    order = np.argsort(token, kind="stable")
+    asked = asked.combine_chunks() if isinstance(asked, pa.ChunkedArray) else asked
+    return _ranked_in_batches(counted, asked, (query[order], token[order], weight[order]), limit, saturation, queries.schema["query_id"].dataType.simpleString())
 
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
@@ -71,23 +170,25 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
 
 def lexical_search(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """Score: how many of a chunk's tokens are among the query's."""
+    check_limit(limit)
+    found = _search(chunks, queries, limit, None)
+    return top(lexical_scores(chunks, queries), limit) if found is None else found
+
+
+def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of every pair that shares a token, by a join."""
     wanted = query_tokens(queries).select("query_id", "token")
     n = wanted.count()
-    found = postings(chunks, _sent(wanted.select("token").distinct(), n)).join(_sent(wanted, n), "token").groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
-    return top(found, limit)
+    return postings(chunks, _sent(wanted.select("token").distinct(), n)).join(_sent(wanted, n), "token").groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, score) with scores above 0; a token that a query repeats counts as often.
-
-    Document frequencies are only counted for tokens of the queries. They are summed from the very rows that are scored, so both
-    share one shuffle.
-    """
+    """(query_id, chunk_id, score) of every pair with a score above 0, by a join; a token that a query repeats counts as often."""
     wanted = query_tokens(queries)
     n = wanted.count()
     size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avg_length"))
-    hits = postings(chunks, _sent(wanted.select("token").distinct(), n))
-    df = hits.groupBy("token").agg(F.sum(F.when(F.col("tf") * F.col("length") > 0, 1)).alias("df"))
+    hits = stored(postings(chunks, _sent(wanted.select("token").distinct(), n)), "postings")
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
     weighed = df.join(_sent(wanted, n), "token").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.select("query_id", "token", (idf * F.col("qtf")).alias("weight"), "avg_length")
@@ -97,7 +198,10 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float
 
 
 def bm25_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    return top(bm25_scores(chunks, queries, k1, b), limit)
+    """As bm25_scores, the best ``limit`` of each query."""
+    check_limit(limit)
+    found = _search(chunks, queries, limit, (k1, b))
+    return top(bm25_scores(chunks, queries, k1, b), limit) if found is None else found
 
 
 def cosine(left: str, right: str):
@@ -147,11 +251,7 @@ def semantic_search(index: DataFrame, queries: DataFrame, limit: int = 10) -> Da
             step = max(1, SCORES // len(chunks))
             for at in range(0, len(a), step):
                 scores = a[at : at + step] @ b
-                shown = np.round(scores, 9)
-                edge = np.partition(shown, -kept, axis=1)[:, -kept, None]
-                above, ties = shown > edge, shown == edge
-                best = above | (ties & (np.cumsum(ties, axis=1) <= kept - above.sum(axis=1, keepdims=True)))  # of ties, the least ids
-                q, c = np.nonzero(best)
+                q, c = best_of(scores, kept)
                 found.append((q + at, c, scores[q, c]))
         q, c, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"query_id": asked["query_id"].take(pa.array(q)), "chunk_id": chunks["chunk_id"].take(pa.array(c)), "score": pa.array(score)})
