@@ -53,15 +53,15 @@ def redact_lines(text: Column, words: tuple[str, ...] = ("api_key", "apikey", "s
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(x.rlike(f"(?i)({'|'.join(words)})"), "<hidden>").otherwise(x)), "\n")
 
 
-def token_estimate(characters: Column) -> Column:
-    """Four characters to a token, rounded up."""
-    return F.ceil(characters / F.lit(4.0)).cast("long")
+# What names a metric, and the signs of formulas.
+METRIC = r"(?i)\b(rrf\s*\(|mrr\b|recall@|hit@)"
+SIGNS = "=+-*/^<>≈≤≥∑Σ∫√∂αβγλθ"
 
 
 def formula_line(line: Column) -> Column:
-    """Names a metric with its cut-off or value, or has a mathematical sign, a digit and a letter."""
-    metric = line.rlike(r"(?i)\b(precision|recall|ndcg|mrr|map|hit|f1|accuracy)(@[0-9]+)?\s*=")
-    return metric | (line.rlike(r"[=+*/^<>%|]") & line.rlike("[0-9]") & line.rlike("[A-Za-z]"))
+    """Names a metric, or has a mathematical sign, a digit and a letter."""
+    signs = "".join("\\" + c if c in "-^" else c for c in SIGNS)
+    return line.rlike(METRIC) | (line.rlike(f"[{signs}]") & line.rlike(r"\p{Nd}") & line.rlike(r"\p{L}"))
 
 
 def source_label(path: Column, first_page: Column, last_page: Column) -> Column:

@@ -45,26 +45,29 @@ def split_oversized(docs: DataFrame, size: int = 1000, overlap: int = 100) -> Da
     return rows.select("document_id", "piece", start.alias("start_char"), F.least(start + size, F.length("text")).alias("end_char"), F.substring("text", start + 1, F.lit(size)).alias("text"))
 
 
-def block_chunks(blocks: DataFrame, size: int = 1000) -> DataFrame:
+def block_chunks(blocks: DataFrame, size: int = 1000, overlap: int = 0, split: bool = True) -> DataFrame:
     """Blocks (document_id, block_index, block_type, text, start_char, end_char) packed in order into chunks.
 
-    Text is joined by an empty line; a chunk ends before it would pass ``size``; a table stands alone; empty blocks are left out.
-    A document's blocks are folded in one row, so nothing but that document is gathered. Where blocks have them, page_number becomes
-    page_start and page_end, heading_path the first that isn't empty, level the only one there is, warnings all in order.
+    Text is joined by an empty line; a chunk ends before it would pass ``size``; a table stands alone, whole; another block longer than
+    ``size`` is cut into overlapping pieces, each a chunk with its own range, unless ``split`` is off; empty blocks are left out.
+    ``exceeds`` marks chunks longer than ``size``. A document's blocks are folded in one row, so nothing but that document is gathered.
+    Where blocks have them, page_number becomes page_start and page_end, heading_path the first that isn't empty, level the only one
+    there is, warnings all in order, media_type the first, formula_lines those that stand in the chunk, ten at most, removed_lines the sum.
     """
-    check_sizes(size, 0)
-    more = [c for c in ("page_number", "heading_path", "level", "warnings") if c in blocks.columns]
+    check_sizes(size, overlap)
+    more = [c for c in ("page_number", "heading_path", "level", "warnings", "media_type", "formula_lines", "removed_lines") if c in blocks.columns]
     block = F.struct("block_index", "block_type", "text", "start_char", "end_char", *more)
     kept = blocks.where(F.length("text") > 0).groupBy("document_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
-    chunk = "struct<n:int,table:boolean,from:int,to:int>"
+    chunk = "struct<n:int,alone:boolean,from:int,to:int>"
     none = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open"))
 
     def add(seen: Column, i: Column, all_blocks: Column) -> Column:
         b = F.element_at(all_blocks, i)
-        table = b["block_type"] == "table"
-        fits = seen["open"].isNotNull() & ~seen["open"]["table"] & ~table & (seen["open"]["n"] + 2 + F.length(b["text"]) <= size)
-        fresh = F.struct(F.length(b["text"]).alias("n"), table.alias("table"), i.alias("from"), i.alias("to"))
-        grown = F.struct((seen["open"]["n"] + 2 + F.length(b["text"])).alias("n"), F.lit(False).alias("table"), seen["open"]["from"].alias("from"), i.alias("to"))
+        n = F.length(b["text"])
+        alone = (b["block_type"] == "table") | (n > size)
+        fits = seen["open"].isNotNull() & ~seen["open"]["alone"] & ~alone & (seen["open"]["n"] + 2 + n <= size)
+        fresh = F.struct(n.alias("n"), alone.alias("alone"), i.alias("from"), i.alias("to"))
+        grown = F.struct((seen["open"]["n"] + 2 + n).alias("n"), F.lit(False).alias("alone"), seen["open"]["from"].alias("from"), i.alias("to"))
         closed = F.when(fits | seen["open"].isNull(), seen["done"]).otherwise(F.concat(seen["done"], F.array(seen["open"])))
         return F.struct(closed.alias("done"), F.when(fits, grown).otherwise(fresh).alias("open"))
 
@@ -72,17 +75,30 @@ def block_chunks(blocks: DataFrame, size: int = 1000) -> DataFrame:
         state = F.aggregate(F.sequence(F.lit(1), F.size(all_blocks)), none, lambda s, i: add(s, i, all_blocks))
         return let(state, lambda s: F.concat(s["done"], F.array(s["open"])))
 
-    chunks = kept.withColumn("chunks", let(F.col("blocks"), pack)).select("document_id", "blocks", F.posexplode("chunks").alias("chunk_index", "c"))
+    def cut(c: Column, all_blocks: Column) -> Column:
+        """A chunk, or the pieces of one that is a single long block: where they begin in its text; null for the whole."""
+        long = F.lit(split) & c["alone"] & (F.element_at(all_blocks, c["from"])["block_type"] != "table")
+        pieces = F.sequence(F.lit(0), F.ceil((c["n"] - size) / F.lit(float(size - overlap))).cast("int"))
+        whole = F.array(F.struct(c["from"].alias("from"), c["to"].alias("to"), F.lit(None).cast("int").alias("at")))
+        return F.when(long, F.transform(pieces, lambda k: F.struct(c["from"].alias("from"), c["to"].alias("to"), (k * (size - overlap)).alias("at")))).otherwise(whole)
+
+    chunks = kept.withColumn("chunks", let(F.col("blocks"), lambda b: F.flatten(F.transform(pack(b), lambda c: cut(c, b)))))
+    chunks = chunks.select("document_id", "blocks", F.posexplode("chunks").alias("chunk_index", "c"))
     part = F.slice("blocks", F.col("c.from"), F.col("c.to") - F.col("c.from") + 1)
-    rows = chunks.select("document_id", "chunk_index", part.alias("p"))
+    joined = F.array_join(F.transform("p", lambda b: b["text"]), "\n\n")
+    rows = chunks.select("document_id", "chunk_index", F.col("c.at").alias("at"), part.alias("p"))
+    rows = rows.withColumn("text", F.when(F.col("at").isNull(), joined).otherwise(F.substring(F.col("p")[0]["text"], F.col("at") + 1, F.lit(size))))
+    first = F.array_min(F.transform("p", lambda b: b["start_char"])) + F.coalesce("at", F.lit(0))
+    last = F.when(F.col("at").isNull(), F.array_max(F.transform("p", lambda b: b["end_char"]))).otherwise(first + F.length("text"))
     return rows.select(
         "document_id",
         "chunk_index",
-        F.array_join(F.transform("p", lambda b: b["text"]), "\n\n").alias("text"),
-        F.array_min(F.transform("p", lambda b: b["start_char"])).alias("start_char"),
-        F.array_max(F.transform("p", lambda b: b["end_char"])).alias("end_char"),
+        "text",
+        first.alias("start_char"),
+        last.alias("end_char"),
         F.array_distinct(F.transform("p", lambda b: b["block_type"])).alias("block_types"),
         (F.size("p") == 1).alias("single"),
+        (F.length("text") > size).alias("exceeds"),
         *_rolled_up(more),
     )
 
@@ -98,6 +114,13 @@ def _rolled_up(names: list[str]) -> list[Column]:
     if "level" in names:
         levels = F.array_distinct(F.filter(F.transform("p", lambda b: b["level"]), lambda x: x.isNotNull()))
         out.append(F.when(F.size(levels) == 1, levels[0]).alias("level"))
+    if "media_type" in names:
+        out.append(F.get(F.filter(F.transform("p", lambda b: b["media_type"]), lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0)).alias("media_type"))
+    if "formula_lines" in names:
+        all_ = F.flatten(F.transform("p", lambda b: F.coalesce(b["formula_lines"], F.array().cast("array<string>"))))
+        out.append(F.slice(F.filter(all_, lambda x: F.contains(F.col("text"), x)), 1, 10).alias("formula_lines"))
+    if "removed_lines" in names:
+        out.append(F.aggregate("p", F.lit(0), lambda n, b: n + F.coalesce(b["removed_lines"], F.lit(0)).cast("int")).alias("removed_lines"))
     if "warnings" in names:
         out.append(F.flatten(F.transform("p", lambda b: F.coalesce(b["warnings"], F.array().cast("array<string>")))).alias("warnings"))
     return out

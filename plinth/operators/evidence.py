@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import let, tokens
@@ -19,38 +23,152 @@ def group_blocks(blocks: DataFrame, useful: tuple[str, ...] = ("paragraph", "lis
     return grouped.select("document_id", F.col("run").cast("int").alias("run"), "path", "first_block", "n_blocks", "n_chars")
 
 
-def map_spans(spans: DataFrame, chunks: DataFrame, least: float = 0.3) -> DataFrame:
-    """Chunks that cover at least ``least`` of a span: (span_id, chunk_id, overlap_ratio).
+def plain_path(path: Column) -> Column:
+    """A path with forward slashes, none at its end."""
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+$", "")
+
 
-    Spans and chunks meet on the file name, then their paths must be equal or one end in the other, and their ranges overlap.
+def matching_paths(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_path, right_path, kind) for paths (path) that are equal (exact) or of which one ends in the other after a slash (suffix).
+
+    Either side's tails meet the other side's whole paths, so paths that only share a file's name don't meet.
     """
-    name = r"([^/]*)$"
-    a = spans.select("span_id", F.col("source_path").alias("span_path"), F.col("start_char").alias("s1"), F.col("end_char").alias("e1"), F.regexp_extract("source_path", name, 1).alias("name"))
-    b = chunks.select("chunk_id", "source_path", "start_char", "end_char", F.regexp_extract("source_path", name, 1).alias("name"))
-    p, q = F.col("span_path"), F.col("source_path")
-    same = (p == q) | F.endswith(p, F.concat(F.lit("/"), q)) | F.endswith(q, F.concat(F.lit("/"), p))
-    met = a.join(b, "name").where(same & (F.col("s1") < F.col("end_char")) & (F.col("start_char") < F.col("e1")))
-    ratio = F.greatest(F.lit(0), F.least("e1", "end_char") - F.greatest("s1", "start_char")) / (F.col("e1") - F.col("s1"))
-    return met.withColumn("overlap_ratio", ratio).where(F.col("overlap_ratio") >= least).select("span_id", "chunk_id", "overlap_ratio")
+
+    def tails(path: str) -> Column:
+        parts = F.split(path, "/")
+        return F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
+
+    a = left.select(plain_path(F.col("path")).alias("left_path")).distinct()
+    b = right.select(plain_path(F.col("path")).alias("right_path")).distinct()
+    down = a.select("left_path", tails("left_path").alias("right_path")).join(b, "right_path").select("left_path", "right_path")
+    up = b.select("right_path", tails("right_path").alias("left_path")).join(a, "left_path").select("left_path", "right_path")
+    return down.union(up).distinct().withColumn("kind", F.when(F.col("left_path") == F.col("right_path"), "exact").otherwise("suffix"))
+
+
+#: Characters of one bin, in which ranges of spans and chunks meet.
+BIN = 4096
+
+
+def map_spans(spans: DataFrame, chunks: DataFrame, least: float = 0.3, source_only: bool = False) -> DataFrame:
+    """Chunks that hold evidence: (span_id, chunk_id, overlap_ratio, method, kind).
+
+    Paths must match (``matching_paths``). Then, of spans (span_id, source_path, start_char, end_char) and chunks (chunk_id, source_path,
+    start_char, end_char), those count that cover at least ``least`` of the span (char_overlap); for a span without such a chunk, those
+    that share a page (page_overlap), where both have page_start and page_end; for a span with neither range nor pages, all chunks of
+    its source, if ``source_only`` allows it. Ranges meet in bins of their path, pages on their numbers.
+    """
+    pages = {"page_start", "page_end"} <= {*spans.columns} & {*chunks.columns}
+    kept = ["start_char", "end_char"] + (["page_start", "page_end"] if pages else [])
+    left = spans.select("span_id", plain_path(F.col("source_path")).alias("left_path"), *(F.col(c).alias(f"span_{c}") for c in kept))
+    right = chunks.select("chunk_id", plain_path(F.col("source_path")).alias("right_path"), *kept)
+    paths = matching_paths(left.select(F.col("left_path").alias("path")), right.select(F.col("right_path").alias("path")))
+    left = left.join(paths, "left_path")
+
+    def bins(first: str, last: str) -> Column:
+        return F.sequence(F.floor(F.col(first) / BIN), F.floor((F.col(last) - 1) / BIN))
+
+    ranged = left.where("span_start_char >= 0 and span_end_char > span_start_char").withColumn("bin", F.explode(bins("span_start_char", "span_end_char")))
+    holding = right.where("start_char >= 0 and end_char > start_char").withColumn("bin", F.explode(bins("start_char", "end_char")))
+    shared = F.least("span_end_char", "end_char") - F.greatest("span_start_char", "start_char")
+    met = ranged.join(holding, ["right_path", "bin"]).where(F.col("bin") == F.floor(F.greatest("span_start_char", "start_char") / BIN))
+    met = met.withColumn("overlap_ratio", shared / (F.col("span_end_char") - F.col("span_start_char"))).where(F.col("overlap_ratio") >= least)
+    out = met.select("span_id", "chunk_id", "overlap_ratio", F.lit("char_overlap").alias("method"), "kind")
+    if pages:
+        rest = left.join(out.select("span_id").distinct(), "span_id", "left_anti")
+        first, last = F.coalesce("span_page_start", "span_page_end"), F.coalesce("span_page_end", "span_page_start")
+        paged = rest.withColumns({"a": first, "b": last}).where("a >= 1 and b >= a").withColumn("page", F.explode(F.sequence("a", "b")))
+        own = right.withColumns({"a": F.coalesce("page_start", "page_end"), "b": F.coalesce("page_end", "page_start")}).where("a >= 1 and b >= a")
+        own = own.select("chunk_id", "right_path", F.explode(F.sequence("a", "b")).alias("page"))
+        by_page = paged.join(own, ["right_path", "page"]).select("span_id", "chunk_id", F.lit(None).cast("double").alias("overlap_ratio"), F.lit("page_overlap").alias("method"), "kind").distinct()
+        out = out.union(by_page)
+    if source_only:
+        bare = "coalesce(span_start_char < 0 or span_end_char <= span_start_char, true)"
+        if pages:
+            bare += " and not coalesce(coalesce(span_page_start, span_page_end) >= 1 and coalesce(span_page_end, span_page_start) >= coalesce(span_page_start, span_page_end), false)"
+        alone = left.where(bare).join(right.select("chunk_id", "right_path"), "right_path")
+        out = out.union(alone.select("span_id", "chunk_id", F.lit(None).cast("double").alias("overlap_ratio"), F.lit("source_only").alias("method"), "kind"))
+    return out
+
+
+def unmatched_spans(spans: DataFrame, mapped: DataFrame) -> DataFrame:
+    """The spans that no chunk holds."""
+    return spans.join(mapped.select("span_id").distinct(), "span_id", "left_anti")
 
 
 def coverage(spans: DataFrame, results: DataFrame) -> DataFrame:
-    """(span_id, coverage): the share of a span that a union of result ranges (span_id, start_char, end_char) covers."""
-    cut = results.join(spans.select("span_id", F.col("start_char").alias("s"), F.col("end_char").alias("e")), "span_id")
+    """(span_id, coverage): the share of a span that a union of result ranges (span_id, start_char, end_char) covers.
+
+    Where spans and results have page_start and page_end, a span without a range gets the share of its pages that results hold, and one
+    with neither a null.
+    """
+    pages = {"page_start", "page_end"} <= {*spans.columns} & {*results.columns}
+    has = F.coalesce((F.col("start_char") >= 0) & (F.col("end_char") > F.col("start_char")), F.lit(False))
+    ranged = spans.where(has)
+    cut = results.join(ranged.select("span_id", F.col("start_char").alias("s"), F.col("end_char").alias("e")), "span_id")
     cut = cut.select("span_id", F.greatest("start_char", "s").alias("a"), F.least("end_char", "e").alias("b")).where("a < b")
     reach = F.max("b").over(Window.partitionBy("span_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(reach, F.col("a"))))
     covered = cut.withColumn("fresh", fresh).groupBy("span_id").agg(F.sum("fresh").alias("covered"))
-    return spans.join(covered, "span_id", "left").select("span_id", (F.coalesce("covered", F.lit(0)) / (F.col("end_char") - F.col("start_char"))).alias("coverage"))
+    share = F.coalesce("covered", F.lit(0)) / (F.col("end_char") - F.col("start_char"))
+    out = ranged.join(covered, "span_id", "left").select("span_id", share.alias("coverage"))
+    others = spans.where(~has)
+    if not pages:
+        return out.union(others.select("span_id", F.lit(None).cast("double")))
+    first, last = F.coalesce("page_start", "page_end"), F.coalesce("page_end", "page_start")
+    all_ = F.when((first >= 1) & (last >= first), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    wanted = others.select("span_id", all_.alias("pages"))
+    held = results.where((first >= 1) & (last >= first)).select("span_id", F.explode(F.sequence(first, last)).alias("page")).distinct()
+    held = held.join(wanted, "span_id").where(F.array_contains("pages", F.col("page"))).groupBy("span_id").agg(F.count("*").alias("n"))
+    rows = wanted.join(held, "span_id", "left")
+    return out.union(rows.select("span_id", F.when(F.size("pages") > 0, F.coalesce("n", F.lit(0)) / F.size("pages"))))
+
+
+#: Characters of all passages up to which they are sent to all tasks and sought together.
+SENT_CHARACTERS = 4 << 20
 
 
 def find_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """Where passages (query_id, query) stand word for word in documents (document_id, text): query_id, document_id, place, start_char, end_char.
 
-    Every place counts, also those that overlap; ``place`` numbers those of a passage in a document from 0. A passage's second to fourth
-    tokens, without its last, are its key; documents meet it on the hash of their runs of as many tokens, and the text decides. Passages
-    of one or two tokens, or none, are sought in every document; those without characters are left out.
+    Every place counts, also those that overlap; ``place`` numbers those of a passage in a document from 0; passages without characters
+    are left out. Up to SENT_CHARACTERS, counted before, all passages are sought in one narrow pass over the texts; beyond, they meet
+    the documents by a join.
     """
+    wanted = passages.where(F.length("query") > 0).select("query_id", "query")
+    if (wanted.agg(F.sum(F.length("query"))).first()[0] or 0) > SENT_CHARACTERS:
+        return _find_by_join(docs, wanted)
+    rows = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+    asked = wanted.toArrow().combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought: dict[str, list[int]] = {}
+        for i, q in enumerate(shared.value.column("query").to_pylist()):
+            sought.setdefault(q, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for q, at in sought.items():
+            automaton.add_word(q, (len(q), at))
+        if sought:
+            automaton.make_automaton()
+        for batch in batches:
+            found: list[tuple[int, int, int, int, int]] = []
+            for row, text in enumerate(batch.column("text").to_pylist() if sought else []):
+                places: dict[int, int] = {}
+                for last, (size, at) in automaton.iter(text):
+                    for i in at:
+                        n = places[i] = places.get(i, -1) + 1
+                        found.append((i, row, n, last + 1 - size, last + 1))
+            asked_at, row, *numbers = map(list, zip(*found, strict=True)) if found else ([], [], [], [], [])
+            columns = [shared.value.column("query_id").combine_chunks().take(pa.array(asked_at, pa.int64())), batch.column("document_id").take(pa.array(row, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int32()) for x in numbers)], ["query_id", "document_id", "place", "start_char", "end_char"])
+
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((wanted, "query_id"), (rows, "document_id"))]
+    return rows.mapInArrow(run, f"query_id {kinds[0]}, document_id {kinds[1]}, place int, start_char int, end_char int")
+
+
+def _find_by_join(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """As find_passages. A passage's second to fourth tokens, without its last, are its key; documents meet it on the hash of their runs
+    of as many tokens, and the text decides. Passages of one or two tokens, or none, are sought in every document."""
     n = F.greatest(F.lit(0), F.least(F.lit(3), F.size("w") - 2))
     keys = passages.where(F.length("query") > 0).withColumn("w", tokens(F.col("query"))).withColumn("n", n)
     keys = keys.select("query_id", "query", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
@@ -77,7 +195,7 @@ def find_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
 def build_spans(blocks: DataFrame, least: int = 250, most: int = 1200) -> DataFrame:
     """Evidence spans from blocks (document_id, block_index, block_type, text, start_char, end_char): packed up to ``most`` characters,
     longer text cut at its last blank in the second half, shorter than ``least`` left out but for a table alone; numbered in each document."""
-    packed = block_chunks(blocks, most)
+    packed = block_chunks(blocks, most, split=False)
     cut = F.substring("text", 1, most)
     blank = F.length(cut) - F.length(F.substring_index(cut, " ", -1)) - 1
     whole = F.length("text") <= most

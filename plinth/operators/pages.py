@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.functions.text import tokens
+from plinth.functions.text import strip, tokens
+from plinth.operators.parse import malformed_table, repeated_edge_lines, serialize_table
 
 #: Distance within which words share a line, and gap that splits a line.
 SAME_LINE, GAP = 3.0, 120.0
@@ -16,13 +17,24 @@ COLUMN_GAP, LEFTMOST, RIGHTMOST, COLUMN_LINES = 0.12, 0.2, 0.8, 2
 def reading_lines(words: DataFrame) -> DataFrame:
     """Words (document_id, page, x0, x1, top, text) as lines (document_id, page, line_index, top, x0, text).
 
-    A word joins the line above it where it stands within SAME_LINE of the word before it in (top, x0) order; a gap wider than GAP
-    within a line begins another.
+    A word, in (top, x0) order, joins the line before it where it stands within SAME_LINE of the mean top of that line's words so far;
+    a gap wider than GAP within a line begins another. Blank words are left out. A page's words are folded in one row.
     """
     page = ["document_id", "page"]
-    down = Window.partitionBy(*page).orderBy("top", "x0")
-    rows = words.withColumn("fresh", F.when(F.col("top") - F.lag("top").over(down) <= SAME_LINE, 0).otherwise(1))
-    rows = rows.withColumn("line", F.sum("fresh").over(down))
+    text = strip(F.col("text"))
+    kept = words.withColumn("text", text).where("text <> ''")
+    sorted_ = F.sort_array(F.collect_list(F.struct("top", "x0", "x1", "text")))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
+
+    def add(seen: Column, w: Column) -> Column:
+        joins = (seen["n"] > 0) & (F.abs(w["top"] - seen["sum"] / F.greatest(seen["n"], F.lit(1))) <= SAME_LINE)
+        line = seen["line"] + F.when(joins, 0).otherwise(1)
+        n, total = (F.when(joins, seen[k]).otherwise(0) for k in ("n", "sum"))
+        return F.struct((n + 1).alias("n"), (total + w["top"]).cast("double").alias("sum"), line.alias("line"), F.concat(seen["lines"], F.array(line)).alias("lines"))
+
+    rows = kept.groupBy(*page).agg(sorted_.alias("words"))
+    rows = rows.withColumn("lines", F.aggregate("words", none, add)["lines"]).select(*page, F.explode(F.arrays_zip("words", "lines")).alias("w"))
+    rows = rows.select(*page, F.col("w.lines").alias("line"), "w.words.*")
     along = Window.partitionBy(*page, "line").orderBy("x0")
     rows = rows.withColumn("piece", F.sum(F.when(F.col("x0") - F.lag("x1").over(along) > GAP, 1).otherwise(0)).over(along))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
@@ -50,26 +62,51 @@ def column_order(lines: DataFrame, width: float) -> DataFrame:
     return sides.select(*page, "line_index", "column", place.alias("place"), "text")
 
 
-def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """Lines (document_id, page, line_index, text) that don't repeat a table (document_id, page, text) of their page.
+def outside_tables(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Lines (document_id, page, line_index, text) that don't repeat a table row (document_id, page, text), or all rows of their page.
 
-    A line repeats it where at least two of its tokens, and four fifths of them, stand in the table.
+    A line repeats the rows together where at least two of its tokens, and four fifths of them, stand in them; it repeats one row where
+    two are shared, and these are four fifths of either side.
     """
-    held = tables.groupBy("document_id", "page").agg(F.array_distinct(F.flatten(F.collect_list(tokens(F.col("text"))))).alias("held"))
-    rows = lines.withColumn("own", F.array_distinct(tokens(F.col("text")))).join(held, ["document_id", "page"], "left")
-    shared = F.size(F.array_intersect("own", F.coalesce("held", F.array().cast("array<string>"))))
-    repeats = (F.size("own") >= 2) & (shared >= 2) & (shared >= 0.8 * F.size("own"))
-    return rows.where(~repeats).select(*lines.columns)
+    sets = F.collect_set(F.array_sort(F.array_distinct(tokens(F.col("text")))))
+    held = rows.groupBy("document_id", "page").agg(sets.alias("rows"))
+    found = lines.withColumn("own", F.array_distinct(tokens(F.col("text")))).join(held, ["document_id", "page"], "left")
+    found = found.withColumn("rows", F.coalesce("rows", F.array().cast("array<array<string>>")))
+
+    def shared(other: Column) -> Column:
+        return F.size(F.array_intersect("own", other))
+
+    def enough(other: Column) -> Column:
+        return (shared(other) >= 2) & (shared(other) >= 0.8 * F.size("own"))
+
+    one = F.exists("rows", lambda r: (F.size(r) >= 2) & enough(r) & (shared(r) >= 0.8 * F.size(r)))
+    repeats = (F.size("own") >= 2) & (enough(F.array_distinct(F.flatten("rows"))) | one)
+    return found.where(~repeats).select(*lines.columns)
+
+
+# How the caption of a table begins.
+CAPTION = r"(?i)^\s*(table\s+[0-9]+[:.]?|table\s+[ivxlcdm]+[:.]?|表\s*[0-9]+[:.]?)."
 
 
 def captions(tables: DataFrame, lines: DataFrame) -> DataFrame:
-    """Tables (document_id, page, table_index, top) with ``caption``: the nearest line above that begins as a caption does."""
-    found = lines.where(F.col("text").rlike(r"^(Table|Figure|Tab\.|Fig\.)\s*[0-9]+")).select("document_id", "page", F.col("top").alias("line_top"), F.col("text").alias("line"))
-    near = tables.join(found, ["document_id", "page"]).where("line_top < top")
-    near = near.groupBy("document_id", "page", "table_index").agg(F.max_by("line", "line_top").alias("caption"))
+    """Tables (document_id, page, table_index, top) with ``caption``: the nearest caption line above the table, or the first of its page
+    where the table has no position (a null top)."""
+    found = lines.where(F.col("text").rlike(CAPTION)).select("document_id", "page", "line_index", F.col("top").alias("line_top"), F.col("text").alias("line"))
+    near = tables.join(found, ["document_id", "page"]).where("top is null or line_top < top")
+    key = F.struct(F.when(F.col("top").isNotNull(), F.col("line_top")), -F.col("line_index"))
+    near = near.groupBy("document_id", "page", "table_index").agg(F.max_by("line", key).alias("caption"))
     return tables.join(near, ["document_id", "page", "table_index"], "left")
 
 
+def page_tables(positioned: DataFrame, plain: DataFrame) -> DataFrame:
+    """The tables of pages, serialised: those with a position (document_id, page, table_index, top, rows), on pages without any the plain
+    ones (without top). Tables without content are left out; ``malformed`` marks those with rows of different lengths."""
+    others = plain.join(positioned.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti").withColumn("top", F.lit(None).cast("double"))
+    both = positioned.withColumn("top", F.col("top").cast("double")).unionByName(others.select(*positioned.columns))
+    shown = both.withColumns({"text": serialize_table(F.col("rows")), "malformed": malformed_table(F.col("rows"))})
+    return shown.where("text <> ''").select("document_id", "page", "table_index", "top", "text", "malformed")
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """Pages (document_id, page, words_text, plain_text) with ``text``, and ``fallback`` where the words gave none."""
     blank = F.coalesce(F.trim("words_text"), F.lit("")) == ""
@@ -77,10 +114,39 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """A paragraph block for each page with text, then its tables with their captions; numbered through the document."""
+    """A paragraph block for each page with text, then its tables with their captions; numbered through the document. A page with
+    neither is a block of type empty without text, as a warning."""
     kinds = "document_id", "page", "part", "block_type", "text"
     body = pages.where(F.trim("text") != "").withColumns({"part": F.lit(-1), "block_type": F.lit("paragraph")}).select(*kinds)
     shown = F.concat_ws("\n", F.nullif("caption", F.lit("")), "text")
-    both = body.unionByName(tables.withColumns({"part": F.col("table_index"), "block_type": F.lit("table"), "text": shown}).select(*kinds))
+    tabled = tables.withColumns({"part": F.col("table_index"), "block_type": F.lit("table"), "text": shown}).select(*kinds)
+    bare = pages.where(F.trim("text") == "").join(tables.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
+    bare = bare.withColumns({"part": F.lit(-1), "block_type": F.lit("empty"), "text": F.lit("")}).select(*kinds)
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "part")) - 1
-    return both.select("document_id", index.alias("block_index"), "page", "block_type", "text")
+    return body.unionByName(tabled).unionByName(bare).select("document_id", index.alias("block_index"), "page", "block_type", "text")
+
+
+def document_text(blocks: DataFrame) -> DataFrame:
+    """document_id and the text of its blocks, joined by empty lines."""
+    parts = F.sort_array(F.collect_list(F.struct("block_index", "text")))
+    return blocks.where("text <> ''").groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def read_pages(words: DataFrame, tables: DataFrame, rows: DataFrame, plain: DataFrame, width: float) -> DataFrame:
+    """Blocks of paged documents, from positioned words to numbered blocks.
+
+    words: (document_id, page, x0, x1, top, text); tables: as ``page_tables`` gives them; rows: their rows' texts (document_id, page,
+    text); plain: (document_id, page, plain_text), one for each page, for pages whose words give nothing. Words become lines in reading
+    order, headers and footers go, then lines that repeat a table; the rest of a page is its paragraph.
+    """
+    lines = reading_lines(words)
+    ordered = column_order(lines, width).select("document_id", "page", F.col("place").alias("line_index"), "text")
+    kept = repeated_edge_lines(ordered).where("not removed").drop("removed")
+    kept = outside_tables(kept, rows)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "text"))), lambda x: x["text"]), "\n")
+    texts = kept.groupBy("document_id", "page").agg(joined.alias("words_text"))
+    had = words.where(strip(F.col("text")) != "").select("document_id", "page", F.lit(True).alias("had")).distinct()
+    pages = plain.join(texts, ["document_id", "page"], "left").join(had, ["document_id", "page"], "left")
+    plain_text = F.when(F.col("had"), "").otherwise(F.col("plain_text"))
+    pages = page_text(pages.withColumn("plain_text", plain_text))
+    return page_blocks(pages, captions(tables, lines))

@@ -2,51 +2,109 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import let
 
 
+class _Lines(NamedTuple):
+    """The lines of a batch of texts, one after another: their text's row, number, first character and length, and whether they are blank."""
+
+    row: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    blank: np.ndarray
+    text: pa.Array
+
+
+def _lines_of(texts: pa.Array) -> _Lines:
+    lists = pc.split_pattern(texts, "\n")
+    flat = lists.flatten()
+    sizes = np.asarray(pc.list_value_length(lists))
+    row = np.repeat(np.arange(len(texts)), sizes)
+    first = np.cumsum(sizes) - sizes
+    length = np.asarray(pc.utf8_length(flat), np.int64)
+    ends = np.cumsum(length + 1)
+    start = ends - length - 1
+    return _Lines(row, np.arange(len(flat)) - first[row], start - start[first][row] if len(flat) else start, length, ~np.asarray(pc.match_substring_regex(flat, r"[^ \t\n\v\f\r]"), bool), flat)
+
+
+def _by_batch(docs: DataFrame, columns: dict[str, str], made: Callable[[pa.Array], tuple]) -> DataFrame:
+    """document_id and what ``made`` gives for the texts of a batch: the row numbers of its results, and their columns."""
+    rows = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, *found = made(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(row)), *found], ["document_id", *columns])
+
+    kind = rows.schema["document_id"].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"document_id {kind}", *(f"{n} {k}" for n, k in columns.items())]))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """document_id, line_index, start_char, and text of every line without its line feed."""
-    rows = docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("line_index", "line"))
-    before = Window.partitionBy("document_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int")
-    return rows.select("document_id", "line_index", start.alias("start_char"), F.col("line").alias("text"))
+    """document_id, line_index, start_char, and text of every line without its line feed. Nothing is shuffled."""
+
+    def made(texts: pa.Array) -> tuple:
+        x = _lines_of(texts)
+        return x.row, pa.array(x.number, pa.int32()), pa.array(x.start, pa.int32()), x.text
+
+    return _by_batch(docs, {"line_index": "int", "start_char": "int", "text": "string"}, made)
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
-    """Runs of lines that aren't blank: document_id, block_index, start_char, end_char, text."""
-    rows = lines(docs).withColumn("blank", ~F.col("text").rlike(r"\S"))
-    order = Window.partitionBy("document_id").orderBy("line_index")
-    rows = rows.withColumn("island", F.sum(F.col("blank").cast("int")).over(order)).where("not blank")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "text"))), lambda x: x["text"]), "\n")
-    blocks = rows.groupBy("document_id", "island").agg(F.min("start_char").alias("start_char"), text.alias("text"))
-    index = F.row_number().over(Window.partitionBy("document_id").orderBy("start_char")) - 1
-    return blocks.select("document_id", index.alias("block_index"), "start_char", (F.col("start_char") + F.length("text")).alias("end_char"), "text")
+    """Runs of lines that aren't blank: document_id, block_index, start_char, end_char, text. Nothing is shuffled."""
+
+    def made(texts: pa.Array) -> tuple:
+        x = _lines_of(texts)
+        held = np.nonzero(~x.blank)[0]
+        fresh = np.ones(len(held), bool)
+        fresh[1:] = (np.diff(held) > 1) | (np.diff(x.row[held]) > 0)
+        first, last = held[fresh], held[np.append(fresh[1:], True)] if len(held) else held
+        row, start, end = x.row[first], x.start[first], x.start[last] + x.length[last]
+        index = np.arange(len(row)) - np.searchsorted(row, row)
+        whole = texts.to_pylist()
+        text = [whole[r][s:e] for r, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)]
+        return row, pa.array(index, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string())
+
+    return _by_batch(docs, {"block_index": "int", "start_char": "int", "end_char": "int", "text": "string"}, made)
 
 
 def repeated_edge_lines(pages: DataFrame, edge: int = 2, longest: int = 80, most_words: int = 8) -> DataFrame:
-    """Lines (document_id, page, line_index, text) with ``removed``: short lines that repeat at the top or bottom of pages.
+    """Lines (document_id, page, line_index, text) with ``removed``: short lines that repeat at the top or bottom of a document's pages.
 
-    A line counts at the edge where it stands more often; only copies at that edge are removed.
+    A line counts at the edge where it stands more often, or first; only copies at that edge are removed, and none where there is one page.
     """
     page = Window.partitionBy("document_id", "page")
     down, up = F.row_number().over(page.orderBy("line_index")), F.row_number().over(page.orderBy(F.desc("line_index")))
     place = F.when(down <= edge, "header").when(up <= edge, "footer")
     norm = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     rows = pages.withColumn("place", place).withColumn("norm", norm)
-    short = (F.length("norm").between(1, longest)) & (F.size(F.split("norm", " ")) <= most_words) & F.col("place").isNotNull()
-    votes = rows.where(short).groupBy("document_id", "norm").agg(F.count_if(F.col("place") == "header").alias("h"), F.count("*").alias("n"))
-    votes = votes.where("n >= 2").select("document_id", "norm", F.when(F.col("h") * 2 >= F.col("n"), "header").otherwise("footer").alias("where"))
+    words = F.size(F.regexp_extract_all("norm", F.lit(r"[\p{L}\p{N}_]+(?:@[\p{L}\p{N}_]+)?"), F.lit(0)))
+    short = F.length("norm").between(1, longest) & words.between(1, most_words) & F.col("place").isNotNull()
+    first = F.min_by("place", F.struct("page", "line_index"))
+    votes = rows.where(short).groupBy("document_id", "norm").agg(F.count_if(F.col("place") == "header").alias("h"), F.count("*").alias("n"), first.alias("first"))
+    side = F.when(2 * F.col("h") > F.col("n"), "header").when(2 * F.col("h") < F.col("n"), "footer").otherwise(F.col("first"))
+    several = pages.groupBy("document_id").agg((F.min("page") < F.max("page")).alias("several")).where("several").select("document_id")
+    votes = votes.where("n >= 2").join(several, "document_id").select("document_id", "norm", side.alias("where"))
     joined = rows.join(votes, ["document_id", "norm"], "left")
     return joined.select("document_id", "page", "line_index", "text", F.coalesce(F.col("where") == F.col("place"), F.lit(False)).alias("removed"))
 
 
+def malformed_table(rows: Column) -> Column:
+    """Whether the rows of a table that have content differ in length."""
+    kept = F.filter(F.transform(rows, lambda r: F.coalesce(r, F.array())), lambda r: F.exists(r, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+    return F.size(F.array_distinct(F.transform(kept, F.size))) > 1
+
+
 def serialize_table(rows: Column) -> Column:
     """A table (array of rows, arrays of cells) as a pipe table: rows without content dropped, white space collapsed, pipes escaped,
     short rows padded, blank headers numbered. Empty where nothing is left."""
@@ -70,8 +128,9 @@ def serialize_table(rows: Column) -> Column:
     return let(clean, lambda t: F.when(F.size(t) == 0, "").otherwise(shown(t)))
 
 
+# What begins a heading, a code block, a table's rule, a quotation and a list item.
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-FENCE, RULE, QUOTE, LIST = r"^(`{3,}|~{3,})\s*(\S*)", r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$", r"^\s*>", r"^\s*(?:[-*+]\s+|\d+[.)]\s+)"
+FENCE, RULE, QUOTE, LIST = r"^\s*(`{3}|~{3})\s*(\S*)", r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$", r"^\s*>", r"^\s*(?:[-*+]\s+|\d+[.)]\s+)"
 BLOCK = "document_id long, block_index int, block_type string, text string, start_char int, end_char int, level int, heading_path array<string>, language string"
 
 
@@ -108,7 +167,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
                 continue
             if kind == "code":
                 mark, language = fence.match(all_lines[first]).groups()
-                while i < len(all_lines) and not all_lines[i].startswith(mark):
+                while i < len(all_lines) and not all_lines[i].lstrip().startswith(mark):
                     i += 1
                 i = min(i + 1, len(all_lines))
             elif kind == "heading":

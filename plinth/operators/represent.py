@@ -27,16 +27,25 @@ def text_hash(text):
     return F.sha2(text, 256)
 
 
-def index_fingerprint(hashes: DataFrame, parts: int = 256) -> DataFrame:
-    """One row: a digest of all (chunk_id, text_hash), whatever their order.
+def index_fingerprint(hashes: DataFrame) -> DataFrame:
+    """One row: n_chunks and a digest of all (chunk_id, text_hash), whatever their order.
 
-    Rows are digested in ``parts`` groups by hash, in id order, and then the groups' digests, so no task sees all rows' text.
+    Every row's SHA-256 gives four numbers of 60 bits, which are summed; the digest is that of the sums. So it takes one aggregation, at
+    any size. It isn't the digest of the sorted list, which needs all rows in one place (``listed_fingerprint``).
     """
-    group = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
-    pairs = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text_hash"))), lambda x: F.concat_ws(":", x["chunk_id"], x["text_hash"])), "\n")
-    groups = hashes.groupBy(group.alias("g")).agg(F.sha2(pairs, 256).alias("d"), F.count("*").alias("n"))
-    all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n")
-    return groups.agg(F.sha2(all_, 256).alias("fingerprint"), F.sum("n").alias("n_chunks"))
+    h = F.sha2(F.concat_ws(":", "chunk_id", "text_hash"), 256)
+    words = [F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = hashes.select(h.alias("h")).agg(F.count("*").alias("n_chunks"), *(F.coalesce(F.sum(w), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{i}") for i, w in enumerate(words)))
+    return sums.select(F.sha2(F.concat_ws(":", F.col("n_chunks").cast("string"), *(f"s{i}" for i in range(4))), 256).alias("fingerprint"), "n_chunks")
+
+
+def listed_fingerprint(hashes: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """One row: the SHA-256 of the sorted (chunk_id, text_hash) as a JSON list. All rows meet in one place, so more than ``most`` are an error."""
+    if hashes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} chunks; use index_fingerprint")
+    row = F.to_json(F.struct("chunk_id", F.col("text_hash").alias("text_sha256")))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text_hash", row.alias("row")))), lambda x: x["row"])
+    return hashes.agg(F.sha2(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")), 256).alias("fingerprint"))
 
 
 def query_text(query, instruction: str | None = None):

@@ -290,7 +290,19 @@ def deduplicate(candidates: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
+def rehydrate(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Results with their chunks' columns; a chunk that is gone, or ranks that aren't 1, 2, 3, ..., are an error."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    rows = ranked.withColumn("place", place).join(chunks.withColumn("found", F.lit(True)), "chunk_id", "left")
+    bad = F.when(F.col("found").isNull(), F.lit("a ranked chunk is missing")).when(F.col("place") != F.col("rank"), F.lit("ranks have gaps"))
+    checked = F.when(bad.isNotNull(), F.raise_error(bad).cast("int")).otherwise(F.col("rank"))
+    return rows.withColumn("rank", checked).drop("place", "found")
+
+
+# Parts of the names of metadata that results don't show.
+HIDDEN = ("api_key", "secret", "token", "authorization", "embedding", "vector", "text")
+
+
 def redact_metadata(metadata):
     """A map without the keys that name secrets, vectors or text."""
-    hidden = r"(?i)(api_key|secret|token|authorization|embedding|vector|text)"
-    return F.map_filter(metadata, lambda k, _: ~k.rlike(hidden))
+    return F.map_filter(metadata, lambda k, _: ~k.rlike(f"(?i)({'|'.join(HIDDEN)})"))

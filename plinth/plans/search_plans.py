@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import text as T
+from plinth.functions import unicode as U
 from plinth.operators import evaluate, evidence, history, retrieval, selection
 from plinth.plans.text_plans import CHUNKS, DOCS, chunks_of
 from plinth.sources.shared import stored
@@ -48,8 +49,9 @@ def gold_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.join(spans.select("span_id", "query_id"), "span_id").select("query_id", "chunk_id").distinct()
 
 
-def metrics_of(spark: SparkSession, sf_dir: str, mode: str, k: int) -> DataFrame:
-    return evaluate.case_metrics(cases_of(spark, sf_dir), results_of(spark, sf_dir, mode), gold_of(spark, sf_dir), k)
+def metrics_of(spark: SparkSession, sf_dir: str, mode: str, k: int, gold: DataFrame | None = None) -> DataFrame:
+    gold = stored(gold_of(spark, sf_dir), "gold") if gold is None else gold
+    return evaluate.case_metrics(cases_of(spark, sf_dir), stored(results_of(spark, sf_dir, mode), "results"), gold, k)
 
 
 def corpus_stats(spark, sf_dir):
@@ -95,10 +97,12 @@ def dedup_candidates(spark, sf_dir):
 
 
 def metadata_redact(spark, sf_dir):
-    names = ("lang", "source", "text_context", "api_key", "document_id", "auth_token")
-    made = F.create_map(*(x for n in names for x in (F.lit(n), F.col("document_id").cast("string") if n in ("document_id", "api_key") else F.col("lang"))))
-    kept = documents(spark, sf_dir).select("document_id", retrieval.redact_metadata(made).alias("m"))
-    return kept.select("document_id", F.array_join(F.sort_array(F.map_keys("m")), ",").alias("keys"))
+    """Keys that stay of metadata whose names depend on the document."""
+    docs = documents(spark, sf_dir)
+    k = F.col("document_id") % 4
+    names = F.array(F.concat(F.lit("page_"), "lang"), F.when(k == 0, "text_context").otherwise("section"), F.when(k == 1, "api_key").otherwise("title"), F.when(k == 2, "Authorization").otherwise("level"), F.concat("lang", F.lit("_vector")))
+    kept = docs.select("document_id", retrieval.redact_metadata(F.map_from_arrays(names, F.transform(names, lambda n: F.upper(n)))).alias("m"))
+    return kept.select("document_id", F.array_join(F.sort_array(F.map_keys("m")), ",").alias("keys"), F.array_join(F.sort_array(F.map_values("m")), ",").alias("held"))
 
 
 def retrieval_stages(spark, sf_dir):
@@ -116,7 +120,7 @@ def retrieval_stages(spark, sf_dir):
 
 
 def ranking_rehydrate(spark, sf_dir):
-    rows = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25"))
+    rows = retrieval.rehydrate(results_of(spark, sf_dir, "bm25"), chunks_of(spark, sf_dir))
     return rows.select("query_id", "rank", "chunk_id", "document_id", "start_char", "end_char", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -131,8 +135,9 @@ def context_pack(spark, sf_dir):
 
 
 def prompt_render(spark, sf_dir):
-    packed = selection.context_pack(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")))
-    return selection.prompt(packed).select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
+    packed = selection.context_pack(with_chunks(spark, sf_dir, shown(results_of(spark, sf_dir, "bm25")).withColumn("score", F.round("score", 0))))
+    rows = selection.prompt(packed.join(cases_of(spark, sf_dir), "query_id"), question=True)
+    return rows.select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
 
 
 def budget_frontier(spark, sf_dir):
@@ -140,21 +145,81 @@ def budget_frontier(spark, sf_dir):
     return selection.budget_frontier(ranked, gold_of(spark, sf_dir), [256, 512, 768, 1024, 1400, 2048])
 
 
+def fragments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 results with the header of their fragment and the characters dealt to it."""
+    rows = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")).join(cases_of(spark, sf_dir), "query_id")
+    page = (F.floor(F.col("start_char") / 3000) + 1).cast("string")
+    header = selection.fragment_header(F.col("rank"), F.col("document_id").cast("string"), page)
+    return selection.allocate(rows.select("query_id", "rank", "chunk_id", "query", "text", header.alias("header")))
+
+
 def fragment_allocation(spark, sf_dir):
-    rows = selection.allocate(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")))
-    return rows.select("query_id", "rank", F.length("text").alias("n_chars"), "allocation")
+    return fragments_of(spark, sf_dir).select("query_id", "rank", F.length("text").alias("n_chars"), "allocation")
+
+
+def fragment_windows(spark, sf_dir):
+    rows = selection.fragment_windows(fragments_of(spark, sf_dir).select("query_id", "chunk_id", "text", "allocation"))
+    return rows.select("query_id", "chunk_id", "window_start", "window_end", F.sha2("window_text", 256).alias("text_sha256"))
+
+
+def _best_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window of each BM25 result that says most about its query; what a chunk begins with is its signal."""
+    cut = selection.fragment_windows(fragments_of(spark, sf_dir))
+    signals = U.folded_tokens(F.substring("text", 1, 60))
+    cut = cut.withColumns({"query_tokens": U.folded_tokens("query"), "window_tokens": U.folded_tokens("window_text"), "signal_tokens": signals})
+    return selection.best_windows(selection.fragment_scores(cut), "query_id", "rank", "chunk_id", "header")
 
 
 def fragment_scores(spark, sf_dir):
-    """The window of each BM25 result that says most about its query."""
-    rows = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")).join(cases_of(spark, sf_dir), "query_id")
-    cut = selection.fragment_windows(rows.select("query_id", "chunk_id", "query", "text"))
-    cut = cut.withColumns({"query_tokens": T.tokens(F.col("query")), "window_tokens": T.tokens(F.col("window_text"))})
-    return selection.best_windows(selection.fragment_scores(cut), "query_id", "chunk_id")
+    return _best_fragments(spark, sf_dir).select("query_id", "chunk_id", "window_start", "window_end", "n_unique", "n_occurrences", "n_bigrams", "n_signals")
+
+
+def fragment_contexts(spark, sf_dir):
+    """The rendered fragments of each query, none of which strays from its chunk."""
+    best = stored(_best_fragments(spark, sf_dir), "fragments")
+    lost = selection.untraceable(best, chunks_of(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n_lost"))
+    rows = selection.render_fragments(best).join(lost, "query_id", "left")
+    return rows.select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").alias("n_chars"), F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
+
+
+def evidence_windows(spark, sf_dir):
+    """The window of each BM25 result that holds most of the passage itself, by its token trigrams."""
+    cut = selection.fragment_windows(fragments_of(spark, sf_dir))
+    cut = cut.withColumns({"evidence_tokens": U.folded_tokens("query"), "window_tokens": U.folded_tokens("window_text")})
+    best = selection.best_windows(selection.evidence_scores(cut), "query_id", "chunk_id")
+    return best.select("query_id", "chunk_id", "window_start", "window_end", F.col("n_unique").alias("n_trigrams"), "n_occurrences", "n_bigrams")
 
 
 def gold_mapping(spark, sf_dir):
-    return evidence.map_spans(spans_of(spark, sf_dir), chunks_of(spark, sf_dir)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+    mapped = evidence.map_spans(spans_of(spark, sf_dir), chunks_of(spark, sf_dir))
+    return mapped.withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+
+
+def paged(rows: DataFrame) -> DataFrame:
+    """rows with the pages of 3,000 characters that their range touches."""
+    first, last = F.floor(F.col("start_char") / 3000), F.floor((F.col("end_char") - 1) / 3000)
+    return rows.withColumns({"page_start": (first + 1).cast("int"), "page_end": (last + 1).cast("int")})
+
+
+def mixed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence spans of which a third have pages only, and a third neither pages nor a range; every seventh is of a source that isn't there."""
+    rows = paged(spans_of(spark, sf_dir))
+    kind = F.col("query_id") % 3
+    ranges = {c: F.when(kind == 0, F.col(c)) for c in ("start_char", "end_char")}
+    pages = {c: F.when(kind == 1, F.col(c)) for c in ("page_start", "page_end")}
+    path = F.when(F.col("query_id") % 7 == 0, F.lit("elsewhere/0")).when(F.col("query_id") % 2 == 0, F.col("document_id").cast("string")).otherwise(F.col("source_path"))
+    return rows.withColumns({**ranges, **pages, "source_path": path})
+
+
+def gold_mapping_by_page(spark, sf_dir):
+    """How spans with a range, with pages, or with neither map."""
+    mapped = evidence.map_spans(mixed_spans(spark, sf_dir), paged(chunks_of(spark, sf_dir)), source_only=True)
+    return mapped.withColumn("overlap_ratio", F.round("overlap_ratio", 6))
+
+
+def unmatched_spans(spark, sf_dir):
+    spans = stored(mixed_spans(spark, sf_dir), "spans")
+    return evidence.unmatched_spans(spans, evidence.map_spans(spans, paged(chunks_of(spark, sf_dir)), source_only=True)).select("span_id")
 
 
 def relevance_flags(spark, sf_dir):
@@ -170,8 +235,48 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in ("hit_rate", "recall", "precision", "mrr", "ndcg")})
 
 
+def mixed_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases and gold, of which every third case has no gold but expects the sources of its passage, and one that isn't there."""
+    spans, gold = stored(spans_of(spark, sf_dir), "spans"), stored(gold_of(spark, sf_dir), "gold")
+    expected = spans.groupBy("query_id").agg(F.sort_array(F.collect_set(F.col("document_id").cast("string"))).alias("p"))
+    paths = F.when(F.col("query_id") % 3 == 0, F.concat(F.coalesce("p", F.array().cast("array<string>")), F.array(F.lit("nowhere"))))
+    cases = cases_of(spark, sf_dir).join(expected, "query_id", "left").select("query_id", paths.alias("expected_paths"))
+    return cases, gold.where("query_id % 3 != 0")
+
+
+def case_results(spark, sf_dir):
+    cases, gold = mixed_cases(spark, sf_dir)
+    rows = evaluate.case_results(cases, with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")), gold, K)
+    return rows.withColumns({"relevant_ranks": F.array_join(F.transform("relevant_ranks", lambda r: r.cast("string")), ","), "reciprocal_rank": F.round("reciprocal_rank", 6)})
+
+
 def retrieval_metrics(spark, sf_dir):
-    return _rounded(evaluate.summary(metrics_of(spark, sf_dir, "bm25", K)))
+    """All metrics of BM25 at 5; an event's value stands for the latency of the case with its number."""
+    cases, gold = mixed_cases(spark, sf_dir)
+    results = stored(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25", K)), "results")
+    spans = stored(spans_of(spark, sf_dir), "spans")
+    ranges = results.join(spans.select("span_id", "query_id", "document_id"), ["query_id", "document_id"]).select("span_id", "start_char", "end_char")
+    covered = evidence.coverage(spans, ranges).join(spans.select("span_id", "query_id"), "span_id").groupBy("query_id").agg(F.bround(F.avg("coverage"), 4).alias("evidence_coverage"))
+    mapped = evidence.map_spans(spans, chunks_of(spark, sf_dir)).select("span_id").distinct().withColumn("m", F.lit(1))
+    mapping = spans.join(mapped, "span_id", "left").groupBy("query_id").agg(F.bround(F.count("m") / F.count("*"), 4).alias("mapping_coverage"))
+    repeated = evaluate.duplicate_context(results).select("query_id", F.bround("duplicate_ratio", 4).alias("duplicate_ratio"))
+    latency = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), F.bround("value", 4).alias("latency_ms"))
+    rows = evaluate.case_results(cases, results, gold, K)
+    for part in (covered, mapping, repeated, latency):
+        rows = rows.join(part, "query_id", "left")
+    return evaluate.all_metrics(rows, K)
+
+
+def stage_latencies(spark, sf_dir):
+    """Events as stages of traces."""
+    rows = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("name"), F.col("value").alias("latency_ms"))
+    return evaluate.stage_latencies(rows)
+
+
+def compact_results(spark, sf_dir):
+    rows = evaluate.compact_results(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25", K)))
+    at = F.from_json("top", "array<struct<rank:int,chunk_id:string,source_path:string,preview:string>>")
+    return rows.select("query_id", F.size(at).alias("n"), F.array_join(F.transform(at, lambda r: r["chunk_id"]), ",").alias("chunk_ids"), F.sha2(F.array_join(F.transform(at, lambda r: r["preview"]), "\n"), 256).alias("previews_sha256"))
 
 
 def mode_comparison(spark, sf_dir):
@@ -191,11 +296,19 @@ def cutoff_metrics(spark, sf_dir):
     return rows.withColumn("reciprocal", F.round("reciprocal", 6))
 
 
+def failure_cases(spark, sf_dir):
+    """Why cases fail when only the best result counts; of every fifth case the gold is taken for unmapped, every seventh expects a path."""
+    chunks = chunks_of(spark, sf_dir).select("chunk_id", "source_path")
+    results = results_of(spark, sf_dir, "bm25", 1).join(chunks, "chunk_id").where("query_id % 13 != 0")
+    spans, gold = stored(spans_of(spark, sf_dir), "spans"), gold_of(spark, sf_dir)
+    cut = F.col("query_id") % 5 == 0
+    cases = cases_of(spark, sf_dir).select("query_id", F.when(F.col("query_id") % 7 == 0, F.array(F.lit("nowhere"))).alias("expected_paths"))
+    marked = spans.select("query_id", "span_id", "source_path", (~cut).alias("mapped"))
+    return evaluate.failures(cases, results, gold.where(~cut), marked, 1)
+
+
 def failure_breakdown(spark, sf_dir):
-    chunks = chunks_of(spark, sf_dir).select("chunk_id", "document_id")
-    results = results_of(spark, sf_dir, "bm25").join(chunks, "chunk_id")
-    expected = gold_of(spark, sf_dir).join(chunks, "chunk_id")
-    return evaluate.failures(cases_of(spark, sf_dir), results, expected, K).groupBy("failure").agg(F.count("*").alias("n"))
+    return failure_cases(spark, sf_dir).groupBy("failure").agg(F.count("*").alias("n"))
 
 
 def evidence_coverage(spark, sf_dir):
@@ -231,10 +344,20 @@ def metric_spread(spark, sf_dir):
 
 def transitions(spark, sf_dir):
     """Lexical against BM25 at 5."""
-    hits = [metrics_of(spark, sf_dir, mode, K).select("query_id", (F.col("n_relevant") > 0).alias("hit")) for mode in ("lexical", "bm25")]
+    gold = stored(gold_of(spark, sf_dir), "gold")
+    hits = [metrics_of(spark, sf_dir, mode, K, gold).select("query_id", (F.col("n_relevant") > 0).alias("hit")) for mode in ("lexical", "bm25")]
     return evaluate.transitions(*hits)
 
 
+def screen_transitions(spark, sf_dir):
+    """Events of users as trials of a baseline: a type of event is a trial, a value above 50 a hit; the candidate hits above 60 on average."""
+    events = table(spark, sf_dir, "events")
+    trials = events.groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("trial")).agg((F.max("value") > 50).alias("hit"))
+    candidate = events.groupBy(F.col("user_id").alias("query_id")).agg((F.avg("value") > 60).alias("hit"))
+    canaries = candidate.where("query_id % 10 = 0").select("query_id")
+    return evaluate.screen_transitions(trials, candidate, canaries)
+
+
 def heldout_overlap(spark, sf_dir):
     """Labelled documents whose text also stands among unlabelled ones."""
     docs = documents(spark, sf_dir).select("document_id", F.sha2("text", 256).alias("h"))
@@ -278,16 +401,17 @@ def trace_list(spark, sf_dir):
 
 def schema_migrate(spark, sf_dir):
     version = F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise((F.col("event_id") % 3).cast("int"))
-    rows = table(spark, sf_dir, "events").select("event_id", version.alias("schema_version"))
-    return history.migrate(rows).groupBy("schema_version").agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "events").select("event_id", version.alias("schema_version"), version.alias("before"))
+    return history.migrate(rows).groupBy("before", "schema_version").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         corpus_stats, lexical_search, bm25_search, cosine_pairs, semantic_search, hybrid_rrf, dedup_candidates, metadata_redact, retrieval_stages, ranking_rehydrate,
-        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_scores, gold_mapping, relevance_flags, ndcg, retrieval_metrics,
-        mode_comparison, cutoff_metrics, failure_breakdown, evidence_coverage, duplicate_context, ngram_coverage, latency_percentiles, metric_spread, transitions,
+        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows,
+        gold_mapping, gold_mapping_by_page, unmatched_spans, relevance_flags, ndcg, case_results, retrieval_metrics, stage_latencies, compact_results,
+        mode_comparison, cutoff_metrics, failure_cases, failure_breakdown, evidence_coverage, duplicate_context, ngram_coverage, latency_percentiles, metric_spread, transitions, screen_transitions,
         heldout_overlap, review_merge, session_summary, session_branch, session_search, session_export, trace_list, schema_migrate,
     )
 }
@@ -318,15 +442,49 @@ def _bm25(source: str, limit: int, name: str = "bm25", key: str = "chunk_id") ->
 
 RANKED = f"{CHUNKS}, {CASES}, {_bm25('chunks', LIMIT)}"
 TWICE = f"{CHUNKS}, {CASES}, {_bm25('chunks', 2 * LIMIT)}"
-SPANS = "spans as (select query_id || '-' || document_id span_id, query_id, document_id, source_path, (instr(t, query) - 1)::int s, (instr(t, query) - 1 + length(query))::int e from docs join cases on contains(t, query))"
+SPANS = """spots as (select query_id, query, document_id, source_path, unnest(list_filter(range(0, length(t) - length(query) + 1), lambda i: substr(t, i + 1, length(query)) = query)) pos
+    from docs join cases on contains(t, query) where query <> '')
+  , spans as (select query_id || '-' || document_id || case when pos = min(pos) over (partition by query_id, document_id) then '' else '-' || pos end span_id, query_id, document_id, source_path,
+    pos::int s, (pos + length(query))::int e from spots)"""
 MAPPED = SPANS + (
     ", mapped as (select span_id, query_id, chunk_id, greatest(0, least(e, end_char) - greatest(s, start_char)) / (e - s)::double overlap_ratio"
     " from spans join chunks using (document_id) where greatest(0, least(e, end_char) - greatest(s, start_char)) / (e - s)::double >= 0.3)"
     ", gold as (select distinct query_id, chunk_id from mapped)"
 )
+MIXED = MAPPED + """
+  , pc as (select *, start_char // 3000 + 1 p1, (end_char - 1) // 3000 + 1 p2 from chunks)
+  , ms as (select *, query_id % 3 kind, s // 3000 + 1 q1, (e - 1) // 3000 + 1 q2, case when query_id % 7 = 0 then 'elsewhere/0' when query_id % 2 = 0 then document_id::varchar else source_path end path from spans)
+  , met as (select ms.*, chunk_id, start_char, end_char, p1, p2, case when path = pc.source_path then 'exact' else 'suffix' end k from ms join pc
+    on path = pc.source_path or ends_with(pc.source_path, '/' || path) or ends_with(path, '/' || pc.source_path))
+  , mixed_map as (
+    select span_id, chunk_id, (least(e, end_char) - greatest(s, start_char)) / (e - s)::double r, 'char_overlap' "method", k kind from met where kind = 0 and (least(e, end_char) - greatest(s, start_char)) / (e - s)::double >= 0.3
+    union all select span_id, chunk_id, null, 'page_overlap', k from met where kind = 1 and p1 <= q2 and q1 <= p2
+    union all select span_id, chunk_id, null, 'source_only', k from met where kind = 2)"""
+CASE_RESULTS = MAPPED + f""", pths as (select query_id, case when query_id % 3 = 0 then list_append(coalesce(p, []), 'nowhere') else [] end p from cases left join (
+    select query_id, list_sort(list(distinct document_id::varchar)) p from spans group by query_id) using (query_id))
+  , g3 as (select * from gold where query_id % 3 <> 0), ng as (select query_id, count(*) n from g3 group by query_id)
+  , rs as (select query_id, rank, chunk_id, source_path, document_id::varchar d, length(text) n_chars, (g3.chunk_id is not null)::int gr from bm25 join chunks using (chunk_id) left join g3 using (query_id, chunk_id) where rank <= {K})
+  , rp as (select *, coalesce(ng.n, 0) n_gold, len(list_filter(p, lambda x: source_path = x or ends_with(source_path, '/' || x))) > 0 hit,
+      row_number() over (partition by query_id, d order by rank) = 1 fresh from rs join pths using (query_id) left join ng using (query_id))
+  , fl as (select *, case when n_gold > 0 then gr when hit and fresh then 1 else 0 end f from rp)
+  , ag as (select query_id, list(rank order by rank) filter (where f = 1) rr, min(rank) filter (where gr = 1) cr, min(rank) filter (where hit) sr, count(*) n, sum(n_chars) c, sum(n_chars) filter (where f = 1) rc from fl group by query_id)
+  , cr as (select query_id, coalesce(cr, sr)::int rank, case when cr is not null then 'chunk_id' when sr is not null then 'source_path' else 'none' end matched_by, coalesce(1.0::double / coalesce(cr, sr), 0) reciprocal_rank,
+      coalesce(ag.n, 0)::int n_retrieved, (case when coalesce(ng.n, 0) > 0 then ng.n else len(p) end)::bigint n_expected, coalesce(len(rr), 0)::int n_relevant, coalesce(rr, []) rr,
+      round_even(case when coalesce(ng.n, 0) > 0 then coalesce(len(rr), 0) / ng.n::double else 0 end, 4) recall, round_even(coalesce(len(rr), 0) / {K}.0::double, 4) "precision",
+      case when n_expected > 0 then round_even(coalesce(list_sum(list_transform(rr, lambda r: 1 / log2(r + 1.0))), 0) / list_sum(list_transform(range(1, least(n_expected, {K}) + 1), lambda r: 1 / log2(r + 1.0))), 4) else 0.0 end ndcg,
+      case when coalesce(c, 0) > 0 then round_even(coalesce(rc, 0) / c::double, 4) else 0.0 end density, coalesce(c, 0)::bigint context_chars, ceil(coalesce(c, 0) / 4.0)::bigint context_tokens
+    from pths left join ag using (query_id) left join ng using (query_id))"""
 FLAGS = ", flags as (select r.*, (g.chunk_id is not null)::int relevant from bm25 r left join gold g using (query_id, chunk_id))"
 
 
+FAILED = """, f1 as (select query_id, chunk_id, source_path from bm25 join chunks using (chunk_id) where rank = 1 and query_id % 13 <> 0), g5 as (select * from gold where query_id % 5 <> 0)
+  , fs as (select query_id, count(*) n from spans group by query_id), fn as (select query_id, count(*) n from f1 join (select distinct query_id, source_path p from spans) using (query_id) where source_path = p or ends_with(source_path, '/' || p) group by query_id)
+  , fh as (select query_id, count(*) n from f1 join g5 using (query_id, chunk_id) group by query_id), fg as (select query_id, count(*) n from g5 group by query_id)
+  , fc as (select query_id, case when coalesce(fh.n, 0) > 0 then 'passed' when f1.chunk_id is null then 'no_result' when coalesce(fs.n, 0) > 0 and query_id % 5 = 0 then 'unmapped_evidence'
+      when query_id % 7 = 0 or coalesce(fs.n, 0) > 0 and coalesce(fn.n, 0) = 0 then 'missed_source' when coalesce(fg.n, 0) > 0 and coalesce(fn.n, 0) > 0 then 'wrong_section' when coalesce(fg.n, 0) > 0 then 'low_rank' else 'unknown' end failure
+    from cases left join f1 using (query_id) left join fs using (query_id) left join fn using (query_id) left join fh using (query_id) left join fg using (query_id))"""
+
+
 def _metrics(ranked: str, k: int, name: str) -> str:
     return f"""{name} as (
   select query_id, coalesce(n_gold, 0) n_gold, coalesce(n_relevant, 0) n_relevant, first_rank, case when n_gold > 0 then coalesce(n_relevant, 0) / n_gold::double else 0.0 end recall,
@@ -343,6 +501,36 @@ SPACED = "[ \\t\\n\\x0B\\f\\r]+"
 FULL = f"with {RANKED}, {MAPPED}{FLAGS}"
 WITH_TEXT = f"with {RANKED}, t as (select b.*, c.document_id, c.start_char, c.end_char, c.text from bm25 b join chunks c using (chunk_id))"
 RUN = "sum(length(text)) over (partition by query_id order by rank)"
+FOLD = "replace(lower({0}), 'ß', 'ss')"
+STOPS = "[" + ", ".join(f"'{w}'" for w in selection.STOP_WORDS) + "]"
+#: Recursive CTEs: characters dealt in rounds over lists of caps, and the windows of every result.
+FRAGMENTS = f"""with recursive {RANKED}, t0 as (select query_id, rank, chunk_id, query, text, '[rank=' || rank || ' source=' || document_id || ' page=' || (start_char // 3000 + 1) || ']' header
+    from bm25 join chunks using (chunk_id) join cases using (query_id))
+  , cap as (select query_id, list(least(length(text), 640) order by rank) c, list(rank order by rank) r, 3072 - sum(length(header) + 1) - 2 * (count(*) - 1) av from t0 group by query_id)
+  , deal as (select query_id, c, r, list_transform(c, lambda x: 0::bigint) g, av::bigint l, 0 i from cap
+    union all select query_id, c, r, list_transform(g, lambda x, k: x + give[k]) g, (l - list_sum(give))::bigint, i + 1 from (
+      select *, list_transform(g, lambda x, k: case when x < c[k] then least(c[k] - x, l // n + case when list_sum(open_[1:k]) - 1 < l % n then 1 else 0 end) else 0 end) give from (
+        select *, greatest(list_sum(open_), 1)::bigint n from (select *, list_transform(g, lambda x, k: (x < c[k])::int) open_ from deal where i <= len(c) and l > 0))))
+  , dealt as (select query_id, unnest(r) rank, unnest(g) allocation from (select *, row_number() over (partition by query_id order by i desc) z from deal) where z = 1)
+  , fr as (select t0.*, allocation::int allocation from t0 join dealt using (query_id, rank))
+  , cutp as (select query_id, chunk_id, text, allocation a, length(text) n, regexp_split_to_array(text, '(?:[.!?;:](?:\\n+|[\\s]+))|\\n+') p, regexp_extract_all(text, '(?:[.!?;:](?:\\n+|[\\s]+))|\\n+') m from fr)
+  , bnd as (select query_id, chunk_id, text, a, n, list_distinct(list_prepend(0, list_transform(range(1, len(p) + 1), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k], lambda x: length(x))), 0)))) b from cutp)
+  , unt as (select query_id, chunk_id, text, a, n, list_sort(b) b from bnd)
+  , sts as (select query_id, chunk_id, text, a, n, b, unnest(list_distinct(list_append(flatten(list_transform(range(1, len(b)), lambda k: case when b[k + 1] - b[k] > a then range(b[k]::bigint, b[k + 1]::bigint, 112) else [b[k]::bigint] end)), greatest(0, n - a)::bigint))) s from unt where n > a)
+  , trm as (select *, s + length(regexp_extract(substr(text, s + 1), '^[\\s]*')) st from sts)
+  , lim as (select *, coalesce(list_max(list_filter(b, lambda x: x >= st + greatest(1, a // 2) and x <= least(n, st + a))), least(n, st + a)) en from trm)
+  , win as (select distinct query_id, chunk_id, st::int ws, (st + length(regexp_replace(substr(text, st + 1, (en - st)::bigint), '[\\s]+$', '')))::int we, regexp_replace(substr(text, st + 1, (en - st)::bigint), '[\\s]+$', '') wt from lim
+    where length(regexp_replace(substr(text, st + 1, (en - st)::bigint), '[\\s]+$', '')) > 0
+    union all select query_id, chunk_id, 0, n, text from unt where n <= a and n > 0)"""
+SCORED = f"""{FRAGMENTS}, tk as (select query_id, regexp_extract_all({FOLD.format('query')}, '{W}') q0 from cases)
+  , q1 as (select query_id, q0, case when len(list_filter(q0, lambda x: not list_contains({STOPS}, x))) > 0 then list_filter(q0, lambda x: not list_contains({STOPS}, x)) else q0 end q from tk)
+  , sc as (select win.*, rank, header, q, q0, regexp_extract_all({FOLD.format('wt')}, '{W}') w, regexp_extract_all({FOLD.format('substr(text, 1, 60)')}, '{W}') sg from win join fr using (query_id, chunk_id) join q1 using (query_id))
+  , gr as (select *, list_transform(range(1, len(q)), lambda k: q[k] || ' ' || q[k + 1]) q2, list_transform(range(1, len(q0)), lambda k: q0[k] || ' ' || q0[k + 1]) e2, list_transform(range(1, len(q0) - 1), lambda k: q0[k] || ' ' || q0[k + 1] || ' ' || q0[k + 2]) e3,
+      list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) w2, list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2]) w3 from sc)
+  , nq as (select *, len(list_distinct(list_intersect(q, w)))::int u, len(list_filter(w, lambda x: list_contains(q, x)))::int o, len(list_distinct(list_intersect(q2, w2)))::int b, len(list_distinct(list_intersect(list_intersect(q, w), sg)))::int g,
+      len(list_distinct(list_intersect(e3, w3)))::int eu, len(list_filter(w, lambda x: list_contains(q0, x)))::int eo, len(list_distinct(list_intersect(e2, w2)))::int eb from gr)
+  , bq as (select * from (select *, row_number() over (partition by query_id, chunk_id order by u desc, o desc, b desc, g desc, we - ws desc, ws) z from nq) where z = 1)
+  , be as (select * from (select *, row_number() over (partition by query_id, chunk_id order by eu desc, eo desc, eb desc, we - ws desc, ws) z from nq) where z = 1)"""
 SQL = {
     "corpus_stats": f"""with {CHUNKS}, w as (select regexp_extract_all(lower(text), '{W}') w from chunks)
       select count(*) n_chunks, round(avg(len(w)), 6) avg_length, sum(len(w))::bigint n_tokens, (select count(distinct x) from (select unnest(w) x from w)) n_distinct from w""",
@@ -358,7 +546,10 @@ SQL = {
       select query_id, rank, chunk_id, round(score, 9) score, sparse_rank, dense_rank, case when sparse_rank is null or dense_rank < sparse_rank then 'dense' else 'sparse' end origin from g where rank <= 10""",
     "dedup_candidates": f"""with {RANKED}, b as (select query_id, rank, chunk_id from lexical union all select query_id, rank + 10, chunk_id from bm25
       ), f as (select query_id, chunk_id, min(rank) r from b group by all) select query_id, (row_number() over (partition by query_id order by r))::int rank, chunk_id from f""",
-    "metadata_redact": "select doc_id document_id, 'document_id,lang,source' keys from documents",
+    "metadata_redact": """with k as (select doc_id document_id, ['page_' || lang, case when doc_id % 4 = 0 then 'text_context' else 'section' end, case when doc_id % 4 = 1 then 'api_key' else 'title' end,
+      case when doc_id % 4 = 2 then 'Authorization' else 'level' end, lang || '_vector'] n from documents)
+      , h as (select document_id, list_filter(n, lambda x: not regexp_matches(lower(x), 'api_key|secret|token|authorization|embedding|vector|text')) k from k)
+      select document_id, array_to_string(list_sort(k), ',') keys, array_to_string(list_sort(list_transform(k, lambda x: upper(x))), ',') held from h""",
     "retrieval_stages": f"""with {TWICE}, t as (select query_id, rank, {RUN} run from bm25 join chunks using (chunk_id) where rank <= 10)
       select 0 stage_index, 'normalize' stage, count(*) n_rows from cases where trim(query) <> '' union all select 1, 'candidates', count(*) from bm25
       union all select 2, 'deduplicate', count(*) from bm25 union all select 3, 'select', count(*) from t where run <= 1024""",
@@ -367,27 +558,55 @@ SQL = {
     "context_pack": f"""{WITH_TEXT}, r as (select *, {RUN} - length(text) before from t), p as (select query_id, rank, chunk_id, substr(text, 1, (4000 - before)::bigint) x from r where before < 4000)
       select query_id, rank, chunk_id, length(x)::int n_chars, sha256(x) text_sha256 from p""",
     "prompt_render": f"""{WITH_TEXT}, r as (select *, {RUN} - length(text) before from t), p as (select query_id,
-      string_agg('[' || rank || '] ' || chunk_id || chr(10) || substr(text, 1, (4000 - before)::bigint), chr(10) || chr(10) order by rank) x from r where before < 4000 group by query_id)
-      select query_id, sha256(x) prompt_sha256, length(x)::int n_chars from p""",
+      string_agg('[' || rank || '] ' || chunk_id || ' (score ' || round(score)::int || ')' || chr(10) || substr(text, 1, (4000 - before)::bigint), chr(10) || chr(10) order by rank) x from r where before < 4000 group by query_id)
+      , a as (select query_id, x || chr(10) || chr(10) || 'Question: ' || query x from p join cases using (query_id)) select query_id, sha256(x) prompt_sha256, length(x)::int n_chars from a""",
+    "fragment_allocation": f"{FRAGMENTS} select query_id, rank, length(text)::int n_chars, allocation from fr",
+    "fragment_windows": f"{FRAGMENTS} select query_id, chunk_id, ws window_start, we window_end, sha256(wt) text_sha256 from win",
+    "fragment_scores": f"{SCORED} select query_id, chunk_id, ws window_start, we window_end, u n_unique, o n_occurrences, b n_bigrams, g n_signals from bq",
+    "fragment_contexts": f"""{SCORED}, rn as (select query_id, string_agg(header || chr(10) || wt, chr(10) || chr(10) order by rank) x from bq group by query_id)
+      select query_id, sha256(x) context_sha256, length(x)::int n_chars, 0::bigint n_lost from rn""",
+    "evidence_windows": f"{SCORED} select query_id, chunk_id, ws window_start, we window_end, eu n_trigrams, eo n_occurrences, eb n_bigrams from be",
     "budget_frontier": f"""{FULL}, r as (select query_id, relevant, {RUN} run from flags join chunks using (chunk_id)), b as (select unnest([256, 512, 768, 1024, 1400, 2048]) budget)
       select budget, count(*) filter (where run <= 4 * budget) n_kept, count(*) filter (where relevant = 1 and run > 4 * budget) n_lost, count(*) n_all from r, b group by budget""",
-    "gold_mapping": f"with {CHUNKS}, {CASES}, {MAPPED} select span_id, chunk_id, round(overlap_ratio, 6) overlap_ratio from mapped",
+    "gold_mapping": f"with {CHUNKS}, {CASES}, {MAPPED} select span_id, chunk_id, round(overlap_ratio, 6) overlap_ratio, 'char_overlap' \"method\", 'exact' kind from mapped",
+    "gold_mapping_by_page": f"with {CHUNKS}, {CASES}, {MIXED} select span_id, chunk_id, round(r, 6) overlap_ratio, \"method\", kind from mixed_map",
+    "unmatched_spans": f"with {CHUNKS}, {CASES}, {MIXED} select span_id from spans where span_id not in (select span_id from mixed_map)",
     "relevance_flags": f"{FULL} select query_id, rank, chunk_id, relevant from flags",
     "ndcg": f"""with {RANKED}, {MAPPED}, {_metrics("bm25", K, "m")} select query_id, n_gold, n_relevant, first_rank, round(recall, 6) recall, round("precision", 6) "precision",
       round(reciprocal_rank, 6) reciprocal_rank, round(ndcg, 6) ndcg from m""",
-    "retrieval_metrics": f"with {RANKED}, {MAPPED}, {_metrics('bm25', K, 'm')} select {SUMMARY} from m",
+    "case_results": f"""with {RANKED}, {CASE_RESULTS} select query_id, rank, matched_by, round(reciprocal_rank, 6) reciprocal_rank, n_retrieved, n_expected, n_relevant, array_to_string(rr, ',') relevant_ranks,
+      recall, "precision", ndcg, density, context_chars, context_tokens from cr""",
+    "retrieval_metrics": f"""with {RANKED}, {CASE_RESULTS}
+      , rv as (select span_id, greatest(start_char, s) a, least(end_char, e) b from spans join (select query_id, document_id, start_char, end_char from bm25 join chunks using (chunk_id) where rank <= {K}) using (query_id, document_id)
+        where greatest(start_char, s) < least(end_char, e))
+      , px as (select span_id, count(distinct x) n from (select span_id, unnest(range(a, b)) x from rv) group by span_id)
+      , ev as (select query_id, round_even(avg(coalesce(n, 0) / (e - s)::double), 4) v from spans left join px using (span_id) group by query_id)
+      , mp as (select query_id, round_even(count(m.span_id) / count(*)::double, 4) v from spans left join (select distinct span_id from mapped) m using (span_id) group by query_id)
+      , fx as (select query_id, rank, trim(regexp_replace(lower(text), '{SPACED}', ' ', 'g')) x from bm25 join chunks using (chunk_id) where rank <= {K})
+      , sx as (select distinct query_id, rank, substr(x, i, 20) g from (select *, unnest(range(1, greatest(length(x) - 19, 1) + 1)) i from fx))
+      , du as (select query_id, round_even((count(*) - count(distinct g)) / count(*)::double, 4) v from sx group by query_id)
+      , lt as (select event_id query_id, round_even(value, 4) v from events)
+      , al as (select cr.*, ev.v ev, mp.v mp, coalesce(du.v, 0) du, lt.v lt from cr left join ev using (query_id) left join mp using (query_id) left join du using (query_id) left join lt using (query_id))
+      select """
+    + ", ".join(f"round_even(avg(coalesce(rank <= {n}, false)::int), 4) hit_{m}" for n, m in ((1, "1"), (3, "3"), (5, "5"), (K, "k")))
+    + ", "
+    + ", ".join(f"round_even(avg(len(list_filter(rr, lambda r: r <= {n})) / {n}.0::double), 4) precision_{m}" for n, m in ((1, "1"), (3, "3"), (5, "5"), (K, "k")))
+    + """, round_even(avg(reciprocal_rank), 4) mrr, round_even(avg(recall), 4) recall_k, round_even(avg(ndcg), 4) ndcg_k, round_even(coalesce(avg(ev), 0), 4) evidence_coverage_k,
+      round_even(avg((ev is not null)::int), 4) evidence_coverage_case_rate, round_even(coalesce(avg(mp), 0), 4) mapping_coverage, round_even(avg((mp is not null)::int), 4) mapping_coverage_case_rate,
+      round_even(avg(density), 4) context_density, round_even(avg(du), 4) duplicate_ratio, round_even(coalesce(avg(lt), 0), 4) latency_mean, round_even(quantile_cont(lt, 0.5), 4) latency_p50, round_even(quantile_cont(lt, 0.95), 4) latency_p95,
+      round_even(avg(n_retrieved), 4) retrieved, round_even(avg(context_chars), 4) context_chars, round_even(avg(context_tokens), 4) context_tokens from al""",
+    "stage_latencies": """select event_type "name", count(*) samples, round_even(avg(value), 4) mean, round_even(quantile_cont(value, 0.5), 4) p50, round_even(quantile_cont(value, 0.95), 4) p95
+      from events where event_id % 11 <> 0 group by event_type""",
+    "compact_results": f"""{WITH_TEXT} select query_id, count(*)::int n, string_agg(chunk_id, ',' order by rank) chunk_ids,
+      sha256(string_agg(substr(regexp_replace(text, '{SPACED}', ' ', 'g'), 1, 200), chr(10) order by rank)) previews_sha256 from t where rank <= {K} group by query_id""",
     "mode_comparison": f"with {RANKED}, {MAPPED}, "
     + ", ".join(_metrics(m, k, f"{m}{k}") for m in ("lexical", "bm25") for k in (1, 3, 5, 10))
     + " "
     + " union all ".join(f"select '{m}' mode, {k} k, {SUMMARY} from {m}{k}" for m in ("lexical", "bm25") for k in (1, 3, 5, 10)),
     "cutoff_metrics": f"""{FULL}, e as (select k, query_id, min(rank) f, count(*) n from flags, (select unnest([1, 3, 5, 10]) k) where relevant = 1 and rank <= k group by k, query_id)
       select k, count(*) hits, round(sum(1.0 / f), 6) reciprocal, sum(n)::bigint recalled from e group by k""",
-    "failure_breakdown": f"""{FULL}, x as (select gold.*, document_id from gold join chunks using (chunk_id)), r as (select flags.*, document_id from flags join chunks using (chunk_id))
-      , c as (select query_id, (select min(rank) from flags f where f.query_id = cases.query_id and relevant = 1) h, (select count(*) from flags f where f.query_id = cases.query_id and rank <= 5) n,
-        (select count(*) from gold g where g.query_id = cases.query_id) g, (select count(*) from r join (select distinct query_id, document_id from x) d using (query_id, document_id)
-          where r.query_id = cases.query_id and rank <= 5) s from cases)
-      select case when h <= 5 then 'passed' when n = 0 then 'no_result' when g = 0 then 'unmapped_evidence' when h > 5 then 'low_rank' when s = 0 then 'missed_source' else 'wrong_section' end failure, count(*) n
-      from c group by 1""",
+    "failure_cases": f"with {RANKED}, {MAPPED}{FAILED} select query_id, failure from fc",
+    "failure_breakdown": f"with {RANKED}, {MAPPED}{FAILED} select failure, count(*) n from fc group by failure",
     "evidence_coverage": f"""with {RANKED}, {MAPPED}, r as (select span_id, greatest(start_char, s) a, least(end_char, e) b from spans join (select query_id, document_id, start_char, end_char from bm25 join chunks using (chunk_id))
         using (query_id, document_id) where greatest(start_char, s) < least(end_char, e)
       ), p as (select span_id, count(distinct x) n from (select span_id, unnest(range(a, b)) x from r) group by span_id) select span_id, round(coalesce(n, 0) / (e - s)::double, 6) coverage from spans left join p using (span_id)""",
@@ -403,6 +622,10 @@ SQL = {
     "transitions": f"""with {RANKED}, {MAPPED}, {_metrics("lexical", K, "a")}, {_metrics("bm25", K, "b")}
       select case when a.n_relevant > 0 and b.n_relevant > 0 then 'retained' when a.n_relevant > 0 then 'lost' when b.n_relevant > 0 then 'gained' else 'missed' end transition, count(*) n
       from a join b using (query_id) group by 1""",
+    "screen_transitions": """with t as (select user_id, event_type, max(value) > 50 hit from events group by all), n as (select user_id, count(*) filter (where hit) h, count(*) n from t group by user_id)
+      , c as (select user_id, avg(value) > 60 hit from events group by user_id)
+      select user_id query_id, h n_hits, n n_trials, hit, case when user_id % 10 = 0 or (h > 0 and h < n) then 'boundary' when h > 0 then case when hit then 'retained' else 'lost' end when hit then 'gained' else 'unchanged_miss' end transition
+      from n join c using (user_id)""",
     "heldout_overlap": f"""with {DOCS} select document_id from docs where document_id in (select doc_id from labels) and t in (select t from docs where document_id not in (select doc_id from labels))""",
     "review_merge": "select doc_id, (case when toxic = 1 then 0 else quality end)::int quality, toxic = 1 changed from labels",
     "session_summary": """select conv_id session_id, count(*) n_turns, count(*) filter (where role = 'user') n_user, sum(length(text))::bigint n_chars,
@@ -411,5 +634,5 @@ SQL = {
     "session_search": "select conv_id session_id, count(*) n_matches from conversations where contains(lower(text), 'that') group by conv_id",
     "session_export": """select conv_id session_id, sha256(string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn)) markdown_sha256 from conversations group by conv_id""",
     "trace_list": "select event_id trace_id, event_type operation, ts started_at from events order by ts desc, event_id desc limit 20",
-    "schema_migrate": "select 2 schema_version, count(*) n from events",
+    "schema_migrate": "select case when event_id % 3 > 0 then event_id % 3 end::int before, 2 schema_version, count(*) n from events group by 1",
 }
