@@ -22,3 +22,40 @@ def fold(text: pd.Series) -> pd.Series:
 def folded_tokens(text: pd.Series) -> pd.Series:
     """Words of the folded text."""
     return text.map(lambda t: _WORD.findall(unicodedata.normalize("NFKC", t).casefold()), na_action="ignore")
+
+
+# What formulas are made readable by, and what makes a line a formula beyond doubt.
+_READABLE = (
+    ("−", "-"), ("–", "-"), ("π", " pi "), ("λ", " lambda "), ("≤", " <= "), ("≥", " >= "), ("≈", " approx "), ("∈", " element_of "), ("⊆", " subset_of "), ("⟂", " orthogonal_to "),
+    ("∫", " integral "), ("∑", " sum "), ("Σ", " sum "), ("√", " sqrt "), ("‖", " || "),
+)
+_METRIC = re.compile(r"\b(?:RRF|MRR|Recall@|Hit@|nDCG@|Precision@)", re.IGNORECASE)
+_SIGNAL = re.compile(r"=|<|>|\^|\|\||\b(?:approx|integral|sum|sqrt|element_of|subset_of|orthogonal_to|norm)\b", re.IGNORECASE)
+_CONSTANT = re.compile(r"\d|\b(?:pi|lambda|integral|sum|sqrt)\b", re.IGNORECASE)
+_CODE = re.compile(r"\(cid:\d+\)", re.IGNORECASE)
+
+
+def _readable(line: str) -> str:
+    line = unicodedata.normalize("NFKC", _CODE.sub("", line))
+    for sign, word in _READABLE:
+        line = line.replace(sign, word)
+    return " ".join(line.split())
+
+
+def _sure(line: str) -> bool:
+    letters = any(map(str.isalpha, line))
+    return 4 <= len(line) <= 240 and letters and bool(_CONSTANT.search(line)) and bool(_METRIC.search(line) or _SIGNAL.search(line))
+
+
+@pandas_udf(ArrayType(StringType()))
+def formula_evidence(lines: pd.Series) -> pd.Series:
+    """The first three different formulas of an array of lines, whatever their case, made readable; only those beyond doubt."""
+
+    def chosen(found: list[str] | None) -> list[str]:
+        kept: dict[str, str] = {}
+        for line in map(_readable, found if found is not None else []):
+            if _sure(line) and len(kept) < 3:
+                kept.setdefault(line.casefold(), line)
+        return list(kept.values())
+
+    return lines.map(chosen)

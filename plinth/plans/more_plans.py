@@ -11,7 +11,7 @@ from plinth.operators import evaluate, evidence, gates, history, pages, represen
 from plinth.operators.numbering import numbered
 from plinth.plans.engine import Engine
 from plinth.plans.search_plans import MAPPED, RANKED, SUMMARY, _metrics, cases_of, gold_of, metrics_of, results_of
-from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, blocks_of, chunks_of, lines_of
+from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, blocks_of, chunks_of, lines_of, packed_lines
 from plinth.sources import providers, snapshots
 from plinth.sources.shared import new_folder
 from plinth.sources.tables import documents, table
@@ -41,11 +41,40 @@ def outside_tables(spark, sf_dir):
 
 
 def heading_lines(spark, sf_dir):
-    return represent.headings(lines_of(spark, sf_dir))
+    """What the first lines of every document say about its sections; lines that stand alone between others are no content."""
+    scan = represent.heading_scan(F.col("text"), F.lit(None).cast("array<string>"))
+    rows = documents(spark, sf_dir).select("document_id", scan.alias("s"))
+    return rows.select("document_id", F.array_join("s.local", " | ").alias("local"), F.col("s.holds").alias("holds"))
 
 
 def formula_evidence(spark, sf_dir):
-    return represent.formula_evidence(lines_of(spark, sf_dir), T.formula_line(F.col("text")))
+    """The formulas among a document's lines, beyond doubt and readable."""
+    found = F.filter(F.split("text", "\n"), T.formula_line)
+    rows = documents(spark, sf_dir).select("document_id", U.formula_evidence(found).alias("f"))
+    return rows.where(F.size("f") > 0).select("document_id", F.array_join("f", "\n").alias("formulas"))
+
+
+def page_blocks(spark, sf_dir):
+    """Blocks of documents as pages of positioned words; pipe lines are the rows of a table, which has a position in every other document."""
+    rows = lines_of(spark, sf_dir).withColumn("page", F.floor(F.col("line_index") / 10).cast("int"))
+    piped = rows.where(F.contains("text", F.lit(" | ")))
+    cells = F.struct("line_index", F.split("text", r" \| ").alias("cells"))
+    found = piped.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(cells)).alias("c"), F.min(F.col("line_index") % 10 * 12.0).alias("top"))
+    found = found.select("document_id", "page", F.lit(1).alias("table_index"), "top", F.transform("c", lambda x: x["cells"]).alias("rows"))
+    tables = pages.page_tables(found.where("document_id % 2 = 0"), found.where("document_id % 2 = 1").drop("top"))
+    plain = rows.groupBy("document_id", "page").agg(F.lit("").alias("plain_text"))
+    blocks = pages.read_pages(words_of(spark, sf_dir), tables, piped.select("document_id", "page", "text"), plain, 1000.0)
+    return blocks.select("document_id", "block_index", "page", "block_type", F.sha2("text", 256).alias("text_sha256"))
+
+
+def page_tables(spark, sf_dir):
+    """Pipe lines as the tables of pages, positioned in every other document."""
+    rows = lines_of(spark, sf_dir).withColumn("page", F.floor(F.col("line_index") / 10).cast("int")).where(F.contains("text", F.lit(" | ")))
+    cells = F.struct("line_index", F.split("text", r" \| ").alias("cells"))
+    found = rows.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(cells)).alias("c"), F.min("line_index").cast("double").alias("top"))
+    found = found.select("document_id", "page", F.lit(1).alias("table_index"), "top", F.transform("c", lambda x: x["cells"]).alias("rows"))
+    shown = pages.page_tables(found.where("document_id % 2 = 0"), found.drop("top"))
+    return shown.select("document_id", "page", "top", F.sha2("text", 256).alias("text_sha256"), "malformed")
 
 
 def evidence_spans(spark, sf_dir):
@@ -134,7 +163,7 @@ def stream_windows(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        reading_lines, column_order, outside_tables, heading_lines, formula_evidence, evidence_spans, source_match_kinds, folded_tokens, release_gates, trial_latency,
+        reading_lines, column_order, outside_tables, page_tables, page_blocks, heading_lines, formula_evidence, evidence_spans, source_match_kinds, folded_tokens, release_gates, trial_latency,
         trial_consensus, session_list, case_numbers, snapshot_chunks, hash_embeddings, engine_search, stream_chunks, stream_windows,
     )
 }
@@ -146,6 +175,27 @@ PIECES = LINES + (
     ", pieces as (select document_id, page, (row_number() over (partition by document_id, page order by line_index, k) - 1)::int line_index, (line_index % 10 * 12.0)::double top,"
     " ((7 * k + o - 1) * 40.0 + k * 150.0)::double x0, array_to_string(p, ' ') t from pc where len(p) > 0)"
 )
+
+
+def _title(x: str) -> str:
+    """SQL for a line that looks like a title."""
+    words = f"regexp_extract_all({x}, '[A-Za-z]+')"
+    small, library = ("(" + ", ".join(f"'{w}'" for w in ws) + ")" for ws in (represent.SMALL_WORDS, represent.LIBRARY_WORDS))
+    telling = f"list_filter({words}, lambda w: lower(w) not in {small})"
+    return (
+        f"(length({x}) <= 120 and not regexp_matches({x}, '[.?!:;]$') and not contains({x}, ',') and not regexp_matches({x}, '{represent.MATH_NOISE}') and len({words}) between 3 and 14 and len({telling}) >= 2"
+        f" and len(list_filter({telling}, lambda w: lower(w) in {library})) = 0 and len(list_filter({telling}, lambda w: regexp_matches(w, '^[A-Z]'))) >= 0.6 * len({telling}))"
+    )
+
+
+LED, NUMBERED = f"trim(regexp_extract(l, '{represent.LED}', 1))", (f"regexp_extract(l, '{represent.NUMBERED}', 1)", f"trim(regexp_extract(l, '{represent.NUMBERED}', 2))")
+HEADING = f"""case when regexp_matches(l, '{represent.NUMBER}') then case when i <= 3 and nx is not null and {_title("nx")} then 'h' || nx end
+  when regexp_matches(l, '{represent.STRUCTURAL}') then 'h' || l when regexp_matches(l, '{represent.LOCAL}') then 'l' || l
+  when i <= 3 and {LED} <> '' and (regexp_matches({LED}, '{represent.STRUCTURAL}') or {_title(LED)}) then 'h' || {LED}
+  when {NUMBERED[0]} = '' then case when i <= 3 and {_title("l")} then 'h' || l end
+  when regexp_matches({NUMBERED[1]}, '{represent.MATH_NOISE}') then null when regexp_matches({NUMBERED[1]}, '{represent.LOCAL}') then 'l' || {NUMBERED[0]} || ' ' || {NUMBERED[1]}
+  when {_title(NUMBERED[1])} then 'h' || {NUMBERED[0]} || ' ' || {NUMBERED[1]}
+  when len(regexp_extract_all({NUMBERED[1]}, '[A-Za-z]+')) >= 2 and not regexp_matches({NUMBERED[1]}, '[.?!]$') then 'l' || {NUMBERED[0]} || ' ' || {NUMBERED[1]} end"""
 SQL = {
     "reading_lines": f'with {PIECES} select document_id, page, line_index, top, x0, t as "text" from pieces',
     "column_order": f"""with {PIECES}, g as (select document_id, page, x0 - lag(x0) over (partition by document_id, page order by x0) gap, x0 from pieces)
@@ -155,12 +205,36 @@ SQL = {
         from s window w as (partition by document_id, page))
       select document_id, page, line_index, col "column", (row_number() over (partition by document_id, page order by col, top, x0) - 1)::int place from c""",
     "outside_tables": f"""with {LINES}, r as (select document_id, line_index // 10 page, line_index, line, list_distinct(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+')) w from lines)
-      , h as (select document_id, page, list_distinct(flatten(list(w))) h from r where contains(line, ' | ') group by document_id, page)
+      , h as (select document_id, page, list_distinct(flatten(list(w))) h, list(w) ws from r where contains(line, ' | ') group by document_id, page)
       select document_id, line_index from r left join h using (document_id, page)
-      where not (len(w) >= 2 and len(list_intersect(w, coalesce(h, []))) >= 2 and len(list_intersect(w, coalesce(h, []))) >= 0.8 * len(w))""",
-    "formula_evidence": f"""with {LINES}, f as (select document_id, line_index, trim(line) x, row_number() over (partition by document_id, lower(trim(line)) order by line_index) d from lines where {FORMULA})
-      , n as (select *, row_number() over (partition by document_id order by line_index) n from f where d = 1)
+      where not coalesce(len(w) >= 2 and (len(list_intersect(w, h)) >= 2 and len(list_intersect(w, h)) >= 0.8 * len(w)
+        or len(list_filter(ws, lambda x: len(x) >= 2 and len(list_intersect(w, x)) >= 2 and len(list_intersect(w, x)) >= 0.8 * len(w) and len(list_intersect(w, x)) >= 0.8 * len(x))) > 0), false)""",
+    "page_tables": f"""with {LINES}, r as (select document_id, line_index // 10 page, line_index, list_transform(string_split(line, ' | '),
+        lambda x: replace(trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '|', '\\|')) c from lines where contains(line, ' | ')
+      ), f as (select document_id, page, min(line_index) top from r group by document_id, page
+      ), k as (select *, row_number() over (partition by document_id, page order by line_index) n, max(len(c)) over (partition by document_id, page) w, min(len(c)) over (partition by document_id, page) v
+        from r where len(list_filter(c, lambda x: x <> '')) > 0
+      ), s as (select document_id, page, n, w, v, list_concat(c, list_transform(range(w - len(c)), lambda i: '')) c from k
+      ), o as (select document_id, page, any_value(v < w) malformed, string_agg('| ' || array_to_string(case when n = 1 then list_transform(c, lambda x, i: case when x = '' then 'Column ' || i else x end) else c end, ' | ') || ' |'
+        || case when n = 1 then chr(10) || '|' || repeat('---|', w) else '' end, chr(10) order by n) t from s group by document_id, page)
+      select document_id, page::int page, case when document_id % 2 = 0 then top end::double top, sha256(t) text_sha256, malformed from o join f using (document_id, page)""",
+    "heading_lines": f"""with docs as (select doc_id document_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') t from documents)
+      , ls as (select document_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '(?i)\\(cid:[0-9]+\\)', '', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') l from docs)
+      , li as (select document_id, unnest(l) l, unnest(range(1, len(l) + 1)) i, unnest(list_append(l[2:], null)) nx from ls)
+      , hd as (select *, {HEADING} h from li where i <= 40), hs as (select document_id, i, substr(h, 1, 1) = 'h' holds, substr(h, 2) h from hd where h is not null)
+      , fs as (select *, row_number() over (partition by document_id, lower(h) order by i) = 1 fresh from hs)
+      , sc as (select *, coalesce(sum(fresh::int) over (partition by document_id order by i rows between unbounded preceding and 1 preceding), 0) < 3 seen from fs)
+      , ag as (select document_id, string_agg(h, ' | ' order by i) filter (where fresh) "local", max_by(h, i) filter (where holds) holds from sc where seen group by document_id)
+      select document_id, coalesce("local", '') "local", holds from docs left join ag using (document_id)""",
+    "formula_evidence": f"""with {LINES}, f as (select document_id, line_index, trim(regexp_replace(regexp_replace(replace(replace(line, '−', '-'), '–', '-'), '(?i)\\(cid:[0-9]+\\)', '', 'g'), '\\s+', ' ', 'g')) x from lines where {FORMULA})
+      , c as (select *, row_number() over (partition by document_id, lower(x) order by line_index) d from f where length(x) between 4 and 240 and regexp_matches(x, '\\p{{L}}') and regexp_matches(x, '(?i)\\d|\\b(?:pi|lambda|integral|sum|sqrt)\\b')
+        and (regexp_matches(x, '(?i)\\b(?:RRF|MRR|Recall@|Hit@|nDCG@|Precision@)') or regexp_matches(x, '(?i)=|<|>|\\^|\\|\\||\\b(?:approx|integral|sum|sqrt|element_of|subset_of|orthogonal_to|norm)\\b')))
+      , n as (select *, row_number() over (partition by document_id order by line_index) n from c where d = 1)
       select document_id, string_agg(x, chr(10) order by n) formulas from n where n <= 3 group by document_id""",
+    "evidence_spans": f"""with recursive {packed_lines(1200, False)}, b as (select *, substr(t, 1, 1200) p, length(t) <= 1200 w, cnt = 1 and tab alone from ck)
+      , v as (select *, length(p) - length(regexp_extract(p, '[^ ]*$')) - 1 z from b), x as (select *, case when alone or w then t when z >= 600 then substr(p, 1, z) else p end y from v)
+      , k as (select *, row_number() over (partition by document_id order by c) - 1 i from x where length(y) >= 250 or alone)
+      select document_id || '::span-' || lpad(i::varchar, greatest(4, length(i::varchar))::int, '0') span_id, document_id, s::int start_char, (case when w or alone then e else s + length(y) end)::int end_char, sha256(y) text_sha256, length(y)::int n_chars from k""",
     "source_match_kinds": f"""with {RANKED}, {MAPPED}, g as (select distinct query_id, document_id d from gold join chunks using (chunk_id))
       select query_id, case when source_path = d::varchar then 'exact' when ends_with(source_path, '/' || d) then 'suffix' else 'none' end kind, count(*) n
       from bm25 join chunks using (chunk_id) join g using (query_id) group by all""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import text as T
 from plinth.operators import chunking, evidence, parse, represent
+from plinth.sources import files
 from plinth.sources.tables import documents, table
 
 DOCS = "docs as (select doc_id document_id, source || '/' || doc_id source_path, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') t, lang, source from documents)"
@@ -70,8 +71,8 @@ def split_oversized(spark, sf_dir):
 
 
 def block_chunks(spark, sf_dir):
-    rows = chunking.block_chunks(blocks_of(spark, sf_dir))
-    return rows.select("document_id", "chunk_index", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars"), "start_char", "end_char", F.array_join("block_types", ",").alias("block_types"))
+    rows = chunking.block_chunks(blocks_of(spark, sf_dir), 400, 50)
+    return rows.select("document_id", "chunk_index", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars"), "start_char", "end_char", F.array_join("block_types", ",").alias("block_types"), "exceeds")
 
 
 def chunk_list(spark, sf_dir):
@@ -107,6 +108,15 @@ def index_fingerprint(spark, sf_dir):
     return represent.index_fingerprint(text_hash(spark, sf_dir))
 
 
+def listed_fingerprint(spark, sf_dir):
+    return represent.listed_fingerprint(text_hash(spark, sf_dir))
+
+
+def file_hashes(spark, sf_dir):
+    """Hashes of documents as files, whatever their line ends."""
+    return table(spark, sf_dir, "documents").select("doc_id", represent.canonical_hash(F.col("text")).alias("file_sha256"))
+
+
 def header_footer_filter(spark, sf_dir):
     return parse.repeated_edge_lines(pages_of(spark, sf_dir))
 
@@ -158,8 +168,40 @@ def section_propagation(spark, sf_dir):
     return represent.propagate_sections(_sectioned(spark, sf_dir)).select("chunk_id", "section", "effective_section")
 
 
+def represented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with what they may carry: sections, pages, types of blocks; every third document has a title, every other one is a PDF."""
+    rows = _sectioned(spark, sf_dir)
+    first, last = F.floor(F.col("start_char") / 3000), F.floor((F.col("end_char") - 1) / 3000)
+    types = F.when(F.contains("text", F.lit(" | ")), F.array(F.lit("table"), F.lit("paragraph"))).otherwise(F.array(F.lit("paragraph")))
+    return rows.withColumns({
+        "page_start": (first + 1).cast("int"), "page_end": (last + 1).cast("int"), "block_types": types, "possible_formula": F.contains("text", F.lit("=")),
+        "title": F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("Document "), F.col("document_id").cast("string"))), "section_title": F.col("section"),
+        "media_type": F.when(F.col("document_id") % 2 == 0, "application/pdf").otherwise("text/plain"), "formula_lines": F.filter(F.split("text", "\n"), T.formula_line),
+    })
+
+
 def structured_text(spark, sf_dir):
-    return represent.structured_text(_sectioned(spark, sf_dir)).select("chunk_id", F.sha2("representation", 256).alias("representation_sha256"), F.length("representation").alias("n_chars"))
+    rows = represent.representations(represented(spark, sf_dir), "structured_document_text_v1")
+    return rows.select("chunk_id", F.sha2("representation", 256).alias("representation_sha256"), F.length("representation").alias("n_chars"))
+
+
+def cleaned_text(spark, sf_dir):
+    """The text of PDFs' chunks with their own or the last heading, and their formulas."""
+    rows = represented(spark, sf_dir).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").drop("section_title")
+    rows = represent.representations(rows, "cleaned_pdf_formula_text_v1")
+    return rows.select("chunk_id", F.sha2("representation", 256).alias("representation_sha256"), F.length("representation").alias("n_chars"))
+
+
+def query_text(spark, sf_dir):
+    made = represent.query_representation(F.col("text"), "instructed_query_v1")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.sha2(made, 256).alias("representation_sha256"))
+
+
+def ingest_report(spark, sf_dir):
+    """Documents by what they are read as: a third as Markdown, a third as text, the rest skipped."""
+    kind = F.element_at(F.array(F.lit(".md"), F.lit(".TXT"), F.lit(".bin")), (F.col("document_id") % 3 + 1).cast("int"))
+    rows = documents(spark, sf_dir).select(F.concat("source_path", kind).alias("path"), F.length("text").alias("n_chars"))
+    return files.report(rows)
 
 
 def markdown_blocks(spark, sf_dir):
@@ -180,17 +222,28 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_offsets, text_blocks, sliding_chunks, split_oversized, block_chunks, chunk_list, chunk_lookup, chunk_preview, tokenize, token_ngrams, text_hash,
-        index_fingerprint, header_footer_filter, formula_lines, table_serialize, ingest_summary, clean_text, redact_lines, source_label, section_propagation,
-        structured_text, markdown_blocks, evidence_groups, observational_slices,
+        index_fingerprint, listed_fingerprint, file_hashes, header_footer_filter, formula_lines, table_serialize, ingest_summary, ingest_report, clean_text, redact_lines,
+        source_label, section_propagation, structured_text, cleaned_text, query_text, markdown_blocks, evidence_groups, observational_slices,
     )
 }
 
 W = r"[\p{L}\p{N}_]+"
 SECTIONED = CHUNKS + r", sectioned as (select *, nullif(regexp_extract(text, '\n([^\n]{1,40})\n', 1), '') section from chunks)"
 FORMULA = (
-    r"(regexp_matches(line, '(?i)\b(precision|recall|ndcg|mrr|map|hit|f1|accuracy)(@[0-9]+)?\s*=')"
-    r" or regexp_matches(line, '[=+*/^<>%|]') and regexp_matches(line, '[0-9]') and regexp_matches(line, '[A-Za-z]'))"
+    r"(regexp_matches(line, '(?i)\b(rrf\s*\(|mrr\b|recall@|hit@)') or regexp_matches(line, '[=+\-*/^<>≈≤≥∑Σ∫√∂αβγλθ]') and regexp_matches(line, '\p{Nd}') and regexp_matches(line, '\p{L}'))"
 )
+
+
+def packed_lines(size: int, split: bool) -> str:
+    """Recursive CTEs from lines to chunks of blocks ``ck``: document_id, c (number), t (text), s, e, tab, cnt."""
+    alone = f"(b.tab or b.n > {size})"
+    return f"""{LINES}, bl as (select document_id, line, start_char s, start_char + length(line) e, contains(line, ' | ') tab, length(line) n, row_number() over (partition by document_id order by line_index) k from lines where line <> '')
+      , pk as (select document_id, k, 0 c, n m, {alone} alone from bl b where k = 1
+        union all select document_id, k, case when fits then c else c + 1 end, case when fits then m + 2 + n else n end, not fits and a
+        from (select b.*, c, m, {alone} a, not alone and not {alone} and m + 2 + b.n <= {size} fits from pk join bl b on b.document_id = pk.document_id and b.k = pk.k + 1))
+      , ck as (select document_id, c, string_agg(line, chr(10) || chr(10) order by k) t, min(s) s, max(e) e, bool_or(tab) tab, count(*) cnt from pk join bl using (document_id, k) group by document_id, c)"""
+
+
 SQL = {
     "line_offsets": f"with {LINES} select document_id, line_index, start_char, line as text from lines",
     "text_blocks": f"""with {LINES}, i as (select *, sum((not regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]'))::int) over (partition by document_id order by line_index) island from lines
@@ -200,6 +253,10 @@ SQL = {
     "sliding_chunks": f"with {CHUNKS} select chunk_id, document_id, source_path, chunk_index, start_char::int start_char, end_char::int end_char, text from chunks",
     "split_oversized": f"""with {DOCS}, p as (select document_id, t, unnest(range(0, ceil((length(t) - 1000) / 900.0)::int + 1)) piece from docs where length(t) > 1000)
       select document_id, piece::int piece, (piece * 900)::int start_char, least(piece * 900 + 1000, length(t))::int end_char, substr(t, piece * 900 + 1, 1000) as text from p""",
+    "block_chunks": f"""with recursive {packed_lines(400, True)}, pc as (select document_id, c, tab, s, e, t, unnest(case when not tab and length(t) > 400 then range(0, ceil((length(t) - 400) / 350.0)::int + 1) else [null] end) j from ck)
+      , pt as (select document_id, c, j, tab, case when j is null then t else substr(t, j * 350 + 1, 400) end x, case when j is null then s else s + j * 350 end a, e from pc)
+      select document_id, (row_number() over (partition by document_id order by c, j) - 1)::int chunk_index, sha256(x) text_hash, length(x)::int n_chars, a::int start_char,
+        (case when j is null then e else a + length(x) end)::int end_char, case when tab then 'table' else 'paragraph' end block_types, length(x) > 400 exceeds from pt""",
     "chunk_list": f"with {CHUNKS} select chunk_id, document_id, length(text)::int n_chars from chunks order by chunk_id limit 20",
     "chunk_lookup": f"with {CHUNKS} select chunk_id, document_id, start_char::int start_char, end_char::int end_char, text from chunks where chunk_index = 0",
     "chunk_preview": f"""with {CHUNKS}, f as (select chunk_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) x from chunks)
@@ -208,11 +265,20 @@ SQL = {
     "token_ngrams": f"""with {DOCS}, w as (select document_id, regexp_extract_all(lower(t), '{W}') w from docs)
       select document_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))::int n_distinct from w""",
     "text_hash": f"with {CHUNKS} select chunk_id, sha256(text) text_hash from chunks",
+    "index_fingerprint": f"""with {CHUNKS}, h as (select sha256(chunk_id || ':' || sha256(text)) h from chunks)
+      select sha256(count(*) || ':' || """ + " || ':' || ".join(f"sum(('0x' || substr(h, {15 * i + 1}, 15))::bigint::hugeint)" for i in range(4)) + """) fingerprint, count(*) n_chunks from h""",
+    "listed_fingerprint": f"""with {CHUNKS} select sha256('[' || string_agg('{{"chunk_id":"' || chunk_id || '","text_sha256":"' || sha256(text) || '"}}', ',' order by chunk_id) || ']') fingerprint from chunks""",
+    "file_hashes": "select doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) file_sha256 from documents",
+    "ingest_report": """with d as (select ['.md', '.TXT', '.bin'][doc_id % 3 + 1] x, length(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')) n from documents)
+      select case x when '.md' then 'text/markdown' when '.TXT' then 'text/plain' end media_type, x <> '.bin' supported, count(*) n_files, sum(n)::bigint n_chars from d group by x""",
+    "query_text": "select item_id, sha256('Instruct: Retrieve the document passage that best answers the query. Distinguish the correct section from other passages in the same source document.' || chr(10) || 'Query: ' || text) representation_sha256 from benchmark",
     "header_footer_filter": f"""with {LINES}, p as (select document_id, (line_index // 10)::int page, line_index, line, lower(trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) norm from lines
       ), e as (select *, case when row_number() over (partition by document_id, page order by line_index) <= 2 then 'header'
         when row_number() over (partition by document_id, page order by line_index desc) <= 2 then 'footer' end place from p
-      ), v as (select document_id, norm, case when 2 * count(*) filter (where place = 'header') >= count(*) then 'header' else 'footer' end side from e
-        where place is not null and length(norm) between 1 and 80 and len(string_split(norm, ' ')) <= 8 group by document_id, norm having count(*) >= 2)
+      ), v as (select document_id, norm, case when 2 * count(*) filter (where place = 'header') > count(*) then 'header' when 2 * count(*) filter (where place = 'header') < count(*) then 'footer'
+          else min_by(place, (page, line_index)) end side from e
+        where place is not null and length(norm) between 1 and 80 and len(regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+(?:@[\\p{{L}}\\p{{N}}_]+)?')) between 1 and 8
+          and document_id in (select document_id from p group by document_id having min(page) < max(page)) group by document_id, norm having count(*) >= 2)
       select document_id, page, line_index, line as text, coalesce(side = place, false) removed from e left join v using (document_id, norm)""",
     "formula_lines": f"with {LINES} select document_id, count(*) n_formula_lines from lines where {FORMULA} group by document_id",
     "ingest_summary": f"with {DOCS} select source, lang, count(*) n_documents, sum(length(t))::bigint n_chars, count(*) filter (where t = '') n_empty from docs group by source, lang",
@@ -232,7 +298,10 @@ SQL = {
       select chunk_id, document_id || case when a = b then ' p. ' || a else ' pp. ' || a || '-' || b end "label" from p""",
     "section_propagation": f"""with {SECTIONED} select chunk_id, section, last_value(section ignore nulls) over (partition by document_id order by chunk_index
       rows between unbounded preceding and current row) effective_section from sectioned""",
-    "structured_text": f"""with {SECTIONED}, r as (select chunk_id, 'Title: ' || document_id || chr(10) || 'Source: ' || source_path || chr(10) || 'Section: ' || coalesce(section, 'unknown')
-      || chr(10) || 'Type: paragraph' || chr(10) || 'Content: ' || text r from sectioned) select chunk_id, sha256(r) representation_sha256, length(r)::int n_chars from r""",
+    "structured_text": f"""with {SECTIONED}, r as (select chunk_id, 'Document title: ' || case when document_id % 3 = 0 then 'Document ' || document_id else document_id::varchar end || chr(10) || 'Source: ' || source_path || chr(10)
+      || 'Section: ' || coalesce(nullif(trim(regexp_replace(section, '[\\s]+', ' ', 'g')), ''), 'unknown') || chr(10) || 'Page: ' || case when start_char // 3000 = (end_char - 1) // 3000 then (start_char // 3000 + 1)::varchar
+        else (start_char // 3000 + 1) || '-' || ((end_char - 1) // 3000 + 1) end || chr(10) || 'Block types: ' || case when contains(text, ' | ') then 'paragraph, table' else 'paragraph' end || chr(10)
+      || 'Signals: ' || case when contains(text, '=') and contains(text, ' | ') then 'formula, table' when contains(text, '=') then 'formula' when contains(text, ' | ') then 'table' else 'none' end
+      || chr(10) || 'Content:' || chr(10) || text r from sectioned) select chunk_id, sha256(r) representation_sha256, length(r)::int n_chars from r""",
     "observational_slices": "select lang, quality, toxic, count(*) n from documents left join labels using (doc_id) group by all",
 }

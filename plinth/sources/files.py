@@ -19,6 +19,14 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("relative_path", "extension", F.col("extension").isin(*EXTENSIONS).alias("supported"), "length", "content")
 
 
+def report(files: DataFrame) -> DataFrame:
+    """media_type (null for what is skipped), supported, and number and characters of files (path, n_chars), by their extension in any case."""
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    media = F.when(extension == "md", "text/markdown").when(extension == "txt", "text/plain").when(extension == "pdf", "application/pdf")
+    rows = files.withColumn("media_type", media)
+    return rows.groupBy("media_type", F.col("media_type").isNotNull().alias("supported")).agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_chars"))
+
+
 def in_order(files: DataFrame) -> DataFrame:
     """Files by depth, then by path in any case."""
     return files.orderBy(F.size(F.split("relative_path", "/")), F.lower("relative_path"))
