@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -59,3 +60,25 @@ def formula_evidence(lines: pd.Series) -> pd.Series:
         return list(kept.values())
 
     return lines.map(chosen)
+
+
+# Parts of the names of what isn't shown.
+_SENSITIVE = re.compile(r"api_?key|secret|token|password|authorization", re.IGNORECASE)
+
+
+@pandas_udf(StringType())
+def without_secrets(text: pd.Series) -> pd.Series:
+    """JSON without the keys that name secrets, at any depth; text that is no JSON becomes null."""
+
+    def cut(value: object) -> object:
+        if isinstance(value, dict):
+            return {k: cut(v) for k, v in value.items() if not _SENSITIVE.search(k)}
+        return [cut(v) for v in value] if isinstance(value, list) else value
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(cut(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return text.map(one)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.operators.numbering import numbered
+from plinth.sources.shared import stored
+
 
 def cold_and_warm(samples: DataFrame, *by: str) -> DataFrame:
     """Latencies (trial, seq, latency_ms): the first of each trial is cold; mean and percentiles of the others."""
@@ -70,3 +75,83 @@ def farthest(points: DataFrame, count: int) -> list[int]:
         chosen.append(row["id"])
         places.append(row["position"])
     return chosen
+
+
+def review(cases: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Cases (query_id, query, answer) after a review (query_id, decision, original_hash, new_query, new_answer).
+
+    Every case needs one decision, approved or corrected, whose hash is that of the case as it is (``case_hash``); else it is an error
+    when it is read. Corrected cases take what is new of query and answer, and tell that they were changed.
+    """
+    n = decisions.groupBy("query_id").agg(F.count("*").alias("n"), F.first("decision").alias("decision"), F.first("original_hash").alias("hash"), F.first("new_query").alias("nq"), F.first("new_answer").alias("na"))
+    rows = cases.join(n, "query_id", "left")
+    wrong = (
+        F.when(F.coalesce("n", F.lit(0)) != 1, F.lit("a case needs one decision"))
+        .when(~F.coalesce(F.col("decision").isin("approved", "corrected"), F.lit(False)), F.lit("unknown decision"))
+        .when(~F.coalesce(F.col("hash") == case_hash(F.col("query"), F.col("answer")), F.lit(False)), F.lit("a case changed since its review"))
+    )
+    changed = F.col("decision") == "corrected"
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), F.col("query_id").cast("string"))).cast("boolean")).otherwise(changed)
+    return rows.select("query_id", *(F.when(changed, F.coalesce(new, old)).otherwise(F.col(old)).alias(old) for old, new in (("query", "nq"), ("answer", "na"))), checked.alias("changed"))
+
+
+def case_hash(query: Column, answer: Column) -> Column:
+    return F.sha2(F.concat_ws("\n", query, answer), 256)
+
+
+def violations(rows: DataFrame, key: str, most: int = 20, **conditions: Column) -> DataFrame:
+    """(condition, n, examples): how many rows break each condition, and the first ``most`` of their keys, joined by commas; null breaks it."""
+    broken = F.array(*(F.struct(F.lit(n).alias("condition"), (~F.coalesce(c, F.lit(False))).alias("broken")) for n, c in conditions.items()))
+    each = rows.select(F.col(key).alias("key"), F.explode(broken).alias("b")).select("key", "b.*")
+    place = F.row_number().over(Window.partitionBy("condition").orderBy("key"))
+    counts = each.groupBy("condition").agg(F.count_if("broken").alias("n"))
+    first = each.where("broken").withColumn("place", place).where(F.col("place") <= most)
+    shown = first.groupBy("condition").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "key"))), lambda x: x["key"].cast("string")), ",").alias("examples"))
+    return counts.join(shown, "condition", "left").select("condition", "n", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
+def generated_cases(spans: DataFrame, generate: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Evaluation cases made of evidence spans (span_id, text), and the spans that gave none, with the reason.
+
+    ``generate`` answers prompts (span_id, prompt) with (span_id, answer); an answer must be a JSON object with a question and an answer,
+    both text, and nothing else. Cases are numbered in the order of their spans.
+    """
+    ask = "Write one question that only this passage answers, as a JSON object with question and answer.\n\n"
+    prompts = spans.select("span_id", F.concat(F.lit(ask), "text").alias("prompt"))
+    rows = spans.select("span_id").join(generate(prompts), "span_id", "left")
+    keys = F.array_sort(F.json_object_keys("answer"))
+    parsed = F.from_json("answer", "question string, answer string")
+    rows = rows.withColumn("p", F.when(keys == F.array(F.lit("answer"), F.lit("question")), parsed))
+    reason = F.when(F.col("answer").isNull(), "no answer").when(F.col("p").isNull(), "not the JSON that was asked for").when((F.coalesce(F.trim("p.question"), F.lit("")) == "") | (F.coalesce(F.trim("p.answer"), F.lit("")) == ""), "an empty field")
+    rows = stored(rows.withColumn("reason", reason), "answers")
+    good = numbered(rows.where("reason is null").select("span_id", "p.question", F.col("p.answer").alias("answer")), "span_id")
+    cases = good.select(F.format_string("synthetic-span-%06d", F.col("number") + 1).alias("case_id"), "span_id", F.trim("question").alias("query"), F.trim("answer").alias("answer"))
+    return cases, rows.where("reason is not null").select("span_id", "reason")
+
+
+def screen_gates(cases: DataFrame, gained: int = 1, gained_wide: int = 1, longest: float = 1.1) -> DataFrame:
+    """Whether a candidate run may replace a baseline: (gate, value, passed).
+
+    cases: (mode, k, query_id, role, baseline_hits, n_trials, baseline_missed_source, candidate_hit, candidate_failure, baseline_tokens,
+    candidate_tokens) at the narrow and the wide k; roles are stable or challenge. No stable case may be lost at the narrow k in the
+    semantic mode; no case may newly miss its source; enough challenges that never hit must be gained at either k; in the hybrid mode
+    hits, counted for the baseline where most trials hit, must not fall, and context must not grow beyond ``longest`` times.
+    """
+    narrow = F.col("k") == cases.agg(F.min("k")).first()[0]
+    semantic, hybrid, challenge = F.col("mode") == "semantic", F.col("mode") == "hybrid", F.col("role") == "challenge"
+    fresh = semantic & challenge & (F.col("baseline_hits") == 0) & F.col("candidate_hit")
+    row = cases.agg(
+        F.count_if(semantic & narrow & (F.col("role") == "stable") & ~F.col("candidate_hit")).alias("stable_losses"),
+        F.count_if((F.col("candidate_failure") == "missed_source") & ~F.col("baseline_missed_source")).alias("new_missed_sources"),
+        F.count_if(fresh & narrow).alias("gains"),
+        F.count_if(fresh & ~narrow).alias("wide_gains"),
+        F.sum(F.when(hybrid & narrow, F.col("candidate_hit").cast("long") - (2 * F.col("baseline_hits") > F.col("n_trials")).cast("long")).otherwise(0)).alias("hybrid_change"),
+        (F.sum(F.when(hybrid & narrow, F.col("candidate_tokens"))) / F.sum(F.when(hybrid & narrow, F.col("baseline_tokens")))).alias("token_ratio"),
+    )
+    enough = (F.col("gains") >= gained) | (F.col("wide_gains") >= gained_wide)
+    found = (
+        ("stable_losses", F.col("stable_losses") == 0), ("new_missed_sources", F.col("new_missed_sources") == 0), ("gains", enough), ("wide_gains", enough),
+        ("hybrid_change", F.col("hybrid_change") >= 0), ("token_ratio", F.coalesce(F.col("token_ratio") <= longest, F.lit(True))),
+    )
+    parts = F.array(*(F.struct(F.lit(n).alias("gate"), F.col(n).cast("double").alias("value"), c.alias("passed")) for n, c in found))
+    return row.select(F.explode(parts).alias("g")).select("g.*")

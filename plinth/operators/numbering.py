@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.sources.shared import stored
+
 
 def numbered(rows: DataFrame, *order: str, name: str = "number", parts: int | None = None) -> DataFrame:
     """Adds 0, 1, 2, ... in the order of the columns, which must tell all rows apart.
 
-    Rows are dealt into ranges; each range counts its own, and starts where the ranges before it end.
+    Rows are dealt into ranges and written once; each range counts its own, and starts where the ranges before it end.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()).persist()
+    dealt = stored(rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("__p", before.alias("__before")))  # at most n rows

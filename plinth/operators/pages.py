@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.text import strip, tokens
 from plinth.operators.parse import malformed_table, repeated_edge_lines, serialize_table
+from plinth.sources.shared import stored
 
 #: Distance within which words share a line, and gap that splits a line.
 SAME_LINE, GAP = 3.0, 120.0
@@ -139,7 +140,7 @@ def read_pages(words: DataFrame, tables: DataFrame, rows: DataFrame, plain: Data
     text); plain: (document_id, page, plain_text), one for each page, for pages whose words give nothing. Words become lines in reading
     order, headers and footers go, then lines that repeat a table; the rest of a page is its paragraph.
     """
-    lines = reading_lines(words)
+    lines = stored(reading_lines(words), "lines")
     ordered = column_order(lines, width).select("document_id", "page", F.col("place").alias("line_index"), "text")
     kept = repeated_edge_lines(ordered).where("not removed").drop("removed")
     kept = outside_tables(kept, rows)

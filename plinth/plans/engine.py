@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ Step = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Engine:
-    """Ranks chunks (chunk_id, text, ...) for queries (query_id, query).
+    """Ranks chunks (chunk_id, text, ...) for queries (query_id, query). Only one snapshot's chunks are kept at a time.
 
     ``index`` (chunk_id, embedding) and ``embed`` (queries -> (query_id, embedding)) are needed for the semantic and hybrid modes.
     ``rerank`` and ``select`` may replace what follows the candidates; ``select`` defaults to the best of each query.
@@ -29,14 +30,19 @@ class Engine:
     embed: Step | None = None
     rerank: Step | None = None
     select: Step | None = None
+    statistics: dict[str, int] = field(default_factory=lambda: {"loads": 0, "hits": 0, "invalidations": 0})
     _kept: dict[str, DataFrame] = field(default_factory=dict)
 
     def keep(self, snapshot_id: str) -> Engine:
         """Persists the chunks under a snapshot's name, once; another snapshot's are given up."""
         for name in [n for n in self._kept if n != snapshot_id]:
             self._kept.pop(name).unpersist()
-        if snapshot_id not in self._kept:
+            self.statistics["invalidations"] += 1
+        if snapshot_id in self._kept:
+            self.statistics["hits"] += 1
+        else:
             self._kept[snapshot_id] = self.chunks.persist()
+            self.statistics["loads"] += 1
         self.chunks = self._kept[snapshot_id]
         return self
 
@@ -59,6 +65,29 @@ class Engine:
         found = self.rerank(found) if self.rerank else found
         return self.select(found) if self.select else found.where(F.col("rank") <= limit)
 
+    def stages(self, queries: DataFrame, mode: str = "lexical", limit: int = 10, budget_tokens: int = 1024) -> DataFrame:
+        """The stages of a search in order: stage, rows in, rows out, milliseconds; rerank and select are skipped where nothing is set.
+
+        Every stage is written once, so that its time and rows are its own. An empty query takes no part in what follows.
+        """
+        rows, steps = [], []
+
+        def run(name: str, given: int, step: Callable[[], DataFrame] | None, passed: DataFrame) -> DataFrame:
+            began = time.perf_counter()
+            out = passed if step is None else stored(step(), name)
+            n = out.count()
+            rows.append((len(rows), name, "skipped" if step is None else "done", given, n, round(1000 * (time.perf_counter() - began), 3)))
+            steps.append(n)
+            return out
+
+        asked = run("normalize", queries.count(), lambda: queries.where(F.coalesce(strip(F.col("query")), F.lit("")) != ""), queries)
+        found = run("candidates", steps[-1], lambda: self.candidates(asked, mode, limit).select("query_id", "rank", "chunk_id", "score"), asked)
+        unique = run("deduplicate", steps[-1], lambda: retrieval.deduplicate(found), found)
+        ranked = run("rerank", steps[-1], (lambda: self.rerank(unique)) if self.rerank else None, unique)
+        kept = run("select", steps[-1], lambda: self.select(ranked) if self.select else ranked.where(F.col("rank") <= limit), ranked)
+        run("budget", steps[-1], lambda: selection.budget_prefix(kept.join(self.chunks, "chunk_id"), budget_tokens), kept)
+        return queries.sparkSession.createDataFrame(rows, "stage_index int, stage string, status string, n_in long, n_out long, latency_ms double")
+
     def context(self, queries: DataFrame, mode: str = "lexical", limit: int = 5, most: int = 4000) -> DataFrame:
         """The packed results of each query, with their text."""
         return selection.context_pack(self.search(queries, mode, limit).join(self.chunks, "chunk_id"), most)

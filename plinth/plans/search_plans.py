@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from plinth.functions import text as T
 from plinth.functions import unicode as U
-from plinth.operators import evaluate, evidence, history, retrieval, selection
+from plinth.operators import evaluate, evidence, gates, history, retrieval, selection
+from plinth.plans.engine import Engine
 from plinth.plans.text_plans import CHUNKS, DOCS, chunks_of
-from plinth.sources.shared import stored
+from plinth.sources import files, providers
+from plinth.sources.shared import new_folder, stored
 from plinth.sources.tables import documents, table, vectors
 
 LIMIT, K = 10, 5
@@ -107,16 +109,7 @@ def metadata_redact(spark, sf_dir):
 
 def retrieval_stages(spark, sf_dir):
     """Rows that go into and come out of each stage of a BM25 run with a budget of 256 tokens."""
-    cases = cases_of(spark, sf_dir)
-    candidates = results_of(spark, sf_dir, "bm25", 2 * LIMIT)
-    unique = retrieval.deduplicate(candidates)
-    kept = selection.budget_prefix(with_chunks(spark, sf_dir, unique.where(F.col("rank") <= LIMIT)), 256)
-    stages = [("normalize", cases, T.strip(F.col("query")) != ""), ("candidates", candidates, None), ("deduplicate", unique, None), ("select", kept, None)]
-    rows = [(d if c is None else d.where(c)).agg(F.count("*").alias("n_rows")).select(F.lit(i).alias("stage_index"), F.lit(n).alias("stage"), "n_rows") for i, (n, d, c) in enumerate(stages)]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    return Engine(chunks_of(spark, sf_dir)).stages(cases_of(spark, sf_dir), "bm25", LIMIT, 256).drop("latency_ms")
 
 
 def ranking_rehydrate(spark, sf_dir):
@@ -367,27 +360,147 @@ def heldout_overlap(spark, sf_dir):
 
 
 def review_merge(spark, sf_dir):
-    """Document labels after a review: toxic documents are never of quality."""
-    labels = table(spark, sf_dir, "labels")
-    review = labels.where("toxic = 1").select("doc_id", F.lit(0).alias("reviewed"))
-    rows = labels.join(review, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("reviewed", "quality").cast("int").alias("quality"), F.col("reviewed").isNotNull().alias("changed"))
+    """Passages after a review that corrects every third; an odd id changes the query too."""
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.substring("text", 1, 10).alias("answer"))
+    wrong = F.col("query_id") % 3 == 0
+    new_query = F.when(wrong & (F.col("query_id") % 2 == 1), F.upper("query"))
+    decisions = cases.select("query_id", F.when(wrong, "corrected").otherwise("approved").alias("decision"), gates.case_hash(F.col("query"), F.col("answer")).alias("original_hash"), new_query.alias("new_query"), F.when(wrong, "better").alias("new_answer"))
+    rows = gates.review(cases, decisions)
+    return rows.select("query_id", F.sha2("query", 256).alias("query_sha256"), "answer", "changed")
+
+
+def rule_violations(spark, sf_dir):
+    """Events that break bounds."""
+    rows = table(spark, sf_dir, "events")
+    return gates.violations(rows, "event_id", 5, low=F.col("value") < 60, typed=F.col("event_type").isNotNull(), even=F.col("event_id") % 2 == 0)
+
+
+def generated_cases(spark, sf_dir):
+    """Questions made of passages by a stand-in for a service, whose answer to every fifth is no JSON and to every seventh lacks a field."""
+
+    def generate(prompts: DataFrame) -> DataFrame:
+        words = F.slice(F.split(F.substring_index("prompt", "\n\n", -1), " "), 1, 4)
+        good = F.to_json(F.struct(F.concat(F.lit("What of "), F.array_join(words, " "), F.lit("?")).alias("question"), F.array_join(F.slice(words, 1, 2), " ").alias("answer")))
+        return prompts.select("span_id", F.when(F.col("span_id") % 5 == 0, "no idea").when(F.col("span_id") % 7 == 0, '{"question": "x"}').otherwise(good).alias("answer"))
+
+    cases, _ = gates.generated_cases(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("span_id"), "text"), generate)
+    return cases
+
+
+def screen_gates(spark, sf_dir):
+    """Events as cases of two modes at two limits: their type, number and value stand for mode, trial and hit."""
+    e = table(spark, sf_dir, "events")
+    mode, k = F.when(F.col("event_id") % 2 == 0, "semantic").otherwise("hybrid"), F.when(F.col("event_id") % 4 < 2, 5).otherwise(20)
+    rows = e.groupBy(mode.alias("mode"), k.alias("k"), F.col("user_id").alias("query_id")).agg(
+        F.count_if((F.col("event_id") % 3 > 0) & (F.col("value") > 50)).alias("baseline_hits"), F.count_if(F.col("event_id") % 3 > 0).alias("n_trials"), F.count_if((F.col("event_id") % 3 == 0) & (F.col("value") > 50)).alias("c"),
+        F.sum(F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 100)).alias("candidate_tokens"), F.sum(F.when(F.col("event_id") % 3 == 1, F.col("event_id") % 100)).alias("baseline_tokens"),
+    )
+    rows = rows.withColumns({
+        "role": F.when(F.col("query_id") % 3 == 0, "stable").otherwise("challenge"), "candidate_hit": F.col("c") > 0, "baseline_missed_source": F.col("query_id") % 5 == 0,
+        "candidate_failure": F.when((F.col("c") == 0) & (F.col("query_id") % 10 < 3), "missed_source"),
+    })
+    return gates.screen_gates(rows).withColumn("value", F.round("value", 6))
+
+
+def cache_report(spark, sf_dir):
+    """How many chunks have a vector when those of every other document are known."""
+    chunks = chunks_of(spark, sf_dir)
+    known = chunks.where("document_id % 2 = 0").select(F.sha2("text", 256).alias("text_hash"), F.array(F.lit(1.0)).alias("embedding"))
+    return providers.cache_report(chunks, known)
+
+
+def case_files(spark, sf_dir):
+    """Passages as evaluation cases, written as JSON lines and read back; what a case holds beside goes to its metadata."""
+    path = new_folder(spark, "cases")
+    rows = table(spark, sf_dir, "benchmark").select(F.format_string("case-%05d", "item_id").alias("id"), F.col("text").alias("query"), F.array(F.concat(F.lit("src/"), F.col("item_id").cast("string"))).alias("expected_source_paths"), F.length("text").alias("size"))
+    files.write_cases(rows, path)
+    got = files.evaluation_cases(spark, path)
+    return got.select("id", F.sha2("query", 256).alias("query_sha256"), F.col("expected_source_paths")[0].alias("path"), F.col("metadata")["size"].alias("size"))
+
+
+def trace_files(spark, sf_dir):
+    """Traces of sessions, written as JSON lines, one looked up again."""
+    path = new_folder(spark, "traces")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    made = rows.select(F.format_string("ask-%d", "conv_id").alias("trace_id"), F.lit("ask").alias("operation"), F.lit("success").alias("status"), F.lit("2024").alias("started_at"), F.lit("2024").alias("finished_at"), F.create_map(F.lit("turns"), F.col("n").cast("string")).alias("details"))
+    files.write_traces(made, path)
+    everything = files.traces(spark, path)[0].union(files.find_trace(spark, path, "ask-1"))
+    return everything.select("trace_id", "operation", F.col("details")["turns"].alias("turns"))
+
+
+def run_files(spark, sf_dir):
+    """A run's cases, written with its summary and failures, and read back."""
+    cases, gold = mixed_cases(spark, sf_dir)
+    rows = stored(evaluate.case_results(cases, with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")), gold, K), "cases")
+    failed = rows.where("rank is null").groupBy(F.lit("missed").alias("failure")).agg(F.count("*").alias("n"))
+    path = files.write_run(new_folder(spark, "runs"), "bm25", evaluate.all_metrics(rows, K), rows, failed)
+    back = spark.read.schema("query_id long, passed boolean").json(f"{path}/cases.jsonl").groupBy("passed").agg(F.count("*").alias("n"))
+    lost = spark.read.schema("query_id long, passed boolean").json(f"{path}/failures.jsonl").agg(F.count("*").alias("n_failures"))
+    lines = spark.read.text(f"{path}/summary.md").agg(F.count("*").alias("n_lines"))
+    return back.join(F.broadcast(lost)).join(F.broadcast(lines))
+
+
+def normal_chunks(spark, sf_dir):
+    """Turns of conversations under other names, as chunks."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text", F.col("turn").cast("string").alias("index"), F.lit("text/plain").alias("media_type"))
+    got = files.normal_chunks(rows)
+    return got.select("chunk_id", "document_id", "chunk_index", "media_type", "strategy", F.sha2("text", 256).alias("text_sha256"))
+
+
+def redacted_metadata(spark, sf_dir):
+    """Nested metadata as JSON, without the keys that name secrets."""
+    k = F.col("doc_id")
+    made = F.to_json(F.struct(k.alias("id"), F.lit("x").alias("api_key"), F.struct((k % 5).alias("n"), F.lit("y").alias("authToken")).alias("inner"), F.array(F.struct(F.lit("z").alias("Password"), (k % 3).alias("m"))).alias("list")))
+    return table(spark, sf_dir, "documents").select("doc_id", U.without_secrets(made).alias("metadata"))
 
 
 def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
+    """Turns of conversations; of each assistant's turn the length tells the source, and every fifth turn of a session failed."""
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
+    sources = F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("notes/"), (F.length("text") % 7).cast("string"), F.lit(".md"))))
+    return rows.withColumns({"sources": sources, "status": F.when(F.col("turn") % 5 == 4, "failed").otherwise("success")})
 
 
 def session_summary(spark, sf_dir):
     return history.summarize(turns_of(spark, sf_dir))
 
 
+def session_append(spark, sf_dir):
+    """The first two turns of every session after all of them, as new ones."""
+    turns = turns_of(spark, sf_dir).select("session_id", "turn", "role", "text")
+    grown = history.append(turns, turns.where("turn < 2"))
+    return grown.groupBy("session_id").agg(F.count("*").alias("n"), F.max("turn").alias("last"), F.sha2(F.max_by("text", "turn"), 256).alias("last_sha256"))
+
+
+def session_changes(spark, sf_dir):
+    """Sessions after one is renamed and pinned, another starred, and a third deleted."""
+    rows = history.summarize(turns_of(spark, sf_dir)).select("session_id", "title", F.lit(False).alias("pinned"), F.lit(False).alias("starred"))
+    rows = history.changed(history.changed(rows, 1, title="A new title", pinned=True), 2, starred=True)
+    return history.without(rows, 3)
+
+
+def session_filters(spark, sf_dir):
+    """How many sessions each filter leaves."""
+    rows = stored(history.summarize(turns_of(spark, sf_dir)).withColumns({"pinned": F.col("session_id") % 10 == 0, "starred": F.col("session_id") % 7 == 0}), "sessions")
+    parts = [history.filtered(rows, kind).agg(F.lit(kind).alias("filter"), F.count("*").alias("n")) for kind in ("recent", "pinned", "starred", "failed", "has-sources")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def search_traces(spark, sf_dir):
+    """A trace of each query's BM25 results."""
+    rows = history.traced(results_of(spark, sf_dir, "bm25"), "search", "query_id")
+    return rows.select("trace_id", "operation", "status", *(F.col("details")[k].alias(k) for k in ("n_results", "n_chunks")), F.round(F.col("details")["best_score"].cast("double"), 4).alias("best_score"))
+
+
 def session_branch(spark, sf_dir):
     return history.branch(turns_of(spark, sf_dir), 1).select("session_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"))
 
 
 def session_search(spark, sf_dir):
-    return history.search(turns_of(spark, sf_dir), "that")
+    return history.search(turns_of(spark, sf_dir), "notes/3")
 
 
 def session_export(spark, sf_dir):
@@ -412,7 +525,8 @@ QUERIES = {
         token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows,
         gold_mapping, gold_mapping_by_page, unmatched_spans, relevance_flags, ndcg, case_results, retrieval_metrics, stage_latencies, compact_results,
         mode_comparison, cutoff_metrics, failure_cases, failure_breakdown, evidence_coverage, duplicate_context, ngram_coverage, latency_percentiles, metric_spread, transitions, screen_transitions,
-        heldout_overlap, review_merge, session_summary, session_branch, session_search, session_export, trace_list, schema_migrate,
+        heldout_overlap, review_merge, rule_violations, generated_cases, screen_gates, cache_report, case_files, trace_files, run_files, normal_chunks, redacted_metadata, session_append,
+        session_changes, session_filters, search_traces, session_summary, session_branch, session_search, session_export, trace_list, schema_migrate,
     )
 }
 
@@ -550,9 +664,10 @@ SQL = {
       case when doc_id % 4 = 2 then 'Authorization' else 'level' end, lang || '_vector'] n from documents)
       , h as (select document_id, list_filter(n, lambda x: not regexp_matches(lower(x), 'api_key|secret|token|authorization|embedding|vector|text')) k from k)
       select document_id, array_to_string(list_sort(k), ',') keys, array_to_string(list_sort(list_transform(k, lambda x: upper(x))), ',') held from h""",
-    "retrieval_stages": f"""with {TWICE}, t as (select query_id, rank, {RUN} run from bm25 join chunks using (chunk_id) where rank <= 10)
-      select 0 stage_index, 'normalize' stage, count(*) n_rows from cases where trim(query) <> '' union all select 1, 'candidates', count(*) from bm25
-      union all select 2, 'deduplicate', count(*) from bm25 union all select 3, 'select', count(*) from t where run <= 1024""",
+    "retrieval_stages": f"""with {RANKED}, t as (select query_id, rank, {RUN} run from bm25 join chunks using (chunk_id)), n as (select (select count(*) from cases) c, (select count(*) from cases where trim(query) <> '') a,
+        (select count(*) from bm25) b, (select count(*) from t where run <= 1024) k)
+      select i::int stage_index, s stage, case when s = 'rerank' then 'skipped' else 'done' end status, case i when 0 then c when 1 then a else b end n_in, case i when 0 then a when 5 then k else b end n_out
+      from n, (select unnest(range(6)) i, unnest(['normalize', 'candidates', 'deduplicate', 'rerank', 'select', 'budget']) s)""",
     "ranking_rehydrate": f"{WITH_TEXT} select query_id, rank, chunk_id, document_id, start_char::int start_char, end_char::int end_char, sha256(text) text_sha256 from t",
     "token_budget_prefix": f"{WITH_TEXT}, r as (select query_id, rank, chunk_id, ({RUN})::bigint running_chars from t) select * from r where running_chars <= 4096",
     "context_pack": f"""{WITH_TEXT}, r as (select *, {RUN} - length(text) before from t), p as (select query_id, rank, chunk_id, substr(text, 1, (4000 - before)::bigint) x from r where before < 4000)
@@ -627,11 +742,37 @@ SQL = {
       select user_id query_id, h n_hits, n n_trials, hit, case when user_id % 10 = 0 or (h > 0 and h < n) then 'boundary' when h > 0 then case when hit then 'retained' else 'lost' end when hit then 'gained' else 'unchanged_miss' end transition
       from n join c using (user_id)""",
     "heldout_overlap": f"""with {DOCS} select document_id from docs where document_id in (select doc_id from labels) and t in (select t from docs where document_id not in (select doc_id from labels))""",
-    "review_merge": "select doc_id, (case when toxic = 1 then 0 else quality end)::int quality, toxic = 1 changed from labels",
+    "review_merge": """select item_id query_id, sha256(case when item_id % 6 = 3 then upper(text) else text end) query_sha256, case when item_id % 3 = 0 then 'better' else substr(text, 1, 10) end answer, item_id % 3 = 0 changed from benchmark""",
+    "rule_violations": """with b as (select event_id, 'low' c, not coalesce(value < 60, false) x from events union all select event_id, 'typed', event_type is null from events union all select event_id, 'even', event_id % 2 <> 0 from events)
+      select c condition, count(*) filter (where x) n, coalesce(array_to_string(list_sort(list(event_id) filter (where x))[1:5], ','), '') examples from b group by c""",
+    "generated_cases": """with w as (select item_id span_id, string_split(text, ' ')[1:4] w from benchmark where item_id % 5 <> 0 and item_id % 7 <> 0)
+      select 'synthetic-span-' || lpad((row_number() over (order by span_id))::varchar, 6, '0') case_id, span_id, 'What of ' || array_to_string(w, ' ') || '?' query, array_to_string(w[1:2], ' ') answer from w""",
+    "screen_gates": """with r as (select event_id % 2 = 0 sem, event_id % 4 < 2 nar, user_id, count(*) filter (where event_id % 3 > 0 and value > 50) bh, count(*) filter (where event_id % 3 > 0) nt, count(*) filter (where event_id % 3 = 0 and value > 50) c,
+        sum(event_id % 100) filter (where event_id % 3 = 0) ct, sum(event_id % 100) filter (where event_id % 3 = 1) bt from events group by all)
+      , g as (select count(*) filter (where sem and nar and user_id % 3 = 0 and c = 0) l, count(*) filter (where c = 0 and user_id % 10 < 3 and user_id % 5 <> 0) m, count(*) filter (where sem and user_id % 3 > 0 and bh = 0 and c > 0 and nar) a,
+        count(*) filter (where sem and user_id % 3 > 0 and bh = 0 and c > 0 and not nar) b, sum((c > 0)::int - (2 * bh > nt)::int) filter (where not sem and nar) h, sum(ct) filter (where not sem and nar) / sum(bt) filter (where not sem and nar) t from r)
+      select gate, round(v, 6) "value", p passed from (select 'stable_losses' gate, l::double v, l = 0 p from g union all select 'new_missed_sources', m, m = 0 from g union all select 'gains', a, a >= 1 or b >= 1 from g
+        union all select 'wide_gains', b, a >= 1 or b >= 1 from g union all select 'hybrid_change', h, h >= 0 from g union all select 'token_ratio', t, t <= 1.1 from g)""",
+    "cache_report": f"""with {CHUNKS}, h as (select sha256(text) h, document_id from chunks), k as (select distinct h from h where document_id % 2 = 0)
+      select count(*) filter (where h in (select h from k)) hits, count(*) filter (where h not in (select h from k)) misses, count(distinct h) filter (where h not in (select h from k)) new_texts from h""",
+    "case_files": "select 'case-' || lpad(item_id::varchar, 5, '0') id, sha256(text) query_sha256, 'src/' || item_id path, length(text)::varchar size from benchmark",
+    "trace_files": "with t as (select 'ask-' || conv_id trace_id, 'ask' operation, count(*)::varchar turns from conversations group by conv_id) select * from t union all select * from t where trace_id = 'ask-1'",
+    "run_files": f"""with {RANKED}, {CASE_RESULTS} select rank is not null passed, count(*) n, (select count(*) from cr where rank is null) n_failures, (select (4 + 23 + 3 + count(*) filter (where rank is null) // greatest(count(*) filter (where rank is null), 1))::bigint from cr) n_lines from cr group by 1""",
+    "normal_chunks": "select conv_id || '-' || turn chunk_id, 'unknown' document_id, turn::int chunk_index, 'text/plain' media_type, 'simple' strategy, sha256(text) text_sha256 from conversations",
+    "redacted_metadata": """select doc_id, '{"id":' || doc_id || ',"inner":{"n":' || doc_id % 5 || '},"list":[{"m":' || doc_id % 3 || '}]}' metadata from documents""",
+    "session_append": """with t as (select conv_id, turn, text from conversations), n as (select conv_id, count(*) n, max(turn) m, count(*) filter (where turn < 2) k from t group by conv_id)
+      select n.conv_id session_id, n + k n, (m + k)::int last, sha256(text) last_sha256 from n join t on t.conv_id = n.conv_id and t.turn = (select max(turn) from t u where u.conv_id = n.conv_id and turn < 2)""",
+    "session_changes": """select conv_id session_id, case when conv_id = 1 then 'A new title' else min_by(substr(text, 1, 40), turn) filter (where role = 'user') end title, conv_id = 1 pinned, conv_id = 2 starred
+      from conversations where conv_id <> 3 group by conv_id""",
+    "session_filters": """with s as (select conv_id, bool_or(turn % 5 = 4) f, bool_or(role = 'assistant') a from conversations group by conv_id)
+      select 'recent' "filter", count(*) n from s union all select 'pinned', count(*) filter (where conv_id % 10 = 0) from s union all select 'starred', count(*) filter (where conv_id % 7 = 0) from s
+      union all select 'failed', count(*) filter (where f) from s union all select 'has-sources', count(*) filter (where a) from s""",
+    "search_traces": f"""with {RANKED} select 'search-' || query_id trace_id, 'search' operation, 'success' status, count(*)::varchar n_results, count(distinct chunk_id)::varchar n_chunks, round(max(score), 4) best_score from bm25 group by query_id""",
     "session_summary": """select conv_id session_id, count(*) n_turns, count(*) filter (where role = 'user') n_user, sum(length(text))::bigint n_chars,
-      min_by(substr(text, 1, 40), turn) filter (where role = 'user') title from conversations group by conv_id""",
+      min_by(substr(text, 1, 40), turn) filter (where role = 'user') title, count(*) filter (where turn % 5 = 4) n_failed, (count(distinct length(text) % 7) filter (where role = 'assistant'))::int n_sources from conversations group by conv_id""",
     "session_branch": "select conv_id || '-branch-1' session_id, turn, role, sha256(text) text_sha256 from conversations where turn <= 1",
-    "session_search": "select conv_id session_id, count(*) n_matches from conversations where contains(lower(text), 'that') group by conv_id",
+    "session_search": """select conv_id session_id, count(*) filter (where contains(lower(text), 'notes/3') or role = 'assistant' and length(text) % 7 = 3) n_matches from conversations group by conv_id
+      having n_matches > 0 or contains(lower(min_by(substr(text, 1, 40), turn) filter (where role = 'user')), 'notes/3')""",
     "session_export": """select conv_id session_id, sha256(string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) order by turn)) markdown_sha256 from conversations group by conv_id""",
     "trace_list": "select event_id trace_id, event_type operation, ts started_at from events order by ts desc, event_id desc limit 20",
     "schema_migrate": "select case when event_id % 3 > 0 then event_id % 3 end::int before, 2 schema_version, count(*) n from events group by 1",

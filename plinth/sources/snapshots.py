@@ -1,8 +1,10 @@
 """Immutable generations of chunks and vectors under a folder, with a pointer to the active one.
 
 A generation is written as Parquet in a folder of its own, counted, and only then
-named by the pointer, itself a one-row table that is replaced last. Readers
-follow the pointer, so a failed write leaves the previous generation active.
+named by a pointer, a one-row table of its own whose name is its sequence. A name
+that is taken is refused, so of two commits at once one fails. Readers follow the
+last pointer, so a failed write leaves the previous generation active. A manifest
+beside the vectors tells how they were made, and is checked when they are read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ _POINTER = "sequence long, snapshot_id string, parent_snapshot_id string, n_chun
 
 def _pointers(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
-        return spark.read.schema(_POINTER).json(f"{folder}/pointers")
+        return spark.read.schema(_POINTER).option("recursiveFileLookup", "true").json(f"{folder}/pointers")
     except AnalysisException:
         return None
 
@@ -27,7 +29,7 @@ def _pointers(spark: SparkSession, folder: str) -> DataFrame | None:
 def active(spark: SparkSession, folder: str):
     """The row of the active generation, or None."""
     rows = _pointers(spark, folder)
-    return rows.orderBy(F.desc("sequence")).first() if rows is not None else None
+    return rows.orderBy(F.desc("sequence"), "snapshot_id").first() if rows is not None else None
 
 
 def status(spark: SparkSession, folder: str) -> str:
@@ -36,12 +38,14 @@ def status(spark: SparkSession, folder: str) -> str:
     return "not_initialized" if row is None else "ready" if row["n_chunks"] else "incomplete"
 
 
-def commit(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, parent: str | None = None) -> str:
+def commit(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, parent: str | None = None, manifest: dict[str, str] | None = None) -> str:
     """Writes chunks (chunk_id, ...) and vectors (chunk_id, embedding, ...) as a new generation and makes it the active one.
 
-    A chunk id that occurs twice, and a vector without a chunk, are errors; the generation is then not named.
+    A chunk id that occurs twice, a vector without a chunk, vectors of different lengths or representations (a column, where there is
+    one), and another commit that was faster are errors; the generation is then not named. ``manifest`` is kept with the vectors.
     """
     spark = chunks.sparkSession
+    before = active(spark, folder)
     name = uuid.uuid4().hex
     base = f"{folder}/generations/{name}"
     chunks.withColumns({"snapshot_id": F.lit(name), "schema_version": F.lit(SCHEMA_VERSION)}).write.parquet(f"{base}/chunks")
@@ -54,18 +58,43 @@ def commit(folder: str, chunks: DataFrame, vectors: DataFrame | None = None, par
         index = spark.read.parquet(f"{base}/vectors")
         if not index.join(written, "chunk_id", "left_anti").isEmpty():
             raise ValueError("a vector has no chunk")
-        n_vectors = index.count()
-    last = active(spark, folder)
-    row = (0 if last is None else last["sequence"] + 1, name, parent, written.count(), n_vectors)
-    spark.createDataFrame([row], _POINTER).coalesce(1).write.mode("append").json(f"{folder}/pointers")
+        kinds = [F.count_distinct(c) for c in ("representation",) if c in index.columns]
+        n_vectors, widths, *others = index.agg(F.count("*"), F.count_distinct(F.size("embedding")), *kinds).first()
+        if widths > 1 or any(n > 1 for n in others):
+            raise ValueError("vectors differ in length or representation")
+        width = index.select(F.size("embedding")).first()[0] if n_vectors else 0
+        facts = {**(manifest or {}), "snapshot_id": name, "n_vectors": str(n_vectors), "dimensions": str(width)}
+        spark.createDataFrame([(facts,)], "manifest map<string,string>").coalesce(1).write.json(f"{base}/manifest")
+    sequence = 0 if before is None else before["sequence"] + 1
+    row = (sequence, name, parent, written.count(), n_vectors)
+    try:
+        spark.createDataFrame([row], _POINTER).coalesce(1).write.mode("errorifexists").json(f"{folder}/pointers/{sequence:012d}")
+    except AnalysisException as taken:
+        raise ValueError("another commit was faster") from taken
+    named = _pointers(spark, folder).where(F.col("sequence") == sequence).orderBy("snapshot_id").first()
+    if named["snapshot_id"] != name:  # both wrote before either was there
+        raise ValueError("another commit was faster")
     return name
 
 
+def manifest_of(spark: SparkSession, folder: str) -> dict[str, str]:
+    """What is known of the active generation's vectors; a manifest of another generation, or another number of vectors, is an error."""
+    row = active(spark, folder)
+    if row is None or not row["n_vectors"]:
+        raise ValueError("the folder has no vectors")
+    facts = spark.read.schema("manifest map<string,string>").json(f"{folder}/generations/{row['snapshot_id']}/manifest").first()["manifest"]
+    if facts["snapshot_id"] != row["snapshot_id"] or int(facts["n_vectors"]) != row["n_vectors"]:
+        raise ValueError("the manifest doesn't fit the vectors")
+    return facts
+
+
 def read(spark: SparkSession, folder: str, what: str = "chunks") -> DataFrame:
-    """Chunks or vectors of the active generation; rows of any other are an error."""
+    """Chunks or vectors of the active generation; rows of any other, and vectors that their manifest doesn't fit, are an error."""
     row = active(spark, folder)
     if row is None:
         raise ValueError("the folder has no generation")
+    if what == "vectors":
+        manifest_of(spark, folder)
     rows = spark.read.parquet(f"{folder}/generations/{row['snapshot_id']}/{what}")
     own = F.when(F.col("snapshot_id") == row["snapshot_id"], F.col("snapshot_id")).otherwise(F.raise_error(F.lit("rows of another snapshot")).cast("string"))
     return rows.withColumn("snapshot_id", own)
