@@ -115,16 +115,22 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """A paragraph block for each page with text, then its tables with their captions; numbered through the document. A page with
-    neither is a block of type empty without text, as a warning."""
+    """A paragraph block for each page with text, then its tables with their captions; numbered through the document."""
     kinds = "document_id", "page", "part", "block_type", "text"
     body = pages.where(F.trim("text") != "").withColumns({"part": F.lit(-1), "block_type": F.lit("paragraph")}).select(*kinds)
     shown = F.concat_ws("\n", F.nullif("caption", F.lit("")), "text")
-    tabled = tables.withColumns({"part": F.col("table_index"), "block_type": F.lit("table"), "text": shown}).select(*kinds)
-    bare = pages.where(F.trim("text") == "").join(tables.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
-    bare = bare.withColumns({"part": F.lit(-1), "block_type": F.lit("empty"), "text": F.lit("")}).select(*kinds)
+    both = body.unionByName(tables.withColumns({"part": F.col("table_index"), "block_type": F.lit("table"), "text": shown}).select(*kinds))
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "part")) - 1
-    return body.unionByName(tabled).unionByName(bare).select("document_id", index.alias("block_index"), "page", "block_type", "text")
+    return both.select("document_id", index.alias("block_index"), "page", "block_type", "text")
+
+
+def page_warnings(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """(document_id, page, warning) of pages (document_id, page, text, fallback) that have neither text nor a table, or only their plain
+    text, and of tables whose rows differ in length."""
+    bare = pages.where(F.trim("text") == "").join(tables.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
+    parts = [(bare, "empty page"), (pages.where(F.col("fallback") & (F.trim("text") != "")), "no words"), (tables.where("malformed"), "malformed table")]
+    out = [rows.select("document_id", "page", F.lit(w).alias("warning")) for rows, w in parts]
+    return out[0].union(out[1]).union(out[2])
 
 
 def document_text(blocks: DataFrame) -> DataFrame:

@@ -18,12 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("document_id"), path.alias("source_path"), text.alias("text"), "lang", "source")
 
 
-def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id and query: the benchmark passages whose id is divisible by 20."""
-    items = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")
-    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, and the embedding in double precision."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))

@@ -17,6 +17,9 @@ def test_reading_lines(spark):
     rows = [(1, 0, 50.0, 60.0, 10.0, "b"), (1, 0, 10.0, 20.0, 11.0, "a"), (1, 0, 300.0, 310.0, 10.5, "far"), (1, 0, 10.0, 20.0, 30.0, "next")]
     got = pages.reading_lines(spark.createDataFrame(rows, WORD)).orderBy("line_index").collect()
     assert [r["text"] for r in got] == ["a b", "far", "next"]
+    slanted = [(1, 0, 10.0 * i, 10.0 * i + 5, 2.0 * i, f"w{i}") for i in range(6)] + [(1, 0, 0.0, 1.0, 99.0, " ")]
+    got = pages.reading_lines(spark.createDataFrame(slanted, WORD)).orderBy("line_index").collect()
+    assert [r["text"] for r in got] == ["w0 w1 w2", "w3 w4 w5"]  # each word is near the one before, but not near its line's mean
 
 
 def test_columns(spark):
@@ -29,20 +32,60 @@ def test_columns(spark):
 
 def test_tables_and_captions(spark):
     lines = spark.createDataFrame([(1, 0, 0, 5.0, 0.0, "Table 1 results"), (1, 0, 1, 8.0, 0.0, "Table 2 others"), (1, 0, 2, 20.0, 0.0, "alpha 10 beta"), (1, 0, 3, 30.0, 0.0, "words around it")], LINE)
-    tables = spark.createDataFrame([(1, 0, 0, 7.0, "| alpha | 10 |\n| beta | 20 |"), (1, 0, 1, 12.0, "| z |")], "document_id long, page int, table_index int, top double, text string")
+    tables = spark.createDataFrame([(1, 0, 0, 7.0, "| alpha | 10 |\n| beta | 20 |"), (1, 0, 1, 12.0, "| z |"), (1, 0, 2, None, "| y |")], "document_id long, page int, table_index int, top double, text string")
     assert [r["line_index"] for r in pages.outside_tables(lines, tables).orderBy("line_index").collect()] == [0, 1, 3]
     found = pages.captions(tables, lines)
-    assert [r["caption"] for r in found.orderBy("table_index").collect()] == ["Table 1 results", "Table 2 others"]
+    assert [r["caption"] for r in found.orderBy("table_index").collect()] == ["Table 1 results", "Table 2 others", "Table 1 results"]
+    figures = spark.createDataFrame([(1, 0, 0, 1.0, 0.0, "Figure 1 no table"), (1, 0, 1, 2.0, 0.0, "Tables are good"), (1, 0, 2, 3.0, 0.0, "TABLE IV. Sums")], LINE)
+    assert [r["caption"] for r in pages.captions(tables.limit(1), figures).collect()] == ["TABLE IV. Sums"]
     text = pages.page_text(spark.createDataFrame([(1, 0, " ", "plain"), (1, 1, "words", None), (1, 2, None, None)], "document_id long, page int, words_text string, plain_text string"))
     assert [(r["text"], r["fallback"]) for r in text.orderBy("page").collect()] == [("plain", True), ("words", False), ("", True)]
     blocks = pages.page_blocks(text.select("document_id", "page", "text"), found).orderBy("block_index").collect()
-    assert [(r["block_type"], r["page"]) for r in blocks] == [("paragraph", 0), ("table", 0), ("table", 0), ("paragraph", 1)]
+    assert [(r["block_type"], r["page"]) for r in blocks] == [("paragraph", 0), ("table", 0), ("table", 0), ("table", 0), ("paragraph", 1)]
+    warned = pages.page_warnings(text, found.withColumn("malformed", F.col("table_index") == 1)).collect()
+    assert sorted((r["page"], r["warning"]) for r in warned) == [(0, "malformed table"), (0, "no words"), (2, "empty page")]
     assert blocks[1]["text"].startswith("Table 1 results\n| alpha")
 
 
+def test_read_pages(spark):
+    words = [(1, p, 10.0 * i, 10.0 * i + 8, 12.0 * k, w) for p in range(3) for k, line in enumerate(("Big Report", f"body of page {p}", "a 1 b 2", "more of it", f"tail {p}", "the end")) for i, w in enumerate(line.split())]
+    tables = pages.page_tables(spark.createDataFrame([(1, 1, 1, 20.0, [["a", "1"], ["b", "2"]])], "document_id long, page int, table_index int, top double, rows array<array<string>>"), spark.createDataFrame([(1, 1, 1, [["x"]]), (1, 2, 1, [["y", "z"], ["q"]]), (1, 2, 2, [[" "]])], "document_id long, page int, table_index int, rows array<array<string>>"))
+    assert [(r["page"], r["text"], r["malformed"]) for r in tables.orderBy("page").collect()] == [(1, "| a | 1 |\n|---|---|\n| b | 2 |", False), (2, "| y | z |\n|---|---|\n| q |  |", True)]
+    rows = spark.createDataFrame([(1, 1, "a 1"), (1, 1, "b 2")], "document_id long, page int, text string")
+    plain = spark.createDataFrame([(1, p, "plain") for p in range(4)], "document_id long, page int, plain_text string")
+    got = pages.read_pages(spark.createDataFrame(words, WORD), tables, rows, plain, 1000.0).orderBy("block_index").collect()
+    want = [(0, "body of page 0\na 1 b 2\nmore of it\ntail 0"), (1, "body of page 1\nmore of it\ntail 1"), (1, "| a | 1 |\n|---|---|\n| b | 2 |"), (2, "body of page 2\na 1 b 2\nmore of it\ntail 2"), (2, "| y | z |\n|---|---|\n| q |  |"), (3, "plain")]
+    assert [(r["page"], r["text"]) for r in got] == want
+    assert pages.document_text(pages.page_blocks(spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "document_id long, page int, text string"), pages.captions(tables.limit(0), spark.createDataFrame([], LINE)))).first()["text"] == "a\n\nb"
+
+
 def test_headings(spark):
-    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(("1.2 Hybrid retrieval", "plain words go on here", "Theorem 3", "A Title Of Words", "Another Good Title"))], "document_id long, line_index int, text string")
-    assert [r["kind"] for r in represent.headings(lines).orderBy("line_index").collect()] == ["numbered", "local", "title"]
+    pages_ = {
+        "12\nThe Theory of Large Graphs\nbody": (["The Theory of Large Graphs"], "The Theory of Large Graphs"),
+        "plain words\nSection two begins\nLemma 3 holds for all\n1.2 Sparse Index Methods Here": (["Section two begins", "Lemma 3 holds for all", "1.2 Sparse Index Methods Here"], "1.2 Sparse Index Methods Here"),
+        "1.2 of the smaller things\n1.3 x = y\n1.4 Theorem of Bayes": (["1.2 of the smaller things", "1.4 Theorem of Bayes"], None),
+        "Cambridge University Press Series\nA sentence, with commas": ([], None),
+        "7 The Growth of Networks\n(cid:3)Example 4 is short\nexample 4 IS SHORT": (["The Growth of Networks", "Example 4 is short"], "The Growth of Networks"),
+        "": ([], None),
+    }
+    rows = spark.createDataFrame(list(enumerate(pages_)), "id int, text string").select("id", represent.heading_scan(F.col("text"), F.array(F.lit("Cambridge  university"))).alias("s"))
+    assert [(r["s"]["local"], r["s"]["holds"]) for r in rows.orderBy("id").collect()] == list(pages_.values())
+
+
+def test_representations(spark):
+    rows = spark.createDataFrame(
+        [("a", "d", 0, "docs/one.pdf", "Chapter two of all\nText with hy-\nphen (cid:7) here\n3", None, 2, 3, ["table"], ["Recall@5 = 0.5", "no formula", "recall@5 = 0.5", "x² ≤ 4"]), ("b", "d", 1, "docs/one.pdf", "plain body", None, 4, None, None, None), ("c", "e", 0, "/abs/two.md", "x", ["Top", "Sub"], None, None, None, None)],
+        "chunk_id string, document_id string, chunk_index int, source_path string, text string, heading_path array<string>, page_start int, page_end int, block_types array<string>, formula_lines array<string>",
+    )
+    got = {r["chunk_id"]: r["representation"] for r in represent.representations(rows, "cleaned_pdf_formula_text_v1").collect()}
+    assert got["a"] == "Document title: one\nSource: docs/one.pdf\nSection: Chapter two of all\nPage: 2-3\nBlock types: table\nSignals: table\nFormula evidence: Recall@5 = 0.5 | x2 <= 4\nContent:\nChapter two of all Text with hyphen here"
+    assert "Section: Chapter two of all\nPage: 4\nBlock types: unknown\nSignals: none\nFormula evidence: none\nContent:\nplain body" in got["b"]
+    assert got["c"] == "Document title: Top\nSource: two.md\nSection: Top > Sub\nPage: unknown\nBlock types: unknown\nSignals: none\nContent:\nx"
+    assert represent.representations(rows).where("chunk_id = 'b'").first()["representation"] == "plain body"
+    with pytest.raises(Exception, match="nothing is left"):
+        represent.representations(rows.withColumn("text", F.lit("3")), "cleaned_pdf_section_text_v1").collect()
+    with pytest.raises(ValueError):
+        represent.representations(rows, "other")
 
 
 def test_spans(spark):
@@ -69,6 +112,25 @@ def test_runs(spark):
     assert gates.farthest(points, 3) == [0, 3, 2] and gates.farthest(points.limit(0), 2) == []
 
 
+def test_reviews(spark):
+    cases = spark.createDataFrame([(1, "q1", "a1"), (2, "q2", "a2")], "query_id long, query string, answer string")
+    hashed = cases.select("query_id", gates.case_hash(F.col("query"), F.col("answer")).alias("original_hash"))
+    made = hashed.withColumns({"decision": F.when(F.col("query_id") == 1, "approved").otherwise("corrected"), "new_query": F.lit(None).cast("string"), "new_answer": F.when(F.col("query_id") == 2, "b")})
+    got = gates.review(cases, made).orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [(1, "q1", "a1", False), (2, "q2", "b", True)]
+    for wrong, said in ((made.where("query_id = 1"), "needs one decision"), (made.union(made), "needs one decision"), (made.withColumn("original_hash", F.lit("x")), "changed since"), (made.withColumn("decision", F.lit("maybe")), "unknown decision")):
+        with pytest.raises(Exception, match=said):
+            gates.review(cases, wrong).collect()
+
+
+def test_generated_cases(spark):
+    spans = spark.createDataFrame([(f"s{i}", "text") for i in range(5)], "span_id string, text string")
+    answers = spark.createDataFrame([("s0", '{"question": " q ", "answer": "a"}'), ("s1", "no"), ("s2", '{"question": "q", "answer": "a", "more": 1}'), ("s3", '{"question": "", "answer": "a"}')], "span_id string, answer string")
+    cases, lost = gates.generated_cases(spans, lambda prompts: answers)
+    assert [tuple(r) for r in cases.collect()] == [("synthetic-span-000001", "s0", "q", "a")]
+    assert {r["span_id"]: r["reason"] for r in lost.collect()} == {"s1": "not the JSON that was asked for", "s2": "not the JSON that was asked for", "s3": "an empty field", "s4": "no answer"}
+
+
 def test_numbers(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     assert numbered(rows, "v").where("v <> number").isEmpty()
@@ -82,6 +144,13 @@ def test_embeddings(spark):
     known = providers.embed(rows.where("chunk_id = 'a'"), provider)
     again = {r["chunk_id"]: r["embedding"] for r in providers.embed_missing(rows, known, provider).collect()}
     assert again == got
+    report = providers.cache_report(rows, known.select("text_hash", "embedding")).first()
+    assert (report["hits"], report["misses"], report["new_texts"]) == (2, 1, 1)
+    assert providers.in_place([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]]
+    with pytest.raises(ValueError):
+        providers.in_place([(1, [2.0]), (1, [1.0])], 2)
+    with pytest.raises(Exception, match="finite"):
+        providers.embed(rows, lambda texts: [[float("nan")]] * len(texts)).collect()
     with pytest.raises(Exception, match="0 vectors for"):
         providers.embed(rows, lambda texts: []).collect()
 
@@ -112,6 +181,9 @@ def test_engine(spark):
     gold = spark.createDataFrame([(1, "b")], "query_id long, chunk_id string")
     got = {(r["mode"], r["k"]): r["hit_rate"] for r in engine.compare(queries, gold, ["bm25", "lexical"], [1, 2]).collect()}
     assert got == {("bm25", 1): 0.0, ("bm25", 2): 0.5, ("lexical", 1): 0.0, ("lexical", 2): 0.5}
+    stages = engine.stages(queries, "bm25", 1).orderBy("stage_index").collect()
+    assert [(r["stage"], r["status"], r["n_in"], r["n_out"]) for r in stages] == [("normalize", "done", 2, 1), ("candidates", "done", 1, 1), ("deduplicate", "done", 1, 1), ("rerank", "skipped", 1, 1), ("select", "done", 1, 1), ("budget", "done", 1, 1)]
+    assert engine.keep("s1").keep("s2").statistics == {"loads": 2, "hits": 1, "invalidations": 1}
     with pytest.raises(ValueError):
         engine.search(queries, "semantic")
     with pytest.raises(ValueError):

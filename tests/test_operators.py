@@ -141,6 +141,14 @@ def test_block_chunks(spark):
     assert got[0]["text"] == "h" * 12 + "\n\n" + "p" * 56
 
 
+def test_oversized_blocks(spark):
+    rows = [(1, 0, "paragraph", "p" * 10, 0, 10), (1, 1, "paragraph", "abcdefghijklmnopqrstuvwxyz" * 2, 12, 64), (1, 2, "paragraph", "q" * 10, 66, 76), (1, 3, "table", "t" * 60, 78, 138)]
+    blocks = spark.createDataFrame(rows, "document_id long, block_index int, block_type string, text string, start_char int, end_char int")
+    got = chunking.block_chunks(blocks, 30, 5).orderBy("chunk_index").collect()
+    assert [(r["chunk_index"], len(r["text"]), r["start_char"], r["end_char"], r["exceeds"]) for r in got] == [(0, 10, 0, 10, False), (1, 30, 12, 42, False), (2, 27, 37, 64, False), (3, 10, 66, 76, False), (4, 60, 78, 138, True)]
+    assert [len(r["text"]) for r in chunking.block_chunks(blocks, 30, split=False).orderBy("chunk_index").collect()] == [10, 52, 10, 60]
+
+
 def test_chunk_metadata(spark):
     rows = [(1, 0, "heading", "Title", 0, 5, 1, [], 1, None), (1, 1, "paragraph", "body", 7, 11, 2, ["Title"], None, ["odd"])]
     blocks = spark.createDataFrame(rows, "document_id long, block_index int, block_type string, text string, start_char int, end_char int, page_number int, heading_path array<string>, level int, warnings array<string>")
@@ -156,6 +164,26 @@ def test_markdown(spark):
     assert all(text[r["start_char"] : r["end_char"]] == r["text"] for r in got)
 
 
+def test_indented_fences(spark):
+    text = "  ```py\na = 1\n # no heading\n   ```\n# Yes\n~~~\nx\n```\n ~~~ and\ntail"
+    got = parse.markdown_blocks(docs(spark, text)).orderBy("block_index").collect()
+    assert [(r["block_type"], r["language"]) for r in got] == [("code", "py"), ("heading", None), ("code", None), ("paragraph", None)]
+
+
+def test_lines_and_blocks(spark):
+    texts = ["a\n\n b\nc\n", "", None, "\n\t\n", "日本\n𝒳 x"]
+    rows = docs(spark, *texts)
+    want = set()
+    for d, t in enumerate(texts):
+        at = 0
+        for i, line in enumerate((t or "").split("\n")):
+            want.add((d, i, at, line))
+            at += len(line) + 1
+    assert {tuple(r) for r in parse.lines(rows).collect()} == want
+    got = [(r["document_id"], r["block_index"], r["start_char"], r["end_char"], r["text"]) for r in parse.text_blocks(rows).orderBy("document_id", "block_index").collect()]
+    assert got == [(0, 0, 0, 1, "a"), (0, 1, 3, 7, " b\nc"), (4, 0, 0, 6, "日本\n𝒳 x")]
+
+
 def test_tables(spark):
     def shown(rows):
         return spark.createDataFrame([(rows,)], "rows array<array<string>>").select(parse.serialize_table(F.col("rows"))).first()[0]
@@ -170,6 +198,9 @@ def test_edge_lines(spark):
     rows = [(1, p, i, t) for p in range(2) for i, t in enumerate(page)]
     got = parse.repeated_edge_lines(spark.createDataFrame(rows, "document_id long, page int, line_index int, text string"), edge=1).where("removed").collect()
     assert sorted((r["page"], r["line_index"]) for r in got) == [(0, 0), (0, 4), (1, 0), (1, 4)]
+    tie = [(1, 0, i, t) for i, t in enumerate(("a", "b", "Tie"))] + [(1, 1, i, t) for i, t in enumerate(("Tie", "d", "e", "f"))] + [(2, 0, 0, "Once"), (2, 0, 1, "Once")]
+    got = parse.repeated_edge_lines(spark.createDataFrame(tie, "document_id long, page int, line_index int, text string"), edge=1).where("removed").collect()
+    assert [(r["page"], r["line_index"]) for r in got] == [(0, 2)]  # the footer was there first; a document of one page keeps its lines
 
 
 def test_budget(spark):
@@ -178,21 +209,47 @@ def test_budget(spark):
     assert [len(r["text"]) for r in selection.context_pack(ranked, 30).orderBy("rank").collect()] == [12, 16, 2]
 
 
+def shares(caps, left):
+    """Characters dealt to results: all the same, what doesn't divide to the first, again until nothing is left or all are full."""
+    given = [0] * len(caps)
+    while left > 0 and (open_ := [i for i, c in enumerate(caps) if given[i] < c]):
+        share, rest = divmod(left, len(open_))
+        grants = [(i, min(share + (k < rest), caps[i] - given[i])) for k, i in enumerate(open_)]
+        for i, g in grants:
+            given[i] += g
+        left -= sum(g for _, g in grants)
+    return given
+
+
 def test_allocation(spark):
-    ranked = spark.createDataFrame([(1, i + 1, str(i), "x" * n) for i, n in enumerate((5, 900, 900, 900, 900))], RANKED)
-    got = [r["allocation"] for r in selection.allocate(ranked, 1003, 640).orderBy("rank").collect()]
-    assert got == [5, 250, 250, 249, 249]
-    assert [r["allocation"] for r in selection.allocate(ranked, 4000, 640).orderBy("rank").collect()] == [5, 640, 640, 640, 640]
+    rng = random.Random(2)
+    lengths = {q: [rng.choice((3, 40, 200, 900)) for _ in range(rng.randint(1, 9))] for q in range(40)}
+    rows = [(q, i + 1, str(i), "x" * n, "[h]") for q, ns in lengths.items() for i, n in enumerate(ns)]
+    ranked = spark.createDataFrame(rows, RANKED + ", header string")
+    got = {}
+    for r in selection.allocate(ranked, 1003, 640).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["allocation"])
+    assert got == {q: shares([min(n, 640) for n in ns], 1003 - 4 * len(ns) - 2 * (len(ns) - 1)) for q, ns in lengths.items()}
+    with pytest.raises(Exception, match="too small"):
+        selection.allocate(ranked, 20, 640).collect()
 
 
 def test_windows(spark):
-    rows = spark.createDataFrame([(1, "x" * 1000), (2, "short")], "id long, text string")
+    rows = spark.createDataFrame([(1, "x" * 1000, 448), (2, "short", 448), (3, "", 448)], "id long, text string, allocation int")
     got = selection.fragment_windows(rows).where("id = 1").orderBy("window_start").collect()
     assert got[0]["window_start"] == 0 and got[-1]["window_end"] == 1000 and all(len(r["window_text"]) <= 448 for r in got)
-    assert selection.fragment_windows(rows).where("id = 2").count() == 1
+    assert selection.fragment_windows(rows).where("id = 2").count() == 1 and selection.fragment_windows(rows).where("id = 3").isEmpty()
     text = "a" * 60 + ". " + "b" * 100
-    first = selection.fragment_windows(spark.createDataFrame([(1, text)], "id long, text string"), 100, 50).orderBy("window_start").first()
-    assert first["window_text"] == "a" * 60 + "."
+    found = selection.fragment_windows(spark.createDataFrame([(1, text, 100)], "id long, text string, allocation int"), 50).orderBy("window_start").collect()
+    assert found[0]["window_text"] == "a" * 60 + "." and [r["window_start"] for r in found] == [0, 62]
+
+
+def test_window_scores(spark):
+    rows = [(1, "the risk of the market", "risk market risk of", ["market"]), (1, "the of", "of the of", [])]
+    made = spark.createDataFrame(rows, "id long, q string, w string, signal_tokens array<string>")
+    made = made.select("id", "signal_tokens", F.split("q", " ").alias("query_tokens"), F.split("w", " ").alias("window_tokens"))
+    got = [(r["n_unique"], r["n_occurrences"], r["n_bigrams"], r["n_signals"]) for r in selection.fragment_scores(made).collect()]
+    assert got == [(2, 3, 1, 1), (2, 3, 1, 0)]
 
 
 @pytest.mark.parametrize(("span", "chunks", "want"), [((20, 60), [(0, 100)], [1.0]), ((50, 150), [(0, 100), (100, 200)], [0.5, 0.5]), ((0, 100), [(80, 100)], [])])
@@ -202,10 +259,85 @@ def test_mapping(spark, span, chunks, want):
     assert [r["overlap_ratio"] for r in evidence.map_spans(spans, pieces).orderBy("chunk_id").collect()] == want
 
 
+def test_mapping_by_pages_and_source(spark):
+    spans = spark.createDataFrame(
+        [("range", "a/b.md", 0, 10, None, None), ("page", "b.md", None, None, 3, None), ("far", "b.md", 5000, 5010, 1, 2), ("bare", "a\\b.md/", None, None, None, None), ("gone", "x.md", 0, 5, 1, 1), ("lost", "b.md", 9000, 9005, None, None)],
+        "span_id string, source_path string, start_char int, end_char int, page_start int, page_end int",
+    )
+    chunks = spark.createDataFrame([("c1", "a/b.md", 0, 100, 1, 2), ("c2", "a/b.md", 100, 200, 2, 3), ("c3", "ab.md", 0, 100, 1, 9)], "chunk_id string, source_path string, start_char int, end_char int, page_start int, page_end int")
+    got = sorted((r["span_id"], r["chunk_id"], r["method"], r["kind"]) for r in evidence.map_spans(spans, chunks, source_only=True).collect())
+    assert got == [("bare", "c1", "source_only", "exact"), ("bare", "c2", "source_only", "exact"), ("far", "c1", "page_overlap", "suffix"), ("far", "c2", "page_overlap", "suffix"), ("page", "c2", "page_overlap", "suffix"), ("range", "c1", "char_overlap", "exact")]
+    mapped = evidence.map_spans(spans, chunks)
+    assert sorted(r["span_id"] for r in evidence.unmatched_spans(spans, mapped).collect()) == ["bare", "gone", "lost"]
+    long = spark.createDataFrame([("s", "p", 4000, 13000)], "span_id string, source_path string, start_char int, end_char int")
+    wide = spark.createDataFrame([("c", "p", 0, 20000), ("d", "p", 4000, 8200), ("e", "p", 12900, 20000)], "chunk_id string, source_path string, start_char int, end_char int")
+    assert sorted((r["chunk_id"], round(r["overlap_ratio"], 3)) for r in evidence.map_spans(long, wide).collect()) == [("c", 1.0), ("d", 0.467)]
+
+
+def test_passages_by_join(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "SENT_CHARACTERS", -1)
+    test_passages_at_every_place(spark)
+
+
+def test_searches_by_join(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(rng.choices(words, k=rng.randint(0, 20)))) for i in range(300)], CHUNK)
+    queries = spark.createDataFrame([(str(i), " ".join(rng.choices([*words, "absent"], k=4))) for i in range(20)], "query_id string, query string")
+    for search, limit in ((retrieval.bm25_search, 7), (retrieval.lexical_search, 5)):
+        narrow = search(chunks, queries, limit).collect()
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "SENT_TOKENS", 0)
+            joined = search(chunks, queries, limit).collect()
+        assert sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in narrow) == sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in joined)
+
+
+def test_failures(spark):
+    gold = spark.createDataFrame([(q, f"g{q}") for q in (1, 4, 5, 6)], "query_id long, chunk_id string")
+    results = spark.createDataFrame(
+        [(1, 1, "x", "a.md"), (1, 2, "g1", "a.md"), (3, 1, "x", "a.md"), (4, 1, "x", "z.md"), (5, 1, "x", "in/s5.md"), (6, 1, "x", "q.md"), (7, 1, "x", "q.md"), (8, 1, "x", "k/p.md")], "query_id long, rank int, chunk_id string, source_path string"
+    )
+    spans = spark.createDataFrame([(3, "s", "a.md", False), (4, "t", "s4.md", True), (5, "u", "s5.md", True)], "query_id long, span_id string, source_path string, mapped boolean")
+    cases = spark.createDataFrame([(q, ["p.md"] if q in (2, 8) else None) for q in range(1, 9)], "query_id long, expected_paths array<string>")
+    want = {1: "passed", 2: "no_result", 3: "unmapped_evidence", 4: "missed_source", 5: "wrong_section", 6: "low_rank", 7: "unknown", 8: "passed"}
+    assert {r["query_id"]: r["failure"] for r in evaluate.failures(cases, results, gold, spans).collect()} == want
+    late = evaluate.failures(cases, results.where("query_id = 1"), gold, None, 1).where("query_id = 1").first()
+    assert late["failure"] == "low_rank"  # a hit beyond k is none
+
+
+def test_source_cases(spark):
+    results = spark.createDataFrame([(1, i + 1, c, p, "x" * n) for i, (c, p, n) in enumerate((("a", "in/p.md", 30), ("b", "p.md", 10), ("c", "xp.md", 10), ("d", "q.md", 50)))], "query_id long, rank int, chunk_id string, source_path string, text string")
+    cases = spark.createDataFrame([(1, ["q.md", "p.md", "r.md"]), (2, ["p.md"])], "query_id long, expected_paths array<string>")
+    got = {r["query_id"]: r for r in evaluate.case_results(cases, results, spark.createDataFrame([], "query_id long, chunk_id string"), 4).collect()}
+    row = got[1]
+    assert (row["rank"], row["matched_by"], row["relevant_ranks"], row["n_expected"], row["recall"], row["precision"], row["density"], row["context_tokens"]) == (1, "source_path", [1, 4], 3, 0.0, 0.5, 0.8, 25)
+    assert (got[2]["rank"], got[2]["matched_by"], got[2]["ndcg"], got[2]["n_retrieved"]) == (None, "none", 0.0, 0)
+
+
+def test_rehydration(spark):
+    ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "query_id long, rank int, chunk_id string")
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], CHUNK)
+    assert [r["text"] for r in retrieval.rehydrate(ranked, chunks).orderBy("rank").collect()] == ["x", "y"]
+    with pytest.raises(Exception, match="missing"):
+        retrieval.rehydrate(ranked, chunks.limit(1)).collect()
+    with pytest.raises(Exception, match="gaps"):
+        retrieval.rehydrate(ranked.where("rank = 2"), chunks).collect()
+
+
+def test_formula_lines(spark):
+    lines = {"RRF (x) sums": True, "the MRR is": True, "a | b | 3": False, "50% of 3 apples": False, "x = 3": True, "well-known 3rd": True, "x ≤ 4": True, "α1 b": True, "no signs 3": False, "= 3": False, "hit@five": True}
+    rows = spark.createDataFrame([(x,) for x in lines], "text string").select("text", T.formula_line(F.col("text")).alias("f"))
+    assert {r["text"]: r["f"] for r in rows.collect()} == lines
+
+
 def test_coverage(spark):
     spans = spark.createDataFrame([("s", 0, 100), ("t", 0, 10)], "span_id string, start_char int, end_char int")
     ranges = spark.createDataFrame([("s", 0, 30), ("s", 10, 20), ("s", 20, 50), ("s", 90, 200)], "span_id string, start_char int, end_char int")
     assert {r["span_id"]: r["coverage"] for r in evidence.coverage(spans, ranges).collect()} == {"s": 0.6, "t": 0.0}
+    pages = "page_start int, page_end int"
+    spans = spark.createDataFrame([("p", None, None, 2, 5), ("n", None, None, None, None)], f"span_id string, start_char int, end_char int, {pages}")
+    ranges = spark.createDataFrame([("p", 0, 1, 1, 2), ("p", 0, 1, 2, None), ("p", 0, 1, 5, 9), ("n", 0, 1, 1, 1)], f"span_id string, start_char int, end_char int, {pages}")
+    assert {r["span_id"]: r["coverage"] for r in evidence.coverage(spans, ranges).collect()} == {"p": 0.5, "n": None}
 
 
 def test_metrics(spark):

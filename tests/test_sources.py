@@ -64,6 +64,93 @@ def test_json_lines(spark, tmp_path):
     assert [r["trace_id"] for r in good.collect()] == ["t"] and warnings.count() == 2
 
 
+def test_cases_with_more(spark, tmp_path):
+    path = tmp_path / "cases.jsonl"
+    path.write_text("\n" + json.dumps({"id": "1", "query": "q", "expected_chunk_ids": ["c"], "metadata": {"k": "own"}, "level": 3, "k": "other", "deep": {"a": [1]}}) + "\n")
+    row = files.evaluation_cases(spark, f"file://{path}").first()
+    assert row["line_number"] == 2 and row["metadata"] == {"k": "own", "level": "3", "deep": '{"a":[1]}'}
+    path.write_text("[1]\n")
+    with pytest.raises(Exception, match="line 1: not a JSON object"):
+        files.evaluation_cases(spark, f"file://{path}").collect()
+    path.write_text("\n")
+    with pytest.raises(ValueError, match="no evaluation cases"):
+        files.evaluation_cases(spark, f"file://{path}")
+    rows = spark.createDataFrame([("1", "q")], "id string, query string")
+    files.write_cases(rows, f"file://{tmp_path}/out")
+    with pytest.raises(Exception, match="(?i)already exists"):
+        files.write_cases(rows, f"file://{tmp_path}/out")
+    files.write_cases(rows, f"file://{tmp_path}/out", overwrite=True)
+
+
+def test_objects_and_lookups(spark, tmp_path):
+    path = tmp_path / "one.json"
+    path.write_text('{\n "a": 1\n}')
+    assert files.json_object(spark, f"file://{path}", "a int").first()["a"] == 1
+    path.write_text("no")
+    with pytest.raises(Exception, match="not a JSON object"):
+        files.json_object(spark, f"file://{path}", "a int").collect()
+    for bad in ("../x", "a/b", ""):
+        with pytest.raises(ValueError):
+            files.find_trace(spark, f"file://{tmp_path}", bad)
+
+
+def test_run_names_collide(spark, tmp_path):
+    metrics = spark.createDataFrame([(0.5, None)], "recall double, mrr double")
+    cases = spark.createDataFrame([(1, 1, "chunk_id", 1.0, 1.0, 3, 0.5), (2, None, "none", 0.0, 0.0, 3, 0.1)], "query_id long, rank int, matched_by string, reciprocal_rank double, recall double, n_retrieved int, density double")
+    failed = spark.createDataFrame([("low_rank", 1)], "failure string, n long")
+    first, second = (files.write_run(f"file://{tmp_path}", "run", metrics, cases, failed) for _ in range(2))
+    assert (first[-3:], second[-7:]) == ("run", "run-001")
+    lost = spark.read.json(f"{second}/failures.jsonl").collect()
+    assert [(r["query_id"], json.loads(r["metadata"])) for r in lost] == [(2, {"density": 0.1})]
+    text = "\n".join(r["value"] for r in spark.read.text(f"{second}/summary.md").collect())
+    assert "| recall | 0.5 |" in text and "| mrr | - |" in text and "| low_rank | 1 |" in text
+
+
+def test_chunks_are_checked(spark):
+    rows = spark.createDataFrame([("a", "t", "3", "text/plain", "x")], "id string, text string, index string, media_type string, start_char string")
+    row = files.normal_chunks(rows).first()
+    assert (row["chunk_id"], row["document_id"], row["source_path"], row["chunk_index"], row["start_char"], row["strategy"]) == ("a", "unknown", "unknown", 3, None, "simple")
+    for wrong, said in ((rows.withColumn("media_type", F.lit("image/png")), "unknown media type"), (rows.withColumn("text", F.lit(None).cast("string")), "lacks its id or text")):
+        with pytest.raises(Exception, match=said):
+            files.normal_chunks(wrong).collect()
+
+
+def test_skipped_files(spark, tmp_path):
+    with pytest.raises(Exception):
+        files.read_documents(spark, f"file://{tmp_path}/none")
+    (tmp_path / "x.bin").write_text("x")
+    with pytest.raises(ValueError, match="no supported file"):
+        files.read_documents(spark, f"file://{tmp_path}")
+    (tmp_path / ".plinth").mkdir()
+    (tmp_path / ".plinth" / "y.md").write_text("own")
+    (tmp_path / "z.md").write_text("z")
+    documents_, skipped = files.read_documents(spark, f"file://{tmp_path}")
+    assert documents_.count() == 2 and [r[0] for r in skipped.collect()] == ["x.bin"]
+    assert [r["relative_path"] for r in files.evidence_files(files.scan(spark, f"file://{tmp_path}")).collect()] == ["z.md"]
+
+
+def test_manifest(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], CHUNK)
+    vectors = spark.createDataFrame([("a", [1.0, 2.0], "raw"), ("b", [1.0, 0.0], "raw")], "chunk_id string, embedding array<double>, representation string")
+    name = snapshots.commit(folder, chunks, vectors, manifest={"model": "hash"})
+    assert snapshots.manifest_of(spark, folder) == {"model": "hash", "snapshot_id": name, "n_vectors": "2", "dimensions": "2"}
+    for wrong in (vectors.withColumn("embedding", F.slice("embedding", 1, F.when(F.col("chunk_id") == "a", 1).otherwise(2))), vectors.withColumn("representation", F.col("chunk_id"))):
+        with pytest.raises(ValueError, match="differ"):
+            snapshots.commit(folder, chunks, wrong)
+    assert snapshots.active(spark, folder)["snapshot_id"] == name
+
+
+def test_only_one_commit_wins(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/store"
+    first = snapshots.commit(folder, spark.createDataFrame([("a", "x")], CHUNK))
+    monkeypatch.setattr(snapshots, "active", lambda *_: None)  # as if it had looked before the first was there
+    with pytest.raises(ValueError, match="faster"):
+        snapshots.commit(folder, spark.createDataFrame([("b", "y")], CHUNK))
+    monkeypatch.undo()
+    assert snapshots.active(spark, folder)["snapshot_id"] == first
+
+
 def test_streams(spark, sf_dir, tmp_path):
     chunks = stream_chunks(spark, f"{sf_dir}/documents.parquet", f"file://{tmp_path}/c")
     want = sliding_chunks(documents(spark, sf_dir).withColumn("text", F.col("text")))
