@@ -125,7 +125,7 @@ def test_skipped_files(spark, tmp_path):
     (tmp_path / ".plinth" / "y.md").write_text("own")
     (tmp_path / "z.md").write_text("z")
     documents_, skipped = files.read_documents(spark, f"file://{tmp_path}")
-    assert documents_.count() == 2 and [r[0] for r in skipped.collect()] == ["x.bin"]
+    assert documents_.count() == 1 and [r[0] for r in skipped.collect()] == ["x.bin"]
     assert [r["relative_path"] for r in files.evidence_files(files.scan(spark, f"file://{tmp_path}")).collect()] == ["z.md"]
 
 
