@@ -2,54 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.functions.text import let  # noqa: F401  (for the operators)
+from plinth.sources.shared import new_folder, stored  # noqa: F401  (for the operators)
+
 #: White space of the row contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r" \t-\r"
 #: Rows of one Arrow slice handed to a vectorised function; bounds the memory that one step needs.
 SLICE_BYTES = 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` of the session. Only a local master may leave
-    it unset; then a temporary folder serves, as driver and executors are one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="plinth-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once for each row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def packed(docs: DataFrame, *own: str) -> DataFrame:
     """docs with all columns in one struct ``row``, beside copies of its own ones named; so no name of an operator can clash with theirs."""
     columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
