@@ -64,8 +64,24 @@ def formula_line(line: Column) -> Column:
     return line.rlike(METRIC) | (line.rlike(f"[{signs}]") & line.rlike(r"\p{Nd}") & line.rlike(r"\p{L}"))
 
 
-def source_label(path: Column, first_page: Column, last_page: Column) -> Column:
-    """File name, and its page or pages."""
-    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
-    pages = F.when(first_page.isNull(), "").when(first_page == last_page, F.concat(F.lit(" p. "), first_page.cast("string")))
-    return F.concat(name, pages.otherwise(F.concat(F.lit(" pp. "), first_page.cast("string"), F.lit("-"), last_page.cast("string"))))
+def source_label(path: Column, first_page: Column, last_page: Column, table: Column | None = None) -> Column:
+    """File name, its page or pages, and the table where a chunk is one; null pages and tables are left out."""
+    plain = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+$", "")
+    name = F.coalesce(F.nullif(F.regexp_extract(plain, r"([^/]*)$", 1), F.lit("")), path)
+    last = F.coalesce(last_page, first_page)
+    pages = F.when(first_page.isNull(), "").when(first_page == last, F.concat(F.lit(" p."), first_page.cast("string")))
+    label = F.concat(name, pages.otherwise(F.concat(F.lit(" pp."), first_page.cast("string"), F.lit("-"), last.cast("string"))))
+    return label if table is None else F.concat(label, F.when(first_page.isNotNull() & table.isNotNull(), F.concat(F.lit(" table "), table.cast("string"))).otherwise(""))
+
+
+def source_lines(media_type: Column, first_page: Column, last_page: Column, block_types: Column, formula: Column, warnings: Column) -> Column:
+    """What is known of where a chunk comes from, as an array of lines; only PDFs have pages, formulas and warnings."""
+    pdf = F.coalesce(media_type == "application/pdf", F.lit(False))
+    last = F.coalesce(last_page, first_page)
+    pages = F.when(first_page == last, first_page.cast("string")).otherwise(F.concat_ws("-", first_page.cast("string"), last.cast("string")))
+    kind = F.when(pdf, "type: pdf").when(media_type == "text/markdown", "type: markdown").when(media_type == "text/plain", "type: text")
+    parts = F.array(
+        kind, F.when(pdf & first_page.isNotNull(), F.concat(F.lit("page range: "), pages)), F.when(F.size(block_types) > 0, F.concat(F.lit("block type: "), F.array_join(block_types, ", "))),
+        F.when(pdf & F.coalesce(formula, F.lit(False)), F.lit("possible formula: yes")), F.when(pdf & (F.size(warnings) > 0), F.concat(F.lit("warnings: "), F.array_join(warnings, ", "))),
+    )
+    return F.filter(parts, lambda x: x.isNotNull())

@@ -23,6 +23,31 @@ def group_blocks(blocks: DataFrame, useful: tuple[str, ...] = ("paragraph", "lis
     return grouped.select("document_id", F.col("run").cast("int").alias("run"), "path", "first_block", "n_blocks", "n_chars")
 
 
+def group_page_blocks(blocks: DataFrame, useful: tuple[str, ...] = ("paragraph", "list", "table", "code", "blockquote")) -> DataFrame:
+    """Runs of useful blocks (document_id, block_index, block_type, text, page) of one page; a table is a run of its own.
+
+    What the blocks say together: first block, their number, characters, page, and where blocks have them the strategy (mixed, where they
+    differ), different warnings joined by semicolons, and removed lines in all.
+    """
+    order = Window.partitionBy("document_id").orderBy("block_index")
+    rows = blocks.withColumn("useful", F.col("block_type").isin(*useful))
+    table = F.col("block_type") == "table"
+    rows = rows.withColumns({"before": F.lag("useful").over(order), "table_before": F.lag(table).over(order), "page_before": F.lag("page").over(order)})
+    fresh = ~F.coalesce("before", F.lit(False)) | table | F.coalesce("table_before", F.lit(False)) | ~F.col("page").eqNullSafe(F.col("page_before"))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("useful") & fresh, 1).otherwise(0)).over(order)).where("useful")
+    more = []
+    if "strategy" in blocks.columns:
+        different = F.count_distinct("strategy")
+        more.append(F.when(different > 1, "mixed").otherwise(F.max("strategy")).alias("strategy"))
+    if "warning" in blocks.columns:
+        seen = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("block_index", "warning"))), lambda x: x["warning"]), lambda w: w.isNotNull())
+        more.append(F.nullif(F.array_join(F.array_distinct(seen), "; "), F.lit("")).alias("warnings"))
+    if "removed_lines" in blocks.columns:
+        more.append(F.coalesce(F.sum("removed_lines"), F.lit(0)).cast("long").alias("removed_lines"))
+    grouped = rows.groupBy("document_id", "run").agg(F.first("page").alias("page"), F.min("block_index").alias("first_block"), F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"), *more)
+    return grouped.withColumn("run", F.col("run").cast("int"))
+
+
 def plain_path(path: Column) -> Column:
     """A path with forward slashes, none at its end."""
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "/+$", "")

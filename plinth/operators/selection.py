@@ -181,6 +181,17 @@ def render_fragments(best: DataFrame) -> DataFrame:
     return best.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["part"]), "\n\n").alias("context"))
 
 
+def evidence_held(gold: DataFrame, **texts: DataFrame) -> DataFrame:
+    """How much of the n-grams of each case (query_id, grams) different texts (query_id, grams) hold, by the name they are given under:
+    n_gold and a count for each; a case without grams is left out. Grams are compared as hashed rows, never as lists of a whole run."""
+    wanted = gold.select("query_id", F.explode(F.array_distinct("grams")).alias("gram"))
+    rows = wanted
+    for name, t in texts.items():
+        held = t.select("query_id", F.explode("grams").alias("gram")).distinct().withColumn(name, F.lit(1))
+        rows = rows.join(held, ["query_id", "gram"], "left")
+    return rows.groupBy("query_id").agg(F.count("*").alias("n_gold"), *(F.count(n).alias(f"n_{n}") for n in texts))
+
+
 def untraceable(best: DataFrame, chunks: DataFrame) -> DataFrame:
     """Fragments (chunk_id, window_start, window_end, window_text) that aren't what their chunk has at their place."""
     rows = best.join(chunks.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id", "left")

@@ -101,12 +101,27 @@ class Engine:
         status = F.when(F.col("prompt").isNull(), "skipped").when(F.col("answer").isNull(), "failed").otherwise("success")
         return answered.withColumn("status", status).select("query_id", "prompt", "status", "answer")
 
-    def compare(self, cases: DataFrame, gold: DataFrame, modes: list[str], limits: list[int]) -> DataFrame:
-        """Metrics of every mode at every limit."""
-        out = None
+    def compare(self, cases: DataFrame, gold: DataFrame, modes: list[str], limits: list[int], fail_fast: bool = True) -> DataFrame:
+        """Metrics of every mode at every limit. A mode that can't run is an error, or a row with its message where ``fail_fast`` is off."""
+        out, failed = None, []
         for mode in dict.fromkeys(modes):
-            ranked = stored(self.search(cases, mode, max(limits)), "results")
+            try:
+                ranked = stored(self.search(cases, mode, max(limits)), "results")
+            except ValueError as wrong:
+                if fail_fast:
+                    raise
+                failed += [(mode, k, str(wrong)) for k in dict.fromkeys(limits)]
+                continue
             for k in dict.fromkeys(limits):
                 part = evaluate.case_metrics(cases, ranked, gold, k).withColumns({"mode": F.lit(mode), "k": F.lit(k)})
                 out = part if out is None else out.unionByName(part)
-        return evaluate.summary(out, "mode", "k")
+        found = None if out is None else evaluate.summary(out, "mode", "k").withColumn("error", F.lit(None).cast("string"))
+        if not failed:
+            return found
+        rows = cases.sparkSession.createDataFrame(failed, "mode string, k int, error string")
+        return rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+
+
+def listed(text: str) -> list[str]:
+    """The parts of a comma-separated list, each once, in order."""
+    return list(dict.fromkeys(x.strip() for x in text.split(",") if x.strip()))

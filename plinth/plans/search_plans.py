@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import text as T
@@ -183,6 +183,52 @@ def evidence_windows(spark, sf_dir):
     return best.select("query_id", "chunk_id", "window_start", "window_end", F.col("n_unique").alias("n_trigrams"), "n_occurrences", "n_bigrams")
 
 
+def fragment_evidence(spark, sf_dir):
+    """How many of a passage's token trigrams its results hold, the windows chosen for the passage itself, and those chosen for the query."""
+
+    def grams(column: str) -> Column:
+        return T.ngrams(U.folded_tokens(column), 3).alias("grams")
+
+    cut = stored(selection.fragment_windows(fragments_of(spark, sf_dir)).withColumns({"query_tokens": U.folded_tokens("query"), "window_tokens": U.folded_tokens("window_text")}), "windows")
+    chosen = selection.best_windows(selection.fragment_scores(cut), "query_id", "chunk_id")
+    oracle = selection.best_windows(selection.evidence_scores(cut.withColumn("evidence_tokens", F.col("query_tokens"))), "query_id", "chunk_id")
+    everything = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25"))
+    held = selection.evidence_held(
+        cases_of(spark, sf_dir).select("query_id", grams("query")), reachable=everything.select("query_id", grams("text")), oracle=oracle.select("query_id", grams("window_text")), selected=chosen.select("query_id", grams("window_text"))
+    )
+    return held.select("*", F.round(F.col("n_selected") / F.col("n_gold"), 6).alias("coverage"), F.round(F.try_divide("n_selected", "n_oracle"), 6).alias("efficiency"))
+
+
+def stable_rankings(spark, sf_dir):
+    """Into how many different rankings two trials of a search fall, one of which takes fewer results of every third query."""
+    one = results_of(spark, sf_dir, "bm25").withColumn("trial", F.lit(0))
+    two = one.where((F.col("query_id") % 3 != 0) | (F.col("rank") < LIMIT)).withColumn("trial", F.lit(1))
+    return gates.stable_rankings(one.union(two))
+
+
+def open_trials(spark, sf_dir):
+    """The trials of a matrix that events haven't finished: a type of event is a mode, its users' last digits are limits."""
+    events = table(spark, sf_dir, "events")
+    done = events.where("user_id < 40").select(F.col("event_type").alias("mode"), (F.col("user_id") % 10).cast("int").alias("k"), (F.col("user_id") % 4).cast("int").alias("repetition")).distinct()
+    modes = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
+    return gates.open_trials(modes, [1, 2, 5, 11], 4, done)
+
+
+def input_checks(spark, sf_dir):
+    """Whether the inputs of a run are what they were: counts, hashes and settings, and all of it together."""
+    docs, cases = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    facts = docs.agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("d"), F.count_if(F.length("text") == 0).alias("e")).join(cases.agg(F.count("*").alias("c"), F.count_distinct(F.sha2("text", 256)).alias("h"), F.min(F.length("text")).alias("s")))
+    found = gates.checks(facts, ids=F.col("n") == F.col("d"), texts=F.col("e") == 0, cases=F.col("c") >= 10, hashes=F.col("c") == F.col("h"), sizes=F.col("s") > 10_000)
+    return found
+
+
+def farthest_points(spark, sf_dir):
+    """Five passages whose lengths lie far apart."""
+    points = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").cast("double").alias("position"))
+    chosen = gates.farthest(stored(points, "points"), 5)
+    return spark.createDataFrame([(i, n) for n, i in enumerate(chosen)], "item_id long, place int")
+
+
 def gold_mapping(spark, sf_dir):
     mapped = evidence.map_spans(spans_of(spark, sf_dir), chunks_of(spark, sf_dir))
     return mapped.withColumn("overlap_ratio", F.round("overlap_ratio", 6))
@@ -522,7 +568,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_stats, lexical_search, bm25_search, cosine_pairs, semantic_search, hybrid_rrf, dedup_candidates, metadata_redact, retrieval_stages, ranking_rehydrate,
-        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows,
+        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows, fragment_evidence, stable_rankings, open_trials, input_checks, farthest_points,
         gold_mapping, gold_mapping_by_page, unmatched_spans, relevance_flags, ndcg, case_results, retrieval_metrics, stage_latencies, compact_results,
         mode_comparison, cutoff_metrics, failure_cases, failure_breakdown, evidence_coverage, duplicate_context, ngram_coverage, latency_percentiles, metric_spread, transitions, screen_transitions,
         heldout_overlap, review_merge, rule_violations, generated_cases, screen_gates, cache_report, case_files, trace_files, run_files, normal_chunks, redacted_metadata, session_append,
@@ -734,6 +780,20 @@ SQL = {
     "latency_percentiles": """select event_type, count(value) n, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, max(value) maximum from events group by event_type""",
     "metric_spread": """with d as (select event_type, ts::date "day", round(avg(value), 9) v from events group by all)
       select event_type, round(min(v), 6) least, round(max(v), 6) greatest, round(max(v) - min(v), 6) spread from d group by event_type""",
+    "fragment_evidence": f"""{SCORED}, gg as (select query_id, unnest(list_distinct(list_transform(range(1, len(q0) - 1), lambda k: q0[k] || ' ' || q0[k + 1] || ' ' || q0[k + 2]))) g from q1)
+      , ft as (select query_id, regexp_extract_all({FOLD.format('text')}, '{W}') w from fr), ra as (select distinct query_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) g from ft)
+      , oa as (select distinct query_id, unnest(w3) g from be), sa as (select distinct query_id, unnest(w3) g from bq)
+      select query_id, count(*) n_gold, count(ra.g) n_reachable, count(oa.g) n_oracle, count(sa.g) n_selected, round(count(sa.g) / count(*)::double, 6) coverage,
+        case when count(oa.g) > 0 then round(count(sa.g) / count(oa.g)::double, 6) end efficiency
+      from gg left join ra using (query_id, g) left join oa using (query_id, g) left join sa using (query_id, g) group by query_id""",
+    "stable_rankings": f"with {RANKED} select query_id, (case when query_id % 3 = 0 and max(rank) = {LIMIT} then 2 else 1 end)::bigint n_rankings from bm25 group by query_id",
+    "open_trials": """select "mode", k::int k, r::int repetition from (select distinct event_type "mode" from events), (select unnest([1, 2, 5, 11]) k), (select unnest(range(4)) r)
+      where not exists (select 1 from events where user_id < 40 and event_type = "mode" and user_id % 10 = k and user_id % 4 = r)""",
+    "input_checks": f"""with {DOCS}, d as (select count(*) = count(distinct document_id) ids, count(*) filter (where t = '') = 0 texts from docs), b as (select count(*) >= 10 cases, count(*) = count(distinct text) hashes, min(length(text)) > 10000 sizes from benchmark)
+      select *, ids and texts and cases and hashes and sizes all_passed from d, b""",
+    "farthest_points": """with recursive p as (select item_id, length(text)::double x from benchmark), f as (select [min_by(item_id, item_id)] c, [min_by(x, item_id)] xs, 1 n from p
+        union all select list_append(c, (nx).item_id), list_append(xs, (nx).x), n + 1 from (select c, xs, n, (select max_by({'item_id': item_id, 'x': x}, (list_min(list_transform(xs, lambda y: abs(y - x))), -item_id)) from p where not list_contains(c, item_id)) nx from f where n < 5) where nx is not null)
+      select unnest(c) item_id, unnest(range(len(c)))::int place from f where n = (select max(n) from f)""",
     "transitions": f"""with {RANKED}, {MAPPED}, {_metrics("lexical", K, "a")}, {_metrics("bm25", K, "b")}
       select case when a.n_relevant > 0 and b.n_relevant > 0 then 'retained' when a.n_relevant > 0 then 'lost' when b.n_relevant > 0 then 'gained' else 'missed' end transition, count(*) n
       from a join b using (query_id) group by 1""",

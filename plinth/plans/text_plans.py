@@ -151,10 +151,28 @@ def redact_lines(spark, sf_dir):
 
 
 def source_label(spark, sf_dir):
+    """Labels of chunks with their pages; every fourth document's chunks are tables, every other document has no pages."""
     rows = chunks_of(spark, sf_dir)
-    first = (F.col("start_char") / 3000).cast("int") + 1
-    last = ((F.col("end_char") - 1) / 3000).cast("int") + 1
-    return rows.select("chunk_id", T.source_label(F.col("source_path"), first, last).alias("label"))
+    paged = F.col("document_id") % 2 == 0
+    first = F.when(paged, (F.col("start_char") / 3000).cast("int") + 1)
+    last = F.when(paged, ((F.col("end_char") - 1) / 3000).cast("int") + 1)
+    table = F.when(F.col("document_id") % 4 == 0, F.col("chunk_index") % 3)
+    return rows.select("chunk_id", T.source_label(F.col("source_path"), first, last, table).alias("label"))
+
+
+def source_lines(spark, sf_dir):
+    rows = represented(spark, sf_dir)
+    warnings = F.when(F.col("document_id") % 5 == 0, F.array(F.lit("odd"), F.lit("old"))).otherwise(F.array().cast("array<string>"))
+    lines = T.source_lines(F.col("media_type"), F.col("page_start"), F.col("page_end"), F.col("block_types"), F.col("possible_formula"), warnings)
+    return rows.select("chunk_id", F.array_join(lines, "; ").alias("lines"))
+
+
+def page_groups(spark, sf_dir):
+    """Lines as blocks of pages of ten lines: runs of useful ones, tables alone; short lines are of no use."""
+    rows = blocks_of(spark, sf_dir).withColumn("page", F.floor(F.col("block_index") / 10).cast("int"))
+    kind = F.when(F.length("text") < 30, "heading").otherwise(F.col("block_type"))
+    rows = rows.withColumns({"block_type": kind, "strategy": F.when(F.length("text") % 2 == 0, "even").otherwise("odd"), "warning": F.when(F.length("text") > 300, "long"), "removed_lines": F.length("text") % 3})
+    return evidence.group_page_blocks(rows)
 
 
 def _sectioned(spark, sf_dir) -> DataFrame:
@@ -223,7 +241,7 @@ QUERIES = {
     for f in (
         line_offsets, text_blocks, sliding_chunks, split_oversized, block_chunks, chunk_list, chunk_lookup, chunk_preview, tokenize, token_ngrams, text_hash,
         index_fingerprint, listed_fingerprint, file_hashes, header_footer_filter, formula_lines, table_serialize, ingest_summary, ingest_report, clean_text, redact_lines,
-        source_label, section_propagation, structured_text, cleaned_text, query_text, markdown_blocks, evidence_groups, observational_slices,
+        source_label, source_lines, page_groups, section_propagation, structured_text, cleaned_text, query_text, markdown_blocks, evidence_groups, observational_slices,
     )
 }
 
@@ -294,8 +312,16 @@ SQL = {
     "redact_lines": f"""with {DOCS}, h as (select document_id, array_to_string(list_transform(string_split(t, chr(10)),
       lambda x: case when regexp_matches(x, '(?i)(api_key|apikey|secret|token|password|authorization)') then '<hidden>' else x end), chr(10)) h from docs)
       select document_id, sha256(h) redacted_sha256, (len(string_split(h, '<hidden>')) - 1)::int n_hidden from h""",
-    "source_label": f"""with {CHUNKS}, p as (select chunk_id, document_id, (start_char // 3000) + 1 a, ((end_char - 1) // 3000) + 1 b from chunks)
-      select chunk_id, document_id || case when a = b then ' p. ' || a else ' pp. ' || a || '-' || b end "label" from p""",
+    "source_label": f"""with {CHUNKS}, p as (select chunk_id, document_id, chunk_index, (start_char // 3000) + 1 a, ((end_char - 1) // 3000) + 1 b from chunks)
+      select chunk_id, document_id || case when document_id % 2 = 1 then '' when a = b then ' p.' || a else ' pp.' || a || '-' || b end || case when document_id % 4 = 0 then ' table ' || chunk_index % 3 else '' end "label" from p""",
+    "source_lines": f"""with {CHUNKS}, p as (select *, (start_char // 3000) + 1 a, ((end_char - 1) // 3000) + 1 b, document_id % 2 = 0 pdf from chunks)
+      select chunk_id, case when pdf then 'type: pdf; page range: ' || case when a = b then a::varchar else a || '-' || b end else 'type: text' end || '; block type: ' || case when contains(text, ' | ') then 'table, paragraph' else 'paragraph' end
+        || case when pdf and contains(text, '=') then '; possible formula: yes' else '' end || case when pdf and document_id % 5 = 0 then '; warnings: odd, old' else '' end "lines" from p""",
+    "page_groups": f"""with {LINES}, b as (select document_id, line_index, line_index // 10 page, line, case when length(line) < 30 then 'heading' when contains(line, ' | ') then 'table' else 'paragraph' end t from lines)
+      , f as (select *, t <> 'heading' u, coalesce(lag(t) over w, 'heading') lt, lag(page) over w lp from b window w as (partition by document_id order by line_index))
+      , r as (select *, (sum((u and (lt = 'heading' or t = 'table' or lt = 'table' or page is distinct from lp))::int) over (partition by document_id order by line_index))::int run from f)
+      select document_id, run, min(page)::int page, min(line_index) first_block, count(*) n_blocks, sum(length(line))::bigint n_chars, case when count(distinct length(line) % 2) > 1 then 'mixed' when max(length(line) % 2) = 0 then 'even' else 'odd' end strategy,
+        case when max(length(line)) > 300 then 'long' end warnings, sum(length(line) % 3)::bigint removed_lines from r where u group by document_id, run""",
     "section_propagation": f"""with {SECTIONED} select chunk_id, section, last_value(section ignore nulls) over (partition by document_id order by chunk_index
       rows between unbounded preceding and current row) effective_section from sectioned""",
     "structured_text": f"""with {SECTIONED}, r as (select chunk_id, 'Document title: ' || case when document_id % 3 = 0 then 'Document ' || document_id else document_id::varchar end || chr(10) || 'Source: ' || source_path || chr(10)

@@ -198,3 +198,25 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 def evidence_files(files: DataFrame) -> DataFrame:
     """Files that evidence may be taken from: supported, and not what the engine itself wrote below a folder ``.plinth``."""
     return files.where(F.col("supported") & ~F.col("relative_path").rlike(r"(^|/)\.plinth/"))
+
+
+def write_sessions(turns: DataFrame, folder: str) -> None:
+    """Turns (session_id, turn, role, text, ...) as JSON lines, a folder for each session; a session that is there is replaced."""
+    spark = turns.sparkSession
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        turns.repartition("session_id").write.mode("overwrite").partitionBy("session_id").json(folder)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+
+
+def read_sessions(spark: SparkSession, folder: str, schema: str = "session_id long, turn int, role string, text string") -> DataFrame:
+    """The turns of all sessions of a folder."""
+    return spark.read.schema(schema).json(folder)
+
+
+def latest_session(turns: DataFrame, updated: DataFrame) -> DataFrame:
+    """The turns of the session (session_id, updated_at) that was changed last; of several, that of the greatest id."""
+    last = updated.orderBy(F.desc("updated_at"), F.desc("session_id")).limit(1).select("session_id")
+    return turns.join(F.broadcast(last), "session_id", "left_semi")

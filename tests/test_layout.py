@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plinth.functions import unicode as U
 from plinth.operators import evidence, gates, history, pages, represent
 from plinth.operators.numbering import numbered
-from plinth.plans.engine import Engine
+from plinth.plans.engine import Engine, listed
 from plinth.sources import providers
 
 WORD = "document_id long, page int, x0 double, x1 double, top double, text string"
@@ -184,6 +184,11 @@ def test_engine(spark):
     stages = engine.stages(queries, "bm25", 1).orderBy("stage_index").collect()
     assert [(r["stage"], r["status"], r["n_in"], r["n_out"]) for r in stages] == [("normalize", "done", 2, 1), ("candidates", "done", 1, 1), ("deduplicate", "done", 1, 1), ("rerank", "skipped", 1, 1), ("select", "done", 1, 1), ("budget", "done", 1, 1)]
     assert engine.keep("s1").keep("s2").statistics == {"loads": 2, "hits": 1, "invalidations": 1}
+    rows = engine.compare(queries, gold, ["bm25", "semantic"], [1], fail_fast=False).collect()
+    assert {r["mode"]: r["error"] is None for r in rows} == {"bm25": True, "semantic": False}
+    with pytest.raises(ValueError):
+        engine.compare(queries, gold, ["semantic"], [1])
+    assert listed(" bm25, hybrid,,bm25 ") == ["bm25", "hybrid"]
     with pytest.raises(ValueError):
         engine.search(queries, "semantic")
     with pytest.raises(ValueError):

@@ -129,6 +129,16 @@ def test_skipped_files(spark, tmp_path):
     assert [r["relative_path"] for r in files.evidence_files(files.scan(spark, f"file://{tmp_path}")).collect()] == ["z.md"]
 
 
+def test_session_store(spark, tmp_path):
+    kind = "session_id long, turn int, role string, text string"
+    files.write_sessions(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")], kind), f"file://{tmp_path}/s")
+    files.write_sessions(spark.createDataFrame([(2, 0, "user", "new")], kind), f"file://{tmp_path}/s")
+    turns = files.read_sessions(spark, f"file://{tmp_path}/s")
+    assert sorted(tuple(r) for r in turns.select("session_id", "turn", "text").collect()) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "new")]
+    updated = spark.createDataFrame([(1, 5), (2, 9)], "session_id long, updated_at long")
+    assert [r["text"] for r in files.latest_session(turns, updated).collect()] == ["new"]
+
+
 def test_manifest(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     chunks = spark.createDataFrame([("a", "x"), ("b", "y")], CHUNK)
