@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import SPACE, packed, stored, text_of
+from plinth.operators.numbering import numbered
 
 #: Weights of the sources in code point order, repeating; words of the mix against all words; largest repetition; seed.
 WEIGHTS, RATE, MOST, SEED = (5, 2, 1), 1.5, 2, 17
@@ -55,18 +56,23 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """Adds ``target`` to rows (source, no_source, source_size), one for each source."""
-    order = Window.orderBy("no_source", "source")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(order) - 1) % len(WEIGHTS) + 1)
-    rows = sizes.withColumn("weight", weight.cast("long")).withColumn("cap", MOST * F.col("source_size"))
-    filled = Window.orderBy(F.col("cap") / F.col("weight"), "no_source", "source")
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    rest = RATE * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    level = rest / F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("level", level).withColumn("capped", F.col("level") * F.col("weight") > F.col("cap"))
-    common = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "no_source", "source", "level"))).over(Window.partitionBy())["level"]
-    share = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(common * F.col("weight"))
-    return rows.withColumn("target", share).select("source", "no_source", "source_size", "target")
+    """Adds ``target`` to rows (source, no_source, source_size), one for each source; no task sees all of them.
+
+    The level is what a weight of one gets. It rises as sources reach their cap and leave the rest to the others, one aggregation a
+    step, until no further one does.
+    """
+    rows = numbered(sizes, "no_source", "source")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int"))
+    rows = rows.withColumns({"weight": weight.cast("long"), "cap": MOST * F.col("source_size")}).drop("number")
+    level, seen, capped = 0.0, -1, F.lit(False)
+    while True:
+        n, total, caps, weights = rows.agg(F.count_if(capped), F.sum("source_size"), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight")))).first()
+        if n == seen or not weights:
+            break
+        seen, level = n, (RATE * total - (caps or 0)) / weights
+        capped = F.lit(level) * F.col("weight") > F.col("cap")
+    share = F.when(capped, F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("weight"))
+    return rows.select("source", "no_source", "source_size", share.alias("target"))
 
 
 def _plan(keyed: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def fragments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")).join(cases_of(spark, sf_dir), "query_id")
     page = (F.floor(F.col("start_char") / 3000) + 1).cast("string")
     header = selection.fragment_header(F.col("rank"), F.col("document_id").cast("string"), page)
-    return selection.allocate(rows.select("query_id", "rank", "chunk_id", "query", "text", header.alias("header")))
+    return selection.allocate(stored(rows.select("query_id", "rank", "chunk_id", "query", "text", header.alias("header")), "ranked"))
 
 
 def fragment_allocation(spark, sf_dir):
@@ -157,9 +157,8 @@ def fragment_windows(spark, sf_dir):
 
 def _best_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window of each BM25 result that says most about its query; what a chunk begins with is its signal."""
-    cut = selection.fragment_windows(fragments_of(spark, sf_dir))
-    signals = U.folded_tokens(F.substring("text", 1, 60))
-    cut = cut.withColumns({"query_tokens": U.folded_tokens("query"), "window_tokens": U.folded_tokens("window_text"), "signal_tokens": signals})
+    rows = fragments_of(spark, sf_dir).withColumns({"query_tokens": U.folded_tokens("query"), "signal_tokens": U.folded_tokens(F.substring("text", 1, 60))})
+    cut = selection.fragment_windows(stored(rows, "fragments")).withColumn("window_tokens", U.folded_tokens("window_text"))
     return selection.best_windows(selection.fragment_scores(cut), "query_id", "rank", "chunk_id", "header")
 
 
@@ -177,8 +176,8 @@ def fragment_contexts(spark, sf_dir):
 
 def evidence_windows(spark, sf_dir):
     """The window of each BM25 result that holds most of the passage itself, by its token trigrams."""
-    cut = selection.fragment_windows(fragments_of(spark, sf_dir))
-    cut = cut.withColumns({"evidence_tokens": U.folded_tokens("query"), "window_tokens": U.folded_tokens("window_text")})
+    rows = stored(fragments_of(spark, sf_dir).withColumn("evidence_tokens", U.folded_tokens("query")), "fragments")
+    cut = selection.fragment_windows(rows).withColumn("window_tokens", U.folded_tokens("window_text"))
     best = selection.best_windows(selection.evidence_scores(cut), "query_id", "chunk_id")
     return best.select("query_id", "chunk_id", "window_start", "window_end", F.col("n_unique").alias("n_trigrams"), "n_occurrences", "n_bigrams")
 
@@ -189,7 +188,8 @@ def fragment_evidence(spark, sf_dir):
     def grams(column: str) -> Column:
         return T.ngrams(U.folded_tokens(column), 3).alias("grams")
 
-    cut = stored(selection.fragment_windows(fragments_of(spark, sf_dir)).withColumns({"query_tokens": U.folded_tokens("query"), "window_tokens": U.folded_tokens("window_text")}), "windows")
+    rows = stored(fragments_of(spark, sf_dir).withColumn("query_tokens", U.folded_tokens("query")), "fragments")
+    cut = stored(selection.fragment_windows(rows).withColumn("window_tokens", U.folded_tokens("window_text")), "windows")
     chosen = selection.best_windows(selection.fragment_scores(cut), "query_id", "chunk_id")
     oracle = selection.best_windows(selection.evidence_scores(cut.withColumn("evidence_tokens", F.col("query_tokens"))), "query_id", "chunk_id")
     everything = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25"))
