@@ -9,12 +9,12 @@ from plinth.functions import text as T
 from plinth.functions import unicode as U
 from plinth.operators import evaluate, evidence, gates, history, pages, represent
 from plinth.operators.numbering import numbered
-from plinth.plans.engine import Engine
+from plinth.plans.engine import Engine, listed
 from plinth.plans.search_plans import MAPPED, RANKED, SUMMARY, _metrics, cases_of, gold_of, metrics_of, results_of
 from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, blocks_of, chunks_of, lines_of, packed_lines
-from plinth.sources import providers, snapshots
-from plinth.sources.shared import new_folder
-from plinth.sources.tables import documents, table
+from plinth.sources import files, providers, snapshots
+from plinth.sources.shared import new_folder, stored
+from plinth.sources.tables import documents, table, vectors
 from plinth.streaming import ingest
 
 
@@ -132,6 +132,59 @@ def snapshot_chunks(spark, sf_dir):
     return snapshots.read(spark, folder).select("chunk_id", "schema_version", F.length("text").alias("n_chars"))
 
 
+def snapshot_vectors(spark, sf_dir):
+    """Documents as a generation, their vectors as its child, read back through the pointer, with what the manifest says."""
+    folder = new_folder(spark, "snapshots")
+    chunks = documents(spark, sf_dir).select(F.col("document_id").cast("string").alias("chunk_id"), "text")
+    first = snapshots.commit(folder, chunks)
+    index = vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("raw_chunk_text_v1").alias("representation"))
+    snapshots.child(spark, folder, index.join(chunks, "chunk_id", "left_semi"))
+    row = snapshots.active(spark, folder)
+    same = F.lit(row["parent_snapshot_id"] == first)
+    facts = snapshots.manifest_of(spark, folder)
+    return snapshots.read(spark, folder, "vectors").select("chunk_id", F.size("embedding").alias("n"), F.lit(int(facts["dimensions"])).alias("dimensions"), F.lit(snapshots.status(spark, folder)).alias("status"), same.alias("of_first"))
+
+
+def snapshot_migration(spark, sf_dir):
+    """Chunks of older layouts as a first generation."""
+    folder = new_folder(spark, "snapshots")
+    version = F.when(F.col("document_id") % 3 > 0, (F.col("document_id") % 3).cast("int"))
+    legacy = chunks_of(spark, sf_dir).select("chunk_id", "text", version.alias("schema_version"))
+    found = snapshots.migrate(folder, legacy)["versions"]
+    before = F.create_map(*(F.lit(x) for pair in found.items() for x in pair))
+    rows = snapshots.read(spark, folder).groupBy("schema_version").agg(F.count("*").alias("n"))
+    return rows.select("schema_version", "n", *(before[v].alias(f"n_{v}") for v in (0, 1, 2)))
+
+
+def folder_lines(spark, sf_dir):
+    """Passages, written as text files into folders below one another, found again and read; other files are skipped."""
+    folder = new_folder(spark, "files")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("text").alias("value"), (F.col("item_id") % 3).alias("part"))
+    rows.repartition("part").write.partitionBy("part").text(f"{folder}/texts")
+    rows.select("part").coalesce(1).write.json(f"{folder}/other")
+    texts, skipped = files.read_documents(spark, folder)
+    lines = texts.select(F.regexp_extract("source_path", "part=([0-9])/", 1).cast("int").alias("part"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    n = skipped.where(F.col("relative_path").rlike("json$")).agg((F.count("*") > 0).alias("skipped"))
+    return lines.groupBy("part").agg(F.count("*").alias("n_lines"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("lines_sha256")).join(F.broadcast(n))
+
+
+def asked(spark, sf_dir):
+    """Answers to passages as questions, by a stand-in for a service that answers two of three; a third of the passages is blank."""
+    cases = cases_of(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 3 == 0, "  ").otherwise(F.col("query")))
+
+    def generate(prompts: DataFrame) -> DataFrame:
+        return prompts.where("query_id % 3 = 1").select("query_id", F.concat(F.lit("answer to "), F.col("query_id").cast("string")).alias("answer"))
+
+    return Engine(chunks_of(spark, sf_dir)).ask(cases, generate, "bm25").select("query_id", "status", "answer")
+
+
+def engine_compare(spark, sf_dir):
+    """Two modes at two limits through the engine, and one that has no index."""
+    engine = Engine(chunks_of(spark, sf_dir)).keep("now")
+    rows = engine.compare(cases_of(spark, sf_dir), stored(gold_of(spark, sf_dir), "gold"), listed("bm25, lexical,semantic,bm25"), [1, 5], fail_fast=False)
+    return rows.select("mode", "k", "n_cases", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"), F.col("error").isNotNull().alias("failed"))
+
+
 def hash_embeddings(spark, sf_dir):
     """Vectors of all chunks by the offline provider, and how long each is."""
     made = providers.embed(chunks_of(spark, sf_dir), providers.hashing_provider())
@@ -164,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reading_lines, column_order, outside_tables, page_tables, page_blocks, heading_lines, formula_evidence, evidence_spans, source_match_kinds, folded_tokens, release_gates, trial_latency,
-        trial_consensus, session_list, case_numbers, snapshot_chunks, hash_embeddings, engine_search, stream_chunks, stream_windows,
+        trial_consensus, session_list, case_numbers, snapshot_chunks, snapshot_vectors, snapshot_migration, folder_lines, asked, engine_compare, hash_embeddings, engine_search, stream_chunks, stream_windows,
     )
 }
 
@@ -235,6 +288,7 @@ SQL = {
       , v as (select *, length(p) - length(regexp_extract(p, '[^ ]*$')) - 1 z from b), x as (select *, case when alone or w then t when z >= 600 then substr(p, 1, z) else p end y from v)
       , k as (select *, row_number() over (partition by document_id order by c) - 1 i from x where length(y) >= 250 or alone)
       select document_id || '::span-' || lpad(i::varchar, greatest(4, length(i::varchar))::int, '0') span_id, document_id, s::int start_char, (case when w or alone then e else s + length(y) end)::int end_char, sha256(y) text_sha256, length(y)::int n_chars from k""",
+    "folded_tokens": f"with docs as (select doc_id document_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') t from documents) select document_id, len(regexp_extract_all(replace(lower(t), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'))::int n_tokens from docs",
     "source_match_kinds": f"""with {RANKED}, {MAPPED}, g as (select distinct query_id, document_id d from gold join chunks using (chunk_id))
       select query_id, case when source_path = d::varchar then 'exact' when ends_with(source_path, '/' || d) then 'suffix' else 'none' end kind, count(*) n
       from bm25 join chunks using (chunk_id) join g using (query_id) group by all""",
@@ -251,6 +305,17 @@ SQL = {
       select conv_id session_id, row_number() over (order by conv_id % 10 <> 0, conv_id % 7 <> 0, n desc, lower(title), conv_id) - 1 place from s""",
     "case_numbers": "select item_id, 'synthetic-span-' || lpad((row_number() over (order by text, item_id))::varchar, 6, '0') case_id from benchmark",
     "snapshot_chunks": f"with {CHUNKS} select chunk_id, 2 schema_version, length(text)::int n_chars from chunks",
+    "snapshot_vectors": "select vec_id::varchar chunk_id, len(embedding)::int n, (select max(len(embedding)) from embeddings)::int dimensions, 'ready' status, true of_first from embeddings where vec_id in (select doc_id from documents)",
+    "snapshot_migration": f"""with {CHUNKS} select 2 schema_version, count(*) n, count(*) filter (where document_id % 3 = 0) n_0, count(*) filter (where document_id % 3 = 1) n_1, count(*) filter (where document_id % 3 = 2) n_2 from chunks""",
+    "folder_lines": """with l as (select (item_id % 3)::int part, unnest(string_split(text, chr(10))) line from benchmark)
+      select part, count(*) n_lines, sha256(string_agg(line, chr(10) order by line)) lines_sha256, true skipped from l where line <> '' group by part""",
+    "asked": f"""with {RANKED} select query_id, case when query_id % 3 = 0 or query_id not in (select query_id from bm25) then 'skipped' when query_id % 3 = 1 then 'success' else 'failed' end status,
+      case when query_id % 3 = 1 and query_id in (select query_id from bm25) then 'answer to ' || query_id end answer from cases""",
+    "engine_compare": f"with {RANKED}, {MAPPED}, "
+    + ", ".join(_metrics(m, k, f"{m}{k}") for m in ("lexical", "bm25") for k in (1, 5))
+    + " "
+    + " union all ".join(f"select '{m}' \"mode\", {k} k, n_cases, hit_rate, mrr, false failed from (select {SUMMARY} from {m}{k})" for m in ("lexical", "bm25") for k in (1, 5))
+    + " union all select 'semantic', unnest([1, 5]), null, null, null, true",
     "stream_chunks": f"with {CHUNKS} select chunk_id, sha256(text) text_hash from chunks",
     "stream_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 4) total from events group by all",
 }

@@ -252,6 +252,29 @@ FORMULA = (
 )
 
 
+def _markdown() -> str:
+    """CTEs from web pages to the blocks of their Markdown ``mb``. The pages give no code blocks and no tables, so there are none here."""
+    text = r"regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>|<!--.*?-->', '', 'g')"
+    for tag, mark in (("h1", "# "), ("h2", "## "), ("h3", "### "), ("li", "- ")):
+        text = f"regexp_replace({text}, '(?is)<{tag}[^>]*>', chr(10) || chr(10) || '{mark}', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '(?is)</?(p|div|article|nav|ul|ol|br|h[1-6]|li)[^>]*>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')"
+    heading = parse.HEADING
+    return f"""md as (select page_id document_id, {text} t from pages)
+  , ml as (select document_id, unnest(string_split(t, chr(10))) line, unnest(range(len(string_split(t, chr(10))))) i from md)
+  , mk as (select *, coalesce(sum(length(line) + 1) over (partition by document_id order by i rows between unbounded preceding and 1 preceding), 0) s, case when regexp_matches(trim(line), '{heading}') then 'heading'
+      when regexp_matches(line, '{parse.QUOTE}') then 'blockquote' when regexp_matches(line, '{parse.LIST}') then 'list' when trim(line) <> '' then 'paragraph' else 'blank' end kind from ml)
+  , mi as (select *, sum(fresh::int) over (partition by document_id order by i) island from (select *, kind = 'heading' or kind is distinct from lag(kind) over (partition by document_id order by i) fresh from mk))
+  , mg as (select document_id, min(i) i, any_value(kind) kind, string_agg(line, chr(10) order by i) x, min(s)::int s from mi where kind <> 'blank' group by document_id, island)
+  , mh as (select document_id, i, length(regexp_extract(trim(x), '{heading}', 1)) lv, regexp_extract(trim(x), '{heading}', 2) title from mg where kind = 'heading')
+  , mo as (select b.document_id, b.i bi, h.i hi, lv, title, min(lv) over (partition by b.document_id, b.i order by h.i rows between 1 following and unbounded following) later from mg b join mh h on h.document_id = b.document_id and h.i <= b.i)
+  , mp as (select document_id, bi i, string_agg(title, ' > ' order by hi) path from mo where later is null or later > lv group by document_id, bi)
+  , mb as (select document_id, (row_number() over (partition by document_id order by i) - 1)::int block_index, kind block_type, s start_char, (s + length(x))::int end_char,
+      case when kind = 'heading' then length(regexp_extract(trim(x), '{heading}', 1)) end::int "level", coalesce(path, '') path, x from mg left join mp using (document_id, i))"""
+
+
+MARKDOWN = _markdown()
+
+
 def packed_lines(size: int, split: bool) -> str:
     """Recursive CTEs from lines to chunks of blocks ``ck``: document_id, c (number), t (text), s, e, tab, cnt."""
     alone = f"(b.tab or b.n > {size})"
@@ -330,4 +353,8 @@ SQL = {
       || 'Signals: ' || case when contains(text, '=') and contains(text, ' | ') then 'formula, table' when contains(text, '=') then 'formula' when contains(text, ' | ') then 'table' else 'none' end
       || chr(10) || 'Content:' || chr(10) || text r from sectioned) select chunk_id, sha256(r) representation_sha256, length(r)::int n_chars from r""",
     "observational_slices": "select lang, quality, toxic, count(*) n from documents left join labels using (doc_id) group by all",
+    "markdown_blocks": f'with {MARKDOWN} select document_id, block_index, block_type, start_char, end_char, "level", path, sha256(x) text_sha256 from mb',
+    "evidence_groups": f"""with {MARKDOWN}, u as (select *, block_type <> 'heading' useful, lag(block_type <> 'heading') over w before, lag(path) over w path_before from mb window w as (partition by document_id order by block_index))
+      , r as (select *, (sum((useful and (not coalesce(before, false) or path <> path_before))::int) over (partition by document_id order by block_index))::int run from u)
+      select document_id, run, path, min(block_index) first_block, count(*) n_blocks, sum(length(x))::bigint n_chars from r where useful group by document_id, run, path""",
 }
