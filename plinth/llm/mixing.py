@@ -117,12 +117,19 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _planned(measured: DataFrame) -> DataFrame:
-    """The rows of a table with source, size, symbols and digest, with their source's plan and ``taken``, the words that the mix takes."""
-    keyed = stored(_keyed(measured), "keys")
+    """The rows of a table with source, size, symbols, digest and others, with their source's plan and ``taken``, the words that the mix takes.
+
+    Only what the plan needs is written; the rows themselves are, too, where some of them have to be told apart.
+    """
+    own = _keyed(measured)
+    keyed = stored(own.select("source", "no_source", "size", "key", "digest", "bucket"), "keys")
     plan = _plan(keyed)
-    placed = keyed.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    rows = placed.join(plan, ["source", "no_source"])
-    rows = rows.withColumn("nth", F.lit(None).cast("long")) if plan.where("cut.fit < cut.copies").isEmpty() else _numbered(rows)
+    by = ["source", "no_source"]
+    if plan.where("cut.fit < cut.copies").isEmpty():
+        rows = own.join(plan, by).withColumn("nth", F.lit(None).cast("long"))
+    else:
+        placed = stored(own, "rows").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        rows = _numbered(placed.join(plan, by))
     below = F.col("bucket") < F.col("edge")
     within = (F.col("bucket") == F.col("edge")) & F.coalesce(F.struct("key", "digest") <= F.struct("cut.key", "cut.digest"), F.lit(False))
     fits = F.coalesce(F.col("nth") <= F.col("cut.fit"), F.lit(True))
@@ -133,11 +140,12 @@ def mix(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, size, its source's size and target, and the words that the mix takes of it, repeats counted."""
     found = _measured(docs)
     rows = docs.select("doc_id", "source", *(c.alias(k) for k, c in found.items()))
-    return _planned(_sourced(rows, rows["source"])).select("doc_id", "size", "source_size", "target", "taken")
+    rows = stored(_sourced(rows, rows["source"]), "sizes")
+    return _planned(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with the columns of docs. Rows are written once, with their key."""
+    """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
     own = packed(docs, "doc_id", "source", "text")
     rows = own.select("row", "doc_id", "source", *(c.alias(k) for k, c in _measured(own).items()))
     rows = _planned(_sourced(rows, rows["source"]))

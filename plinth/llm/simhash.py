@@ -203,13 +203,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3) ->
 
 
 def deduplicate(docs: DataFrame, shingle_words: int = 3, radius: int = 3) -> DataFrame:
-    """One row of docs for each component: that of its least doc_id; among rows of one id, the first of the written table.
+    """One row of docs for each component: that of its least doc_id; among rows of one id, that of the least digest of the whole row.
 
-    The rows are written once and told apart by file and place, so that columns of any kind are taken.
+    The digest is taken of the row as JSON, so columns of any kind are taken; rows alike in every column count as one. Rows are
+    shuffled once, by their digest.
     """
-    rows = stored(packed(docs, "doc_id", "text"), "documents")
-    rows = rows.select("*", F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias("place"))
-    fps = stored(fingerprints(rows, shingle_words, ("doc_id", "place")), "rows")
+    rows = packed(docs, "doc_id", "text").withColumn("own", F.unhex(F.md5(F.to_json("row").cast("binary"))))
+    fps = stored(fingerprints(rows, shingle_words, ("doc_id", "own")), "rows")
     chosen = fps.join(classes(fps, radius), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
-    chosen = chosen.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("k")).select("k.place")
-    return rows.join(chosen, "place", "left_semi").select("row.*")
+    chosen = chosen.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("k")).select("k.own").distinct()
+    return rows.select("row", "own").join(chosen, "own", "left_semi").dropDuplicates(["own"]).select("row.*")
