@@ -206,7 +206,7 @@ def stable_rankings(spark, sf_dir):
     return gates.stable_rankings(one.union(two))
 
 
-def open_trials(spark, sf_dir):
+def unfinished_trials(spark, sf_dir):
     """The trials of a matrix that events haven't finished: a type of event is a mode, its users' last digits are limits."""
     events = table(spark, sf_dir, "events")
     done = events.where("user_id < 40").select(F.col("event_type").alias("mode"), (F.col("user_id") % 10).cast("int").alias("k"), (F.col("user_id") % 4).cast("int").alias("repetition")).distinct()
@@ -568,7 +568,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_stats, lexical_search, bm25_search, cosine_pairs, semantic_search, hybrid_rrf, dedup_candidates, metadata_redact, retrieval_stages, ranking_rehydrate,
-        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows, fragment_evidence, stable_rankings, open_trials, input_checks, farthest_points,
+        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows, fragment_evidence, stable_rankings, unfinished_trials, input_checks, farthest_points,
         gold_mapping, gold_mapping_by_page, unmatched_spans, relevance_flags, ndcg, case_results, retrieval_metrics, stage_latencies, compact_results,
         mode_comparison, cutoff_metrics, failure_cases, failure_breakdown, evidence_coverage, duplicate_context, ngram_coverage, latency_percentiles, metric_spread, transitions, screen_transitions,
         heldout_overlap, review_merge, rule_violations, generated_cases, screen_gates, cache_report, case_files, trace_files, run_files, normal_chunks, redacted_metadata, session_append,
@@ -787,7 +787,7 @@ SQL = {
         case when count(oa.g) > 0 then round(count(sa.g) / count(oa.g)::double, 6) end efficiency
       from gg left join ra using (query_id, g) left join oa using (query_id, g) left join sa using (query_id, g) group by query_id""",
     "stable_rankings": f"with {RANKED} select query_id, (case when query_id % 3 = 0 and max(rank) = {LIMIT} then 2 else 1 end)::bigint n_rankings from bm25 group by query_id",
-    "open_trials": """select "mode", k::int k, r::int repetition from (select distinct event_type "mode" from events), (select unnest([1, 2, 5, 11]) k), (select unnest(range(4)) r)
+    "unfinished_trials": """select "mode", k::int k, r::int repetition from (select distinct event_type "mode" from events), (select unnest([1, 2, 5, 11]) k), (select unnest(range(4)) r)
       where not exists (select 1 from events where user_id < 40 and event_type = "mode" and user_id % 10 = k and user_id % 4 = r)""",
     "input_checks": f"""with {DOCS}, d as (select count(*) = count(distinct document_id) ids, count(*) filter (where t = '') = 0 texts from docs), b as (select count(*) >= 10 cases, count(*) = count(distinct text) hashes, min(length(text)) > 10000 sizes from benchmark)
       select *, ids and texts and cases and hashes and sizes all_passed from d, b""",
