@@ -32,6 +32,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def text_of(docs: DataFrame) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))

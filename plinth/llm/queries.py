@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, secret_scan, simhash, toxicity
-from plinth.llm.common import documents, labels
+from plinth.llm import bpe, licences, media, mixing, pii, quality_fm, quality_rules, ranked_search, resampling, secret_scan, simhash, token_files, toxicity
+from plinth.llm.common import benchmark, documents, labels
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find(documents(spark, sf_dir)))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return token_files.digests(token_files.write(docs), docs.schema["doc_id"].dataType.simpleString())
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op3_toxicity": op3_toxicity,
@@ -61,10 +74,15 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_level_bpe": op10_byte_level_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 SQL: dict[str, str] = {
     "op6_mix_sources": mixing.SQL,
     "op1_licence_scan": licences.SQL,
     "op4_pii": pii.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op12_ranked_search": ranked_search.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }
