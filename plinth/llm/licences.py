@@ -28,36 +28,79 @@ from plinth.llm.common import let, text_of
 
 # Identifiers and expressions of known licence sentences, after normalisation, in the order in which they are looked for.
 SENTENCES = (
+    ("MitTitle", r"^(the )?mit license"),
     ("MitGrant", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("MitNotice", r"the above copyright notice and this permission notice shall be included"),
     ("MitAsIs", r"the software is provided as is without warranty of any kind"),
-    ("MitName", r"(released|licensed|distributed|available) under the (terms of the )?mit license"),
+    ("MitName", r"(released|licensed|distributed|available|provided) under (the )?(terms of the )?mit( license)?[.]?( |$)"),
+    ("IscTitle", r"^(the )?isc license"),
     ("IscGrant", r"permission to use copy modify and/or distribute this software for any purpose"),
-    ("ApacheName", r"(released|licensed|distributed) under the (terms of the )?apache license version 2.0"),
+    ("IscAsIs", r"the software is provided as is and the author disclaims all warranties"),
+    ("IscName", r"(released|licensed|distributed|available) under (the )?(terms of the )?isc license"),
+    ("ApacheTitle", r"apache license version 2.0 january 2004"),
+    ("ApacheTerms", r"terms and conditions for use reproduction and distribution"),
+    ("ApacheGrant", r"grants to you a perpetual worldwide non-exclusive no-charge royalty-free irrevocable copyright license"),
+    ("ApachePatents", r"grants to you a perpetual worldwide non-exclusive no-charge royalty-free irrevocable (except as stated in this section )?patent license"),
+    ("ApacheName", r"(released|licensed|distributed|available) under (the )?(terms of the )?apache( license|-|,)?( version | v| |-)?2(.0)?"),
     ("ApacheCopy", r"you may obtain a copy of the license at"),
     ("ApacheBasis", r"distributed under the license is distributed on an as is basis"),
+    ("BsdTitle2", r"^(the )?bsd 2-clause license"),
+    ("BsdTitle3", r"^(the )?bsd 3-clause license"),
     ("BsdUse", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("BsdSource", r"redistributions of source code must retain the above copyright notice"),
     ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("BsdAdvert", r"all advertising materials mentioning features or use of this software must display"),
     ("BsdEndorse", r"may be used to endorse or promote products derived from this software"),
     ("BsdAsIs", r"this software is provided by the .*as is"),
-    ("BsdName", r"(released|licensed|distributed) under the (terms of the )?(new |modified |3-clause |2-clause )?bsd license"),
+    ("BsdName3", r"(released|licensed|distributed|available) under (the )?(terms of the )?(bsd[ -]3[ -]clause|3-clause bsd|new bsd|modified bsd)( license)?"),
+    ("BsdName2", r"(released|licensed|distributed|available) under (the )?(terms of the )?(bsd[ -]2[ -]clause|2-clause bsd|simplified bsd)( license)?"),
+    ("BsdName", r"(released|licensed|distributed|available) under (the |a )?(terms of the )?bsd( license)?[.]?( |$)"),
+    ("Agpl3Title", r"gnu affero general public license version 3 19 november 2007"),
+    ("Lgpl3Title", r"gnu lesser general public license version 3 29 june 2007"),
+    ("Lgpl21Title", r"gnu lesser general public license version 2.1 february 1999"),
+    ("Lgpl2Title", r"gnu library general public license version 2 june 1991"),
+    ("Gpl3Title", r"gnu general public license version 3 29 june 2007"),
+    ("Gpl2Title", r"gnu general public license version 2 june 1991"),
+    ("Gpl1Title", r"gnu general public license version 1 february 1989"),
+    ("GnuVerbatim", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("Agpl3Body", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("Gpl3Body", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("Gpl3Intent", r"the gnu general public license is intended to guarantee your freedom to share and change all versions of a program"),
+    ("Gpl2Body", r"the gnu general public license is intended to guarantee your freedom to share and change free software"),
+    ("Lgpl3Body", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("Lgpl21Body", r"this license the lesser general public license applies to some specially designated software packages"),
+    ("Lgpl2Body", r"this license the library general public license applies to some specially designated free software foundation software"),
     ("AgplCopy", r"received a copy of the gnu affero general public license"),
     ("LgplCopy", r"received a copy of the gnu (lesser|library) general public license"),
+    ("AgplFree", r"redistribute it and/or modify it under the terms of the gnu affero general public license"),
+    ("LgplFree", r"redistribute it and/or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("GplFree", r"redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("Agpl3Name", r"(gnu affero general public license|gnu agpl|agpl)( |-|, )?(version |v)?3(.0)?"),
     ("AgplName", r"gnu affero general public license"),
+    ("Lgpl3Name", r"(gnu (lesser|library) general public license|gnu lgpl|lgpl)( |-)?(version |v)?3(.0)?"),
+    ("Lgpl21Name", r"(gnu (lesser|library) general public license|gnu lgpl|lgpl)( |-)?(version |v)?2.1"),
+    ("Lgpl2Name", r"(gnu (lesser|library) general public license|gnu lgpl|lgpl)( |-)?(version |v)?2(.0)?"),
     ("LgplName", r"gnu (lesser|library) general public license"),
-    ("Gpl3Name", r"licensed under the gnu general public license (version |v)3"),
-    ("Gpl2Name", r"licensed under the gnu general public license (version |v)2"),
-    ("GplFree", r"redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("Gpl3Name", r"(released|licensed|distributed|available) under (the )?(terms of the )?(gnu )?(general public license|gpl)( |-)?(version |v)?3(.0)?"),
+    ("Gpl2Name", r"(released|licensed|distributed|available) under (the )?(terms of the )?(gnu )?(general public license|gpl)( |-)?(version |v)?2(.0)?"),
     ("GplWarranty", r"distributed in the hope that it will be useful but without any warranty"),
     ("GplCopy", r"you should have received a copy of the gnu general public license"),
+    ("Later21", r"version 2.1 of the license or at your option any later version"),
+    ("Later3", r"version 3 of the license or at your option any later version"),
+    ("Later2", r"version 2 of the license or at your option any later version"),
+    ("Later1", r"version 1 or at your option any later version"),
     ("Version21", r"version 2.1 of the license"),
     ("Version3", r"version 3 of the license"),
     ("Version2", r"version 2 of the license"),
-    ("MplName", r"subject to the terms of the mozilla public license"),
+    ("OrLater", r"or at your option any later version"),
+    ("Mpl2Title", r"^mozilla public license version 2.0"),
+    ("Mpl11Title", r"^mozilla public license version 1.1"),
+    ("MplGrant", r"each contributor hereby grants you a world-wide royalty-free non-exclusive license"),
+    ("MplName", r"subject to the terms of the mozilla public license( v. 2.0)?"),
+    ("MplVersion", r"(released|licensed|distributed|available) under (the )?(terms of the )?mozilla public license (version |v. ?|v)?2(.0)?"),
     ("MplCopy", r"https?://(www.)?mozilla.org/mpl/2.0"),
-    ("Epl2Name", r"eclipse public license (version |v)?2.0"),
-    ("Epl1Name", r"eclipse public license (version |v)?1.0"),
+    ("Epl2Name", r"eclipse public license (- )?(version |v)?(. )?2.0"),
+    ("Epl1Name", r"eclipse public license (- )?(version |v)?(. )?1.0"),
     ("EuplName", r"european union public licen[cs]e"),
     ("CddlName", r"common development and distribution license"),
     ("BoostName", r"boost software license (- )?(version |v)?1.0"),
@@ -71,56 +114,126 @@ SENTENCES = (
     ("CcBySa", r"licensed under (a )?(cc|creative commons) (by|attribution)-(sa|sharealike)"),
     ("CcByNd", r"licensed under (a )?(cc|creative commons) (by|attribution)-(nd|noderivatives)"),
     ("CcBy", r"licensed under (a )?(cc|creative commons) (by|attribution)"),
+    ("CcZeroTitle", r"cc0 1.0 universal"),
     ("CcZero", r"(cc0 1.0|creative commons zero|public domain dedication)"),
     ("PublicDomain", r"(free and unencumbered software )?released into the public domain"),
     ("AllRights", r"all rights reserved"),
     ("Copyright", r"copyright (c )?[0-9]{4}"),
 )
-# Licences and the identifier sequences that stand for them, in the order in which they are tried.
+#: Rules of the GNU licences' notices: with the version, or any later one, and as much of the notice as there is.
+_NOTICES = tuple(
+    (f"{name}-{number}{later}", f"{name.capitalize()}Free {kind}{version}{rest.format(name.capitalize())}")
+    for rest in (" GplWarranty {}Copy", " GplWarranty", "")
+    for name in ("AGPL", "LGPL", "GPL")
+    for number, version in (("3.0", "3"), ("2.1", "21"), ("2.0", "2"))
+    for later, kind in (("-or-later", "Later"), ("", "Version"))
+)
+# Licences and the identifier sequences that stand for them, in the order in which they are tried: whole texts, notices, parts, titles, names.
 LICENCES = (
+    ("Apache-2.0", "ApacheTitle ApacheTerms ApacheGrant ApachePatents ApacheName ApacheCopy ApacheBasis"),
+    ("Apache-2.0", "ApacheTitle ApacheTerms ApacheGrant ApachePatents"),
+    ("GPL-3.0", "Gpl3Title Copyright GnuVerbatim Gpl3Body Gpl3Intent AgplName AgplName AgplName GplFree Later3 GplWarranty GplCopy LgplName"),
+    ("GPL-3.0", "Gpl3Title Copyright GnuVerbatim Gpl3Body Gpl3Intent AgplName AgplName AgplName"),
+    ("GPL-3.0", "Gpl3Body Gpl3Intent AgplName AgplName AgplName GplFree Later3 GplWarranty GplCopy LgplName"),
+    ("GPL-3.0", "Gpl3Intent AgplName AgplName AgplName GplFree Later3 GplWarranty GplCopy LgplName"),
+    ("GPL-2.0", "Gpl2Title Copyright GnuVerbatim Gpl2Body LgplName GplFree Later2 GplWarranty GplCopy LgplName"),
+    ("GPL-2.0", "Gpl2Title Copyright GnuVerbatim Gpl2Body LgplName"),
+    ("GPL-2.0", "Gpl2Body LgplName GplFree Later2 GplWarranty GplCopy LgplName"),
+    ("GPL-1.0", "Gpl1Title Copyright GnuVerbatim GplFree GplWarranty GplCopy"),
+    ("LGPL-3.0", "Lgpl3Title Copyright GnuVerbatim Lgpl3Body LgplName LgplName LgplName LgplName LgplName LgplName LgplName"),
+    ("LGPL-2.1", "Lgpl21Title Copyright GnuVerbatim Lgpl21Body LgplName LgplName LgplFree Later21 GplWarranty LgplName LgplCopy"),
+    ("LGPL-2.0", "Lgpl2Title Copyright GnuVerbatim Lgpl2Body LgplName LgplName LgplFree Later2 GplWarranty LgplName LgplCopy"),
+    ("AGPL-3.0", "Agpl3Title Copyright GnuVerbatim Agpl3Body"),
+    ("MPL-2.0", "Mpl2Title Lgpl21Name Agpl3Name MplGrant MplName MplCopy"),
+    ("MPL-2.0", "Lgpl21Name Agpl3Name MplGrant MplName MplCopy"),
+    ("MPL-1.1", "Mpl11Title MplGrant ApacheCopy ApacheBasis AllRights"),
+    ("MPL-1.1", "MplGrant ApacheCopy ApacheBasis AllRights"),
+    ("MIT", "MitTitle Copyright MitGrant MitNotice MitAsIs"),
+    ("MIT", "MitTitle MitGrant MitNotice MitAsIs"),
     ("MIT", "MitGrant MitNotice MitAsIs"),
+    ("ISC", "IscTitle Copyright IscGrant IscAsIs"),
+    ("ISC", "IscGrant IscAsIs"),
+    ("ISC", "IscGrant MitAsIs"),
+    ("BSD-4-Clause", "BsdUse BsdSource BsdBinary BsdAdvert BsdEndorse BsdAsIs"),
+    ("BSD-3-Clause", "BsdTitle3 Copyright AllRights BsdUse BsdSource BsdBinary BsdEndorse BsdAsIs"),
+    ("BSD-3-Clause", "BsdTitle3 Copyright BsdUse BsdSource BsdBinary BsdEndorse BsdAsIs"),
     ("BSD-3-Clause", "BsdUse BsdSource BsdBinary BsdEndorse BsdAsIs"),
+    ("BSD-2-Clause", "BsdTitle2 Copyright AllRights BsdUse BsdSource BsdBinary BsdAsIs"),
+    ("BSD-2-Clause", "BsdTitle2 Copyright BsdUse BsdSource BsdBinary BsdAsIs"),
     ("BSD-2-Clause", "BsdUse BsdSource BsdBinary BsdAsIs"),
     ("BSD-2-Clause", "BsdUse BsdSource BsdBinary"),
     ("Apache-2.0", "ApacheName ApacheCopy ApacheBasis"),
-    ("GPL-3.0", "GplFree Version3 GplWarranty GplCopy"),
-    ("GPL-3.0", "GplFree Version3 GplWarranty"),
-    ("GPL-3.0", "GplFree Version3"),
-    ("GPL-2.0", "GplFree Version2 GplWarranty GplCopy"),
-    ("GPL-2.0", "GplFree Version2 GplWarranty"),
-    ("GPL-2.0", "GplFree Version2"),
+    *_NOTICES,
+    ("AGPL", "AgplFree GplWarranty AgplCopy"),
+    ("LGPL", "LgplFree GplWarranty LgplCopy"),
     ("GPL", "GplFree GplWarranty GplCopy"),
     ("GPL", "GplFree GplWarranty"),
-    ("GPL", "GplFree"),
-    ("AGPL-3.0", "AgplName Version3 GplWarranty AgplCopy"),
-    ("AGPL-3.0", "AgplName Version3 GplWarranty"),
-    ("AGPL-3.0", "AgplName Version3"),
-    ("LGPL-3.0", "LgplName Version3 GplWarranty LgplCopy"),
-    ("LGPL-3.0", "LgplName Version3 GplWarranty"),
-    ("LGPL-3.0", "LgplName Version3"),
-    ("LGPL-2.1", "LgplName Version21 GplWarranty LgplCopy"),
-    ("LGPL-2.1", "LgplName Version21 GplWarranty"),
-    ("LGPL-2.1", "LgplName Version21"),
-    ("LGPL-2.0", "LgplName Version2 GplWarranty LgplCopy"),
-    ("LGPL-2.0", "LgplName Version2 GplWarranty"),
-    ("LGPL-2.0", "LgplName Version2"),
-    ("AGPL", "AgplName GplWarranty AgplCopy"),
-    ("LGPL", "LgplName GplWarranty LgplCopy"),
     ("Zlib", "ZlibAsIs ZlibGrant"),
     ("MPL-2.0", "MplName MplCopy"),
-    ("ISC", "IscGrant MitAsIs"),
+    ("Apache-2.0", "ApacheTerms ApacheGrant ApachePatents"),
+    ("Apache-2.0", "ApacheGrant ApachePatents"),
+    ("GPL-3.0", "Gpl3Title Copyright GnuVerbatim"),
+    ("GPL-2.0", "Gpl2Title Copyright GnuVerbatim"),
+    ("LGPL-3.0", "Lgpl3Title Copyright GnuVerbatim"),
+    ("LGPL-2.1", "Lgpl21Title Copyright GnuVerbatim"),
+    ("LGPL-2.0", "Lgpl2Title Copyright GnuVerbatim"),
+    ("GPL-3.0", "Gpl3Body Gpl3Intent AgplName AgplName AgplName"),
+    ("GPL-3.0", "Gpl3Body Gpl3Intent"),
+    ("AGPL-3.0-or-later", "Agpl3Name OrLater"),
+    ("LGPL-3.0-or-later", "Lgpl3Name OrLater"),
+    ("LGPL-2.1-or-later", "Lgpl21Name OrLater"),
+    ("LGPL-2.0-or-later", "Lgpl2Name OrLater"),
+    ("GPL-3.0-or-later", "Gpl3Name OrLater"),
+    ("GPL-2.0-or-later", "Gpl2Name OrLater"),
+    ("MIT", "MitTitle Copyright"),
+    ("ISC", "IscTitle Copyright"),
+    ("BSD-3-Clause", "BsdTitle3 Copyright"),
+    ("BSD-2-Clause", "BsdTitle2 Copyright"),
+    ("Apache-2.0", "ApacheTitle"),
+    ("GPL-3.0", "Gpl3Title"),
+    ("GPL-3.0", "Gpl3Body"),
+    ("GPL-3.0", "Gpl3Intent"),
+    ("GPL-2.0", "Gpl2Title"),
+    ("GPL-2.0", "Gpl2Body"),
+    ("GPL-1.0", "Gpl1Title"),
+    ("LGPL-3.0", "Lgpl3Title"),
+    ("LGPL-3.0", "Lgpl3Body"),
+    ("LGPL-2.1", "Lgpl21Title"),
+    ("LGPL-2.1", "Lgpl21Body"),
+    ("LGPL-2.0", "Lgpl2Title"),
+    ("LGPL-2.0", "Lgpl2Body"),
+    ("AGPL-3.0", "Agpl3Title"),
+    ("AGPL-3.0", "Agpl3Body"),
+    ("MPL-2.0", "Mpl2Title"),
+    ("MPL-1.1", "Mpl11Title"),
+    ("MPL", "MplGrant"),
+    ("MPL-2.0", "MplVersion"),
+    ("MIT", "MitTitle"),
+    ("ISC", "IscTitle"),
+    ("BSD-3-Clause", "BsdTitle3"),
+    ("BSD-2-Clause", "BsdTitle2"),
     ("ISC", "IscGrant"),
+    ("ISC", "IscName"),
     ("MIT", "MitGrant"),
     ("MIT", "MitName"),
     ("Apache-2.0", "ApacheName"),
+    ("BSD-3-Clause", "BsdName3"),
+    ("BSD-2-Clause", "BsdName2"),
     ("BSD", "BsdName"),
     ("BSD", "BsdUse"),
+    ("AGPL-3.0", "Agpl3Name"),
+    ("LGPL-3.0", "Lgpl3Name"),
+    ("LGPL-2.1", "Lgpl21Name"),
+    ("LGPL-2.0", "Lgpl2Name"),
+    ("GPL-3.0", "Gpl3Name"),
+    ("GPL-2.0", "Gpl2Name"),
+    ("AGPL", "AgplFree"),
+    ("LGPL", "LgplFree"),
+    ("GPL", "GplFree"),
     ("AGPL", "AgplName"),
     ("LGPL", "LgplName"),
     ("AGPL", "AgplCopy"),
     ("LGPL", "LgplCopy"),
-    ("GPL-3.0", "Gpl3Name"),
-    ("GPL-2.0", "Gpl2Name"),
     ("MPL", "MplName"),
     ("MPL-2.0", "MplCopy"),
     ("EPL-2.0", "Epl2Name"),
@@ -136,6 +249,7 @@ LICENCES = (
     ("CC-BY-SA", "CcBySa"),
     ("CC-BY-ND", "CcByNd"),
     ("CC-BY", "CcBy"),
+    ("CC0-1.0", "CcZeroTitle"),
     ("CC0-1.0", "CcZero"),
     ("Public-Domain", "PublicDomain"),
 )
@@ -145,16 +259,22 @@ LAST = (
     ("Proprietary", "AllRights"),
 )
 # Stems of which every known sentence has one; a sentence with none is passed over.
-STEMS = "licen|permission|warrant|redistribut|copyright|spdx|public domain|creative commons|rights reserved|cc0|as is|obtain a copy|endorse|mozilla"
+STEMS = "licen|gpl|permission|warrant|redistribut|copyright|spdx|public domain|creative commons|rights reserved|cc0|as is|obtain a copy|endorse|mozilla"
 #: Marks of comments at the start or end of a line.
-COMMENT = r"(?m)^[ \t]*(?:/{2,}!*|/\*+!*|-{2,}|;+|!+|\.\\\")|\*+/[ \t]*$"
+COMMENT = r"(?m)^[ \t]*(?:/{2,}!*|/\*+!*|-{2,}|;+|!+|\.\\\")|(?<!\*)\*++/[ \t]*$"
 SPDX_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?\)*"
-SPDX = rf"(?i)(^|[^a-z0-9.+/:-])spdx-license-identifier:\s*({SPDX_ID}(?:\s+(?:and|or|with)\s+{SPDX_ID})*)"
+#: The group of further ids is possessive: it is looped over, where a greedy one would need the stack for each id.
+SPDX = rf"(?i)(^|[^a-z0-9.+/:-])spdx-license-identifier:\s*({SPDX_ID}(?:\s+(?:and|or|with)\s+{SPDX_ID})*+)"
 ENDS, STRANGE = r"([.!?;])\s+|\n[ \t]*\n", r"[^a-z0-9.+/:-]+"
 #: What denies the phrase after it; its verb is spoilt for the expressions above.
 DENIED = r"(^| )((?:not|never|nor|no longer|neither) (?:be |been |yet |currently )?)(released|licensed|distributed|available|granted|permitted|under|subject)"
 
 
+def _start(phrase: str) -> str:
+    """Where a phrase may begin: at a word, or only with its sentence."""
+    return f"^ ?{phrase[1:]}" if phrase.startswith("^") else f"(^| ){phrase}"
+
+
 def sequence(text: Column) -> Column:
     """The identifiers of the known sentences of a text without nulls, each after a space and before the next."""
 
@@ -163,7 +283,13 @@ def sequence(text: Column) -> Column:
         sentence = F.regexp_replace(sentence, DENIED, "$1$2-$3")
         for name, regex in SENTENCES:
             head, _, tail = regex.partition(".*")
-            sentence = F.regexp_replace(sentence, f"(^| ){head}" + (f"(?=.*{tail})" if tail else ""), f" \u0002{name}\u0003 ")
+            marked, mark = _start(head), f" \u0002{name}\u0003 "
+            if tail:  # what stands before the last tail; a look-ahead would read on from every head
+                after = F.substring_index(sentence, tail, -1)
+                before = F.left(sentence, F.length(sentence) - F.length(after))
+                sentence = F.concat(F.regexp_replace(before, marked, mark), after)
+            else:
+                sentence = F.regexp_replace(sentence, marked, mark)
         return F.regexp_extract_all(sentence, F.lit("\u0002([^\u0003]*)\u0003"), F.lit(1))
 
     def tagged(tag: Column) -> Column:
@@ -236,14 +362,18 @@ def _sql() -> str:
     """DuckDB SQL for op1."""
 
     def quoted(regex: str) -> str:
-        return regex.replace("'", "''")
+        """As DuckDB reads it; its matcher never goes back, so it needs neither possessive forms nor the look-behind."""
+        return regex.replace("(?<!\\*)", "").replace("*+", "*").replace("++", "+").replace("'", "''")
 
     known = f"regexp_replace(n, '{DENIED}', '\\1\\2-\\3', 'g')"
     chain = []
     for k, (name, regex) in enumerate(SENTENCES):
         head, _, tail = regex.partition(".*")
-        new = f"regexp_replace(n, '(^| ){head}', ' ' || chr(2) || '{name}' || chr(3) || ' ', 'g')"
-        new = f"case when regexp_matches(n, '{head}.*{tail}') then {new} else n end" if tail else new
+        mark = f"' ' || chr(2) || '{name}' || chr(3) || ' '"
+        new = f"regexp_replace(n, '{_start(head)}', {mark}, 'g')"
+        if tail:
+            before = f"regexp_extract(n, '(?s)^(.*{tail})', 1)"
+            new = f"regexp_replace({before}, '{_start(head)}', {mark}, 'g') || substr(n, length({before}) + 1)"
         chain.append(f"k{k + 1} as (select rid, i, j, tag, {new} n from k{k})")
     steps, rest, found = [], "seq", []
     for j, (name, ids) in enumerate(LICENCES):
@@ -260,7 +390,7 @@ with base as (select row_number() over () rid, doc_id, coalesce(text, '') t from
     select rid, string_split(regexp_replace(regexp_replace(t, '{quoted(COMMENT)}', ' ', 'g'), '{ENDS}', '\1' || chr(1), 'g'), chr(1)) x from base)
 ), parts as (
   select rid, i, unnest(p) part, unnest(range(1, len(p) + 1)) j, unnest(g) tag from (
-    select rid, i, regexp_split_to_array(raw, '{SPDX}') p, list_resize(regexp_extract_all(raw, '{SPDX}', 2), len(regexp_split_to_array(raw, '{SPDX}')), null) g
+    select rid, i, regexp_split_to_array(raw, '{quoted(SPDX)}') p, list_resize(regexp_extract_all(raw, '{quoted(SPDX)}', 2), len(regexp_split_to_array(raw, '{quoted(SPDX)}')), null) g
     from cut where regexp_matches(raw, '(?i)({STEMS})|(?i)as[^a-z0-9]+is'))
 ), k0 as (
   select rid, i, j, tag, {known} n from (select rid, i, j, tag, regexp_replace(lower(part), '{STRANGE}', ' ', 'g') n from parts)

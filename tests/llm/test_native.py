@@ -1,7 +1,9 @@
 """Licences, PII, quality rules and mixing on odd rows and against brute force."""
 
 import hashlib
+import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def one(spark, text):
 
 def test_licences(spark, odd, empty):
     row = licences.scan(one(spark, MIT)).first()
-    assert (row["sentences"], row["licences"], row["unused"]) == ("Copyright MitGrant MitNotice MitAsIs", "MIT", "Copyright")
+    assert (row["sentences"], row["licences"], row["unused"]) == ("MitTitle Copyright MitGrant MitNotice MitAsIs", "MIT", "")
     row = licences.scan(one(spark, "// Licensed under the Apache License, Version 2.0. Foo.\n\nReleased under the MIT License.")).first()
     assert row["licences"] == "MIT Apache-2.0"
     rows = licences.scan(odd)
@@ -100,8 +102,13 @@ modification, are permitted provided that the following conditions are met:
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "AS IS"."""
 WHOLE = {
-    GNU.format("", 3): "GPL-3.0", GNU.format("", 2): "GPL-2.0", GNU.format("Lesser ", "2.1"): "LGPL-2.1", GNU.format("Lesser ", 3): "LGPL-3.0", GNU.format("Affero ", 3): "AGPL-3.0",
-    "\n".join("# " + x for x in GNU.format("", 3).split("\n")): "GPL-3.0", BSD: "BSD-3-Clause", MIT: "MIT",
+    GNU.format("", 3): "GPL-3.0-or-later", GNU.format("", 2): "GPL-2.0-or-later", GNU.format("Lesser ", "2.1"): "LGPL-2.1-or-later", GNU.format("Lesser ", 3): "LGPL-3.0-or-later", GNU.format("Affero ", 3): "AGPL-3.0-or-later",
+    GNU.format("", 3).replace(", or\n(at your option) any later version", ""): "GPL-3.0", GNU.format("Lesser ", "2.1").replace(", or\n(at your option) any later version", ""): "LGPL-2.1",
+    "\n".join("# " + x for x in GNU.format("", 3).split("\n")): "GPL-3.0-or-later", BSD: "BSD-3-Clause", MIT: "MIT",
+    "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007": "GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991": "GPL-2.0",
+    "MIT License\n\nCopyright (c) 2020 X": "MIT", "MIT License\nCopyright (c) 2020 X": "MIT", "ISC License\n\nCopyright (c) 2020, X": "ISC", "BSD 3-Clause License\n\nCopyright (c) 2020, X": "BSD-3-Clause", "Licensed under MIT.": "MIT", "licensed under MIT": "MIT",
+    "GNU Lesser General Public License v3.0": "LGPL-3.0", "licensed under the LGPL-2.1 or (at your option) any later version": "LGPL-2.1-or-later", "released under the GPLv3": "GPL-3.0", "licensed under Apache-2.0": "Apache-2.0", "Mozilla Public License Version 2.0": "MPL-2.0",
+    "this software is provided by the sea. As is": "", "under the 3-Clause BSD License": "", "available under the 3-Clause BSD License": "BSD-3-Clause",
     "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.": "MPL-2.0",
     "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications.": "Zlib",
     "This is free and unencumbered software released into the public domain.": "Unlicense", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "under the Eclipse Public License v2.0": "EPL-2.0",
@@ -122,6 +129,36 @@ def test_whole_licence_texts(spark):
     assert ordered(con.execute(licences.SQL).fetchall()) == ordered(tuple(r) for r in got)
 
 
+COMMON = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_published_licence_texts(spark):
+    """Whole texts as published, as the machine has them, each one licence and no other; bodies without their heads, too."""
+    texts = {n: open(f"/usr/share/common-licenses/{n}", encoding="utf-8").read() for n in COMMON}
+    rows = [(n, t) for n, t in texts.items()] + [(f"{n} body", t[900:]) for n, t in texts.items() if n in ("Apache-2.0", "GPL-3", "MPL-2.0")] + [(f"{n} head", t[:300]) for n, t in texts.items() if n not in ("BSD", "LGPL-2")]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {n: got[n] for n in texts} == COMMON
+    assert {n: x.split()[:1] for n, x in got.items()} == {n: [COMMON[n.split()[0]]] for n in got}
+
+
+N = 100_000
+HARD = {
+    "SPDX-License-Identifier: MIT" + " or MIT" * N: "MIT", "SPDX-License-Identifier: " + "(" * N + "MIT": "MIT", "SPDX-License-Identifier: MIT" + "." * N: "MIT", "license " + "*" * (10 * N): "", "license " + "*/ " * N + "x": "",
+    "license" + " " * (10 * N) + "x": "", "licensed under the MIT license" + "\n" * (10 * N): "MIT", "this software is provided by the " * (N // 3): "", "as" + "-" * (10 * N) + "x": "", "license. " * N: "", "licensed " * N: "", "not " * N + "licensed": "",
+    "spdx-license-identifier: " * (N // 3) + "MIT": "spdx-license-identifier MIT", "released under the mit license " * (N // 3): "MIT", "license" + "\n \n " * N: "", "/" * (10 * N) + " license": "", "license a" + "a" * (10 * N): "",
+}
+
+
+def test_hard_texts_of_a_million_characters(spark):
+    """No stack overflow, and linear time: quadratic forms take hours."""
+    began = time.monotonic()
+    rows = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(rows).collect()}
+    assert got == {i: x for i, x in enumerate(HARD.values())}
+    assert time.monotonic() - began < 120
+
+
 def test_pii(spark, odd, empty):
     rows = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
     for r in pii.digests(pii.find(rows)).collect():
