@@ -16,8 +16,8 @@ more than 60 bits always are. As blocks have equal numbers of ids and the footer
 has their offsets, ids i to j are read by range without the blocks before.
 
 A text is cut where a pre-token must end whatever surrounds it, on the bytes of
-a whole batch; each distinct piece is encoded once in a task by the tokenizers
-library: its model alone where the piece is a single pre-token, the whole
+a whole batch; each distinct piece is encoded once, while it is remembered, by the
+tokenizers library: its model alone where the piece is a single pre-token, the whole
 tokenizer elsewhere. Strings of special tokens in a text are ordinary text.
 
 A task that is run again writes other files; only those that the stored manifest
@@ -32,6 +32,7 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import functools
 import io
 import itertools
 import os
@@ -39,6 +40,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,41 +57,33 @@ MAGIC, TAIL = b"PLNTHS8B", "<qq8s"
 #: Codes of a word and the bits of each, by selector.
 SELECTORS = tuple((n, 60 // n) for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60))
 BLOCK_IDS, FILE_BYTES = 1 << 16, 64 << 20
+#: Ids of a block from which its cap is chosen.
+SAMPLE = 4096
 #: Blocks that are decoded in one step.
 STEP = 16
-#: Distinct pieces of text that a task keeps the ids of.
-KNOWN = 1 << 19
+#: Distinct pieces of text of which a worker process keeps the ids, about; and as many older ones.
+KNOWN = 1 << 18
 MANIFEST = "part long, seq long, file string, n_docs long, n_ids long, n_bytes long"
 
 
+_SMALL = np.frexp(np.arange(1, (1 << 16) + 1, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value plus 1 needs; one more, at most, near powers of two beyond 2^53."""
+    if int(values.max(initial=0)) < len(_SMALL):
+        return _SMALL[values]
     return np.frexp(values.astype(np.float64) + 1)[1].astype(np.uint8)
 
 
-def _cap(bits: np.ndarray) -> int:
-    """The width beyond which ids become escapes, for the least estimated size."""
-    held = np.bincount(bits, minlength=65)
-    cost = {}
-    for n, cap in SELECTORS:
-        packed = sum(held[b] * 64 / max(m for m, w in SELECTORS if w >= b) for b in range(1, cap + 1))
-        cost[cap] = packed + held[cap + 1 :].sum() * (32 + 64 / n if held[33:].sum() == 0 else 64 + 64 / n)
-    return min(cost, key=lambda c: (cost[c], c))
-
-
-def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words and the escapes of a block of ids (uint64)."""
-    bits = _bits(ids)
-    escaped = bits > _cap(bits)
-    escapes = ids[escaped]
-    codes = np.concatenate((np.where(escaped, np.uint64(0), ids + np.uint64(1)), np.zeros(SELECTORS[-1][0], np.uint64)))
-    bits[escaped] = 1
-    select, jump = np.zeros(len(ids), np.uint8), np.ones(len(ids), np.uint8)
+def _layout(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of codes of so many bits (60 at most) begin, and their selectors: each takes as many codes as fit."""
+    select, jump = np.zeros(len(bits), np.uint8), np.ones(len(bits), np.uint8)
     widest, before = bits, 1
     for k, (n, width) in enumerate(SELECTORS):
         if n > 1:  # the widest of n codes is the wider of two overlapping windows of as many as before
             ahead = np.zeros_like(widest)
-            ahead[: max(0, len(ids) - (n - before))] = widest[n - before :]
+            ahead[: max(0, len(bits) - (n - before))] = widest[n - before :]
             widest, before = np.maximum(widest, ahead), n
             fits = widest <= width
             select[fits], jump[fits] = k, n
@@ -98,7 +92,32 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places.append(at)
         at += steps[at]
     places = np.array(places, np.int64)
-    select = select[places]
+    return places, select[places]
+
+
+def _cap(bits: np.ndarray) -> int:
+    """The width beyond which ids become escapes: the one that packs pieces from all over the block least."""
+    piece = np.arange(SAMPLE // 8)
+    some = bits if len(bits) <= SAMPLE else bits[(np.arange(8) * ((len(bits) - SAMPLE // 8) // 7))[:, None] + piece].ravel()
+    sizes = {}
+    for _, width in reversed(SELECTORS):
+        escaped = some > width
+        if 10 * escaped.sum() <= len(some):
+            large = 64 if bits.max() > 32 else 32
+            sizes[width] = 64 * len(_layout(np.where(escaped, 1, some).astype(np.uint8))[0]) + large * int(escaped.sum())
+        if width >= bits.max():
+            break
+    return min(sizes, key=lambda w: (sizes[w], -w), default=SELECTORS[0][1])
+
+
+def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words and the escapes of a block of ids (uint64)."""
+    bits = _bits(ids)
+    escaped = bits > _cap(bits)
+    escapes = ids[escaped]
+    codes = np.concatenate((np.where(escaped, np.uint64(0), ids + np.uint64(1)), np.zeros(SELECTORS[-1][0], np.uint64)))
+    bits[escaped] = 1
+    places, select = _layout(bits)
     words = select.astype(np.uint64) << np.uint64(60)
     for k, (n, width) in enumerate(SELECTORS):
         own = np.flatnonzero(select == k)
@@ -236,29 +255,32 @@ class Encoder:
         self.whole = Tokenizer.from_str(vocabulary)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # packed ids of the pieces that were asked for of late,
+        self.older: dict[str, bytes] = {}  # and of those before
 
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
-        known, model = self.known, self.model
-        if len(known) + len(pieces) > KNOWN:
-            known.clear()
-        hard = []
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        known, older, model, hard = self.known, self.older, self.model, []
         for piece in pieces:
             if piece not in known:
-                if _PLAIN(piece):
+                if (ids := older.get(piece)) is not None:
+                    known[piece] = ids
+                elif _PLAIN(piece):
                     written = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(_WRITTEN)
-                    known[piece] = [t.id for t in model.tokenize(written)]
+                    known[piece] = array("I", [t.id for t in model.tokenize(written)]).tobytes()
                 else:
                     hard.append(piece)
         for some in itertools.batched(hard, 4096):
-            known.update(zip(some, (e.ids for e in self.whole.encode_batch_fast(list(some), add_special_tokens=False)), strict=True))
-        return [known[p] for p in pieces]
+            found = self.whole.encode_batch_fast(list(some), add_special_tokens=False)
+            known.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(some, found, strict=True))
+        return list(map(known.__getitem__, pieces))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and the ids of all."""
         at, raw = bytes_of(texts)
         if not len(raw):
-            return np.zeros(len(texts), np.int64), np.empty(0, np.int64)
+            return np.zeros(len(texts), np.int64), np.empty(0, np.uint32)
         kind = _CLASS[raw]
         cut = np.empty(len(raw), bool)
         cut[0] = True
@@ -269,8 +291,8 @@ class Encoder:
         starts = np.flatnonzero(cut)
         coded = strings(raw, starts).dictionary_encode()
         found = self._pieces(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(lengths.sum()))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         codes = coded.indices.to_numpy()
         n = lengths[codes]
         ends = np.cumsum(n)
@@ -280,6 +302,12 @@ class Encoder:
         return np.diff(bounds), ids
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(vocabulary: str) -> Encoder:
+    """One for all tasks of a worker process, so that it goes on with the pieces it knows."""
+    return Encoder(vocabulary)
+
+
 def write(docs: DataFrame, path: str | None = None, folder: str | None = None, end: int = END) -> DataFrame:
     """Writes the ids of all documents, each with the end id after it, in ascending doc_id order; returns the manifest, a row for each file.
 
@@ -294,7 +322,7 @@ def write(docs: DataFrame, path: str | None = None, folder: str | None = None, e
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encoder, part, seq, writer, name = None, TaskContext.get().partitionId(), 0, None, ""
+        part, seq, writer, name = TaskContext.get().partitionId(), 0, None, ""
 
         def close() -> pa.RecordBatch:
             size = writer.close()
@@ -303,14 +331,12 @@ def write(docs: DataFrame, path: str | None = None, folder: str | None = None, e
 
         for batch in batches:
             for own in slices(batch):
-                if encoder is None:
-                    encoder = Encoder(vocabulary.value)
                 if writer is None:
                     system, root = fs.FileSystem.from_uri(folder)
                     system.create_dir(root, recursive=True)
                     name = f"{folder}/ids-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.s8b"
                     writer = Writer(system.open_output_stream(f"{root}/{name.rpartition('/')[2]}"), own.column("doc_id").type)
-                counts, ids = encoder.encode(own.column("text"))
+                counts, ids = encoder(vocabulary.value).encode(own.column("text"))
                 writer.add(own.column("doc_id"), counts + 1, np.insert(ids, np.cumsum(counts), end))
                 if writer.at >= FILE_BYTES:
                     yield close()
