@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.plans import more_plans, search_plans, text_plans
+from plinth.plans import more_plans, prepared_plans, search_plans, text_plans
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_plans.QUERIES | search_plans.QUERIES | more_plans.QUERIES
-SQL: dict[str, str] = text_plans.SQL | search_plans.SQL | more_plans.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_plans.QUERIES | search_plans.QUERIES | more_plans.QUERIES | prepared_plans.QUERIES
+SQL: dict[str, str] = text_plans.SQL | search_plans.SQL | more_plans.SQL | prepared_plans.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

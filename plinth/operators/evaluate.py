@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.operators.quantiles import joined, percentiles
+from plinth.sources.shared import stored
+
 
 def relevance(results: DataFrame, gold: DataFrame) -> DataFrame:
     """Results with ``relevant``: 1 on the first occurrence of a gold chunk, else 0."""
@@ -140,16 +143,19 @@ def all_metrics(cases: DataFrame, k: int = 5) -> DataFrame:
         return mean(column(name).isNotNull().cast("double"))
 
     latency = column("latency_ms")
+    cases = stored(cases, "cases")
     found = {
         **{f"hit_{n}": hit(n) for n in (1, 3, 5)}, "hit_k": hit(k), **{f"precision_{n}": precise(n) for n in (1, 3, 5)}, "precision_k": precise(k),
         "mrr": mean(F.col("reciprocal_rank")), "recall_k": mean(F.col("recall")), "ndcg_k": mean(F.col("ndcg")),
         "evidence_coverage_k": mean(column("evidence_coverage")), "evidence_coverage_case_rate": have("evidence_coverage"),
         "mapping_coverage": mean(column("mapping_coverage")), "mapping_coverage_case_rate": have("mapping_coverage"),
         "context_density": mean(F.col("density")), "duplicate_ratio": mean(F.coalesce(column("duplicate_ratio"), F.lit(0.0))),
-        "latency_mean": mean(latency), "latency_p50": F.bround(F.percentile(latency, F.lit(0.5)), 4), "latency_p95": F.bround(F.percentile(latency, F.lit(0.95)), 4),
+        "latency_mean": mean(latency),
         "retrieved": mean(F.col("n_retrieved").cast("double")), "context_chars": mean(F.col("context_chars").cast("double")), "context_tokens": mean(F.col("context_tokens").cast("double")),
     }
-    return cases.agg(*(c.alias(n) for n, c in found.items()))
+    ranks = percentiles(cases.select(latency.alias("v")), "v", {"latency_p50": 0.5, "latency_p95": 0.95})
+    ranks = ranks.select(*(F.bround(n, 4).alias(n) for n in ("latency_p50", "latency_p95")))
+    return cases.agg(*(c.alias(n) for n, c in found.items())).join(F.broadcast(ranks))  # a row each
 
 
 def stage_latencies(stages: DataFrame) -> DataFrame:
@@ -213,11 +219,12 @@ def duplicate_context(results: DataFrame, width: int = 20) -> DataFrame:
 
 
 def latencies(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Count, mean, median, 95th percentile (between neighbours in proportion) and maximum."""
+    """Count, mean, median, 95th percentile (between neighbours in proportion) and maximum; no task holds a group."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.95)).alias("p95"), F.max(v).alias("maximum")
-    )
+    kept = stored(rows.select(*by, v), "latencies")
+    sums = kept.groupBy(*by).agg(F.avg(v).alias("mean"), F.max(v).alias("maximum"))
+    found = percentiles(kept, value, {"p50": 0.5, "p95": 0.95}, *by)
+    return joined(found, sums, list(by)).select(*by, "n", "mean", "p50", "p95", "maximum")
 
 
 def transitions(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

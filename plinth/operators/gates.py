@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.operators.numbering import numbered
-from plinth.sources.shared import stored
+from plinth.operators.quantiles import joined, percentiles
+from plinth.sources.shared import sent, stored
 
 
 def cold_and_warm(samples: DataFrame, *by: str) -> DataFrame:
-    """Latencies (trial, seq, latency_ms): the first of each trial is cold; mean and percentiles of the others."""
-    first = F.row_number().over(Window.partitionBy(*by, "trial").orderBy("seq")) == 1
-    rows = samples.withColumn("cold", first)
-    warm = F.when(~F.col("cold"), F.col("latency_ms"))
-    return rows.groupBy(*by).agg(
-        F.avg(F.when(F.col("cold"), F.col("latency_ms"))).alias("cold_ms"), F.avg(warm).alias("warm_ms"), F.percentile(warm, F.lit(0.5)).alias("warm_p50"), F.percentile(warm, F.lit(0.95)).alias("warm_p95")
-    )
+    """Latencies (trial, seq, latency_ms): the first of each trial, by a seq that tells its samples apart, is cold; mean and percentiles
+    of the others. A trial's first is found by an aggregation, so no task holds a trial."""
+    keys = list(by)
+    kept = stored(samples.select(*keys, "trial", "seq", "latency_ms"), "samples")
+    first = stored(kept.groupBy(*keys, "trial").agg(F.min("seq").alias("first"), F.min_by("latency_ms", "seq").alias("cold")), "first")
+    warm = stored(joined(kept, sent(first), [*keys, "trial"]).where(F.col("seq") != F.col("first")).select(*keys, "latency_ms"), "warm")
+    cold = first.groupBy(*keys).agg(F.avg("cold").alias("cold_ms"))
+    mean = warm.groupBy(*keys).agg(F.avg("latency_ms").alias("warm_ms"))
+    ranks = percentiles(warm, "latency_ms", {"warm_p50": 0.5, "warm_p95": 0.95}, *keys)
+    rows = joined(joined(cold, mean, keys, "left"), ranks, keys, "left")
+    return rows.select(*keys, "cold_ms", "warm_ms", "warm_p50", "warm_p95")
 
 
 def stable_rankings(results: DataFrame) -> DataFrame:

@@ -115,10 +115,10 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """A paragraph block for each page with text, then its tables with their captions; numbered through the document."""
+    """A paragraph block for each page with text, then its tables, each after its caption and an empty line; numbered through the document."""
     kinds = "document_id", "page", "part", "block_type", "text"
     body = pages.where(F.trim("text") != "").withColumns({"part": F.lit(-1), "block_type": F.lit("paragraph")}).select(*kinds)
-    shown = F.concat_ws("\n", F.nullif("caption", F.lit("")), "text")
+    shown = F.concat_ws("\n\n", F.nullif("caption", F.lit("")), "text")
     both = body.unionByName(tables.withColumns({"part": F.col("table_index"), "block_type": F.lit("table"), "text": shown}).select(*kinds))
     index = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "part")) - 1
     return both.select("document_id", index.alias("block_index"), "page", "block_type", "text")

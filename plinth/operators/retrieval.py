@@ -162,10 +162,16 @@ def _search(chunks: DataFrame, queries: DataFrame, limit: int, saturation: tuple
 
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:
-    """One row: chunks, average length in tokens (chunks without tokens count), distinct tokens, all tokens."""
-    sizes = chunks.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("n_chunks"), F.avg("n").alias("avg_length"), F.sum("n").alias("n_tokens"))
-    distinct = chunks.select(F.explode(tokens(F.col("text"))).alias("token")).agg(F.count_distinct("token").alias("n_distinct"))
-    return sizes.join(F.broadcast(distinct))
+    """One row: chunks, average length in tokens (chunks without tokens count), distinct tokens, all tokens.
+
+    One pass over the texts: a chunk's length goes with the first of its distinct tokens, and one aggregation takes all tokens.
+    """
+    words = chunks.select(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w"))
+    rows = words.select(F.size("w").cast("long").alias("n"), F.posexplode_outer(F.array_distinct("w")).alias("place", "token"))
+    first = F.coalesce(F.col("place"), F.lit(0)) == 0
+    each = rows.groupBy("token").agg(F.count_if(first).alias("chunks"), F.sum(F.when(first, F.col("n"))).alias("n"))
+    sums = each.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n_chunks"), F.sum("n").alias("n"), F.count("token").alias("n_distinct"))
+    return sums.select("n_chunks", F.try_divide(F.col("n").cast("double"), "n_chunks").alias("avg_length"), F.coalesce("n", F.lit(0)).alias("n_tokens"), "n_distinct")
 
 
 def lexical_search(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:

@@ -12,7 +12,7 @@ from plinth.operators.numbering import numbered
 from plinth.plans.engine import Engine, listed
 from plinth.plans.search_plans import MAPPED, RANKED, SUMMARY, _metrics, cases_of, gold_of, metrics_of, results_of
 from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, blocks_of, chunks_of, lines_of, packed_lines
-from plinth.sources import files, providers, snapshots
+from plinth.sources import files, generations, paged, providers, snapshots
 from plinth.sources.shared import new_folder, stored
 from plinth.sources.tables import documents, table, vectors
 from plinth.streaming import ingest
@@ -54,6 +54,23 @@ def formula_evidence(spark, sf_dir):
     return rows.where(F.size("f") > 0).select("document_id", F.array_join("f", "\n").alias("formulas"))
 
 
+def captioned_words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents, and above the pipe lines of two in three pages a caption; written as page files and read by the paged source."""
+    piped = lines_of(spark, sf_dir).where(F.contains("text", F.lit(" | "))).select("document_id", F.floor(F.col("line_index") / 10).cast("int").alias("page")).distinct().where("page % 3 <> 2")
+    words = F.posexplode(F.array(F.lit("Table"), (F.col("page") + 1).cast("string"), F.lit("lines"))).alias("w", "text")
+    captions = piped.select("document_id", "page", words).select("document_id", "page", (F.col("w") * 40.0).alias("x0"), (F.col("w") * 40.0 + 30.0).alias("x1"), F.lit(-12.0).alias("top"), "text")
+    rows = words_of(spark, sf_dir).unionByName(captions)
+    word = F.array(*(F.to_json(F.struct(c)) for c in ("x0", "x1", "top", "text")))
+    values = F.array_join(F.transform(word, lambda x: F.regexp_extract(x, r"(?s)^\{\"[a-z0-9]+\":(.*)\}$", 1)), ",")
+    listed = F.array_join(F.collect_list(F.concat(F.lit("["), values, F.lit("]"))), ",")
+    pages_ = rows.groupBy("document_id", "page").agg(listed.alias("words"))
+    line = F.concat(F.lit('{"document_id":'), F.col("document_id").cast("string"), F.lit(',"page":'), F.col("page").cast("string"), F.lit(',"words":['), F.col("words"), F.lit("]}"))
+    folder = new_folder(spark, "pages")
+    pages_.select(line.alias("value")).write.text(folder)
+    spark.dataSource.register(paged.PagedSource)
+    return spark.read.format("paged_words").option("path", folder).load()
+
+
 def page_blocks(spark, sf_dir):
     """Blocks of documents as pages of positioned words; pipe lines are the rows of a table, which has a position in every other document."""
     rows = lines_of(spark, sf_dir).withColumn("page", F.floor(F.col("line_index") / 10).cast("int"))
@@ -63,10 +80,17 @@ def page_blocks(spark, sf_dir):
     found = found.select("document_id", "page", F.lit(1).alias("table_index"), "top", F.transform("c", lambda x: x["cells"]).alias("rows"))
     tables = pages.page_tables(found.where("document_id % 2 = 0"), found.where("document_id % 2 = 1").drop("top"))
     plain = rows.groupBy("document_id", "page").agg(F.lit("").alias("plain_text"))
-    blocks = pages.read_pages(words_of(spark, sf_dir), tables, piped.select("document_id", "page", "text"), plain, 1000.0)
+    blocks = pages.read_pages(stored(captioned_words_of(spark, sf_dir), "words"), tables, piped.select("document_id", "page", "text"), plain, 1000.0)
     return blocks.select("document_id", "block_index", "page", "block_type", F.sha2("text", 256).alias("text_sha256"))
 
 
+def committed_chunks(spark, sf_dir):
+    """Chunks written as a generation by the committing source, and read back by its manifest."""
+    folder, chunks = new_folder(spark, "generations"), chunks_of(spark, sf_dir)
+    generations.write(chunks.select("chunk_id", "document_id", "text"), folder, "chunk_id")
+    return generations.read(spark, folder).select("chunk_id", "document_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def page_tables(spark, sf_dir):
     """Pipe lines as the tables of pages, positioned in every other document."""
     rows = lines_of(spark, sf_dir).withColumn("page", F.floor(F.col("line_index") / 10).cast("int")).where(F.contains("text", F.lit(" | ")))
@@ -217,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reading_lines, column_order, outside_tables, page_tables, page_blocks, heading_lines, formula_evidence, evidence_spans, source_match_kinds, folded_tokens, release_gates, trial_latency,
-        trial_consensus, session_list, case_numbers, snapshot_chunks, snapshot_vectors, snapshot_migration, folder_lines, asked, engine_compare, hash_embeddings, engine_search, stream_chunks, stream_windows,
+        trial_consensus, session_list, case_numbers, snapshot_chunks, snapshot_vectors, snapshot_migration, folder_lines, asked, engine_compare, hash_embeddings, engine_search, stream_chunks, stream_windows, committed_chunks,
     )
 }
 
@@ -249,13 +273,42 @@ HEADING = f"""case when regexp_matches(l, '{represent.NUMBER}') then case when i
   when regexp_matches({NUMBERED[1]}, '{represent.MATH_NOISE}') then null when regexp_matches({NUMBERED[1]}, '{represent.LOCAL}') then 'l' || {NUMBERED[0]} || ' ' || {NUMBERED[1]}
   when {_title(NUMBERED[1])} then 'h' || {NUMBERED[0]} || ' ' || {NUMBERED[1]}
   when len(regexp_extract_all({NUMBERED[1]}, '[A-Za-z]+')) >= 2 and not regexp_matches({NUMBERED[1]}, '[.?!]$') then 'l' || {NUMBERED[0]} || ' ' || {NUMBERED[1]} end"""
+COLUMNS = """g as (select document_id, page, x0 - lag(x0) over (partition by document_id, page order by x0) gap, x0 from {p})
+  , m as (select document_id, page, max_by(gap, (gap, -x0)) gap, max_by(x0 - gap / 2, (gap, -x0)) mid from g where gap is not null group by document_id, page)
+  , s as (select p.*, gap, mid, coalesce(x0 > mid, false) r from {p} p left join m using (document_id, page))
+  , c as (select *, case when r and coalesce(gap >= 120 and mid between 200 and 800 and count(*) filter (where r) over w >= 2 and count(*) filter (where not r) over w >= 2, false) then 1 else 0 end col
+    from s window w as (partition by document_id, page))"""
+WORDS_OF = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
+BLOCKS_OF_PAGES = rf"""{PIECES}, tl as (select document_id, (line_index // 10)::int page, line_index, line from lines where contains(line, ' | '))
+  , p2 as (select document_id, page, row_number() over (partition by document_id, page order by top, x0) - 1 line_index, top, x0, t from (
+    select document_id, page, top, x0, t from pieces union all select distinct document_id, page, -12.0, 0.0, 'Table ' || (page + 1) || ' lines' from tl where page % 3 <> 2))
+  , {COLUMNS.format(p="p2")}
+  , o as (select document_id, page, row_number() over (partition by document_id, page order by col, top, x0) - 1 li, t, lower(trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'))) norm from c)
+  , e as (select *, case when row_number() over (partition by document_id, page order by li) <= 2 then 'header' when row_number() over (partition by document_id, page order by li desc) <= 2 then 'footer' end place from o)
+  , v as (select document_id, norm, case when 2 * count(*) filter (where place = 'header') > count(*) then 'header' when 2 * count(*) filter (where place = 'header') < count(*) then 'footer' else min_by(place, (page, li)) end side from e
+    where place is not null and length(norm) between 1 and 80 and len(regexp_extract_all(norm, '[\p{{L}}\p{{N}}_]+(?:@[\p{{L}}\p{{N}}_]+)?')) between 1 and 8
+      and document_id in (select document_id from o group by document_id having min(page) < max(page)) group by document_id, norm having count(*) >= 2)
+  , k as (select document_id, page, li, t, {WORDS_OF.format("t")} w from e left join v using (document_id, norm) where not coalesce(side = place, false))
+  , h as (select document_id, page, list_distinct(flatten(list(w))) h, list(w) ws from (select document_id, page, {WORDS_OF.format("line")} w from tl) group by document_id, page)
+  , body as (select document_id, page, string_agg(t, chr(10) order by li) t from k left join h using (document_id, page)
+    where not coalesce(len(w) >= 2 and (len(list_intersect(w, h)) >= 2 and len(list_intersect(w, h)) >= 0.8 * len(w)
+      or len(list_filter(ws, lambda x: len(x) >= 2 and len(list_intersect(w, x)) >= 2 and len(list_intersect(w, x)) >= 0.8 * len(w) and len(list_intersect(w, x)) >= 0.8 * len(x))) > 0), false)
+    group by document_id, page having trim(string_agg(t, chr(10) order by li)) <> '')
+  , tr as (select document_id, page, line_index, list_transform(string_split(line, ' | '), lambda x: replace(trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g')), '|', '\|')) c from tl)
+  , tp as (select document_id, page, min(line_index % 10 * 12.0) top from tr group by document_id, page)
+  , tk as (select *, row_number() over (partition by document_id, page order by line_index) n, max(len(c)) over (partition by document_id, page) w from tr where len(list_filter(c, lambda x: x <> '')) > 0)
+  , ts as (select document_id, page, n, w, list_concat(c, list_transform(range(w - len(c)), lambda i: '')) c from tk)
+  , tt as (select document_id, page, string_agg('| ' || array_to_string(case when n = 1 then list_transform(c, lambda x, i: case when x = '' then 'Column ' || i else x end) else c end, ' | ') || ' |'
+      || case when n = 1 then chr(10) || '|' || repeat('---|', w) else '' end, chr(10) order by n) t from ts group by document_id, page)
+  , cp as (select document_id, page, case when document_id % 2 = 0 then max_by(p2.t, (p2.top, -line_index)) filter (where p2.top < tp.top) else min_by(p2.t, line_index) end cap
+    from p2 join tp using (document_id, page) where regexp_matches(p2.t, '(?i)^\s*(table\s+[0-9]+[:.]?|table\s+[ivxlcdm]+[:.]?|表\s*[0-9]+[:.]?).') group by document_id, page)
+  , bl as (select document_id, page, 0 part, 'paragraph' block_type, t from body union all
+    select document_id, page, 1, 'table', coalesce(cap || chr(10) || chr(10), '') || t from tt left join cp using (document_id, page))"""
 SQL = {
+    "page_blocks": f"with {BLOCKS_OF_PAGES} select document_id, (row_number() over (partition by document_id order by page, part) - 1)::int block_index, page, block_type, sha256(t) text_sha256 from bl",
+    "committed_chunks": f"with {CHUNKS} select chunk_id, document_id, sha256(text) text_sha256 from chunks",
     "reading_lines": f'with {PIECES} select document_id, page, line_index, top, x0, t as "text" from pieces',
-    "column_order": f"""with {PIECES}, g as (select document_id, page, x0 - lag(x0) over (partition by document_id, page order by x0) gap, x0 from pieces)
-      , m as (select document_id, page, max_by(gap, (gap, -x0)) gap, max_by(x0 - gap / 2, (gap, -x0)) mid from g where gap is not null group by document_id, page)
-      , s as (select p.*, gap, mid, coalesce(x0 > mid, false) r from pieces p left join m using (document_id, page))
-      , c as (select *, case when r and coalesce(gap >= 120 and mid between 200 and 800 and count(*) filter (where r) over w >= 2 and count(*) filter (where not r) over w >= 2, false) then 1 else 0 end col
-        from s window w as (partition by document_id, page))
+    "column_order": f"""with {PIECES}, {COLUMNS.format(p="pieces")}
       select document_id, page, line_index, col "column", (row_number() over (partition by document_id, page order by col, top, x0) - 1)::int place from c""",
     "outside_tables": f"""with {LINES}, r as (select document_id, line_index // 10 page, line_index, line, list_distinct(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+')) w from lines)
       , h as (select document_id, page, list_distinct(flatten(list(w))) h, list(w) ws from r where contains(line, ' | ') group by document_id, page)

@@ -7,6 +7,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a counted table is sent to all tasks.
+SENT_BYTES = 32 << 20
+
+
+def sent(df: DataFrame, most: int = SENT_BYTES) -> DataFrame:
+    """df, marked for sending where its rows, counted in bytes, allow it; else as it is, for Spark to shuffle."""
+    n = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= most else df
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this application has written to the shared folder; results that still read it are lost."""
     system, path = fs.FileSystem.from_uri(shared_folder(spark))

@@ -44,7 +44,7 @@ def test_tables_and_captions(spark):
     assert [(r["block_type"], r["page"]) for r in blocks] == [("paragraph", 0), ("table", 0), ("table", 0), ("table", 0), ("paragraph", 1)]
     warned = pages.page_warnings(text, found.withColumn("malformed", F.col("table_index") == 1)).collect()
     assert sorted((r["page"], r["warning"]) for r in warned) == [(0, "malformed table"), (0, "no words"), (2, "empty page")]
-    assert blocks[1]["text"].startswith("Table 1 results\n| alpha")
+    assert blocks[1]["text"].startswith("Table 1 results\n\n| alpha")
 
 
 def test_read_pages(spark):
