@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plinth.operators import prepared
+from plinth.operators import prepared, vector_index
 from plinth.plans import search_plans
 from plinth.plans.search_plans import LIMIT, cases_of, shown
 from plinth.plans.text_plans import chunks_of
+from plinth.sources.tables import vectors
 
 
 def prepared_bm25(spark, sf_dir):
@@ -26,9 +27,17 @@ def prepared_stats(spark, sf_dir):
     return prepared.Index(spark, prepared.write(chunks_of(spark, sf_dir))).statistics().withColumn("avg_length", F.round("avg_length", 6))
 
 
-QUERIES = {f.__name__: f for f in (prepared_bm25, prepared_lexical, prepared_stats)}
+def vector_index_search(spark, sf_dir):
+    """Every twentieth vector against all, by an index that rules groups out."""
+    rows = vectors(spark, sf_dir)
+    index = vector_index.VectorIndex(spark, vector_index.write(rows.select(F.col("vec_id").alias("chunk_id"), "embedding")))
+    return shown(index.search(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), LIMIT))
+
+
+QUERIES = {f.__name__: f for f in (prepared_bm25, prepared_lexical, prepared_stats, vector_index_search)}
 SQL = {
     "prepared_bm25": search_plans.SQL["bm25_search"],
     "prepared_lexical": search_plans.SQL["lexical_search"],
+    "vector_index_search": search_plans.SQL["semantic_search"],
     "prepared_stats": search_plans.SQL["corpus_stats"],
 }

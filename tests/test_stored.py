@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.operators import evaluate, gates, prepared, quantiles, retrieval
+from plinth.operators import evaluate, gates, prepared, quantiles, retrieval, vector_index
 from plinth.plans.search_plans import cases_of
 from plinth.plans.text_plans import chunks_of
 from plinth.sources import generations, paged
@@ -200,3 +200,30 @@ def test_a_failed_generation_leaves_the_pointer(spark, tmp_path):
     with pytest.raises(Exception, match="sorted"):
         spark.range(100).coalesce(1).orderBy(F.desc("id")).write.format("generation").option("path", folder).option("key", "id").mode("append").save()
     assert generations.current(folder) == kept and generations.read(spark, folder).count() == 100
+
+
+def vectors_of(spark, matrix, name, ids=None):
+    ids = range(len(matrix)) if ids is None else ids
+    return spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, matrix, strict=True)], f"{name} long, embedding array<double>")
+
+
+@pytest.mark.parametrize(("block", "first"), [(1 << 13, 2), (7, 1), (50, 3)])
+def test_vector_index_finds_what_comparing_all_finds(spark, monkeypatch, block, first):
+    """Clusters, copies, zero vectors and opposite ones, whatever the parts."""
+    monkeypatch.setattr(vector_index, "BLOCK", block)
+    monkeypatch.setattr(vector_index, "FIRST", first)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    data = np.concatenate([centres[rng.integers(0, 12, 400)] + 0.05 * rng.normal(size=(400, 16)), np.repeat(centres[:1], 150, axis=0), np.zeros((3, 16)), -centres, rng.normal(size=(40, 16))])
+    asked = np.concatenate([data[::23], np.zeros((1, 16)), -data[:2]])
+    index, queries = vectors_of(spark, data, "chunk_id"), vectors_of(spark, asked, "query_id")
+    own = vector_index.VectorIndex(spark, vector_index.write(index))
+    for limit in (1, 10, 1000):
+        assert close(own.search(queries, limit)) == close(retrieval.semantic_search(index, queries, limit))
+        assert own.report["scored"] <= own.report["pairs"]
+        if limit == 1 and block > 7:
+            assert own.report["scored"] < own.report["pairs"] / 2
+    assert own.search(queries, 0).count() == 0 and own.search(queries.limit(0)).count() == 0
+    assert vector_index.VectorIndex(spark, vector_index.write(index.limit(0))).search(queries).count() == 0
+    with pytest.raises(Exception, match="length"):
+        own.search(vectors_of(spark, rng.normal(size=(2, 5)), "query_id")).collect()
