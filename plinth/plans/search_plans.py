@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from plinth.functions import text as T
 from plinth.functions import unicode as U
-from plinth.operators import evaluate, evidence, gates, history, retrieval, selection
+from plinth.operators import chunking, evaluate, evidence, gates, history, retrieval, selection
 from plinth.plans.engine import Engine
 from plinth.plans.text_plans import CHUNKS, DOCS, chunks_of
 from plinth.sources import files, providers
-from plinth.sources.shared import new_folder, stored
+from plinth.sources.shared import new_folder, sent, stored
 from plinth.sources.tables import documents, table, vectors
 
 LIMIT, K = 10, 5
@@ -32,7 +32,17 @@ def results_of(spark: SparkSession, sf_dir: str, mode: str, limit: int = LIMIT)
 
 
 def with_chunks(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
-    return ranked.join(chunks_of(spark, sf_dir), "chunk_id")
+    """Results with their chunks' columns. Results are few, queries times limit, so they are written and counted: only the documents that
+    they name are cut into chunks, and these meet the results where they are, instead of being shuffled."""
+    ranked = stored(ranked, "ranked")
+    paths = ranked.select(F.regexp_replace("chunk_id", "::chunk-[0-9]+$", "").alias("source_path")).distinct()
+    chunks = chunking.sliding_chunks(documents(spark, sf_dir).join(sent(paths), "source_path", "left_semi"))
+    return chunks.join(sent(ranked), "chunk_id")
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Few rows that much work is done on, dealt over as many tasks as shuffles have."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +153,8 @@ def fragments_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")).join(cases_of(spark, sf_dir), "query_id")
     page = (F.floor(F.col("start_char") / 3000) + 1).cast("string")
     header = selection.fragment_header(F.col("rank"), F.col("document_id").cast("string"), page)
-    return selection.allocate(stored(rows.select("query_id", "rank", "chunk_id", "query", "text", header.alias("header")), "ranked"))
+    kept = stored(rows.select("query_id", "rank", "chunk_id", "query", "text", header.alias("header")), "ranked")
+    return spread(selection.allocate(kept), "query_id", "rank")
 
 
 def fragment_allocation(spark, sf_dir):
