@@ -3,15 +3,17 @@
 An index is a folder of three tables:
 
     chunks    number, chunk_id, length (in tokens), and the chunk's distinct tokens with their counts
-    postings  bucket=B/: token, block, n, most_tf, least_length, numbers, tfs, lengths
+    postings  bucket=B/: token, block, n, most_tf, least_length, places, tfs, lengths
     stats     one row, written last: an index without it isn't there
 
-Numbers follow the order of the chunk ids, a range of them to each task; BLOCK
-numbers in a row are a block. A row of the postings holds a token's chunks of one block, so no
-row grows with the corpus, and how much a chunk of it can score at most follows
-from the greatest count and the least length, whatever the parameters. Rows are
-dealt into files by ranges of bucket, token and block: a token that a third of all
-chunks have fills many files of its bucket, and no task sees them all.
+A chunk's number tells the task that counted it and its place there; BLOCK numbers
+in a row are a block. A row of the postings holds a token's chunks of one block, so
+no row grows with the corpus, and how much a chunk of it can score at most follows
+from the greatest count and the least length, whatever the parameters. Such rows are
+made where the chunks are read, before anything is shuffled (a block that two tasks
+share has two rows for a token, which changes no sum). Rows are dealt into files by
+ranges of bucket, token and block: a token that a third of all chunks have fills
+many files of its bucket, and no task sees them all.
 
 A search reads the buckets of its tokens alone. It first reads no lists, only what
 bounds them: each query's greatest possible score in each block is a sum over its
@@ -69,12 +71,36 @@ def _counted(chunks: DataFrame) -> DataFrame:
             number += len(lists)
             yield pa.RecordBatch.from_arrays([numbers, batch.column("chunk_id"), pa.array(sizes.astype(np.int32)), words, counts], ["number", "chunk_id", "length", "tokens", "tfs"])
 
-    ordered = chunks.select("chunk_id", "text").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
-    rows = ordered.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    rows = chunks.select("chunk_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
     kind = rows.schema["chunk_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"number long, chunk_id {kind}, length int, tokens array<string>, tfs array<int>")
 
 
+_POSTINGS = "token string, block long, n long, most_tf int, least_length int, places array<short>, tfs array<int>, lengths array<int>"
+
+
+def _inverted(counted: DataFrame) -> DataFrame:
+    """A row for each token and block that a batch of counted chunks has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch.column("tokens").flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column("tokens"))))
+            number, token = batch.column("number").to_numpy()[row], coded.indices.to_numpy()
+            order = np.lexsort((number, token))
+            number, token, row = number[order], token[order], row[order]
+            tf, length, block = batch.column("tfs").flatten().to_numpy()[order], batch.column("length").to_numpy()[row], number // BLOCK
+            starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
+            ends = pa.array(np.append(starts, len(number)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((number % BLOCK).astype(np.int16), tf, length)]
+            own = [coded.dictionary.take(pa.array(token[starts])), pa.array(block[starts]), pa.array(np.diff(np.append(starts, len(number)))), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts))]
+            yield pa.RecordBatch.from_arrays([*own, *lists], ["token", "block", "n", "most_tf", "least_length", "places", "tfs", "lengths"])
+
+    return counted.select("number", "length", "tokens", "tfs").mapInArrow(run, _POSTINGS)
+
+
 def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
@@ -88,13 +114,9 @@ def write(chunks: DataFrame, folder: str | None = None, buckets: int = BUCKETS)
     folder = folder or new_folder(spark, "index")
     _counted(chunks).write.option("compression", "zstd").parquet(f"{folder}/chunks")
     counted = spark.read.parquet(f"{folder}/chunks")
-    pairs = counted.select("number", "length", F.explode(F.arrays_zip("tokens", "tfs")).alias("x"))
-    pairs = pairs.select(_bucket(F.col("x.tokens"), buckets).alias("bucket"), F.col("x.tokens").alias("token"), F.shiftright("number", 7).alias("block"), "number", F.col("x.tfs").alias("tf"), "length")
+    rows = _inverted(counted).withColumn("bucket", _bucket(F.col("token"), buckets))
     key = ["bucket", "token", "block"]
-    lists = F.sort_array(F.collect_list(F.struct("number", "tf", "length")))  # BLOCK entries at most
-    rows = pairs.repartitionByRange(*key).groupBy(*key).agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), lists.alias("x"))
-    rows = rows.withColumns({"numbers": F.col("x.number"), "tfs": F.col("x.tf"), "lengths": F.col("x.length")}).drop("x").sortWithinPartitions(*key)
-    rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
+    rows.repartitionByRange(*key).sortWithinPartitions(*key).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
     sums = counted.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("avg_length"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"))
     seen = spark.read.schema("token string, block long, bucket int").parquet(f"{folder}/postings").select("token").distinct().agg(F.count("*").alias("n_distinct"))
     stats = sums.join(seen).withColumn("buckets", F.lit(buckets))  # a row each
@@ -124,8 +146,7 @@ class Index:
         rows = self.spark.createDataFrame(pa.table({"token": words, "at": pa.array(np.arange(len(words)))}))
         rows = rows.withColumn("bucket", _bucket(F.col("token"), self._row["buckets"]))
         own = sorted(r[0] for r in rows.select("bucket").distinct().collect())  # no more than there are buckets
-        kind = "token string, block long, n long, most_tf int, least_length int, numbers array<long>, tfs array<int>, lengths array<int>, bucket int"
-        held = self.spark.read.schema(kind).parquet(f"{self.folder}/postings").where(F.col("bucket").isin(own))
+        held = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{self.folder}/postings").where(F.col("bucket").isin(own))
         return held.join(F.broadcast(rows.drop("bucket")), "token").drop("token", "bucket")
 
     def statistics(self) -> DataFrame:
@@ -153,11 +174,10 @@ class Index:
         wanted = stored(query_tokens(queries), "wanted")
         blocks, self.report = max(1, -(-wanted.count() // PAIRS)), {"pairs": 0, "scored": 0}
         found = [self._block(wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k), limit, part, weight) for k in range(blocks)]
-        best = stored(functools.reduce(DataFrame.union, found), "best")  # a row for each result
-        return self.chunks.select("number", "chunk_id").join(sent(best), "number").select("query_id", "rank", "chunk_id", "score")
+        return functools.reduce(DataFrame.union, found)
 
     def _block(self, wanted: DataFrame, limit: int, part: Formula, weight: Formula) -> DataFrame:
-        """(query_id, rank, number, score) of a block of queries."""
+        """(query_id, rank, chunk_id, score) of a block of queries."""
         rows = wanted.toArrow().combine_chunks()  # about PAIRS rows
         asked, words = (pc.unique(rows.column(c)) for c in ("query_id", "token"))
         query, token = (np.asarray(pc.index_in(rows.column(c), x), np.int64) for c, x in (("query_id", asked), ("token", words)))
@@ -188,31 +208,35 @@ class Index:
 
         bounds = postings.select("at", "block", "most_tf", "least_length").mapInArrow(bound, "query long, block long, bound double")
         bounds = stored(bounds.groupBy("query", "block").agg(F.sum("bound").alias("bound")), "bounds")
-        n_asked = len(asked)
+        n_asked, kind = len(asked), self.chunks.schema["chunk_id"].dataType.simpleString()
 
-        def score(postings: pa.Table, pairs: pa.Table) -> pa.Table:
+        def score(rows: pa.Table, pairs: pa.Table) -> pa.Table:
             blocks = np.unique(pairs.column("block").to_numpy())
-            postings = postings.filter(pc.is_in(postings.column("block"), pa.array(blocks))).combine_chunks()
-            sizes = postings.column("n").to_numpy()
-            number, tf, length = (pc.list_flatten(postings.column(c)).to_numpy() for c in ("numbers", "tfs", "lengths"))
-            at = np.repeat(postings.column("at").to_numpy(), sizes)
-            slots, slot = np.unique(number, return_inverse=True)
-            parts, scores = part(tf, length), np.zeros((n_asked, len(slots)))
+            rows = rows.filter(pc.is_in(rows.column("block"), pa.array(blocks))).combine_chunks()
+            chunks, postings = rows.filter(pc.is_null(rows.column("at"))).sort_by("chunk_id"), rows.filter(pc.is_valid(rows.column("at")))
+            number, slot = chunks.column("number").to_numpy(), np.argsort(chunks.column("number").to_numpy())  # slots are in the order of the ids
+            held = np.repeat(postings.column("block").to_numpy(), postings.column("n").to_numpy()) * BLOCK + pc.list_flatten(postings.column("places")).to_numpy()
+            place_of = slot[np.searchsorted(number, held, sorter=slot)] if len(held) else held
+            tf, length = (pc.list_flatten(postings.column(c)).to_numpy() for c in ("tfs", "lengths"))
+            at = np.repeat(postings.column("at").to_numpy(), postings.column("n").to_numpy())
+            parts, scores = part(tf, length), np.zeros((n_asked, len(number)))
             for place, who, w in asking(at):
-                scores += np.bincount(who * len(slots) + slot[place], w * parts[place], scores.size).reshape(scores.shape)
+                scores += np.bincount(who * len(number) + place_of[place], w * parts[place], scores.size).reshape(scores.shape)
             wanted = np.zeros((n_asked, len(blocks)), bool)
             wanted[pairs.column("query").to_numpy(), np.searchsorted(blocks, pairs.column("block").to_numpy())] = True
-            scores[~wanted[:, np.searchsorted(blocks, slots // BLOCK)]] = 0
-            q, c = best_of(scores, min(limit, len(slots))) if limit and scores.size else (np.empty(0, np.int64),) * 2
+            scores[~wanted[:, np.searchsorted(blocks, number // BLOCK)]] = 0
+            q, c = best_of(scores, min(limit, len(number))) if limit and scores.size else (np.empty(0, np.int64),) * 2
             some = scores[q, c] > 0
             q, c = q[some], c[some]
-            return pa.table({"query": pa.array(q), "chunk_id": pa.array(slots[c]), "score": pa.array(scores[q, c])})
+            return pa.table({"query": pa.array(q), "chunk_id": chunks.column("chunk_id").take(pa.array(c)), "score": pa.array(scores[q, c])})
 
         def scored(pairs: DataFrame) -> DataFrame:
-            group = F.floor(F.col("block") / GROUP).alias("group")
-            near = postings.join(sent(pairs.select("block").distinct()), "block", "left_semi")
-            lists = near.select(group, "block", "at", "n", "numbers", "tfs", "lengths").groupBy("group")
-            return lists.cogroup(pairs.select(group, "query", "block").groupBy("group")).applyInArrow(score, "query long, chunk_id long, score double")
+            """Scores of the pairs' blocks; the ids of their chunks come as rows without a token."""
+            group, blocks = F.floor(F.col("block") / GROUP).alias("group"), sent(stored(pairs.select("block").distinct(), "blocks"))
+            ids = self.chunks.select(F.shiftright("number", 7).alias("block"), "number", "chunk_id").join(blocks, "block", "left_semi")
+            lists = postings.select("block", "at", "n", "places", "tfs", "lengths").join(blocks, "block", "left_semi")
+            rows = lists.unionByName(ids, allowMissingColumns=True).select("*", group).groupBy("group")
+            return rows.cogroup(pairs.select(group, "query", "block").groupBy("group")).applyInArrow(score, f"query long, chunk_id {kind}, score double")
 
         def best(found: DataFrame) -> DataFrame:
             return top(found.withColumnRenamed("query", "query_id"), limit).withColumnRenamed("query_id", "query")
@@ -226,5 +250,5 @@ class Index:
         self.report["pairs"] += bounds.count()
         self.report["scored"] += first.count() + rest.count()
         names = F.broadcast(self.spark.createDataFrame(pa.table({"query": pa.array(np.arange(n_asked)), "query_id": asked})))
-        both = best(early.select("query", "chunk_id", "score").union(scored(rest))).withColumnRenamed("chunk_id", "number")
-        return both.join(names, "query").select("query_id", "rank", "number", "score")
+        both = best(early.select("query", "chunk_id", "score").union(scored(rest)))
+        return both.join(names, "query").select("query_id", "rank", "chunk_id", "score")
