@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import let
+from plinth.operators.numbering import running
+from plinth.sources.shared import sent, stored
+
+
+#: What blocks may have besides, and blocks of a document from which it is packed by many tasks.
+MORE, LARGE = ("page_number", "heading_path", "level", "warnings", "media_type", "formula_lines", "removed_lines"), 100_000
+#: Characters of a stretch of a large document in which a task looks for the ends of chunks.
+STRETCH = 1 << 20
 
 
 def check_sizes(size: int, overlap: int) -> None:
@@ -55,7 +63,7 @@ def block_chunks(blocks: DataFrame, size: int = 1000, overlap: int = 0, split: b
     there is, warnings all in order, media_type the first, formula_lines those that stand in the chunk, ten at most, removed_lines the sum.
     """
     check_sizes(size, overlap)
-    more = [c for c in ("page_number", "heading_path", "level", "warnings", "media_type", "formula_lines", "removed_lines") if c in blocks.columns]
+    more = [c for c in MORE if c in blocks.columns]
     block = F.struct("block_index", "block_type", "text", "start_char", "end_char", *more)
     kept = blocks.where(F.length("text") > 0).groupBy("document_id").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
     chunk = "struct<n:int,alone:boolean,from:int,to:int>"
@@ -85,8 +93,12 @@ def block_chunks(blocks: DataFrame, size: int = 1000, overlap: int = 0, split: b
     chunks = kept.withColumn("chunks", let(F.col("blocks"), lambda b: F.flatten(F.transform(pack(b), lambda c: cut(c, b)))))
     chunks = chunks.select("document_id", "blocks", F.posexplode("chunks").alias("chunk_index", "c"))
     part = F.slice("blocks", F.col("c.from"), F.col("c.to") - F.col("c.from") + 1)
+    return _shown(chunks.select("document_id", "chunk_index", F.col("c.at").alias("at"), part.alias("p")), more, size)
+
+
+def _shown(rows: DataFrame, more: list[str], size: int) -> DataFrame:
+    """Chunks with their blocks in the array ``p``, and where a piece of a long block begins in its text (``at``), as they are handed on."""
     joined = F.array_join(F.transform("p", lambda b: b["text"]), "\n\n")
-    rows = chunks.select("document_id", "chunk_index", F.col("c.at").alias("at"), part.alias("p"))
     rows = rows.withColumn("text", F.when(F.col("at").isNull(), joined).otherwise(F.substring(F.col("p")[0]["text"], F.col("at") + 1, F.lit(size))))
     first = F.array_min(F.transform("p", lambda b: b["start_char"])) + F.coalesce("at", F.lit(0))
     last = F.when(F.col("at").isNull(), F.array_max(F.transform("p", lambda b: b["end_char"]))).otherwise(first + F.length("text"))
@@ -103,6 +115,61 @@ def block_chunks(blocks: DataFrame, size: int = 1000, overlap: int = 0, split: b
     )
 
 
+def block_chunks_of_any_size(blocks: DataFrame, size: int = 1000, overlap: int = 0, split: bool = True, large: int = LARGE) -> DataFrame:
+    """As ``block_chunks``; documents of more than ``large`` blocks are packed by many tasks at once, the others folded in a row each."""
+    check_sizes(size, overlap)
+    kept = stored(blocks.where(F.length("text") > 0), "blocks")
+    huge = stored(kept.groupBy("document_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("document_id"), "huge")
+    if huge.isEmpty():
+        return block_chunks(kept, size, overlap, split)
+    small = block_chunks(kept.join(sent(huge), "document_id", "left_anti"), size, overlap, split)
+    return small.unionByName(_packed_in_parallel(kept.join(sent(huge), "document_id"), size, overlap, split))
+
+
+def _packed_in_parallel(blocks: DataFrame, size: int, overlap: int, split: bool) -> DataFrame:
+    """Chunks of documents of any number of blocks, whose texts aren't empty.
+
+    Where a chunk that begins with a block would end depends on the blocks within ``size`` characters alone: stretches of a document, with
+    so much of the next, are looked at by themselves. Which blocks do begin chunks is found by doubling: from the starts known so far
+    to those a jump on, where jumps lead over one chunk, then two, four, ... No task holds a document.
+    """
+    doc, more = ["document_id"], [c for c in MORE if c in blocks.columns]
+    long = F.length("text") > size
+    rows = blocks.withColumns({"__alone": (F.col("block_type") == "table") | long, "__one": F.lit(1), "__wide": F.length("text") + 2})
+    rows = stored(running(rows, doc, ["block_index"], {"__k": "__one", "__a": "__wide"}), "placed")
+    places = rows.select(*doc, "__k", "__a", "__alone")
+    ends = rows.groupBy(*doc).agg(F.count("*").alias("__k"), F.sum("__wide").cast("long").alias("__a")).withColumn("__alone", F.lit(True))
+    places = places.unionByName(ends).withColumn("__home", F.floor(F.col("__a") / STRETCH))
+    near = F.when((F.col("__home") > 0) & (F.col("__a") % STRETCH <= size + 2), F.array("__home", F.col("__home") - 1)).otherwise(F.array("__home"))
+    reach = Window.partitionBy(*doc, "__stretch").orderBy("__a").rangeBetween(1, size + 2)
+    last, alone = F.max("__k").over(reach), F.min(F.when(F.col("__alone"), F.col("__k"))).over(reach)
+    following = F.when(F.col("__alone"), F.col("__k") + 1).otherwise(F.least(F.coalesce(last, F.col("__k") + 1), alone))
+    jumps = places.select("*", F.explode(near).alias("__stretch")).withColumn("__next", following).where("__stretch = __home")
+    jumps = jumps.join(ends.select(*doc, F.col("__k").alias("__n")), doc)
+    jumps = stored(jumps.select(*doc, "__k", F.least("__next", "__n").alias("__next")), "jumps")
+    begun = stored(ends.select(*doc, F.lit(0).cast("long").alias("__k")), "begun")
+    known = begun.count()
+    while True:
+        further = begun.join(jumps, [*doc, "__k"]).select(*doc, F.col("__next").alias("__k"))
+        begun = stored(begun.union(further).distinct(), "begun")
+        if (n := begun.count()) == known:
+            break
+        known = n
+        over = jumps.select(*doc, F.col("__k").alias("__next"), F.col("__next").alias("__over"))
+        jumps = stored(jumps.join(over, [*doc, "__next"]).select(*doc, "__k", F.col("__over").alias("__next")), "jumps")
+    flagged = rows.join(begun.withColumn("__start", F.lit(1)), [*doc, "__k"], "left").fillna(0, ["__start"])
+    flagged = running(flagged, doc, ["__k"], {"__before": "__start"}).withColumn("__chunk", F.col("__before") + F.col("__start"))
+    block = F.struct("block_index", "block_type", "text", "start_char", "end_char", *more)
+    chunks = flagged.groupBy(*doc, "__chunk").agg(F.sort_array(F.collect_list(block)).alias("p"))  # within size characters, or one block
+    only = F.col("p")[0]
+    cut = F.lit(split) & (F.size("p") == 1) & (only["block_type"] != "table") & (F.length(only["text"]) > size)
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil((F.length(only["text"]) - size) / F.lit(float(size - overlap))).cast("int"), F.lit(0)))
+    starts = F.when(cut, F.transform(pieces, lambda k: k * (size - overlap))).otherwise(F.array(F.lit(None).cast("int")))
+    chunks = running(chunks.withColumns({"__starts": starts, "__pieces": F.size(starts)}), doc, ["__chunk"], {"__index": "__pieces"})
+    each = chunks.select(*doc, "p", "__index", F.posexplode("__starts").alias("__piece", "at"))
+    return _shown(each.select(*doc, (F.col("__index") + F.col("__piece")).cast("int").alias("chunk_index"), "at", "p"), more, size)
+
+
 def _rolled_up(names: list[str]) -> list[Column]:
     """What the blocks of a chunk, in the array ``p``, say together."""
     out = []

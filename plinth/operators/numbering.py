@@ -20,3 +20,19 @@ def numbered(rows: DataFrame, *order: str, name: str = "number", parts: int | No
     offsets = F.broadcast(sizes.select("__p", before.alias("__before")))  # at most n rows
     own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
     return dealt.join(offsets, "__p").withColumn(name, (F.col("__before") + own).cast("long")).drop("__p", "__before")
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, str], parts: int | None = None) -> DataFrame:
+    """Adds, for each name of ``sums``, the sum of its column over the rows of the same ``by`` that come before in the order.
+
+    Order must tell the rows of a group apart. A group of any size is dealt over ranges; each range sums its own rows and starts with
+    what the ranges before have of the group.
+    """
+    n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(n, *by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy(*by, "__p").agg(*(F.sum(c).alias(f"__{name}") for name, c in sums.items()))
+    earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*by, "__p", *(F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__{name}") for name in sums))  # n rows a group at most
+    own = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(held, [*by, "__p"])
+    return out.select(*rows.columns, *((F.col(f"__{name}") + F.coalesce(F.sum(c).over(own), F.lit(0))).cast("long").alias(name) for name, c in sums.items()))

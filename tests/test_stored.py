@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.operators import evaluate, gates, prepared, quantiles, retrieval, vector_index
+from plinth.operators import chunking, evaluate, gates, prepared, quantiles, retrieval, vector_index
+from plinth.operators.numbering import running
 from plinth.plans.search_plans import cases_of
 from plinth.plans.text_plans import chunks_of
 from plinth.sources import generations, paged
@@ -227,3 +228,27 @@ def test_vector_index_finds_what_comparing_all_finds(spark, monkeypatch, block,
     assert vector_index.VectorIndex(spark, vector_index.write(index.limit(0))).search(queries).count() == 0
     with pytest.raises(Exception, match="length"):
         own.search(vectors_of(spark, rng.normal(size=(2, 5)), "query_id")).collect()
+
+
+@pytest.mark.parametrize(("size", "overlap", "split", "stretch"), [(60, 10, True, 1 << 20), (60, 10, True, 200), (25, 0, False, 100), (1000, 100, True, 5000)])
+def test_large_documents_are_packed_as_small_ones(spark, monkeypatch, size, overlap, split, stretch):
+    """Tables, long and empty blocks, several documents; what the folding of a row gives."""
+    monkeypatch.setattr(chunking, "STRETCH", stretch)
+    rng, data = random.Random(size), []
+    for d in range(4):
+        at = 0
+        for k in range((400, 1, 150, 2)[d]):
+            n = rng.choice([0, 1, 3, 8, 20, 24, 25, 26, 58, 60, 61, 200])
+            data.append((d, 3 * k, rng.choice(["paragraph", "paragraph", "list", "table"]), "".join(rng.choices("abc ", k=n)), at, at + n, k // 7, ["a"] * (k % 2)))
+            at += n + 2
+    blocks = spark.createDataFrame(data, "document_id long, block_index int, block_type string, text string, start_char int, end_char int, page_number int, heading_path array<string>")
+    want = rows(chunking.block_chunks(blocks, size, overlap, split))
+    assert rows(chunking.block_chunks_of_any_size(blocks, size, overlap, split, large=0)) == want
+    assert rows(chunking.block_chunks_of_any_size(blocks, size, overlap, split, large=149)) == want
+    assert rows(chunking.block_chunks_of_any_size(blocks, size, overlap, split)) == want
+
+
+def test_running_sums_of_one_group_over_many_ranges(spark):
+    df = spark.range(1000).select(F.lit("g").alias("g"), "id", (F.col("id") % 3).alias("v"))
+    got = running(df, ["g"], ["id"], {"before": "v"}, parts=7).orderBy("id").collect()
+    assert [r["before"] for r in got] == [sum(i % 3 for i in range(n)) for n in range(1000)]
