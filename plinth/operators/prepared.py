@@ -3,7 +3,7 @@
 An index is a folder of three tables:
 
     chunks    number, chunk_id, length (in tokens), and the chunk's distinct tokens with their counts
-    postings  bucket=B/: token, block, n, most_tf, least_length, places, tfs, lengths
+    postings  bucket=B/: token, block, n, most_tf, least_length, and the entries, packed (place, count, length of each chunk)
     stats     one row, written last: an index without it isn't there
 
 A chunk's number tells the task that counted it and its place there; BLOCK numbers
@@ -42,9 +42,11 @@ from plinth.operators.retrieval import K1, B, best_of, check_limit, query_tokens
 from plinth.sources.shared import new_folder, sent, stored
 
 #: Numbers of a block, buckets that tokens are dealt into, blocks of a query that are scored before there is a threshold.
-BLOCK, BUCKETS, FIRST = 128, 64, 4
+BLOCK, BUCKETS, FIRST = 1024, 64, 2
 #: Blocks of a group, postings that are spelled out for their queries at once, (query, token) pairs of a block of queries, about.
-GROUP, STEP, PAIRS = 8, 1 << 14, 1 << 18
+GROUP, STEP, PAIRS = 2, 1 << 14, 1 << 18
+#: An entry of the postings: the chunk's place in its block, the token's count in it, its length in tokens.
+ENTRY = np.dtype([("place", "<u2"), ("tf", "<u4"), ("length", "<u4")])
 #: What sums of the same numbers in another order may differ by.
 SLACK = 1e-7
 #: Of counts in chunk and length, what a token counts for; of counts in query and corpus, its weight.
@@ -76,7 +78,7 @@ def _counted(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"number long, chunk_id {kind}, length int, tokens array<string>, tfs array<int>")
 
 
-_POSTINGS = "token string, block long, n long, most_tf int, least_length int, places array<short>, tfs array<int>, lengths array<int>"
+_POSTINGS = "token string, block long, n int, most_tf int, least_length int, entries binary"
 
 
 def _inverted(counted: DataFrame) -> DataFrame:
@@ -93,10 +95,13 @@ def _inverted(counted: DataFrame) -> DataFrame:
             number, token, row = number[order], token[order], row[order]
             tf, length, block = batch.column("tfs").flatten().to_numpy()[order], batch.column("length").to_numpy()[row], number // BLOCK
             starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
-            ends = pa.array(np.append(starts, len(number)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((number % BLOCK).astype(np.int16), tf, length)]
-            own = [coded.dictionary.take(pa.array(token[starts])), pa.array(block[starts]), pa.array(np.diff(np.append(starts, len(number)))), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts))]
-            yield pa.RecordBatch.from_arrays([*own, *lists], ["token", "block", "n", "most_tf", "least_length", "places", "tfs", "lengths"])
+            ends = np.append(starts, len(number))
+            packed = np.empty(len(number), ENTRY)
+            packed["place"], packed["tf"], packed["length"] = number % BLOCK, tf, length
+            entries = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ENTRY.itemsize * ends).astype(np.int32)), pa.py_buffer(packed)])
+            counts = pa.array(np.diff(ends).astype(np.int32))
+            most, least = pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(token[starts])), pa.array(block[starts]), counts, most, least, entries], ["token", "block", "n", "most_tf", "least_length", "entries"])
 
     return counted.select("number", "length", "tokens", "tfs").mapInArrow(run, _POSTINGS)
 
@@ -215,11 +220,11 @@ class Index:
             rows = rows.filter(pc.is_in(rows.column("block"), pa.array(blocks))).combine_chunks()
             chunks, postings = rows.filter(pc.is_null(rows.column("at"))).sort_by("chunk_id"), rows.filter(pc.is_valid(rows.column("at")))
             number, slot = chunks.column("number").to_numpy(), np.argsort(chunks.column("number").to_numpy())  # slots are in the order of the ids
-            held = np.repeat(postings.column("block").to_numpy(), postings.column("n").to_numpy()) * BLOCK + pc.list_flatten(postings.column("places")).to_numpy()
+            entries = np.frombuffer(b"".join(postings.column("entries").to_pylist()), ENTRY)
+            held = np.repeat(postings.column("block").to_numpy(), postings.column("n").to_numpy()) * BLOCK + entries["place"]
             place_of = slot[np.searchsorted(number, held, sorter=slot)] if len(held) else held
-            tf, length = (pc.list_flatten(postings.column(c)).to_numpy() for c in ("tfs", "lengths"))
             at = np.repeat(postings.column("at").to_numpy(), postings.column("n").to_numpy())
-            parts, scores = part(tf, length), np.zeros((n_asked, len(number)))
+            parts, scores = part(entries["tf"].astype(np.float64), entries["length"].astype(np.float64)), np.zeros((n_asked, len(number)))
             for place, who, w in asking(at):
                 scores += np.bincount(who * len(number) + place_of[place], w * parts[place], scores.size).reshape(scores.shape)
             wanted = np.zeros((n_asked, len(blocks)), bool)
@@ -233,8 +238,8 @@ class Index:
         def scored(pairs: DataFrame) -> DataFrame:
             """Scores of the pairs' blocks; the ids of their chunks come as rows without a token."""
             group, blocks = F.floor(F.col("block") / GROUP).alias("group"), sent(stored(pairs.select("block").distinct(), "blocks"))
-            ids = self.chunks.select(F.shiftright("number", 7).alias("block"), "number", "chunk_id").join(blocks, "block", "left_semi")
-            lists = postings.select("block", "at", "n", "places", "tfs", "lengths").join(blocks, "block", "left_semi")
+            ids = self.chunks.select(F.floor(F.col("number") / BLOCK).alias("block"), "number", "chunk_id").join(blocks, "block", "left_semi")
+            lists = postings.select("block", "at", "n", "entries").join(blocks, "block", "left_semi")
             rows = lists.unionByName(ids, allowMissingColumns=True).select("*", group).groupBy("group")
             return rows.cogroup(pairs.select(group, "query", "block").groupBy("group")).applyInArrow(score, f"query long, chunk_id {kind}, score double")
 

@@ -45,6 +45,7 @@ def test_blocks_of_queries(spark, sf_dir, index, monkeypatch):
 def test_blocks_below_the_threshold_are_skipped(spark, monkeypatch):
     """A rare token is found in its blocks alone, though a common one stands in all."""
     monkeypatch.setattr(prepared, "FIRST", 2)
+    monkeypatch.setattr(prepared, "BLOCK", 64)
     texts = [(f"{i:05d}", "common filler words " * 3 + ("needle needle needle" if i // 100 == 7 else "")) for i in range(3000)]
     chunks = spark.createDataFrame(texts, "chunk_id string, text string")
     queries = spark.createDataFrame([(1, "common needle"), (2, "absent"), (3, ""), (4, None), (5, "needle needle filler")], "query_id long, query string")
