@@ -48,11 +48,11 @@ def consensus(flags: DataFrame, least: int = 2) -> DataFrame:
     return flags.groupBy("query_id").agg(F.count_if("hit").alias("n_hits"), F.count("*").alias("n_trials")).withColumn("agreed", F.col("n_hits") >= least)
 
 
-def open_trials(modes: list[str], limits: list[int], repetitions: int, finished: DataFrame) -> DataFrame:
-    """The trials (mode, k, repetition) of a matrix that ``finished`` doesn't hold yet."""
-    spark = finished.sparkSession
-    grid = [(m, k, r) for m in modes for k in limits for r in range(repetitions)]
-    return spark.createDataFrame(grid, "mode string, k int, repetition int").join(finished, ["mode", "k", "repetition"], "left_anti")
+def open_trials(modes: DataFrame, limits: list[int], repetitions: int, finished: DataFrame) -> DataFrame:
+    """The trials (mode, k, repetition) of a matrix, every mode (a row each) at every limit so often, that ``finished`` doesn't hold yet."""
+    each = modes.select("mode", F.explode(F.array(*map(F.lit, limits))).alias("k"))
+    grid = each.select("mode", "k", F.explode(F.array(*map(F.lit, range(repetitions)))).alias("repetition"))
+    return grid.join(finished, ["mode", "k", "repetition"], "left_anti")
 
 
 def checks(row: DataFrame, **conditions: Column) -> DataFrame:
@@ -64,22 +64,26 @@ def checks(row: DataFrame, **conditions: Column) -> DataFrame:
     return row.select(*(c.alias(n) for n, c in flags.items()), every.alias("all_passed"))
 
 
-def farthest(points: DataFrame, count: int) -> list[int]:
-    """Ids of ``count`` points (id, position) spread out: the first, then always the one farthest from all chosen; ties go to the least id.
+def farthest(points: DataFrame, count: int, *by: str) -> DataFrame:
+    """(by, place, id) of ``count`` points (id, position) of each group, spread out: the first, then always the one farthest from all
+    chosen; of ties the least id. Ids tell a group's points apart.
 
-    One aggregation a step; the points stay where they are.
+    All groups go together, a choice being one aggregation that Spark combines before it shuffles; only the few chosen points are joined
+    back, so no task holds a group and nothing passes the driver.
     """
-    first = points.agg(F.min("id")).first()[0]
-    chosen = [] if first is None else [first]
-    places = [points.where(F.col("id") == first).first()["position"]] if chosen else []
-    while chosen and len(chosen) < count:
-        near = F.array_min(F.array(*(F.abs(F.col("position") - p) for p in places)))
-        row = points.where(~F.col("id").isin(chosen)).agg(F.max_by(F.struct("id", "position"), F.struct(near, -F.col("id"))).alias("x")).first()["x"]
-        if row is None:
-            break
-        chosen.append(row["id"])
-        places.append(row["position"])
-    return chosen
+    keys = list(by)
+    kept = stored(points.select(*keys, "id", F.col("position").cast("double").alias("position")), "points")
+    point = F.struct("id", "position")
+    chosen = kept.groupBy(*keys).agg(F.array(F.min_by(point, "id")).alias("chosen")).where(F.col("chosen")[0].isNotNull())
+    for _ in range(1, count):
+        chosen = stored(chosen, "chosen")
+        near = F.array_min(F.transform("chosen", lambda c: F.abs(F.col("position") - c["position"])))
+        open_ = joined(kept, sent(chosen), keys).where(~F.exists("chosen", lambda c: c["id"] == F.col("id")))
+        best = open_.groupBy(*keys).agg(F.max_by(point, F.struct(near, -F.col("id"))).alias("next"))
+        grown = F.when(F.col("next").isNotNull(), F.concat("chosen", F.array("next"))).otherwise(F.col("chosen"))
+        chosen = joined(chosen, best, keys, "left").select(*keys, grown.alias("chosen"))
+    rows = chosen.select(*keys, F.posexplode("chosen").alias("place", "c")).where(F.col("place") < count)
+    return rows.select(*keys, "place", F.col("c.id").alias("id"))
 
 
 def review(cases: DataFrame, decisions: DataFrame) -> DataFrame:

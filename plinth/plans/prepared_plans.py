@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators import prepared, vector_index
-from plinth.plans import search_plans
-from plinth.plans.search_plans import LIMIT, cases_of, shown
-from plinth.plans.text_plans import chunks_of
-from plinth.sources.tables import vectors
+from plinth.operators import prepared, retrieval, vector_index
+from plinth.plans import search_plans, trials
+from plinth.plans.search_plans import LIMIT, RANKED, cases_of, shown
+from plinth.plans.text_plans import CHUNKS, chunks_of
+from plinth.sources import providers
+from plinth.sources.embedding_cache import EmbeddingCache
+from plinth.sources.shared import new_folder
+from plinth.sources.tables import documents, vectors
 
 
 def prepared_bm25(spark, sf_dir):
@@ -34,10 +38,47 @@ def vector_index_search(spark, sf_dir):
     return shown(index.search(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), LIMIT))
 
 
-QUERIES = {f.__name__: f for f in (prepared_bm25, prepared_lexical, prepared_stats, vector_index_search)}
+def trial_matrix(spark, sf_dir):
+    """Results of two modes at two limits, kept, and how many cells a second run had to make: none, and one that was deleted."""
+    cases, chunks = cases_of(spark, sf_dir), chunks_of(spark, sf_dir)
+    search = {"lexical": retrieval.lexical_search, "bm25": retrieval.bm25_search}
+
+    def run(cell: dict) -> DataFrame:
+        found = search[cell["mode"]](chunks, cases, cell["k"])
+        return found.select(F.concat_ws(":", F.format_string("%012d", "query_id"), F.format_string("%06d", "rank")).alias("key"), "query_id", "rank", "chunk_id")
+
+    inputs = {"cases": trials.digest_of(cases, "query_id", "query"), "documents": trials.digest_of(documents(spark, sf_dir), "document_id", "text")}
+    matrix = trials.TrialMatrix(spark, new_folder(spark, "trials"), inputs, "key", run)
+    cells = [{"mode": m, "k": k} for m in search for k in (1, 5)]
+    matrix.complete(cells)
+    first = len(matrix.ran)
+    rows = matrix.complete(cells)
+    found = rows.groupBy("mode", "k").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("n_queries"), F.count_distinct("chunk_id").alias("n_chunks"))
+    return found.withColumns({"ran_first": F.lit(first), "ran_again": F.lit(len(matrix.ran))})
+
+
+def cached_embeddings(spark, sf_dir):
+    """Vectors of chunks by way of a cache: of every other document first, then of all, then of all again, compacted in between."""
+    chunks, provider = chunks_of(spark, sf_dir), providers.hashing_provider()
+    cache = EmbeddingCache(spark, new_folder(spark, "embeddings"), {"provider": "hashing", "dimensions": "64"})
+    cache.embed(chunks.where("document_id % 2 = 0"), provider)
+    first = cache.asked
+    cache.embed(chunks, provider)
+    second = cache.asked
+    cache.compact()
+    rows = cache.embed(chunks, provider)
+    sums = rows.agg(F.count("*").alias("n"), F.count_distinct("text_hash").alias("n_texts"), F.count_if(F.size("embedding") == 64).alias("n_whole"))
+    return sums.withColumns({"asked_first": F.lit(first), "asked_then": F.lit(second), "asked_last": F.lit(cache.asked)})
+
+
+QUERIES = {f.__name__: f for f in (prepared_bm25, prepared_lexical, prepared_stats, vector_index_search, trial_matrix, cached_embeddings)}
 SQL = {
     "prepared_bm25": search_plans.SQL["bm25_search"],
     "prepared_lexical": search_plans.SQL["lexical_search"],
+    "trial_matrix": f"with {RANKED} "
+    + " union all ".join(f"select '{m}' \"mode\", {k} k, count(*) n, count(distinct query_id) n_queries, count(distinct chunk_id) n_chunks, 4 ran_first, 0 ran_again from {m} where rank <= {k}" for m in ("lexical", "bm25") for k in (1, 5)),
+    "cached_embeddings": f"""with {CHUNKS}, h as (select sha256(text) h, document_id % 2 = 0 even from chunks), d as (select h, bool_or(even) even from h group by h)
+      select (select count(*) from h) n, count(*) n_texts, (select count(*) from h) n_whole, count(*) filter (where even) asked_first, count(*) filter (where not even) asked_then, 0::bigint asked_last from d""",
     "vector_index_search": search_plans.SQL["semantic_search"],
     "prepared_stats": search_plans.SQL["corpus_stats"],
 }

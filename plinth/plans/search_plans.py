@@ -220,9 +220,8 @@ def stable_rankings(spark, sf_dir):
 def unfinished_trials(spark, sf_dir):
     """The trials of a matrix that events haven't finished: a type of event is a mode, its users' last digits are limits."""
     events = table(spark, sf_dir, "events")
-    done = events.where("user_id < 40").select(F.col("event_type").alias("mode"), (F.col("user_id") % 10).cast("int").alias("k"), (F.col("user_id") % 4).cast("int").alias("repetition")).distinct()
-    modes = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of types
-    return gates.open_trials(modes, [1, 2, 5, 11], 4, done)
+    done = events.select(F.col("event_type").alias("mode"), (F.col("user_id") % 10).cast("int").alias("k"), (F.col("user_id") % 4).cast("int").alias("repetition")).distinct()
+    return gates.open_trials(events.select(F.col("event_type").alias("mode")).distinct(), [1, 2, 5, 11], 4, done)
 
 
 def input_checks(spark, sf_dir):
@@ -236,8 +235,13 @@ def input_checks(spark, sf_dir):
 def farthest_points(spark, sf_dir):
     """Five passages whose lengths lie far apart."""
     points = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").cast("double").alias("position"))
-    chosen = gates.farthest(stored(points, "points"), 5)
-    return spark.createDataFrame([(i, n) for n, i in enumerate(chosen)], "item_id long, place int")
+    return gates.farthest(points, 5).select(F.col("id").alias("item_id"), "place")
+
+
+def farthest_documents(spark, sf_dir):
+    """Four documents of each source and language whose lengths lie far apart."""
+    points = documents(spark, sf_dir).select("source", "lang", F.col("document_id").alias("id"), F.length("text").alias("position"))
+    return gates.farthest(points, 4, "source", "lang")
 
 
 def gold_mapping(spark, sf_dir):
@@ -579,7 +583,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_stats, lexical_search, bm25_search, cosine_pairs, semantic_search, hybrid_rrf, dedup_candidates, metadata_redact, retrieval_stages, ranking_rehydrate,
-        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows, fragment_evidence, stable_rankings, unfinished_trials, input_checks, farthest_points,
+        token_budget_prefix, context_pack, prompt_render, budget_frontier, fragment_allocation, fragment_windows, fragment_scores, fragment_contexts, evidence_windows, fragment_evidence, stable_rankings, unfinished_trials, input_checks, farthest_documents, farthest_points,
         gold_mapping, gold_mapping_by_page, unmatched_spans, relevance_flags, ndcg, case_results, retrieval_metrics, stage_latencies, compact_results,
         mode_comparison, cutoff_metrics, failure_cases, failure_breakdown, evidence_coverage, duplicate_context, ngram_coverage, latency_percentiles, metric_spread, transitions, screen_transitions,
         heldout_overlap, review_merge, rule_violations, generated_cases, screen_gates, cache_report, case_files, trace_files, run_files, normal_chunks, redacted_metadata, session_append,
@@ -799,9 +803,16 @@ SQL = {
       from gg left join ra using (query_id, g) left join oa using (query_id, g) left join sa using (query_id, g) group by query_id""",
     "stable_rankings": f"with {RANKED} select query_id, (case when query_id % 3 = 0 and max(rank) = {LIMIT} then 2 else 1 end)::bigint n_rankings from bm25 group by query_id",
     "unfinished_trials": """select "mode", k::int k, r::int repetition from (select distinct event_type "mode" from events), (select unnest([1, 2, 5, 11]) k), (select unnest(range(4)) r)
-      where not exists (select 1 from events where user_id < 40 and event_type = "mode" and user_id % 10 = k and user_id % 4 = r)""",
+      where not exists (select 1 from events where event_type = "mode" and user_id % 10 = k and user_id % 4 = r)""",
     "input_checks": f"""with {DOCS}, d as (select count(*) = count(distinct document_id) ids, count(*) filter (where t = '') = 0 texts from docs), b as (select count(*) >= 10 cases, count(*) = count(distinct text) hashes, min(length(text)) > 10000 sizes from benchmark)
       select *, ids and texts and cases and hashes and sizes all_passed from d, b""",
+    "farthest_documents": """with recursive p as (select source, lang, doc_id id, length(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'))::double x from documents)
+      , f as (select source, lang, [min_by(id, id)] c, [min_by(x, id)] xs, 1 n from p group by source, lang
+        union all select f.source, f.lang, list_append(any_value(c), max_by(id, (d, -id))), list_append(any_value(xs), max_by(x, (d, -id))), n + 1
+        from (select f.source, f.lang, c, xs, n, id, x, list_min(list_transform(xs, lambda y: abs(y - x))) d from f join p on f.source is not distinct from p.source and f.lang is not distinct from p.lang
+          where n < 4 and not list_contains(c, id)) f group by f.source, f.lang, n)
+      , l as (select source, lang, arg_max(c, n) c from f group by source, lang)
+      select source, lang, unnest(c) id, unnest(range(len(c)))::int place from l""",
     "farthest_points": """with recursive p as (select item_id, length(text)::double x from benchmark), f as (select [min_by(item_id, item_id)] c, [min_by(x, item_id)] xs, 1 n from p
         union all select list_append(c, (nx).item_id), list_append(xs, (nx).x), n + 1 from (select c, xs, n, (select max_by({'item_id': item_id, 'x': x}, (list_min(list_transform(xs, lambda y: abs(y - x))), -item_id)) from p where not list_contains(c, item_id)) nx from f where n < 5) where nx is not null)
       select unnest(c) item_id, unnest(range(len(c)))::int place from f where n = (select max(n) from f)""",

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from plinth.operators import chunking, evaluate, gates, prepared, quantiles, retrieval, vector_index
 from plinth.operators.numbering import running
+from plinth.plans import trials
 from plinth.plans.search_plans import cases_of
 from plinth.plans.text_plans import chunks_of
 from plinth.sources import generations, paged
+from plinth.sources.embedding_cache import EmbeddingCache
 
 
 def rows(df):
@@ -253,3 +255,77 @@ def test_running_sums_of_one_group_over_many_ranges(spark):
     df = spark.range(1000).select(F.lit("g").alias("g"), "id", (F.col("id") % 3).alias("v"))
     got = running(df, ["g"], ["id"], {"before": "v"}, parts=7).orderBy("id").collect()
     assert [r["before"] for r in got] == [sum(i % 3 for i in range(n)) for n in range(1000)]
+
+
+def test_embedding_cache(spark, tmp_path):
+    folder, calls = f"file://{tmp_path}/cache", tmp_path / "calls"
+    calls.mkdir()
+
+    def counting(width):
+        def embed(texts):
+            for t in texts:
+                (calls / f"{len(os.listdir(calls)):06d}-{os.getpid()}-{abs(hash(t))}").write_text(t)
+            return [[float(len(t))] * width for t in texts]
+
+        return embed
+
+    chunks = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None), (5, "")], "chunk_id long, text string")
+    cache = EmbeddingCache(spark, folder, {"model": "m", "dimensions": "2"})
+    first = rows(cache.embed(chunks, counting(2)))
+    assert (cache.asked, cache.found, len(os.listdir(calls))) == (3, 0, 3) and [r[0] for r in first] == [1, 2, 3, 4, 5]
+    assert rows(cache.embed(chunks, counting(2))) == first and (cache.asked, cache.found, len(os.listdir(calls))) == (0, 3, 3)
+    again = EmbeddingCache(spark, folder, {"dimensions": "2", "model": "m"})
+    again.compact()
+    assert again.known().count() == 3
+    more = chunks.union(spark.createDataFrame([(6, "ccc")], "chunk_id long, text string"))
+    assert again.embed(more, counting(2)).count() == 6 and (again.asked, again.found, len(os.listdir(calls))) == (1, 3, 4)
+    assert rows(cache.embed(more, counting(2)))[-1][2] == [3.0, 3.0] and cache.asked == 0
+    with pytest.raises(Exception, match="length"):
+        cache.embed(spark.createDataFrame([(7, "dddd")], "chunk_id long, text string"), counting(3))
+    assert cache.embed(more, counting(2)).count() == 6 and cache.asked == 0
+    other = EmbeddingCache(spark, folder, {"model": "n", "dimensions": "2"})
+    assert other.embed(chunks, counting(3)).count() == 5 and other.asked == 3
+    assert other.embed(chunks.limit(0), counting(3)).count() == 0
+
+
+def test_trials_are_resumed(spark, tmp_path):
+    made = []
+
+    def run(cell):
+        made.append(cell)
+        return spark.range(cell["k"]).select("id", (F.col("id") * 2).alias("v"))
+
+    matrix = trials.TrialMatrix(spark, f"file://{tmp_path}", {"cases": "x"}, "id", run)
+    cells = [{"mode": m, "k": k} for m in ("a", "b") for k in (3, 50)] + [{"mode": "a", "k": 0}]
+    want = rows(matrix.complete(cells))
+    assert len(made) == 5 == len(matrix.ran) and len(want) == 106
+    assert rows(matrix.complete(cells)) == want and not matrix.ran and len(made) == 5
+    damaged, gone = matrix.name(cells[1]), matrix.name(cells[2])
+    file = damaged.removeprefix("file://") + "/" + generations.current(damaged)["files"][0]["file"]
+    with open(file, "r+b") as f:
+        f.seek(8)
+        f.write(b"!")
+    os.remove(gone.removeprefix("file://") + "/" + generations.POINTER)
+    assert [matrix.state(c) for c in cells] == ["done", "damaged", "missing", "done", "done"]
+    assert rows(matrix.complete(cells)) == want and matrix.ran == [cells[1], cells[2]]
+    matrix.complete([*cells, {"mode": "c", "k": 1}])
+    assert matrix.ran == [{"mode": "c", "k": 1}]
+    other = trials.TrialMatrix(spark, f"file://{tmp_path}", {"cases": "y"}, "id", run)
+    other.complete(cells[:1])
+    assert other.ran == cells[:1]
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id long, t string")
+    assert trials.digest_of(df, "id", "t") == trials.digest_of(df.orderBy(F.desc("id")).repartition(3), "id", "t") != trials.digest_of(df.distinct(), "id", "t")
+
+
+def test_farthest_points_of_many_groups(spark):
+    rng = random.Random(2)
+    data = [(g, i, float(rng.randint(0, 30))) for g in ("a", None, "c", "one") for i in range(1 if g == "one" else 40)]
+    got = {}
+    for r in gates.farthest(spark.createDataFrame(data, "g string, id long, position double"), 6, "g").orderBy("place").collect():
+        got.setdefault(r["g"], []).append(r["id"])
+    for g in ("a", None, "c", "one"):
+        points = {i: p for k, i, p in data if k == g}
+        chosen = [0]
+        while len(chosen) < min(6, len(points)):
+            chosen.append(max((i for i in points if i not in chosen), key=lambda i: (min(abs(points[i] - points[c]) for c in chosen), -i)))
+        assert got[g] == chosen
