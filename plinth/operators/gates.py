@@ -119,6 +119,86 @@ def violations(rows: DataFrame, key: str, most: int = 20, **conditions: Column)
     return counts.join(shown, "condition", "left").select("condition", "n", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
+def mode_gates(rows: DataFrame, counts: dict[str, tuple[Column, int]], sums: dict[str, tuple[Column, str, float]]) -> DataFrame:
+    """(gate, value, limit, passed, cases) over cases of several modes (mode, query_id, ...).
+
+    counts: how many cases may break a condition at most, by the column that says so; their names, mode:query_id, are listed, the first
+    twenty. sums: an aggregate of all rows, and whether it must be ``>=`` or ``<=`` a number. Null breaks a condition, and fails a sum.
+    """
+    kept = stored(rows, "cases")
+    keyed = kept.withColumn("__case", F.concat_ws(":", "mode", F.col("query_id").cast("string")))
+    broken = violations(keyed, "__case", **{name: ~c for name, (c, _) in counts.items()})
+    most = F.create_map(*(F.lit(x) for name, (_, n) in counts.items() for x in (name, float(n))))
+    limit = F.element_at(most, F.col("condition"))
+    counted = broken.select(F.col("condition").alias("gate"), F.col("n").cast("double").alias("value"), limit.alias("limit"), (F.col("n") <= limit).alias("passed"), F.col("examples").alias("cases"))
+    if not sums:
+        return counted
+    row = kept.agg(*(c.cast("double").alias(name) for name, (c, _, _) in sums.items()))
+    return counted.unionByName(gates(row, {name: (side, n) for name, (_, side, n) in sums.items()}).withColumn("cases", F.lit("")))
+
+
+def _of(mode: str, value: Column) -> Column:
+    return F.when(F.col("mode") == mode, value)
+
+
+def _hits(mode: str, flag: str) -> Column:
+    return F.avg(_of(mode, F.col(flag).cast("double")))
+
+
+def replay_gates(rows: DataFrame, first: str, second: str, budget: int, losses: tuple[int, int] = (0, 0), ratio: float = 1.0, least: int = 1) -> DataFrame:
+    """The six gates of a replay within a budget, over the cases of two modes as ``selection.replay`` gives them: hits that either mode
+    loses, the second's context against all its results, and contexts that are empty, over the budget, or no prefix of the ranking."""
+    lost = F.col("parent_hit") & ~F.col("hit")
+    context = F.avg(_of(second, F.col("chars_kept"))) / F.avg(_of(second, F.col("chars_all")))
+    counts = {f"{mode}_hits_retained": ((F.col("mode") == mode) & lost, n) for mode, n in zip((first, second), losses, strict=True)}
+    counts |= {"contexts_nonempty": (F.col("n_kept") < least, 0), "contexts_within_budget": (F.col("chars_kept") > 4 * budget, 0), "ranked_prefix_kept": (F.col("n_kept") != F.col("last_kept"), 0)}
+    return mode_gates(rows, counts, {f"{second}_context_tokens": (context, "<=", ratio)})
+
+
+def direction_gates(rows: DataFrame, first: str, second: str, gains: tuple[float, float] = (0.0, 0.0), losses: tuple[int, int] = (0, 0), ratio: float = 1.0, missed: int = 0) -> DataFrame:
+    """The seven gates that confirm a direction, over cases (mode, query_id, parent_hit, candidate_hit, hit, parent_missed, missed,
+    chars_kept, parent_chars, n_kept, last_kept, within): how much each mode's hit rate changes at least, sources newly missed, hits of
+    the candidate that its selection loses in either mode, the second's context against its parent's, and broken invariants."""
+    lost = F.col("candidate_hit") & ~F.col("hit")
+    counts = {f"{mode}_context_hits_retained": ((F.col("mode") == mode) & lost, n) for mode, n in zip((first, second), losses, strict=True)}
+    counts |= {"no_new_missed_source": (F.col("missed") & ~F.col("parent_missed"), missed), "invariants": (~F.col("within") | (F.col("n_kept") != F.col("last_kept")), 0)}
+    sums = {f"{mode}_hit_direction": (_hits(mode, "candidate_hit") - _hits(mode, "parent_hit"), ">=", n) for mode, n in zip((first, second), gains, strict=True)}
+    context = F.avg(_of(second, F.col("chars_kept"))) / F.avg(_of(second, F.col("parent_chars")))
+    return mode_gates(rows, counts, sums | {f"{second}_context_tokens": (context, "<=", ratio)})
+
+
+#: What a selection of fragments may look at.
+SELECTOR_INPUTS = ("query_tokens", "window_tokens", "signal_tokens")
+
+
+def fragment_gates(
+    rows: DataFrame, losses: dict[str, int], context_of: str, inputs: tuple[str, ...] = SELECTOR_INPUTS, unreachable: int = 0, ratio: float = 1.0, coverage: tuple[float, float, float] | None = None
+) -> DataFrame:
+    """The gates of fragment packing, over cases (mode, query_id, parent_hit, scorable, oracle_hit, hit, n_results, n_fragments, n_lost,
+    chars, budget, n_unmapped, parent_chars): evidence of the parent's hits that the best windows can't reach or that can't be scored,
+    hits that the selection loses in each mode, results without a fragment, fragments that stray from their chunk, contexts over their
+    budget, unmapped fragments, one mode's context against its parent's, and whether the selector saw its own inputs alone; nine for two modes.
+
+    With ``coverage``, the gates of a confirmation besides: least mean share of the reachable evidence that is held (``held``), least share
+    of a case, and least mean share of what the best windows hold (``efficiency``), each a column of the rows; and that each mode has
+    parent's hits at all.
+    """
+    hit = F.col("parent_hit")
+    counts = {f"{mode}_fragment_hits_retained": ((F.col("mode") == mode) & hit & F.col("scorable") & ~F.col("hit"), n) for mode, n in losses.items()}
+    counts |= {
+        "oracle_evidence_reachable": (hit & (~F.col("scorable") | ~F.col("oracle_hit")), unreachable), "all_candidates_represented": (F.col("n_fragments") != F.col("n_results"), 0),
+        "fragments_traceable": (F.col("n_lost") > 0, 0), "contexts_within_budget": (F.col("chars") > F.col("budget"), 0), "fragments_mapped": (F.col("n_unmapped") > 0, 0),
+    }
+    own = float(tuple(inputs) == SELECTOR_INPUTS)
+    sums = {f"{context_of}_context_tokens": (F.avg(_of(context_of, F.col("chars"))) / F.avg(_of(context_of, F.col("parent_chars"))), "<=", ratio), "selector_isolated": (F.max(F.lit(own)), ">=", 1.0)}
+    if coverage:
+        mean, least, efficiency = coverage
+        counts |= {"case_coverage": (F.col("scorable") & (F.coalesce("held", F.lit(0.0)) < least), 0)}
+        for mode in losses:
+            sums |= {f"{mode}_coverage": (F.avg(_of(mode, F.col("held"))), ">=", mean), f"{mode}_efficiency": (F.avg(_of(mode, F.col("efficiency"))), ">=", efficiency), f"{mode}_parent_hits": (F.sum(_of(mode, hit.cast("double"))), ">=", 1.0)}
+    return mode_gates(rows, counts, sums)
+
+
 def generated_cases(spans: DataFrame, generate: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Evaluation cases made of evidence spans (span_id, text), and the spans that gave none, with the reason.
 

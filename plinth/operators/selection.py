@@ -37,6 +37,19 @@ def budget_frontier(ranked: DataFrame, gold: DataFrame, budgets: list[int]) -> D
     return rows.groupBy("budget").agg(F.count_if(kept).alias("n_kept"), F.count_if((F.col("gold") == 1) & ~kept).alias("n_lost"), F.count("*").alias("n_all"))
 
 
+def replay(ranked: DataFrame, gold: DataFrame, budget_tokens: int, *by: str) -> DataFrame:
+    """For each query (and ``by``) of ranked results (query_id, rank, chunk_id, text), what a prefix within the budget keeps of them:
+    whether a gold chunk (query_id, chunk_id) is among all and among the kept, how many are kept, the last kept rank, and characters."""
+    running = F.sum(F.length("text")).over(Window.partitionBy(*by, "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    flags = gold.select("query_id", "chunk_id", F.lit(True).alias("__gold")).distinct()
+    kept, is_gold, size = F.col("__running") <= 4 * budget_tokens, F.coalesce("__gold", F.lit(False)), F.length("text")
+    rows = ranked.withColumn("__running", running).join(flags, ["query_id", "chunk_id"], "left")
+    return rows.groupBy(*by, "query_id").agg(
+        F.max(is_gold).alias("parent_hit"), F.max(is_gold & kept).alias("hit"), F.count("*").alias("n_results"), F.count_if(kept).alias("n_kept"), F.coalesce(F.max(F.when(kept, F.col("rank"))), F.lit(0)).alias("last_kept"),
+        F.coalesce(F.sum(F.when(kept, size)), F.lit(0)).alias("chars_kept"), F.sum(size).alias("chars_all"),
+    )
+
+
 # Words that say little about what a query asks for.
 STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "what", "when", "which", "with",

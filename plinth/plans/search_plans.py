@@ -166,7 +166,7 @@ def fragment_windows(spark, sf_dir):
     return rows.select("query_id", "chunk_id", "window_start", "window_end", F.sha2("window_text", 256).alias("text_sha256"))
 
 
-def _best_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window of each BM25 result that says most about its query; what a chunk begins with is its signal."""
     rows = fragments_of(spark, sf_dir).withColumns({"query_tokens": U.folded_tokens("query"), "signal_tokens": U.folded_tokens(F.substring("text", 1, 60))})
     cut = selection.fragment_windows(stored(rows, "fragments")).withColumn("window_tokens", U.folded_tokens("window_text"))
@@ -174,12 +174,12 @@ def _best_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragment_scores(spark, sf_dir):
-    return _best_fragments(spark, sf_dir).select("query_id", "chunk_id", "window_start", "window_end", "n_unique", "n_occurrences", "n_bigrams", "n_signals")
+    return best_fragments(spark, sf_dir).select("query_id", "chunk_id", "window_start", "window_end", "n_unique", "n_occurrences", "n_bigrams", "n_signals")
 
 
 def fragment_contexts(spark, sf_dir):
     """The rendered fragments of each query, none of which strays from its chunk."""
-    best = stored(_best_fragments(spark, sf_dir), "fragments")
+    best = stored(best_fragments(spark, sf_dir), "fragments")
     lost = selection.untraceable(best, chunks_of(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n_lost"))
     rows = selection.render_fragments(best).join(lost, "query_id", "left")
     return rows.select("query_id", F.sha2("context", 256).alias("context_sha256"), F.length("context").alias("n_chars"), F.coalesce("n_lost", F.lit(0)).alias("n_lost"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import unicode as U
-from plinth.operators import evidence, gates, history, pages, represent
+from plinth.operators import evidence, gates, history, pages, represent, selection
 from plinth.operators.numbering import numbered
 from plinth.plans.engine import Engine, listed
 from plinth.sources import providers
@@ -193,3 +193,33 @@ def test_engine(spark):
         engine.search(queries, "semantic")
     with pytest.raises(ValueError):
         engine.search(queries, "other")
+
+
+CASE = "mode string, query_id long, parent_hit boolean, candidate_hit boolean, hit boolean, parent_missed boolean, missed boolean, within boolean, n_kept int, last_kept int, chars_kept long, chars_all long, parent_chars long"
+
+
+def test_gates_of_modes(spark):
+    data = [
+        ("a", 1, True, True, True, False, False, True, 2, 2, 10, 20, 10), ("a", 2, True, True, False, False, True, True, 0, 0, 0, 30, 10), ("b", 1, False, True, True, True, True, False, 3, 5, 50, 50, 100), ("b", 2, True, True, None, False, False, True, 1, 1, 10, 50, 20),
+    ]
+    rows = spark.createDataFrame(data, CASE)
+    found = {r["gate"]: (r["value"], r["passed"], r["cases"]) for r in gates.replay_gates(rows, "a", "b", 10, (1, 0), 0.6).collect()}
+    assert found == {
+        "a_hits_retained": (1.0, True, "a:2"), "b_hits_retained": (1.0, False, "b:2"), "contexts_nonempty": (1.0, False, "a:2"), "contexts_within_budget": (1.0, False, "b:1"), "ranked_prefix_kept": (1.0, False, "b:1"), "b_context_tokens": (0.6, True, ""),
+    }
+    found = {r["gate"]: (r["value"], r["passed"], r["cases"]) for r in gates.direction_gates(rows, "a", "b", (0.0, 0.5), (1, 1), 0.4).collect()}
+    assert found == {
+        "a_context_hits_retained": (1.0, True, "a:2"), "b_context_hits_retained": (1.0, True, "b:2"), "no_new_missed_source": (1.0, False, "a:2"), "invariants": (1.0, False, "b:1"), "a_hit_direction": (0.0, True, ""), "b_hit_direction": (0.5, True, ""), "b_context_tokens": (0.5, False, ""),
+    }
+    packed = rows.withColumns({"scorable": F.lit(True), "oracle_hit": F.col("query_id") == 1, "n_results": F.col("n_kept"), "n_fragments": F.col("last_kept"), "n_lost": F.lit(0), "chars": F.col("chars_kept"), "budget": F.lit(40), "n_unmapped": F.lit(0), "held": F.lit(0.5), "efficiency": F.lit(0.9)})
+    found = {r["gate"]: r["passed"] for r in gates.fragment_gates(packed, {"a": 0, "b": 1}, "b").collect()}
+    assert len(found) == 9 and {g for g, ok in found.items() if not ok} == {"a_fragment_hits_retained", "oracle_evidence_reachable", "all_candidates_represented", "contexts_within_budget"}
+    confirmed = {r["gate"]: r["passed"] for r in gates.fragment_gates(packed, {"a": 1, "b": 1}, "b", inputs=("window_tokens",), coverage=(0.6, 0.4, 0.8)).collect()}
+    assert len(confirmed) == 16 and not confirmed["a_coverage"] and not confirmed["selector_isolated"] and confirmed["b_efficiency"] and confirmed["case_coverage"] and confirmed["a_parent_hits"]
+
+
+def test_replay(spark):
+    ranked = spark.createDataFrame([("m", 1, 1, "a", "x" * 30), ("m", 1, 2, "b", "x" * 20), ("m", 1, 3, "c", "x"), ("m", 2, 1, "a", "y" * 99), ("m", 2, 2, "b", "")], "mode string, query_id long, rank int, chunk_id string, text string")
+    gold = spark.createDataFrame([(1, "b"), (1, "b"), (2, "z")], "query_id long, chunk_id string")
+    got = selection.replay(ranked, gold, 10, "mode").orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [("m", 1, True, False, 3, 1, 1, 30, 51), ("m", 2, False, False, 2, 0, 0, 0, 99)]
