@@ -10,7 +10,7 @@ from plinth.functions import unicode as U
 from plinth.operators import evaluate, evidence, gates, history, pages, represent
 from plinth.operators.numbering import numbered
 from plinth.plans.engine import Engine, listed
-from plinth.plans.search_plans import MAPPED, RANKED, SUMMARY, _metrics, cases_of, gold_of, metrics_of, results_of
+from plinth.plans.search_plans import CASES, MAPPED, RANKED, SUMMARY, _bm25, _metrics, _ranked, cases_of, gold_of, metrics_of, results_of
 from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, blocks_of, chunks_of, lines_of, packed_lines
 from plinth.sources import files, generations, paged, providers, snapshots
 from plinth.sources.shared import new_folder, stored
@@ -273,6 +273,12 @@ HEADING = f"""case when regexp_matches(l, '{represent.NUMBER}') then case when i
   when regexp_matches({NUMBERED[1]}, '{represent.MATH_NOISE}') then null when regexp_matches({NUMBERED[1]}, '{represent.LOCAL}') then 'l' || {NUMBERED[0]} || ' ' || {NUMBERED[1]}
   when {_title(NUMBERED[1])} then 'h' || {NUMBERED[0]} || ' ' || {NUMBERED[1]}
   when len(regexp_extract_all({NUMBERED[1]}, '[A-Za-z]+')) >= 2 and not regexp_matches({NUMBERED[1]}, '[.?!]$') then 'l' || {NUMBERED[0]} || ' ' || {NUMBERED[1]} end"""
+#: Signed, hashed words of texts (key, text) as unit vectors, a row for each dimension that isn't 0; crc32 is folded over a word's bytes.
+HASHED = """, {p}w as (select key, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t-\\r]+'), lambda x: x <> '')) word from {source})
+  , {p}h as (select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::bigint) h from (select distinct word from {p}w))
+  , {p}s as (select key, h % 64 d, sum(case when h >> 31 = 1 then 1 else -1 end)::double v from {p}w join {p}h using (word) group by key, d having v <> 0)
+  , {p}e as (select key, d, v / sqrt(sum(v * v) over (partition by key)) v from {p}s)"""
 COLUMNS = """g as (select document_id, page, x0 - lag(x0) over (partition by document_id, page order by x0) gap, x0 from {p})
   , m as (select document_id, page, max_by(gap, (gap, -x0)) gap, max_by(x0 - gap / 2, (gap, -x0)) mid from g where gap is not null group by document_id, page)
   , s as (select p.*, gap, mid, coalesce(x0 > mid, false) r from {p} p left join m using (document_id, page))
@@ -306,6 +312,12 @@ BLOCKS_OF_PAGES = rf"""{PIECES}, tl as (select document_id, (line_index // 10)::
     select document_id, page, 1, 'table', coalesce(cap || chr(10) || chr(10), '') || t from tt left join cp using (document_id, page))"""
 SQL = {
     "page_blocks": f"with {BLOCKS_OF_PAGES} select document_id, (row_number() over (partition by document_id order by page, part) - 1)::int block_index, page, block_type, sha256(t) text_sha256 from bl",
+    "hash_embeddings": f"""with {CHUNKS}{HASHED.format(p="c", source="(select chunk_id key, text from chunks)")}, n as (select key chunk_id, sum(v * v) x from ce group by key)
+      select chunk_id, sha256(text) text_hash, 64 n, round(coalesce(x, 0), 6) norm from chunks left join n using (chunk_id)""",
+    "engine_search": f"""with {CHUNKS}, {CASES}, {_bm25("chunks", 40)}{HASHED.format(p="c", source="(select chunk_id key, text from chunks)")}{HASHED.format(p="q", source="(select query_id key, query as text from cases)")}
+      , near as (select qe.key query_id, ce.key chunk_id, sum(qe.v * ce.v) score from qe join ce using (d) group by all), {_ranked("near", "dense", 40)}
+      , f as (select query_id, chunk_id, b.rank a, d.rank z, coalesce(1.0::double / (60 + b.rank), 0) + coalesce(1.0::double / (60 + d.rank), 0) score from bm25 b full join dense d using (query_id, chunk_id))
+      , r as (select *, (row_number() over (partition by query_id order by round(score, 12) desc, least(a, z), chunk_id))::int rank from f) select query_id, rank, chunk_id, round(score, 9) score from r where rank <= 10""",
     "committed_chunks": f"with {CHUNKS} select chunk_id, document_id, sha256(text) text_sha256 from chunks",
     "reading_lines": f'with {PIECES} select document_id, page, line_index, top, x0, t as "text" from pieces',
     "column_order": f"""with {PIECES}, {COLUMNS.format(p="pieces")}
