@@ -3,17 +3,16 @@
 An index is a folder of three tables:
 
     chunks    number, chunk_id, length (in tokens), and the chunk's distinct tokens with their counts
-    postings  bucket=B/: token, block, n, most_tf, least_length, and the entries, packed (place, count, length of each chunk)
+    postings  bucket=B/: block, tokens, counts, most_tfs, least_lengths, and entries (place, count, length of each chunk, packed)
     stats     one row, written last: an index without it isn't there
 
 A chunk's number tells the task that counted it and its place there; BLOCK numbers
-in a row are a block. A row of the postings holds a token's chunks of one block, so
-no row grows with the corpus, and how much a chunk of it can score at most follows
-from the greatest count and the least length, whatever the parameters. Such rows are
-made where the chunks are read, before anything is shuffled (a block that two tasks
-share has two rows for a token, which changes no sum). Rows are dealt into files by
-ranges of bucket, token and block: a token that a third of all chunks have fills
-many files of its bucket, and no task sees them all.
+in a row are a block. A row of the postings holds the tokens of one bucket, by a
+hash, that one block has, so no row grows with the corpus. How much a chunk of it can
+score at most for a token follows from the token's greatest count and the least
+length, whatever the parameters. Such rows are made where the chunks are read,
+before anything is shuffled (a block that two tasks share has two rows, which changes
+no sum), and dealt into files by ranges of bucket and block.
 
 A search reads the buckets of its tokens alone. It first reads no lists, only what
 bounds them: each query's greatest possible score in each block is a sum over its
@@ -28,6 +27,7 @@ of their id where their tokens are too many to be sent to all tasks.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -78,11 +78,24 @@ def _counted(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"number long, chunk_id {kind}, length int, tokens array<string>, tfs array<int>")
 
 
-_POSTINGS = "token string, block long, n int, most_tf int, least_length int, entries binary"
+_POSTINGS = "bucket int, block long, tokens array<string>, counts array<int>, most_tfs array<int>, least_lengths array<int>, entries binary"
 
 
-def _inverted(counted: DataFrame) -> DataFrame:
-    """A row for each token and block that a batch of counted chunks has."""
+def _buckets(tokens_: pa.Array, buckets: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(t.encode()) % buckets for t in tokens_.to_pylist()), np.int64, len(tokens_))
+
+
+def _lists(ends: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+
+
+def _binaries(ends: np.ndarray, entries: np.ndarray) -> pa.Array:
+    """Pieces of packed entries that end at ``ends``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ENTRY.itemsize * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(entries))])
+
+
+def _inverted(counted: DataFrame, buckets: int) -> DataFrame:
+    """A row for each bucket and block that a batch of counted chunks has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,25 +104,23 @@ def _inverted(counted: DataFrame) -> DataFrame:
                 continue
             row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column("tokens"))))
             number, token = batch.column("number").to_numpy()[row], coded.indices.to_numpy()
-            order = np.lexsort((number, token))
-            number, token, row = number[order], token[order], row[order]
-            tf, length, block = batch.column("tfs").flatten().to_numpy()[order], batch.column("length").to_numpy()[row], number // BLOCK
-            starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])))
-            ends = np.append(starts, len(number))
+            bucket, block = _buckets(coded.dictionary, buckets)[token], number // BLOCK
+            order = np.lexsort((number, token, block, bucket))
+            number, token, bucket, block = number[order], token[order], bucket[order], block[order]
+            tf, length = batch.column("tfs").flatten().to_numpy()[order], batch.column("length").to_numpy()[row[order]]
             packed = np.empty(len(number), ENTRY)
             packed["place"], packed["tf"], packed["length"] = number % BLOCK, tf, length
-            entries = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ENTRY.itemsize * ends).astype(np.int32)), pa.py_buffer(packed)])
-            counts = pa.array(np.diff(ends).astype(np.int32))
-            most, least = pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(token[starts])), pa.array(block[starts]), counts, most, least, entries], ["token", "block", "n", "most_tf", "least_length", "entries"])
+            fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))
+            words = np.flatnonzero(fresh | np.append(True, token[1:] != token[:-1]))  # where a token's entries begin
+            rows = np.flatnonzero(fresh[words])  # which of them begin a row
+            at, ends = words[rows], np.append(rows, len(words))
+            lists = (coded.dictionary.take(pa.array(token[words])), np.diff(np.append(words, len(number))), np.maximum.reduceat(tf, words), np.minimum.reduceat(length, words))
+            columns = [pa.array(bucket[at].astype(np.int32)), pa.array(block[at]), *(_lists(ends, x) for x in lists), _binaries(np.append(at, len(number)), packed)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "tokens", "counts", "most_tfs", "least_lengths", "entries"])
 
     return counted.select("number", "length", "tokens", "tfs").mapInArrow(run, _POSTINGS)
 
 
-def _bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
-
-
 def write(chunks: DataFrame, folder: str | None = None, buckets: int = BUCKETS) -> str:
     """Writes an index of chunks (chunk_id, text) and returns its folder, a new one under the shared folder if none is named.
 
@@ -119,11 +130,10 @@ def write(chunks: DataFrame, folder: str | None = None, buckets: int = BUCKETS)
     folder = folder or new_folder(spark, "index")
     _counted(chunks).write.option("compression", "zstd").parquet(f"{folder}/chunks")
     counted = spark.read.parquet(f"{folder}/chunks")
-    rows = _inverted(counted).withColumn("bucket", _bucket(F.col("token"), buckets))
-    key = ["bucket", "token", "block"]
+    rows, key = _inverted(counted, buckets), ["bucket", "block"]
     rows.repartitionByRange(*key).sortWithinPartitions(*key).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
     sums = counted.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("avg_length"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_tokens"))
-    seen = spark.read.schema("token string, block long, bucket int").parquet(f"{folder}/postings").select("token").distinct().agg(F.count("*").alias("n_distinct"))
+    seen = spark.read.schema(_POSTINGS).parquet(f"{folder}/postings").select(F.explode("tokens").alias("token")).distinct().agg(F.count("*").alias("n_distinct"))
     stats = sums.join(seen).withColumn("buckets", F.lit(buckets))  # a row each
     stats.coalesce(1).write.parquet(f"{folder}/stats")
     return folder
@@ -146,13 +156,30 @@ class Index:
         """number, chunk_id and length; the texts' tokens stay unread."""
         return self.spark.read.parquet(f"{self.folder}/chunks").select("number", "chunk_id", "length")
 
-    def postings(self, words: pa.Array) -> DataFrame:
-        """The postings of some tokens, with their places in the list as ``at``; other buckets' files aren't opened."""
-        rows = self.spark.createDataFrame(pa.table({"token": words, "at": pa.array(np.arange(len(words)))}))
-        rows = rows.withColumn("bucket", _bucket(F.col("token"), self._row["buckets"]))
-        own = sorted(r[0] for r in rows.select("bucket").distinct().collect())  # no more than there are buckets
-        held = self.spark.read.schema(f"{_POSTINGS}, bucket int").parquet(f"{self.folder}/postings").where(F.col("bucket").isin(own))
-        return held.join(F.broadcast(rows.drop("bucket")), "token").drop("token", "bucket")
+    def postings(self, words: pa.Array, blocks: DataFrame | None = None, entries: bool = False) -> DataFrame:
+        """The postings of some tokens, which ``at`` tells by their places in the list: at, block, n, most_tf, least_length, and the entries
+        where they are asked for, else they stay unread; only some blocks, where given. Other buckets' files aren't opened."""
+        own = sorted(set(_buckets(words, self._row["buckets"]).tolist()))
+        held = self.spark.read.schema(_POSTINGS).parquet(f"{self.folder}/postings").where(F.col("bucket").isin(own))
+        held = held if blocks is None else held.join(blocks, "block", "left_semi")
+        shared = self.spark.sparkContext.broadcast(words)
+        more = ["entries"] if entries else []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column("tokens")
+                at = pc.index_in(lists.flatten(), shared.value)
+                known = np.asarray(pc.is_valid(at))
+                row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists)))[known]
+                n, most, least = (batch.column(c).flatten().to_numpy() for c in ("counts", "most_tfs", "least_lengths"))
+                columns = [pa.array(np.asarray(pc.drop_null(at), np.int64)), batch.column("block").take(pa.array(row)), *(pa.array(x[known]) for x in (n, most, least))]
+                if entries:
+                    packed = np.frombuffer(b"".join(batch.column("entries").to_pylist()), ENTRY)
+                    columns.append(_binaries(np.append(0, np.cumsum(n[known])), packed[np.repeat(known, n)]))
+                yield pa.RecordBatch.from_arrays(columns, ["at", "block", "n", "most_tf", "least_length", *more])
+
+        kind = "at long, block long, n int, most_tf int, least_length int" + (", entries binary" if entries else "")
+        return held.select("block", "tokens", "counts", "most_tfs", "least_lengths", *more).mapInArrow(run, kind)
 
     def statistics(self) -> DataFrame:
         """As retrieval.corpus_statistics, without reading a text."""
@@ -187,7 +214,8 @@ class Index:
         asked, words = (pc.unique(rows.column(c)) for c in ("query_id", "token"))
         query, token = (np.asarray(pc.index_in(rows.column(c), x), np.int64) for c, x in (("query_id", asked), ("token", words)))
         asked = asked.combine_chunks() if isinstance(asked, pa.ChunkedArray) else asked
-        postings = self.postings(words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words)
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        postings = stored(self.postings(words), "held")
         sums = postings.groupBy("at").agg(F.sum("n").alias("df")).toArrow()  # a row for each token of the block
         df = np.zeros(len(words))
         df[sums.column("at").to_numpy()] = sums.column("df").to_numpy()
@@ -239,7 +267,7 @@ class Index:
             """Scores of the pairs' blocks; the ids of their chunks come as rows without a token."""
             group, blocks = F.floor(F.col("block") / GROUP).alias("group"), sent(stored(pairs.select("block").distinct(), "blocks"))
             ids = self.chunks.select(F.floor(F.col("number") / BLOCK).alias("block"), "number", "chunk_id").join(blocks, "block", "left_semi")
-            lists = postings.select("block", "at", "n", "entries").join(blocks, "block", "left_semi")
+            lists = self.postings(words, blocks, entries=True).select("block", "at", "n", "entries")
             rows = lists.unionByName(ids, allowMissingColumns=True).select("*", group).groupBy("group")
             return rows.cogroup(pairs.select(group, "query", "block").groupBy("group")).applyInArrow(score, f"query long, chunk_id {kind}, score double")
 

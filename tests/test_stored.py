@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -59,10 +60,9 @@ def test_blocks_below_the_threshold_are_skipped(spark, monkeypatch):
 def test_searches_read_no_text_and_few_buckets(spark, index):
     import pyarrow as pa
 
-    plan = index.postings(pa.array(["the"]))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "bucket" in plan and "text" not in plan
-    held = index.postings(pa.array(["the"]))
-    assert len({f for f in held.inputFiles() if "bucket=" in f}) <= len(set(spark.read.parquet(f"{index.folder}/postings").inputFiles()))
+    words = pa.array(["the"])
+    plan = index.postings(words)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = ", plan) and "entries" not in plan and "text" not in plan
     assert index.chunks.columns == ["number", "chunk_id", "length"]
 
 
