@@ -25,7 +25,13 @@ class _Lines(NamedTuple):
     text: pa.Array
 
 
+#: What ends a line beside a line feed: the other line ends of Unicode text. Carriage returns are line feeds by then.
+LINE_ENDS = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
 def _lines_of(texts: pa.Array) -> _Lines:
+    if pc.any(pc.match_substring_regex(texts, LINE_ENDS)).as_py():
+        texts = pc.replace_substring_regex(texts, LINE_ENDS, "\n")
     lists = pc.split_pattern(texts, "\n")
     flat = lists.flatten()
     sizes = np.asarray(pc.list_value_length(lists))

@@ -138,7 +138,7 @@ def context_pack(spark, sf_dir):
 
 
 def prompt_render(spark, sf_dir):
-    packed = selection.context_pack(with_chunks(spark, sf_dir, shown(results_of(spark, sf_dir, "bm25")).withColumn("score", F.round("score", 0))))
+    packed = selection.context_pack(with_chunks(spark, sf_dir, results_of(spark, sf_dir, "bm25")))
     rows = selection.prompt(packed.join(cases_of(spark, sf_dir), "query_id"), question=True)
     return rows.select("query_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
 
@@ -734,7 +734,7 @@ SQL = {
     "context_pack": f"""{WITH_TEXT}, r as (select *, {RUN} - length(text) before from t), p as (select query_id, rank, chunk_id, substr(text, 1, (4000 - before)::bigint) x from r where before < 4000)
       select query_id, rank, chunk_id, length(x)::int n_chars, sha256(x) text_sha256 from p""",
     "prompt_render": f"""{WITH_TEXT}, r as (select *, {RUN} - length(text) before from t), p as (select query_id,
-      string_agg('[' || rank || '] ' || chunk_id || ' (score ' || round(score)::int || ')' || chr(10) || substr(text, 1, (4000 - before)::bigint), chr(10) || chr(10) order by rank) x from r where before < 4000 group by query_id)
+      string_agg('[' || rank || '] ' || chunk_id || ' (score ' || regexp_replace(printf('%.4f', score), '\\.?0+$', '') || ')' || chr(10) || substr(text, 1, (4000 - before)::bigint), chr(10) || chr(10) order by rank) x from r where before < 4000 group by query_id)
       , a as (select query_id, x || chr(10) || chr(10) || 'Question: ' || query x from p join cases using (query_id)) select query_id, sha256(x) prompt_sha256, length(x)::int n_chars from a""",
     "fragment_allocation": f"{FRAGMENTS} select query_id, rank, length(text)::int n_chars, allocation from fr",
     "fragment_windows": f"{FRAGMENTS} select query_id, chunk_id, ws window_start, we window_end, sha256(wt) text_sha256 from win",

@@ -70,6 +70,24 @@ def split_oversized(spark, sf_dir):
     return chunking.split_oversized(documents(spark, sf_dir))
 
 
+def packed_in_parallel(spark, sf_dir):
+    """As block_chunks, every document packed the way that fits the largest."""
+    rows = chunking.block_chunks_of_any_size(blocks_of(spark, sf_dir), 400, 50, large=0)
+    return rows.select("document_id", "chunk_index", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars"), "start_char", "end_char", F.array_join("block_types", ",").alias("block_types"), "exceeds")
+
+
+def block_metadata(spark, sf_dir):
+    """What the blocks of a chunk say together: pages of ten lines, the first line that begins with a capital as a heading, formulas, warnings."""
+    page, capital = F.floor(F.col("block_index") / 10).cast("int"), F.col("text").rlike("^[A-Z]")
+    rows = blocks_of(spark, sf_dir).withColumns({
+        "page_number": page, "heading_path": F.when(capital, F.array(F.substring("text", 1, 12))).otherwise(F.array().cast("array<string>")), "level": (F.length("text") % 2).cast("int"),
+        "media_type": F.when(F.col("block_index") % 3 == 1, "").otherwise("text/plain"), "formula_lines": F.when(T.formula_line(F.col("text")), F.array("text")), "removed_lines": (F.length("text") % 3).cast("int"),
+        "warnings": F.when(F.col("block_index") % 4 == 0, F.array(F.concat(F.lit("line "), F.col("block_index").cast("string")))),
+    })
+    found = chunking.block_chunks(rows, 1200, split=False)
+    return found.select("document_id", "chunk_index", "page_start", "page_end", F.array_join("heading_path", "/").alias("heading"), "level", "media_type", F.size("formula_lines").alias("n_formulas"), "removed_lines", F.array_join("warnings", ",").alias("warnings"))
+
+
 def block_chunks(spark, sf_dir):
     rows = chunking.block_chunks(blocks_of(spark, sf_dir), 400, 50)
     return rows.select("document_id", "chunk_index", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("n_chars"), "start_char", "end_char", F.array_join("block_types", ",").alias("block_types"), "exceeds")
@@ -239,7 +257,7 @@ def observational_slices(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        line_offsets, text_blocks, sliding_chunks, split_oversized, block_chunks, chunk_list, chunk_lookup, chunk_preview, tokenize, token_ngrams, text_hash,
+        line_offsets, text_blocks, sliding_chunks, split_oversized, packed_in_parallel, block_metadata, block_chunks, chunk_list, chunk_lookup, chunk_preview, tokenize, token_ngrams, text_hash,
         index_fingerprint, listed_fingerprint, file_hashes, header_footer_filter, formula_lines, table_serialize, ingest_summary, ingest_report, clean_text, redact_lines,
         source_label, source_lines, page_groups, section_propagation, structured_text, cleaned_text, query_text, markdown_blocks, evidence_groups, observational_slices,
     )
@@ -294,6 +312,10 @@ SQL = {
     "sliding_chunks": f"with {CHUNKS} select chunk_id, document_id, source_path, chunk_index, start_char::int start_char, end_char::int end_char, text from chunks",
     "split_oversized": f"""with {DOCS}, p as (select document_id, t, unnest(range(0, ceil((length(t) - 1000) / 900.0)::int + 1)) piece from docs where length(t) > 1000)
       select document_id, piece::int piece, (piece * 900)::int start_char, least(piece * 900 + 1000, length(t))::int end_char, substr(t, piece * 900 + 1, 1000) as text from p""",
+    "block_metadata": f"""with recursive {packed_lines(1200, False)}, li as (select c, line_index i, b.line, b.document_id from pk join bl b using (document_id, k) join lines l on l.document_id = b.document_id and l.start_char = b.s)
+      select document_id, c::int chunk_index, (min(i) // 10)::int page_start, (max(i) // 10)::int page_end, coalesce(min_by(substr(line, 1, 12), i) filter (where regexp_matches(line, '^[A-Z]')), null) heading,
+        (case when count(distinct length(line) % 2) = 1 then min(length(line) % 2) end)::int "level", min_by('text/plain', i) filter (where i % 3 <> 1) media_type, least(10, count(*) filter (where {FORMULA}))::int n_formulas,
+        sum(length(line) % 3)::int removed_lines, coalesce(string_agg('line ' || i, ',' order by i) filter (where i % 4 = 0), '') warnings from li group by document_id, c""",
     "block_chunks": f"""with recursive {packed_lines(400, True)}, pc as (select document_id, c, tab, s, e, t, unnest(case when not tab and length(t) > 400 then range(0, ceil((length(t) - 400) / 350.0)::int + 1) else [null] end) j from ck)
       , pt as (select document_id, c, j, tab, case when j is null then t else substr(t, j * 350 + 1, 400) end x, case when j is null then s else s + j * 350 end a, e from pc)
       select document_id, (row_number() over (partition by document_id order by c, j) - 1)::int chunk_index, sha256(x) text_hash, length(x)::int n_chars, a::int start_char,
@@ -358,3 +380,4 @@ SQL = {
       , r as (select *, (sum((useful and (not coalesce(before, false) or path <> path_before))::int) over (partition by document_id order by block_index))::int run from u)
       select document_id, run, path, min(block_index) first_block, count(*) n_blocks, sum(length(x))::bigint n_chars from r where useful group by document_id, run, path""",
 }
+SQL["packed_in_parallel"] = SQL["block_chunks"]

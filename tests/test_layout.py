@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import unicode as U
-from plinth.operators import evidence, gates, history, pages, represent, selection
+from plinth.operators import evidence, gates, history, pages, parse, represent, selection
 from plinth.operators.numbering import numbered
 from plinth.plans.engine import Engine, listed
 from plinth.sources import providers
@@ -223,3 +223,9 @@ def test_replay(spark):
     gold = spark.createDataFrame([(1, "b"), (1, "b"), (2, "z")], "query_id long, chunk_id string")
     got = selection.replay(ranked, gold, 10, "mode").orderBy("query_id").collect()
     assert [tuple(r) for r in got] == [("m", 1, True, False, 3, 1, 1, 30, 51), ("m", 2, False, False, 2, 0, 0, 0, 99)]
+
+
+def test_all_line_ends(spark):
+    text = "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i\nj"
+    got = parse.lines(spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "document_id long, text string")).where("document_id = 1").orderBy("line_index").collect()
+    assert [r["text"] for r in got] == text.splitlines() and [r["start_char"] for r in got] == [2 * i for i in range(10)]
