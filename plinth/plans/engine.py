@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.text import strip
-from plinth.operators import evaluate, retrieval, selection
+from plinth.operators import evaluate, prepared, retrieval, selection
+from plinth.operators.prepared import Index
 from plinth.sources.shared import stored
 
 MODES = ("lexical", "bm25", "semantic", "hybrid")
+#: Snapshots whose stored indexes an engine keeps in mind.
+KEPT = 16
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -31,7 +34,9 @@ class Engine:
     rerank: Step | None = None
     select: Step | None = None
     statistics: dict[str, int] = field(default_factory=lambda: {"loads": 0, "hits": 0, "invalidations": 0})
+    prepared: Index | None = None
     _kept: dict[str, DataFrame] = field(default_factory=dict)
+    _indexes: dict[str, Index] = field(default_factory=dict)
 
     def keep(self, snapshot_id: str) -> Engine:
         """Persists the chunks under a snapshot's name, once; another snapshot's are given up."""
@@ -46,10 +51,26 @@ class Engine:
         self.chunks = self._kept[snapshot_id]
         return self
 
+    def prepare(self, snapshot_id: str, folder: str | None = None) -> Engine:
+        """Stores an inverted index of the chunks, with their tokens, counts and statistics, under a snapshot's name, once; lexical and BM25
+        searches then read it instead of the texts. The last KEPT snapshots' indexes stay known, the one unused for longest is given up."""
+        if snapshot_id in self._indexes:
+            self.statistics["hits"] += 1
+            self.prepared = self._indexes[snapshot_id] = self._indexes.pop(snapshot_id)
+            return self
+        self.prepared = self._indexes[snapshot_id] = Index(self.chunks.sparkSession, prepared.write(self.chunks, folder))
+        self.statistics["loads"] += 1
+        while len(self._indexes) > KEPT:
+            self._indexes.pop(next(iter(self._indexes)))
+            self.statistics["invalidations"] += 1
+        return self
+
     def candidates(self, queries: DataFrame, mode: str, limit: int) -> DataFrame:
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         asked = queries.where(F.coalesce(strip(F.col("query")), F.lit("")) != "")
+        if mode in ("lexical", "bm25") and self.prepared is not None:
+            return getattr(self.prepared, mode)(asked, limit)
         if mode in ("lexical", "bm25"):
             search = retrieval.lexical_search if mode == "lexical" else retrieval.bm25_search
             return search(self.chunks, asked, limit)

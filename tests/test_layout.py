@@ -229,3 +229,18 @@ def test_all_line_ends(spark):
     text = "a\x0bb\x0cc\x1cd\x1de\x1ef\x85g\u2028h\u2029i\nj"
     got = parse.lines(spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "document_id long, text string")).where("document_id = 1").orderBy("line_index").collect()
     assert [r["text"] for r in got] == text.splitlines() and [r["start_char"] for r in got] == [2 * i for i in range(10)]
+
+
+def test_engine_prepares_snapshots(spark, monkeypatch):
+    from plinth.plans import engine as engine_module
+
+    monkeypatch.setattr(engine_module, "KEPT", 2)
+    chunks = spark.createDataFrame([(f"c{i}", f"word{i % 3} other text {i}") for i in range(20)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(1, "word1"), (2, "other 7"), (3, " ")], "query_id long, query string")
+    plain, own = Engine(chunks), Engine(chunks)
+    for name in ("a", "b", "a", "c"):
+        own.prepare(name)
+    assert own.statistics == {"loads": 3, "hits": 1, "invalidations": 1} and set(own._indexes) == {"a", "c"}
+    for mode in ("bm25", "lexical"):
+        want, got = ([(r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in e.search(queries, mode, 5).orderBy("query_id", "rank").collect()] for e in (plain, own))
+        assert got == want and len(got) == 10
