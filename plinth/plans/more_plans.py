@@ -228,6 +228,20 @@ def engine_search(spark, sf_dir):
     return engine.search(cases_of(spark, sf_dir), "hybrid", 10).withColumn("score", F.round("score", 9))
 
 
+def all_modes_compare(spark, sf_dir):
+    """All four modes at two limits, with vectors of the offline provider, and one that there isn't as a row with its error."""
+    provider, chunks = providers.hashing_provider(), stored(chunks_of(spark, sf_dir), "chunks")
+
+    def embed(queries: DataFrame) -> DataFrame:
+        made = providers.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), provider)
+        return made.select(F.col("chunk_id").alias("query_id"), "embedding")
+
+    index = stored(providers.embed(chunks, provider).select("chunk_id", "embedding"), "index")
+    engine = Engine(chunks, index, embed)
+    rows = engine.compare(cases_of(spark, sf_dir), stored(gold_of(spark, sf_dir), "gold"), ["bm25", "lexical", "semantic", "hybrid", "telepathic"], [1, 5], fail_fast=False)
+    return rows.select("mode", "k", "n_cases", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"), F.col("error").isNotNull().alias("failed"))
+
+
 def stream_chunks(spark, sf_dir):
     return ingest.stream_chunks(spark, f"{sf_dir}/documents.parquet", new_folder(spark, "stream")).select("chunk_id", F.sha2("text", 256).alias("text_hash"))
 
@@ -241,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reading_lines, column_order, outside_tables, page_tables, page_blocks, heading_lines, formula_evidence, evidence_spans, source_match_kinds, folded_tokens, release_gates, trial_latency,
-        trial_consensus, session_list, case_numbers, snapshot_chunks, snapshot_vectors, snapshot_migration, folder_lines, asked, engine_compare, hash_embeddings, engine_search, stream_chunks, stream_windows, committed_chunks,
+        trial_consensus, session_list, case_numbers, snapshot_chunks, snapshot_vectors, snapshot_migration, folder_lines, asked, engine_compare, hash_embeddings, engine_search, all_modes_compare, stream_chunks, stream_windows, committed_chunks,
     )
 }
 
@@ -340,6 +354,14 @@ SQL = {
       , near as (select qe.key query_id, ce.key chunk_id, sum(qe.v * ce.v) score from qe join ce using (d) group by all), {_ranked("near", "dense", 40)}
       , f as (select query_id, chunk_id, b.rank a, d.rank z, coalesce(1.0::double / (60 + b.rank), 0) + coalesce(1.0::double / (60 + d.rank), 0) score from bm25 b full join dense d using (query_id, chunk_id))
       , r as (select *, (row_number() over (partition by query_id order by round(score, 12) desc, least(a, z), chunk_id))::int rank from f) select query_id, rank, chunk_id, round(score, 9) score from r where rank <= 10""",
+    "all_modes_compare": f"""with {CHUNKS}, {CASES}, {MAPPED}, {_bm25("chunks", 20)}{HASHED.format(p="c", source="(select chunk_id key, text from chunks)")}{HASHED.format(p="q", source="(select query_id key, query as text from cases)")}
+      , near as (select qe.key query_id, ce.key chunk_id, sum(qe.v * ce.v) score from qe join ce using (d) group by all), {_ranked("near", "semantic", 20)}
+      , f as (select query_id, chunk_id, b.rank a, d.rank z, coalesce(1.0::double / (60 + b.rank), 0) + coalesce(1.0::double / (60 + d.rank), 0) score from bm25 b full join semantic d using (query_id, chunk_id))
+      , hybrid as (select *, (row_number() over (partition by query_id order by round(score, 12) desc, least(a, z), chunk_id))::int rank from f), """
+    + ", ".join(_metrics(m, k, f"{m}{k}") for m in ("lexical", "bm25", "semantic", "hybrid") for k in (1, 5))
+    + " "
+    + " union all ".join(f"select '{m}' \"mode\", {k} k, n_cases, hit_rate, mrr, false failed from (select {SUMMARY} from {m}{k})" for m in ("lexical", "bm25", "semantic", "hybrid") for k in (1, 5))
+    + " union all select 'telepathic', unnest([1, 5]), null, null, null, true",
     "committed_chunks": f"with {CHUNKS} select chunk_id, document_id, sha256(text) text_sha256 from chunks",
     "reading_lines": f'with {PIECES} select document_id, page, line_index, top, x0, t as "text" from pieces',
     "column_order": f"""with {PIECES}, {COLUMNS.format(p="pieces")}
