@@ -3,7 +3,7 @@
 An index is a folder of three tables:
 
     chunks    number, chunk_id, length (in tokens), and the chunk's distinct tokens with their counts
-    postings  bucket=B/: block, tokens, counts, most_tfs, least_lengths, and entries (place, count, length of each chunk, packed)
+    postings  bucket=B/: block, tokens, counts, most_tfs, least_lengths, and entries (place and count of each chunk, packed)
     stats     one row, written last: an index without it isn't there
 
 A chunk's number tells the task that counted it and its place there; BLOCK numbers
@@ -45,8 +45,8 @@ from plinth.sources.shared import new_folder, sent, stored
 BLOCK, BUCKETS, FIRST = 1024, 64, 2
 #: Blocks of a group, postings that are spelled out for their queries at once, (query, token) pairs of a block of queries, about.
 GROUP, STEP, PAIRS = 2, 1 << 14, 1 << 18
-#: An entry of the postings: the chunk's place in its block, the token's count in it, its length in tokens.
-ENTRY = np.dtype([("place", "<u2"), ("tf", "<u4"), ("length", "<u4")])
+#: An entry of the postings: the chunk's place in its block, and the token's count in it.
+ENTRY = np.dtype([("place", "<u2"), ("tf", "<u4")])
 #: What sums of the same numbers in another order may differ by.
 SLACK = 1e-7
 #: Of counts in chunk and length, what a token counts for; of counts in query and corpus, its weight.
@@ -109,7 +109,7 @@ def _inverted(counted: DataFrame, buckets: int) -> DataFrame:
             number, token, bucket, block = number[order], token[order], bucket[order], block[order]
             tf, length = batch.column("tfs").flatten().to_numpy()[order], batch.column("length").to_numpy()[row[order]]
             packed = np.empty(len(number), ENTRY)
-            packed["place"], packed["tf"], packed["length"] = number % BLOCK, tf, length
+            packed["place"], packed["tf"] = number % BLOCK, tf
             fresh = np.append(True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))
             words = np.flatnonzero(fresh | np.append(True, token[1:] != token[:-1]))  # where a token's entries begin
             rows = np.flatnonzero(fresh[words])  # which of them begin a row
@@ -252,7 +252,7 @@ class Index:
             held = np.repeat(postings.column("block").to_numpy(), postings.column("n").to_numpy()) * BLOCK + entries["place"]
             place_of = slot[np.searchsorted(number, held, sorter=slot)] if len(held) else held
             at = np.repeat(postings.column("at").to_numpy(), postings.column("n").to_numpy())
-            parts, scores = part(entries["tf"].astype(np.float64), entries["length"].astype(np.float64)), np.zeros((n_asked, len(number)))
+            parts, scores = part(entries["tf"].astype(np.float64), chunks.column("length").to_numpy().astype(np.float64)[place_of]), np.zeros((n_asked, len(number)))
             for place, who, w in asking(at):
                 scores += np.bincount(who * len(number) + place_of[place], w * parts[place], scores.size).reshape(scores.shape)
             wanted = np.zeros((n_asked, len(blocks)), bool)
@@ -264,9 +264,9 @@ class Index:
             return pa.table({"query": pa.array(q), "chunk_id": chunks.column("chunk_id").take(pa.array(c)), "score": pa.array(scores[q, c])})
 
         def scored(pairs: DataFrame) -> DataFrame:
-            """Scores of the pairs' blocks; the ids of their chunks come as rows without a token."""
+            """Scores of the pairs' blocks; the ids and lengths of their chunks come as rows without a token."""
             group, blocks = F.floor(F.col("block") / GROUP).alias("group"), sent(stored(pairs.select("block").distinct(), "blocks"))
-            ids = self.chunks.select(F.floor(F.col("number") / BLOCK).alias("block"), "number", "chunk_id").join(blocks, "block", "left_semi")
+            ids = self.chunks.select(F.floor(F.col("number") / BLOCK).alias("block"), "number", "chunk_id", "length").join(blocks, "block", "left_semi")
             lists = self.postings(words, blocks, entries=True).select("block", "at", "n", "entries")
             rows = lists.unionByName(ids, allowMissingColumns=True).select("*", group).groupBy("group")
             return rows.cogroup(pairs.select(group, "query", "block").groupBy("group")).applyInArrow(score, f"query long, chunk_id {kind}, score double")
