@@ -15,7 +15,7 @@ from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, SECTIONED, blocks_of
 from plinth.sources import files, generations, paged, providers, snapshots
 from plinth.sources.shared import new_folder, stored
 from plinth.sources.tables import documents, table, vectors
-from plinth.streaming import ingest
+from plinth.streaming import ingest, sessions
 
 
 def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +246,17 @@ def stream_chunks(spark, sf_dir):
     return ingest.stream_chunks(spark, f"{sf_dir}/documents.parquet", new_folder(spark, "stream")).select("chunk_id", F.sha2("text", 256).alias("text_hash"))
 
 
+def stream_sessions(spark, sf_dir):
+    """Summaries of conversations by a stream of their turns, whose state is kept."""
+    folder = new_folder(spark, "sessions")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("session_id"), F.col("turn").cast("long").alias("seq"), F.lit("turn").alias("kind"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    turns.where("turn < 2").write.parquet(f"{folder}/events/first")
+    events = spark.readStream.schema(sessions.EVENT).option("recursiveFileLookup", "true").parquet(f"{folder}/events")
+    sessions.run(spark, events, folder)
+    turns.where("turn >= 2").write.parquet(f"{folder}/events/later")
+    return sessions.run(spark, events, folder)
+
+
 def stream_windows(spark, sf_dir):
     rows = ingest.stream_windows(spark, f"{sf_dir}/events.parquet", new_folder(spark, "stream"))
     return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -255,7 +266,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reading_lines, column_order, outside_tables, page_tables, page_blocks, heading_lines, formula_evidence, evidence_spans, source_match_kinds, folded_tokens, release_gates, trial_latency,
-        trial_consensus, session_list, case_numbers, snapshot_chunks, snapshot_vectors, snapshot_migration, folder_lines, asked, engine_compare, hash_embeddings, engine_search, all_modes_compare, stream_chunks, stream_windows, committed_chunks,
+        trial_consensus, session_list, case_numbers, snapshot_chunks, snapshot_vectors, snapshot_migration, folder_lines, asked, engine_compare, hash_embeddings, engine_search, all_modes_compare, stream_chunks, stream_windows, stream_sessions, committed_chunks,
     )
 }
 
@@ -426,5 +437,7 @@ SQL = {
     + " union all ".join(f"select '{m}' \"mode\", {k} k, n_cases, hit_rate, mrr, false failed from (select {SUMMARY} from {m}{k})" for m in ("lexical", "bm25") for k in (1, 5))
     + " union all select 'semantic', unnest([1, 5]), null, null, null, true",
     "stream_chunks": f"with {CHUNKS} select chunk_id, sha256(text) text_hash from chunks",
+    "stream_sessions": """select conv_id session_id, count(*) n_turns, count(*) filter (where role = 'user') n_user, sum(length(text))::bigint n_chars, min_by(substr(text, 1, 40), turn) filter (where role = 'user') title
+      from conversations group by conv_id""",
     "stream_windows": "select date_trunc('hour', ts) window_start, event_type, count(*) n, round(sum(value), 4) total from events group by all",
 }

@@ -168,3 +168,27 @@ def test_streams(spark, sf_dir, tmp_path):
     got = stream_windows(spark, f"{sf_dir}/events.parquet", f"file://{tmp_path}/w")
     plain = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("window_start"), "event_type").agg(F.count("*").alias("n"))
     assert got.select("window_start", "event_type", "n").exceptAll(plain).isEmpty() and got.count() == plain.count()
+
+
+def test_sessions_as_a_stream(spark, tmp_path):
+    """Appended, renamed, deleted and begun again, with a restart after every batch."""
+    from plinth.streaming import sessions
+
+    folder = f"file://{tmp_path}"
+    batches = [
+        [(1, 0, "turn", 0, "user", "hello there"), (1, 1, "turn", 1, "assistant", "hi"), (2, 0, "turn", 0, "assistant", "first"), (3, 0, "turn", 5, "user", "later title"), (3, 1, "turn", 6, "user", None)],
+        [(1, 2, "turn", 2, "user", "x" * 60), (2, 1, "turn", 1, "user", "y" * 60), (3, 2, "turn", 2, "user", "earlier title"), (4, 0, "turn", 0, "user", "gone soon")],
+        [(1, 3, "rename", None, None, "my title"), (4, 1, "delete", None, None, None), (2, 2, "delete", None, None, None), (2, 3, "turn", 0, "user", "again")],
+        [(1, 4, "turn", 3, "assistant", "more")],
+    ]
+    want = [
+        {1: (2, 1, 13, "hello there"), 2: (1, 0, 5, None), 3: (2, 2, 11, "later title")},
+        {1: (3, 2, 73, "hello there"), 2: (2, 1, 65, "y" * 40), 3: (3, 3, 24, "earlier title"), 4: (1, 1, 9, "gone soon")},
+        {1: (3, 2, 73, "my title"), 2: (1, 1, 5, "again"), 3: (3, 3, 24, "earlier title")},
+        {1: (4, 2, 77, "my title"), 2: (1, 1, 5, "again"), 3: (3, 3, 24, "earlier title")},
+    ]
+    for k, (rows, found) in enumerate(zip(batches, want, strict=True)):
+        spark.createDataFrame(rows, sessions.EVENT).coalesce(1).write.parquet(f"{folder}/events/{k}")
+        events = spark.readStream.schema(sessions.EVENT).option("recursiveFileLookup", "true").parquet(f"{folder}/events")
+        got = sessions.run(spark, events, folder)
+        assert {r["session_id"]: tuple(r)[1:] for r in got.collect()} == found
