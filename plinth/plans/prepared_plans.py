@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators import gates, prepared, retrieval, selection, vector_index
+from plinth.operators import gates, leakage, prepared, retrieval, selection, vector_index
 from plinth.plans import search_plans, trials
 from plinth.plans.search_plans import FOLD, LIMIT, MAPPED, RANKED, SCORED, W, cases_of, gold_of, results_of, shown, spans_of, with_chunks
-from plinth.plans.text_plans import CHUNKS, chunks_of
+from plinth.plans.text_plans import CHUNKS, DOCS, chunks_of
 from plinth.sources import providers
 from plinth.sources.embedding_cache import EmbeddingCache
 from plinth.sources.shared import new_folder, stored
-from plinth.sources.tables import documents, vectors
+from plinth.sources.tables import documents, table, vectors
 
 
 def prepared_bm25(spark, sf_dir):
@@ -81,6 +81,14 @@ def _shown_gates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.round("value", 6))
 
 
+def heldout_leakage(spark, sf_dir):
+    """What the unlabelled documents hold of the labelled ones: whole texts, and near ones by five-word shingles."""
+    docs = documents(spark, sf_dir).select(F.col("document_id").alias("id"), "text")
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    found = leakage.leakage(docs.join(known, "id", "left_semi"), docs.join(known, "id", "left_anti"))
+    return found.withColumn("closest", F.round("closest", 6))
+
+
 def trial_matrix(spark, sf_dir):
     """Results of two modes at two limits, kept, and how many cells a second run had to make: none, and one that was deleted."""
     cases, chunks = cases_of(spark, sf_dir), chunks_of(spark, sf_dir)
@@ -114,7 +122,7 @@ def cached_embeddings(spark, sf_dir):
     return sums.withColumns({"asked_first": F.lit(first), "asked_then": F.lit(second), "asked_last": F.lit(cache.asked)})
 
 
-QUERIES = {f.__name__: f for f in (prepared_bm25, prepared_lexical, prepared_stats, vector_index_search, replay_gates, direction_gates, fragment_gates, trial_matrix, cached_embeddings)}
+QUERIES = {f.__name__: f for f in (prepared_bm25, prepared_lexical, prepared_stats, vector_index_search, replay_gates, direction_gates, fragment_gates, heldout_leakage, trial_matrix, cached_embeddings)}
 MODES = f"""with {RANKED}, {MAPPED}, r0 as (select 'bm25' "mode", * from bm25 union all select 'lexical', * from lexical)
   , r as (select "mode", query_id, rank, document_id, length(text) n, g.chunk_id is not null g, sum(length(text)) over (partition by "mode", query_id order by rank) <= 6400 k
     from r0 join chunks using (chunk_id) left join gold g using (query_id, chunk_id))
@@ -142,6 +150,12 @@ PACKED = f"""{SCORED}, gg as (select query_id, unnest(list_distinct(list_transfo
   , ow as (select query_id, count(*) nf, sum(length(header) + length(wt) + 1) + 2 * (count(*) - 1) chars from bq group by query_id), wh as (select query_id, count(*) n, sum(length(text)) pc from fr group by query_id)
   , c as (select *, 'bm25' "mode", 'bm25:' || query_id key from ev join ow using (query_id) join wh using (query_id)) """
 SQL = {
+    "heldout_leakage": f"""with {DOCS}, w as (select document_id id, t, regexp_extract_all(lower(t), '{W}') w, document_id in (select doc_id from labels) held from docs)
+      , s as (select distinct id, held, array_to_string(w[i:i + 4], ' ') g from (select id, held, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from w where len(w) > 0))
+      , z as (select id, count(*) n from s group by id), p as (select a.id, b.id other, count(*) c from s a join s b using (g) where a.held and not b.held group by 1, 2)
+      , j as (select p.id, other, c / (x.n + y.n - c)::double r from p join z x on x.id = p.id join z y on y.id = other)
+      , n as (select id, count(*) n_near, round(max(r), 6) closest from j where r >= 0.8::double - 1e-12 group by id), e as (select t, count(*) n from w where not held group by t)
+      select w.id, false same_id, coalesce(e.n, 0) n_equal, coalesce(n_near, 0) n_near, closest from w left join e using (t) left join n on n.id = w.id where held""",
     "fragment_gates": PACKED
     + " union all ".join(
         (

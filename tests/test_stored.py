@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.operators import chunking, evaluate, gates, prepared, quantiles, retrieval, vector_index
+from plinth.operators import chunking, evaluate, gates, leakage, prepared, quantiles, retrieval, vector_index
 from plinth.operators.numbering import running
 from plinth.plans import trials
 from plinth.plans.search_plans import cases_of
@@ -329,3 +329,34 @@ def test_farthest_points_of_many_groups(spark):
         while len(chosen) < min(6, len(points)):
             chosen.append(max((i for i in points if i not in chosen), key=lambda i: (min(abs(points[i] - points[c]) for c in chosen), -i)))
         assert got[g] == chosen
+
+
+def test_leakage_finds_every_near_text(spark):
+    """Against comparing all with all: copies, near copies, short and empty texts, crowds of equal ones."""
+    rng, texts = random.Random(9), []
+    words = [f"w{i}" for i in range(40)]
+    for _ in range(25):
+        base = rng.choices(words, k=rng.choice([0, 1, 3, 6, 30, 80]))
+        for _ in range(rng.choice([1, 2, 6])):
+            own = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                if own:
+                    own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    texts += ["same again and again and again"] * 30 + [None]
+    data = [(i, t) for i, t in enumerate(texts)]
+    held, others = data[::3], data[1::3] + data[2::3] + [(0, "another text under a known id")]
+
+    def of(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    want = []
+    for i, t in held:
+        near = [len(of(t) & of(u)) / len(of(t) | of(u)) for _, u in others if of(t) and of(u)]
+        near = [x for x in near if x >= 0.8]
+        want.append((i, i == 0, sum((t or "") == (u or "") for _, u in others), len(near), round(max(near), 9) if near else None))
+    kind = "id long, text string"
+    got = leakage.leakage(spark.createDataFrame(held, kind), spark.createDataFrame(others, kind)).withColumn("closest", F.round("closest", 9))
+    assert rows(got) == sorted(want, key=repr) and sum(w[3] > 0 for w in want) > 10
+    assert leakage.leakage(spark.createDataFrame(held, kind), spark.createDataFrame([], kind)).where("n_near > 0").count() == 0
