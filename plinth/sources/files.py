@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from plinth.sources.shared import stored
+
 EXTENSIONS = ("md", "txt", "pdf")
 
 
@@ -200,20 +202,30 @@ def evidence_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("supported") & ~F.col("relative_path").rlike(r"(^|/)\.plinth/"))
 
 
+#: Folders that sessions are dealt into by a hash of their id, and parts of a folder.
+SESSION_FOLDERS, SESSION_PARTS = 256, 8
+
+
 def write_sessions(turns: DataFrame, folder: str) -> None:
-    """Turns (session_id, turn, role, text, ...) as JSON lines, a folder for each session; a session that is there is replaced."""
+    """Turns (session_id, turn, role, text, ...) as JSON lines in SESSION_FOLDERS folders by a hash of the session; a session that is there
+    is replaced. Only the folders of the sessions given are read and written again."""
     spark = turns.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_FOLDERS)).cast("int")
+    new = stored(turns.withColumn("bucket", bucket), "sessions")
+    touched = [r[0] for r in new.select("bucket").distinct().collect()]  # SESSION_FOLDERS at most
     try:
-        turns.repartition("session_id").write.mode("overwrite").partitionBy("session_id").json(folder)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        old = spark.read.schema(new.schema).json(folder).where(F.col("bucket").isin(touched))
+        kept = old.join(new.select("session_id").distinct(), "session_id", "left_anti").select(*new.columns)
+        new = stored(kept.unionByName(new), "sessions")
+    except AnalysisException:  # nothing is there yet
+        pass
+    dealt = new.repartition("bucket", F.pmod(F.xxhash64("session_id", "turn"), F.lit(SESSION_PARTS)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(folder)
 
 
 def read_sessions(spark: SparkSession, folder: str, schema: str = "session_id long, turn int, role string, text string") -> DataFrame:
     """The turns of all sessions of a folder."""
-    return spark.read.schema(schema).json(folder)
+    return spark.read.schema(f"{schema}, bucket int").json(folder).drop("bucket")
 
 
 def latest_session(turns: DataFrame, updated: DataFrame) -> DataFrame:
