@@ -38,8 +38,13 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str)
     """
     if any(not 0 <= s <= 1 for s in shares.values()):
         raise ValueError("shares must lie between 0 and 1")
-    keys = list(by)
-    given = stored(rows.select(*keys, F.col(value).cast("double").alias("__v")), "values")
+    names = [f"__key{i}" for i in range(len(by))]  # a group's column may bear any name, also one that the search uses
+    given = stored(rows.select(*(F.col(k).alias(n) for k, n in zip(by, names, strict=True)), F.col(value).cast("double").alias("__v")), "values")
+    return _grouped(given, shares, names).withColumnsRenamed(dict(zip(names, by, strict=True)))
+
+
+def _grouped(given: DataFrame, shares: dict[str, float], keys: list[str]) -> DataFrame:
+    """The percentiles of all groups of rows (keys, __v)."""
     sizes = given.groupBy(*keys).agg(F.count("__v").alias("n"))
     large = stored(sizes.where(F.col("n") > SMALL), "large")
     plain = [F.percentile("__v", F.lit(s)).alias(name) for name, s in shares.items()]

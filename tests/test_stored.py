@@ -112,6 +112,18 @@ def test_percentiles(spark, monkeypatch, small, pivots):
         quantiles.percentiles(df, "v", {"p": 1.5})
 
 
+@pytest.mark.parametrize("key", ["name", "rank", "value"])
+def test_percentiles_by_any_column_name(spark, monkeypatch, key):
+    """Large groups whose column is named as one of the search's own; ``name`` is that of stage_latencies."""
+    monkeypatch.setattr(quantiles, "SMALL", 20)
+    df = spark.createDataFrame([(g, float(i)) for g in ("a", "b") for i in range(50)] + [("c", 1.0)], f"{key} string, v double")
+    got = {r[key]: (r["p50"], r["p95"]) for r in quantiles.percentiles(df, "v", {"p50": 0.5, "p95": 0.95}, key).collect()}
+    assert got == {"a": (24.5, pytest.approx(46.55)), "b": (24.5, pytest.approx(46.55)), "c": (1.0, 1.0)}
+    if key == "name":
+        stages = df.select(key, F.col("v").alias("latency_ms"))
+        assert {tuple(r) for r in evaluate.stage_latencies(stages).collect()} == {("a", 50, 24.5, 24.5, 46.55), ("b", 50, 24.5, 24.5, 46.55), ("c", 1, 1.0, 1.0, 1.0)}
+
+
 def test_latencies_of_one_group_with_all_rows(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "SMALL", 50)
     values = [float(i * i % 1009) for i in range(5000)]
