@@ -128,13 +128,13 @@ def _page(chunks: DataFrame) -> Column:
     return F.when(a.isNull(), "unknown").when(b.isNull() | (a == b), a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string")))
 
 
-def representations(chunks: DataFrame, kind: str = REPRESENTATIONS[0]) -> DataFrame:
+def representations(chunks: DataFrame, kind: str = REPRESENTATIONS[0], keep_empty: bool = False) -> DataFrame:
     """chunk_id and ``representation``, the text of a kind, for chunks (chunk_id, document_id, chunk_index, source_path, text, and any of OPTIONAL).
 
     The structured kind names title, source, section, page, block types and signals before the text. The cleaned kinds do the same for
     chunks of PDFs, whose section is that of their metadata, or else their own headings, or else the last that holds from a chunk of the
-    document before; their text is cleaned, and an empty one is an error. The formula kind adds up to three formulas. Other chunks are
-    structured.
+    document before; their text is cleaned, and one of which nothing is left is an error, or with ``keep_empty`` stays empty. The formula
+    kind adds up to three formulas. Other chunks are structured.
     """
     if kind not in REPRESENTATIONS:
         raise ValueError(f"representation must be one of {', '.join(REPRESENTATIONS)}")
@@ -168,7 +168,9 @@ def representations(chunks: DataFrame, kind: str = REPRESENTATIONS[0]) -> DataFr
     section = F.coalesce("own", F.nullif(F.array_join("scan.local", " | "), F.lit("")), last)
     clean = clean_page(F.col("text"), F.col("edge_lines"))
     rows = rows.withColumns({"section": section, "clean": clean})
-    held = F.when(F.col("clean") == "", F.raise_error(F.concat(F.lit("nothing is left of chunk "), "chunk_id"))).otherwise(F.col("clean"))
+    held = F.col("clean")
+    if not keep_empty:
+        held = F.when(held == "", F.raise_error(F.concat(F.lit("nothing is left of chunk "), "chunk_id"))).otherwise(held)
     more = []
     if kind == REPRESENTATIONS[3]:
         more.append(F.concat(F.lit("Formula evidence: "), F.coalesce(F.nullif(F.array_join(formula_evidence("formula_lines"), " | "), F.lit("")), F.lit("none"))))

@@ -1,11 +1,13 @@
 """Page layout, gates, numbering, providers, sessions and the engine on small inputs."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import unicode as U
 from plinth.operators import evidence, gates, history, pages, parse, represent, selection
 from plinth.operators.numbering import numbered
+from plinth.plans import more_plans, text_plans
 from plinth.plans.engine import Engine, listed
 from plinth.sources import providers
 
@@ -88,6 +90,16 @@ def test_representations(spark):
         represent.representations(rows, "other")
 
 
+def test_representations_of_page_numbers_alone(spark, tmp_path):
+    """A chunk of which cleaning leaves nothing keeps its row in cleaned_text, as in the SQL."""
+    docs = [(2, "12\n\n(cid:3)", "en", "web", 10), (4, "x" * 899 + " 2024" + "y" * 95, "en", "web", 999), (6, "z" * 900 + "7", "en", "web", 901), (3, "5", "en", "web", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in text_plans.cleaned_text(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(more_plans.SQL["cleaned_text"]).fetchall()) and len(got) == 6
+
+
 def test_spans(spark):
     rows = [(1, 0, "paragraph", "a " * 100, 0, 200), (1, 1, "paragraph", "b " * 100, 202, 402), (1, 2, "table", "| t |", 404, 409), (1, 3, "paragraph", "short", 411, 416), (2, 0, "paragraph", "word " * 400, 0, 2000)]
     blocks = spark.createDataFrame(rows, "document_id long, block_index int, block_type string, text string, start_char int, end_char int")
