@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ LIBRARY_WORDS = (
     "cambridge", "copyright", "discrete", "geometry", "institute", "isbn", "library", "longman", "monographs", "north-holland", "press", "series", "university", "volume", "vol", "wiley",
     "springer", "surveys",
 )
+#: Characters of a piece of a listed fingerprint.
+PIECE = 1 << 14
 #: Columns of chunks that are used where they are there.
 OPTIONAL = {
     "document_title": "string", "title": "string", "heading_path": "array<string>", "section_title": "string", "page_start": "int", "page_end": "int", "block_types": "array<string>",
@@ -202,7 +209,7 @@ def index_fingerprint(hashes: DataFrame) -> DataFrame:
     """One row: n_chunks and a digest of all (chunk_id, text_hash), whatever their order.
 
     Every row's SHA-256 gives four numbers of 60 bits, which are summed; the digest is that of the sums. So it takes one aggregation, at
-    any size. It isn't the digest of the sorted list, which needs all rows in one place (``listed_fingerprint``).
+    any size. It isn't the digest of the sorted list, which has to be read in order (``listed_fingerprint``).
     """
     h = F.sha2(F.concat_ws(":", "chunk_id", "text_hash"), 256)
     words = [F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
@@ -210,10 +217,43 @@ def index_fingerprint(hashes: DataFrame) -> DataFrame:
     return sums.select(F.sha2(F.concat_ws(":", F.col("n_chunks").cast("string"), *(f"s{i}" for i in range(4))), 256).alias("fingerprint"), "n_chunks")
 
 
-def listed_fingerprint(hashes: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """One row: the SHA-256 of the sorted (chunk_id, text_hash) as a JSON list. All rows meet in one place, so more than ``most`` are an error."""
-    if hashes.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} chunks; use index_fingerprint")
+def listed_fingerprint(hashes: DataFrame, piece: int = PIECE) -> DataFrame:
+    """One row: the SHA-256 of the sorted (chunk_id, text_hash) as a JSON list, of any length.
+
+    Rows are dealt into ranges, which are sorted and written out as JSON by many tasks, in pieces of some ``piece`` characters. The digest of
+    a list goes on from what stands before, so one task reads the pieces in order, one at a time, and holds none of them.
+    """
+    spark = hashes.sparkSession
     row = F.to_json(F.struct("chunk_id", F.col("text_hash").alias("text_sha256")))
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text_hash", row.alias("row")))), lambda x: x["row"])
-    return hashes.agg(F.sha2(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")), 256).alias("fingerprint"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hashes.select("chunk_id", "text_hash", row.alias("row")).repartitionByRange(parts, "chunk_id", "text_hash").sortWithinPartitions("chunk_id", "text_hash")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([",".join(held)])], ["part", "n", "piece"])
+
+        for batch in batches:
+            for text in batch.column("row").to_pylist():
+                held.append(text)
+                size += len(text)
+                if size >= piece:
+                    yield out()
+                    n, held, size = n + 1, [], 0
+        if held:
+            yield out()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, n = hashlib.sha256(), 0
+        for batch in batches:
+            for text in batch.column("piece"):
+                whole.update((("," if n > 1 else "") + text.as_py()).encode())
+                n += 1
+        if n:
+            whole.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([whole.hexdigest()])], ["fingerprint"])
+
+    pieces = dealt.select("row").mapInArrow(cut, "part int, n long, piece string")
+    opened = spark.range(1).select(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("n"), F.lit("[").alias("piece"))
+    return opened.unionByName(pieces).repartition(1).sortWithinPartitions("part", "n").mapInArrow(digest, "fingerprint string")

@@ -1,5 +1,8 @@
 """Page layout, gates, numbering, providers, sessions and the engine on small inputs."""
 
+import hashlib
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +103,15 @@ def test_representations_of_page_numbers_alone(spark, tmp_path):
     assert got == set(con.execute(more_plans.SQL["cleaned_text"]).fetchall()) and len(got) == 6
 
 
+@pytest.mark.parametrize("n", [0, 1, 1_000_300])
+def test_listed_fingerprint_of_any_length(spark, n):
+    """More rows than one million, and one or none: the digest of the JSON list in order."""
+    hashes = spark.range(n).select(F.format_string("c/%07d", F.lit(n) - F.col("id")).alias("chunk_id"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("text_hash"))
+    listed_ = ({"chunk_id": f"c/{n - i:07d}"} | ({"text_sha256": str(i)} if i % 7 else {}) for i in reversed(range(n)))
+    want = hashlib.sha256(json.dumps(list(listed_), separators=(",", ":")).encode()).hexdigest()
+    assert [r[0] for r in represent.listed_fingerprint(hashes, 1000 if n < 2 else represent.PIECE).collect()] == [want]
+
+
 def test_spans(spark):
     rows = [(1, 0, "paragraph", "a " * 100, 0, 200), (1, 1, "paragraph", "b " * 100, 202, 402), (1, 2, "table", "| t |", 404, 409), (1, 3, "paragraph", "short", 411, 416), (2, 0, "paragraph", "word " * 400, 0, 2000)]
     blocks = spark.createDataFrame(rows, "document_id long, block_index int, block_type string, text string, start_char int, end_char int")
