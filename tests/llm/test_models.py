@@ -167,6 +167,18 @@ def test_recall_and_precision_of_kept_back_findings(spark):
     assert back.sum() > 500 and found[secrets].mean() >= 0.95 and secrets[found].mean() >= 0.95
 
 
+def test_every_finding_teaches(spark, monkeypatch):
+    """More findings of a label than 1,500: all are learned from, by several groups too, whose judge finds what the kept-back ones hold."""
+    scanned = secret_scan.scan(documents(spark, "/root/testdata/sf0.1")).cache()
+    held = scanned.selectExpr("explode(found) f").where("f.kind in ('assign', 'access', 'hex', 'word')").select("f.window").distinct()
+    windows, labels = secret_scan.findings(scanned)
+    assert {r[0] for r in held.collect()} <= set(windows) and (labels == 0).sum() > 1500
+    monkeypatch.setattr(secret_scan, "GROUP", 4000)
+    judge = secret_scan.fit(scanned)
+    found = secret_scan.scores(judge, windows) >= judge.threshold
+    assert found[labels == 1].mean() >= 0.95 and labels[found].mean() >= 0.95
+
+
 def test_secrets_behind_the_first_window(spark):
     rng = random.Random(5)
     keys = ["".join(rng.choices("0123456789ABCDEF", k=40)) for _ in range(300)]
