@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.functions.text import strip, tokens
+from plinth.functions.text import let, strip, tokens
 from plinth.operators.parse import malformed_table, repeated_edge_lines, serialize_table
 from plinth.sources.shared import stored
 
@@ -19,29 +19,37 @@ def reading_lines(words: DataFrame) -> DataFrame:
     """Words (document_id, page, x0, x1, top, text) as lines (document_id, page, line_index, top, x0, text).
 
     A word, in (top, x0) order, joins the line before it where it stands within SAME_LINE of the mean top of that line's words so far;
-    a gap wider than GAP within a line begins another. Blank words are left out. A page's words are folded in one row.
+    a gap wider than GAP within a line begins another. Blank words are left out. Words of one top share their line: once the first is in it,
+    the mean only comes nearer. So the tops of a page are folded, not its words, in one row; lines are then cut in a row each.
     """
     page = ["document_id", "page"]
     text = strip(F.col("text"))
-    kept = words.withColumn("text", text).where("text <> ''")
-    sorted_ = F.sort_array(F.collect_list(F.struct("top", "x0", "x1", "text")))
+    kept = words.withColumn("text", text).where("text <> ''").repartition(*page)  # one exchange serves all that follows
     none = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("lines"))
 
-    def add(seen: Column, w: Column) -> Column:
-        joins = (seen["n"] > 0) & (F.abs(w["top"] - seen["sum"] / F.greatest(seen["n"], F.lit(1))) <= SAME_LINE)
+    def add(seen: Column, t: Column) -> Column:
+        joins = (seen["n"] > 0) & (F.abs(t["top"] - seen["sum"] / F.greatest(seen["n"], F.lit(1))) <= SAME_LINE)
         line = seen["line"] + F.when(joins, 0).otherwise(1)
         n, total = (F.when(joins, seen[k]).otherwise(0) for k in ("n", "sum"))
-        return F.struct((n + 1).alias("n"), (total + w["top"]).cast("double").alias("sum"), line.alias("line"), F.concat(seen["lines"], F.array(line)).alias("lines"))
-
-    rows = kept.groupBy(*page).agg(sorted_.alias("words"))
-    rows = rows.withColumn("lines", F.aggregate("words", none, add)["lines"]).select(*page, F.explode(F.arrays_zip("words", "lines")).alias("w"))
-    rows = rows.select(*page, F.col("w.lines").alias("line"), "w.words.*")
-    along = Window.partitionBy(*page, "line").orderBy("x0")
-    rows = rows.withColumn("piece", F.sum(F.when(F.col("x0") - F.lag("x1").over(along) > GAP, 1).otherwise(0)).over(along))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    lines = rows.groupBy(*page, "line", "piece").agg(F.min("top").alias("top"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), text.alias("text"))
+        return F.struct((n + F.size(t["words"])).alias("n"), (total + t["top"] * F.size(t["words"])).cast("double").alias("sum"), line.alias("line"), F.concat(seen["lines"], F.array(line)).alias("lines"))
+
+    rows = kept.groupBy(*page, "top").agg(F.collect_list(F.struct("x0", "text", "x1", "top")).alias("words"))
+    rows = rows.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("top", "words"))).alias("tops"))
+    rows = rows.withColumn("lines", F.aggregate("tops", none, add)["lines"])
+    rows = rows.select(*page, "tops", "lines", F.explode(F.array_distinct("lines")).alias("line"))
+    first = F.array_position("lines", F.col("line"))
+    own = F.slice("tops", first.cast("int"), F.size(F.filter("lines", lambda x: x == F.col("line"))))
+    rows = rows.select(*page, "line", F.sort_array(F.flatten(F.transform(own, lambda t: t["words"]))).alias("w"))
+
+    def pieces(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(w))
+        starts = F.filter(at, lambda i: (i == 1) | (F.element_at(w, i)["x0"] - F.element_at(w, F.greatest(i - 1, F.lit(1)))["x1"] > GAP))
+        return let(starts, lambda s: F.transform(s, lambda b, k: F.slice(w, b, F.coalesce(F.get(s, k + 1), F.size(w) + 1) - b)))
+
+    rows = rows.select(*page, "line", F.posexplode(pieces(F.col("w"))).alias("piece", "w"))
     index = F.row_number().over(Window.partitionBy(*page).orderBy("line", "piece")) - 1
-    return lines.select(*page, index.alias("line_index"), "top", "x0", "x1", "text")
+    top, last = F.array_min("w.top").alias("top"), F.array_max("w.x1").alias("x1")
+    return rows.select(*page, index.alias("line_index"), top, F.col("w")[0]["x0"].alias("x0"), last, F.array_join("w.text", " ").alias("text"))
 
 
 def column_order(lines: DataFrame, width: float) -> DataFrame:
@@ -51,11 +59,10 @@ def column_order(lines: DataFrame, width: float) -> DataFrame:
     """
     page = ["document_id", "page"]
     left = Window.partitionBy(*page).orderBy("x0")
-    gaps = lines.withColumn("before", F.lag("x0").over(left)).where("before is not null")
-    middle = (F.col("x0") + F.col("before")) / 2
-    widest = gaps.groupBy(*page).agg(F.max_by(F.struct((F.col("x0") - F.col("before")).alias("gap"), middle.alias("middle")), F.struct(F.col("x0") - F.col("before"), -F.col("x0"))).alias("g"))
-    sides = lines.join(widest, page, "left").withColumn("right", F.coalesce(F.col("x0") > F.col("g.middle"), F.lit(False)))
     both = Window.partitionBy(*page)
+    gap = F.struct((F.col("x0") - F.col("before")).alias("gap"), -F.col("x0"), ((F.col("x0") + F.col("before")) / 2).alias("middle"))
+    sides = lines.withColumn("before", F.lag("x0").over(left)).withColumn("g", F.max(F.when(F.col("before").isNotNull(), gap)).over(both))
+    sides = sides.withColumn("right", F.coalesce(F.col("x0") > F.col("g.middle"), F.lit(False)))
     enough = (F.count_if("right").over(both) >= COLUMN_LINES) & (F.count_if(~F.col("right")).over(both) >= COLUMN_LINES)
     two = (F.col("g.gap") >= COLUMN_GAP * width) & F.col("g.middle").between(LEFTMOST * width, RIGHTMOST * width) & enough
     sides = sides.withColumn("column", F.when(F.coalesce(two, F.lit(False)) & F.col("right"), 1).otherwise(0))

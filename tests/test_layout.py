@@ -103,6 +103,16 @@ def test_representations_of_page_numbers_alone(spark, tmp_path):
     assert got == set(con.execute(more_plans.SQL["cleaned_text"]).fetchall()) and len(got) == 6
 
 
+def test_reading_lines_fold_tops(spark):
+    """As many states as tops, not as words: a line of 20,000 words in a page, which a fold over words would copy 20,000 times; one exchange."""
+    words = [(1, 0, 40.0 * w, 40.0 * w + 30.0, 12.0 * (w % 2) * 0.2, f"w{w}") for w in range(20_000)] + [(1, 0, 0.0, 10.0, 30.0, "below"), (1, 0, 200.0, 210.0, 30.0, "apart")]
+    lines = pages.reading_lines(spark.createDataFrame(words, WORD))
+    got = [(r["line_index"], r["top"], r["x0"], r["x1"], len(r["text"].split(" "))) for r in lines.orderBy("line_index").collect()]
+    assert got == [(0, 0.0, 0.0, 799_990.0, 20_000), (1, 30.0, 0.0, 10.0, 1), (2, 30.0, 200.0, 210.0, 1)]
+    plan = pages.column_order(lines, 600.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 @pytest.mark.parametrize("n", [0, 1, 1_000_300])
 def test_listed_fingerprint_of_any_length(spark, n):
     """More rows than one million, and one or none: the digest of the JSON list in order."""
