@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.batches import slices
 from plinth.functions.text import let, tokens
 from plinth.operators.chunking import block_chunks
 
@@ -148,6 +149,8 @@ def coverage(spans: DataFrame, results: DataFrame) -> DataFrame:
     return out.union(rows.select("span_id", F.when(F.size("pages") > 0, F.coalesce("n", F.lit(0)) / F.size("pages"))))
 
 
+#: Bytes of text whose passages are gathered at once.
+TEXT_SLICE = 2 << 20
 #: Characters of all passages up to which they are sent to all tasks and sought together.
 SENT_CHARACTERS = 4 << 20
 
@@ -175,7 +178,7 @@ def find_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             automaton.add_word(q, (len(q), at))
         if sought:
             automaton.make_automaton()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, most=TEXT_SLICE)):
             found: list[tuple[int, int, int, int, int]] = []
             for row, text in enumerate(batch.column("text").to_pylist() if sought else []):
                 places: dict[int, int] = {}

@@ -11,8 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.batches import slices
 from plinth.functions.text import let
 
+#: Bytes of text whose lines are looked at together.
+TEXT_SLICE = 2 << 20
 
 class _Lines(NamedTuple):
     """The lines of a batch of texts, one after another: their text's row, number, first character and length, and whether they are blank."""
@@ -48,7 +51,7 @@ def _by_batch(docs: DataFrame, columns: dict[str, str], made: Callable[[pa.Array
     rows = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, most=TEXT_SLICE)):
             row, *found = made(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(row)), *found], ["document_id", *columns])
 

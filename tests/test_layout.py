@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,17 @@ def test_representations_of_page_numbers_alone(spark, tmp_path):
     assert got == set(con.execute(more_plans.SQL["cleaned_text"]).fetchall()) and len(got) == 6
 
 
+def test_few_words_are_spelled_out_at_once():
+    """A batch of 2 million words, whose strings together would take more than 100 MB."""
+    batch = pa.array(["Ab straße " * 2_500] * 400 + [None, ""])
+    tracemalloc.start()
+    got = U.folded_tokens.func(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].as_py() == ["ab", "strasse"] * 2_500 and got[400].as_py() is None and got[401].as_py() == [] and len(got) == 402
+    assert most < 40e6
+
+
 def test_reading_lines_fold_tops(spark):
     """As many states as tops, not as words: a line of 20,000 words in a page, which a fold over words would copy 20,000 times; one exchange."""
     words = [(1, 0, 40.0 * w, 40.0 * w + 30.0, 12.0 * (w % 2) * 0.2, f"w{w}") for w in range(20_000)] + [(1, 0, 0.0, 10.0, 30.0, "below"), (1, 0, 200.0, 210.0, 30.0, "apart")]
