@@ -34,5 +34,5 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, st
     earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select(*by, "__p", *(F.coalesce(F.sum(f"__{name}").over(earlier), F.lit(0)).alias(f"__{name}") for name in sums))  # n rows a group at most
     own = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.join(held, [*by, "__p"])
+    out = dealt.join(held.hint("merge"), [*by, "__p"])  # dealt as the sums below need it; not sent, as groups may be many
     return out.select(*rows.columns, *((F.col(f"__{name}") + F.coalesce(F.sum(c).over(own), F.lit(0))).cast("long").alias(name) for name, c in sums.items()))

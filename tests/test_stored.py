@@ -263,6 +263,21 @@ def test_large_documents_are_packed_as_small_ones(spark, monkeypatch, size, over
     assert rows(chunking.block_chunks_of_any_size(blocks, size, overlap, split)) == want
 
 
+def test_large_documents_are_packed_without_the_driver(spark, monkeypatch):
+    """Numbers of blocks, stored compressed, are merged, not sent, and texts don't go with them."""
+    kept, plans = chunking.stored, []
+
+    def seen(df, name):
+        if name in ("placed", "jumps", "begun"):
+            plans.append(("text" in df.columns, "BroadcastHashJoin [document_id" in df._jdf.queryExecution().executedPlan().toString() and name != "placed"))
+        return kept(df, name)
+
+    monkeypatch.setattr(chunking, "stored", seen)
+    blocks = spark.range(30).selectExpr("id % 2 document_id", "cast(id as int) block_index", "'paragraph' block_type", "'some text' text", "0 start_char", "9 end_char")
+    assert chunking.block_chunks_of_any_size(blocks, 60, large=0).count() == 6
+    assert len(plans) > 4 and not any(map(any, plans))
+
+
 def test_running_sums_of_one_group_over_many_ranges(spark):
     df = spark.range(1000).select(F.lit("g").alias("g"), "id", (F.col("id") % 3).alias("v"))
     got = running(df, ["g"], ["id"], {"before": "v"}, parts=7).orderBy("id").collect()
