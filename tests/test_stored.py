@@ -387,3 +387,20 @@ def test_leakage_finds_every_near_text(spark):
     got = leakage.leakage(spark.createDataFrame(held, kind), spark.createDataFrame(others, kind)).withColumn("closest", F.round("closest", 9))
     assert rows(got) == sorted(want, key=repr) and sum(w[3] > 0 for w in want) > 10
     assert leakage.leakage(spark.createDataFrame(held, kind), spark.createDataFrame([], kind)).where("n_near > 0").count() == 0
+
+
+def test_leakage_shuffles_prefixes_alone(spark, monkeypatch):
+    """Sets are stored once; what is grouped and joined are their prefixes and the pairs that meet."""
+    kept, sizes = leakage.stored, {}
+
+    def seen(df, name):
+        out = kept(df, name)
+        sizes[name] = [r["n"] for r in out.select(F.size([c for c in ("set", "prefix") if c in out.columns][0]).alias("n")).collect()] if name != "pairs" else out.count()
+        return out
+
+    monkeypatch.setattr(leakage, "stored", seen)
+    words = [[f"w{d}x{i}" for i in range(104)] for d in range(8)]
+    texts = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(words)] + [(9, " ".join(words[0][:102] + ["new"])), (10, " ".join(words[1]))], "id long, text string")
+    got = rows(leakage.leakage(texts.where("id < 8"), texts.where("id > 8")))
+    assert [r[2:4] for r in got[:3]] == [(0, 1), (1, 1), (0, 0)]
+    assert {*sizes["shingles"]} == {100, 99} and max(sizes["classes"]) == 21 and sizes["pairs"] == 2 and len(sizes["sets"]) == 4
