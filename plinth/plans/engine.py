@@ -24,12 +24,12 @@ Step = Callable[[DataFrame], DataFrame]
 class Engine:
     """Ranks chunks (chunk_id, text, ...) for queries (query_id, query). Only one snapshot's chunks are kept at a time.
 
-    ``index`` (chunk_id, embedding) and ``embed`` (queries -> (query_id, embedding)) are needed for the semantic and hybrid modes.
+    ``index`` (chunk_id, embedding), or what makes it of the chunks, and ``embed`` (queries -> (query_id, embedding)) are needed for the semantic and hybrid modes.
     ``rerank`` and ``select`` may replace what follows the candidates; ``select`` defaults to the best of each query.
     """
 
     chunks: DataFrame
-    index: DataFrame | None = None
+    index: DataFrame | Step | None = None
     embed: Step | None = None
     rerank: Step | None = None
     select: Step | None = None
@@ -77,7 +77,7 @@ class Engine:
         if self.index is None or self.embed is None:
             raise ValueError(f"mode {mode} needs an index and an embedding of queries")
         if mode == "semantic":
-            return retrieval.semantic_search(self.index.join(self.chunks.select("chunk_id"), "chunk_id", "left_semi"), self.embed(asked), limit)
+            return retrieval.semantic_search(retrieval.known_vectors(self.chunks, self.index), self.embed(asked), limit)
         return retrieval.hybrid_search(self.chunks, self.index, asked, self.embed(asked), limit)
 
     def search(self, queries: DataFrame, mode: str = "lexical", limit: int = 10) -> DataFrame:

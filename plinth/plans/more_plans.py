@@ -224,7 +224,7 @@ def engine_search(spark, sf_dir):
         made = providers.embed(queries.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), provider)
         return made.select(F.col("chunk_id").alias("query_id"), "embedding")
 
-    engine = Engine(chunks, providers.embed(chunks, provider).select("chunk_id", "embedding"), embed)
+    engine = Engine(chunks, lambda rows: providers.embed(rows, provider).select("chunk_id", "embedding"), embed)
     return engine.search(cases_of(spark, sf_dir), "hybrid", 10).withColumn("score", F.round("score", 9))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import text as T
 from plinth.operators import chunking, evaluate, evidence, history, parse, represent, retrieval, selection
+from plinth.sources import providers
 from tests.conftest import ROOT
 
 CHUNK = "chunk_id string, text string"
@@ -71,6 +72,21 @@ def test_semantic(spark):
         retrieval.semantic_search(index, spark.createDataFrame([(1, [1.0])], q.schema), 4).collect()
 
 
+def test_semantic_reads_vectors_once_where_they_are(spark):
+    """Few queries: vectors, made by a provider, say, are made once, not counted before nor shuffled; those made of the chunks meet no join."""
+    chunks = spark.createDataFrame([(str(i), f"text {i}") for i in range(20)], "chunk_id string, text string")
+    asked, provider = spark.sparkContext.accumulator(0), providers.hashing_provider(4)
+
+    def counting(texts):
+        asked.add(len(texts))
+        return provider(texts)
+
+    q = spark.createDataFrame([(1, provider(["text 3"])[0])], "query_id long, embedding array<double>")
+    got = retrieval.semantic_search(retrieval.known_vectors(chunks, lambda rows: providers.embed(rows, counting)), q, 1)
+    assert "3" in {r["chunk_id"] for r in retrieval.semantic_search(providers.embed(chunks, provider), q, 20).where("score > 0.999").collect()}
+    assert got.collect()[0]["score"] > 0.999 and asked.value == 20
+
+
 def test_semantic_takes_any_number_of_queries(spark):
     index = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "chunk_id string, embedding array<double>")
     queries = spark.range(70_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(1.0))).alias("embedding"))
