@@ -65,24 +65,27 @@ class Engine:
             self.statistics["invalidations"] += 1
         return self
 
-    def candidates(self, queries: DataFrame, mode: str, limit: int) -> DataFrame:
+    def candidates(self, queries: DataFrame, mode: str, limit: int, counted: retrieval.Counted | None = None) -> DataFrame:
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
-        asked = queries.where(F.coalesce(strip(F.col("query")), F.lit("")) != "")
+        asked = self._asked(queries)
         if mode in ("lexical", "bm25") and self.prepared is not None:
             return getattr(self.prepared, mode)(asked, limit)
         if mode in ("lexical", "bm25"):
             search = retrieval.lexical_search if mode == "lexical" else retrieval.bm25_search
-            return search(self.chunks, asked, limit)
+            return search(self.chunks, asked, limit, counted=counted)
         if self.index is None or self.embed is None:
             raise ValueError(f"mode {mode} needs an index and an embedding of queries")
         if mode == "semantic":
             return retrieval.semantic_search(retrieval.known_vectors(self.chunks, self.index), self.embed(asked), limit)
-        return retrieval.hybrid_search(self.chunks, self.index, asked, self.embed(asked), limit)
+        return retrieval.hybrid_search(self.chunks, self.index, asked, self.embed(asked), limit, counted)
 
-    def search(self, queries: DataFrame, mode: str = "lexical", limit: int = 10) -> DataFrame:
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        return queries.where(F.coalesce(strip(F.col("query")), F.lit("")) != "")
+
+    def search(self, queries: DataFrame, mode: str = "lexical", limit: int = 10, counted: retrieval.Counted | None = None) -> DataFrame:
         """query_id, rank, chunk_id, score; an empty query has no results."""
-        found = retrieval.deduplicate(self.candidates(queries, mode, limit).select("query_id", "rank", "chunk_id", "score"))
+        found = retrieval.deduplicate(self.candidates(queries, mode, limit, counted).select("query_id", "rank", "chunk_id", "score"))
         found = self.rerank(found) if self.rerank else found
         return self.select(found) if self.select else found.where(F.col("rank") <= limit)
 
@@ -101,7 +104,7 @@ class Engine:
             steps.append(n)
             return out
 
-        asked = run("normalize", queries.count(), lambda: queries.where(F.coalesce(strip(F.col("query")), F.lit("")) != ""), queries)
+        asked = run("normalize", queries.count(), lambda: self._asked(queries), queries)
         found = run("candidates", steps[-1], lambda: self.candidates(asked, mode, limit).select("query_id", "rank", "chunk_id", "score"), asked)
         unique = run("deduplicate", steps[-1], lambda: retrieval.deduplicate(found), found)
         ranked = run("rerank", steps[-1], (lambda: self.rerank(unique)) if self.rerank else None, unique)
@@ -123,11 +126,15 @@ class Engine:
         return answered.withColumn("status", status).select("query_id", "prompt", "status", "answer")
 
     def compare(self, cases: DataFrame, gold: DataFrame, modes: list[str], limits: list[int], fail_fast: bool = True) -> DataFrame:
-        """Metrics of every mode at every limit. A mode that can't run is an error, or a row with its message where ``fail_fast`` is off."""
+        """Metrics of every mode at every limit; modes that count tokens share the pass over the texts. A mode that can't run is an error, or
+        a row with its message where ``fail_fast`` is off."""
         out, failed = None, []
+        hybrid = {"hybrid"} if self.index is not None and self.embed is not None else set()
+        counting = {*modes} & ({"lexical", "bm25"} if self.prepared is None else set()) | {*modes} & hybrid
+        counted = retrieval.count_for(self.chunks, self._asked(cases)) if len(counting) > 1 else None
         for mode in dict.fromkeys(modes):
             try:
-                ranked = stored(self.search(cases, mode, max(limits)), "results")
+                ranked = stored(self.search(cases, mode, max(limits), counted), "results")
             except ValueError as wrong:
                 if fail_fast:
                     raise

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.operators import chunking, evaluate, gates, leakage, prepared, quantiles, retrieval, vector_index
+from plinth import catalog
+from plinth.operators import chunking, evaluate, evidence, gates, leakage, prepared, quantiles, retrieval, vector_index
 from plinth.operators.numbering import running
 from plinth.plans import trials
 from plinth.plans.search_plans import cases_of
@@ -404,3 +405,13 @@ def test_leakage_shuffles_prefixes_alone(spark, monkeypatch):
     got = rows(leakage.leakage(texts.where("id < 8"), texts.where("id > 8")))
     assert [r[2:4] for r in got[:3]] == [(0, 1), (1, 1), (0, 0)]
     assert {*sizes["shingles"]} == {100, 99} and max(sizes["classes"]) == 21 and sizes["pairs"] == 2 and len(sizes["sets"]) == 4
+
+
+@pytest.mark.parametrize(("name", "counts", "seeks"), [("mode_comparison", 1, 1), ("transitions", 1, 1), ("engine_compare", 1, 1), ("direction_gates", 1, 1), ("trial_matrix", 1, 0), ("fragment_gates", 1, 0), ("retrieval_metrics", 1, 1)])
+def test_passes_over_the_texts_are_shared(spark, sf_dir, monkeypatch, name, counts, seeks):
+    """Texts are tokenised once for all searches, passages are sought once for all that needs their places."""
+    done = []
+    for module, step in ((retrieval, "counted_tokens"), (evidence, "find_passages")):
+        monkeypatch.setattr(module, step, lambda *a, own=getattr(module, step), step=step: (done.append(step), own(*a))[1])
+    catalog.QUERIES[name](spark, sf_dir)
+    assert (done.count("counted_tokens"), done.count("find_passages")) == (counts, seeks)
