@@ -80,6 +80,40 @@ def test_index_of_odd_chunks(spark, tmp_path):
         prepared.Index(spark, f"file://{tmp_path}/unfinished")
 
 
+def test_words_cut_from_bytes_are_those_of_the_expression(spark):
+    """All kinds of code points, words at the ends of texts, empty texts, null, and a slice of an array."""
+    import pyarrow as pa
+
+    from plinth.functions.text import tokens
+    from plinth.functions.words import word_points, words
+
+    points = [*range(1, 0xD800, 7), *range(0xE000, 0x110000, 997)]
+    texts = ["", "a", "b c", "", None, "ÄÖ_1 ΣΑΣ İx ǅ 東京tower", "end", "_", " . ", "".join(map(chr, points)), " ".join(map(chr, points)), "é", ""]
+    held = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", F.lower(F.coalesce("text", F.lit(""))).alias("lower"), tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    found = held.orderBy("i").toArrow()
+    lower = found["lower"].combine_chunks().cast(pa.string())
+    assert words(lower, word_points(spark)).to_pylist() == found["tokens"].to_pylist()
+    assert words(lower.slice(2, 8), word_points(spark)).to_pylist() == found["tokens"].to_pylist()[2:10]
+    assert words(lower.slice(0, 0), word_points(spark)).to_pylist() == []
+
+
+def test_an_index_is_made_in_one_pass_over_the_texts(spark, tmp_path):
+    """The texts are read, cut and counted once, and postings are no more rows than (bucket, block) pairs of the batches, whatever tokens they have."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([(f"{i:05d}", " ".join(f"w{(i * j) % 977}" for j in range(60))) for i in range(2500)], "chunk_id string, text string").repartition(2)
+    folder = prepared.write(texts.mapInArrow(count, texts.schema), buckets=8)
+    assert seen.value == 2500
+    held = spark.read.parquet(f"{folder}/postings")
+    assert held.count() <= 8 * 2 * 2 and set(held.columns) == {"bucket", "block", "tokens", "facts", "entries"}
+    assert spark.read.parquet(f"{folder}/chunks").columns == ["number", "chunk_id", "length"]
+
+
 def want(values, share):
     return float(np.percentile(values, 100 * share)) if len(values) else None
 
