@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -379,6 +380,30 @@ def test_trials_are_resumed(spark, tmp_path):
     assert trials.digest_of(df, "id", "t") == trials.digest_of(df.orderBy(F.desc("id")).repartition(3), "id", "t") != trials.digest_of(df.distinct(), "id", "t")
 
 
+def test_trials_without_results(spark, sf_dir, tmp_path):
+    """Cells that find nothing count as none, as in the SQL; an unreadable manifest is damage, not an error."""
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where("true" if name == "documents" else "false").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = catalog.QUERIES["trial_matrix"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(catalog.SQL["trial_matrix"])
+    columns = [d[0] for d in want.description]
+    assert rows(got.select(*columns)) == sorted(want.fetchall(), key=repr) == sorted([(m, k, 0, 0, 0, 4, 0) for m in ("lexical", "bm25") for k in (1, 5)], key=repr)
+    matrix = trials.TrialMatrix(spark, f"file://{tmp_path}/trials", {"cases": "x"}, "id", lambda cell: spark.range(cell["k"]))
+    cells = [{"k": 0}, {"k": 2}]
+    empty = matrix.complete(cells[:1])
+    assert empty.columns == ["id", "k"] and empty.count() == 0
+    assert rows(matrix.complete(cells)) == [(0, 2), (1, 2)] and matrix.ran == cells[1:]
+    name = matrix.name(cells[1]).removeprefix("file://")
+    os.remove(f"{name}/{generations.current(name)['generation']}/{generations.MANIFEST}")
+    assert [matrix.state(c) for c in cells] == ["done", "damaged"]
+    assert rows(matrix.complete(cells)) == [(0, 2), (1, 2)] and matrix.ran == cells[1:]
+    generations.forget(name)
+    assert matrix.state(cells[1]) == "missing"
+
+
 def test_farthest_points_of_many_groups(spark):
     rng = random.Random(2)
     data = [(g, i, float(rng.randint(0, 30))) for g in ("a", None, "c", "one") for i in range(1 if g == "one" else 40)]
