@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from plinth.sources.shared import stored
 SAME_LINE, GAP = 3.0, 120.0
 #: Smallest gap between columns, and where it may lie, as shares of the page's width; lines that each column needs.
 COLUMN_GAP, LEFTMOST, RIGHTMOST, COLUMN_LINES = 0.12, 0.2, 0.8, 2
+#: Lines at either end of a page that may be its header or footer; the white space of ``strip``, and words of pages that one step takes.
+EDGE, BLANKS, STEP_WORDS = 2, " \t\n\x0b\f\r\x85\xa0\x1c\x1d\x1e\x1f\u2028\u2029\u3000", 1 << 18
 
 
 def reading_lines(words: DataFrame) -> DataFrame:
@@ -52,6 +59,95 @@ def reading_lines(words: DataFrame) -> DataFrame:
     return rows.select(*page, index.alias("line_index"), top, F.col("w")[0]["x0"].alias("x0"), last, F.array_join("w.text", " ").alias("text"))
 
 
+def packed(words: DataFrame) -> DataFrame:
+    """Words (document_id, page, x0, x1, top, text) as pages (document_id, page, words), each whole in one row."""
+    return words.groupBy("document_id", "page").agg(F.collect_list(F.struct("x0", "x1", "top", "text")).alias("words"))
+
+
+def packed_lines(pages: DataFrame, width: float) -> DataFrame:
+    """Pages (document_id, page, words), each whole in one row, with ``lines`` in place of their words: what ``reading_lines`` makes of
+    these, in the order of ``column_order``, as structs (line_index, column, top, text). Pages without lines are left out. Nothing is
+    shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _steps(batch):
+                row, lines = _lines_of_pages(part.column("words"), width)
+                yield pa.RecordBatch.from_arrays([part.column("document_id").take(row), part.column("page").take(row), lines], ["document_id", "page", "lines"])
+
+    kind = {n: pages.schema[n].dataType.simpleString() for n in ("document_id", "page")}
+    own = pages.select("document_id", "page", F.col("words").cast("array<struct<x0:double,x1:double,top:double,text:string>>").alias("words"))
+    return own.mapInArrow(run, f"document_id {kind['document_id']}, page {kind['page']}, lines array<struct<line_index:int,column:int,top:double,text:string>>")
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of pages with about STEP_WORDS words each; a longer page is a slice of its own."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column("words")), 0)))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + STEP_WORDS, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def _lines_of_pages(words: pa.ListArray, width: float) -> tuple[pa.Array, pa.Array]:
+    """Numbers of the pages that have lines, and their lines in reading order."""
+    page = np.repeat(np.arange(len(words)), np.asarray(pc.fill_null(pc.list_value_length(words), 0)))
+    x0, x1, top, text = words.flatten().flatten()
+    text = pc.utf8_trim(text, BLANKS)
+    held = np.flatnonzero(np.asarray(pc.fill_null(pc.greater(pc.binary_length(text), 0), False)))
+    page, text = page[held], text.take(pa.array(held))
+    x0, x1, top = (np.asarray(pc.cast(c, pa.float64()).to_numpy(zero_copy_only=False))[held] for c in (x0, x1, top))
+    order = np.lexsort((top, page))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(page[order]) > 0) | (top[order][1:] != top[order][:-1])
+    starts = np.flatnonzero(fresh)
+    # Words of one top share their line, so tops are folded: each joins the line before where it is near the mean of that line's words.
+    line, own, last, n, total = np.zeros(len(starts), np.int64), -1, -1, 0, 0.0
+    for i, (p, t, size) in enumerate(zip(page[order][starts].tolist(), top[order][starts].tolist(), np.diff(np.append(starts, len(order))).tolist(), strict=True)):
+        if p != last or not abs(t - total / n) <= SAME_LINE:
+            own, n, total = own + 1, 0, 0.0
+        n, total, last, line[i] = n + size, total + t * size, p, own
+    of_word = np.empty(len(order), np.int64)
+    of_word[order] = np.repeat(line, np.diff(np.append(starts, len(order))))
+    order = np.lexsort((x0, of_word))
+    if np.any((np.diff(of_word[order]) == 0) & (np.diff(x0[order]) == 0)):  # only then does the text decide
+        order = np.lexsort((top, x1, np.asarray(pc.rank(text.cast(pa.binary()), tiebreaker="dense")), x0, of_word))
+    page, x0, x1, top, of_word = page[order], x0[order], x1[order], top[order], of_word[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (np.diff(of_word) > 0) | (x0[1:] - x1[:-1] > GAP)
+    starts = np.flatnonzero(fresh)
+    if not len(starts):
+        return pa.array([], pa.int64()), pa.array([], pa.list_(_LINE))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), text.take(pa.array(order))), " ")
+    top, x0 = np.minimum.reduceat(top, starts), x0[starts]
+    rows, firsts, row = np.unique(page[starts], return_index=True, return_inverse=True)
+    column = _columns(row, x0, width)
+    order = np.lexsort((x0, top, column, row))
+    index = np.arange(len(row)) - firsts[row]
+    values = pa.array(index[order], pa.int32()), pa.array(column[order], pa.int32()), pa.array(top[order]), joined.take(pa.array(order))
+    return pa.array(rows), pa.ListArray.from_arrays(pa.array(np.append(firsts, len(row)), pa.int32()), pa.StructArray.from_arrays(values, fields=list(_LINE)))
+
+
+_LINE = pa.struct([("line_index", pa.int32()), ("column", pa.int32()), ("top", pa.float64()), ("text", pa.string())])
+
+
+def _columns(page: np.ndarray, x0: np.ndarray, width: float) -> np.ndarray:
+    """0, or 1 for lines in the right of two columns, as in ``column_order``; pages are numbered from 0 and come in order."""
+    order = np.lexsort((x0, page))
+    a, b, same = x0[order][:-1], x0[order][1:], np.diff(page[order]) == 0
+    a, b, of = a[same], b[same], page[order][1:][same]
+    by_gap = np.lexsort((-b, b - a, of))
+    last = by_gap[np.append(np.diff(of[by_gap]) > 0, True)] if len(of) else by_gap  # each page's widest gap, of equal ones the leftmost
+    gap, middle = np.full(page.max() + 1, -np.inf), np.full(page.max() + 1, np.inf)
+    gap[of[last]], middle[of[last]] = (b - a)[last], ((b + a) / 2)[last]
+    right = np.bincount(page, x0 > middle[page], len(gap))
+    enough = (right >= COLUMN_LINES) & (np.bincount(page, minlength=len(gap)) - right >= COLUMN_LINES)
+    two = (gap >= COLUMN_GAP * width) & (middle >= LEFTMOST * width) & (middle <= RIGHTMOST * width) & enough
+    return (two[page] & (x0 > middle[page])).astype(np.int64)
+
+
 def column_order(lines: DataFrame, width: float) -> DataFrame:
     """Lines with ``column`` (0, or 1 for the right of two) and their place in reading order.
 
@@ -76,20 +172,28 @@ def outside_tables(lines: DataFrame, rows: DataFrame) -> DataFrame:
     A line repeats the rows together where at least two of its tokens, and four fifths of them, stand in them; it repeats one row where
     two are shared, and these are four fifths of either side.
     """
-    sets = F.collect_set(F.array_sort(F.array_distinct(tokens(F.col("text")))))
-    held = rows.groupBy("document_id", "page").agg(sets.alias("rows"))
-    found = lines.withColumn("own", F.array_distinct(tokens(F.col("text")))).join(held, ["document_id", "page"], "left")
+    found = lines.withColumn("own", F.array_distinct(tokens(F.col("text")))).join(_token_sets(rows), ["document_id", "page"], "left")
     found = found.withColumn("rows", F.coalesce("rows", F.array().cast("array<array<string>>")))
+    return found.where(~_repeats(F.col("own"), F.col("rows"))).select(*lines.columns)
+
+
+def _token_sets(rows: DataFrame) -> DataFrame:
+    """document_id, page and ``rows``, the sets of tokens of its table rows."""
+    sets = F.collect_set(F.array_sort(F.array_distinct(tokens(F.col("text")))))
+    return rows.groupBy("document_id", "page").agg(sets.alias("rows"))
+
+
+def _repeats(own: Column, rows: Column) -> Column:
+    """Whether a line with these tokens repeats the rows together, or one of them."""
 
     def shared(other: Column) -> Column:
-        return F.size(F.array_intersect("own", other))
+        return F.size(F.array_intersect(own, other))
 
     def enough(other: Column) -> Column:
-        return (shared(other) >= 2) & (shared(other) >= 0.8 * F.size("own"))
+        return (shared(other) >= 2) & (shared(other) >= 0.8 * F.size(own))
 
-    one = F.exists("rows", lambda r: (F.size(r) >= 2) & enough(r) & (shared(r) >= 0.8 * F.size(r)))
-    repeats = (F.size("own") >= 2) & (enough(F.array_distinct(F.flatten("rows"))) | one)
-    return found.where(~repeats).select(*lines.columns)
+    one = F.exists(rows, lambda r: (F.size(r) >= 2) & enough(r) & (shared(r) >= 0.8 * F.size(r)))
+    return (F.size(own) >= 2) & (enough(F.array_distinct(F.flatten(rows))) | one)
 
 
 # How the caption of a table begins.
@@ -123,12 +227,20 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 def page_blocks(pages: DataFrame, tables: DataFrame) -> DataFrame:
     """A paragraph block for each page with text, then its tables, each after its caption and an empty line; numbered through the document."""
+    return numbered_parts(page_parts(pages, tables)).select("document_id", "block_index", "page", "block_type", "text")
+
+
+def page_parts(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """The blocks of ``page_blocks`` before they are numbered: document_id, page, part, block_type, text."""
     kinds = "document_id", "page", "part", "block_type", "text"
     body = pages.where(F.trim("text") != "").withColumns({"part": F.lit(-1), "block_type": F.lit("paragraph")}).select(*kinds)
     shown = F.concat_ws("\n\n", F.nullif("caption", F.lit("")), "text")
-    both = body.unionByName(tables.withColumns({"part": F.col("table_index"), "block_type": F.lit("table"), "text": shown}).select(*kinds))
-    index = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "part")) - 1
-    return both.select("document_id", index.alias("block_index"), "page", "block_type", "text")
+    return body.unionByName(tables.withColumns({"part": F.col("table_index"), "block_type": F.lit("table"), "text": shown}).select(*kinds))
+
+
+def numbered_parts(parts: DataFrame) -> DataFrame:
+    """Parts of pages with ``block_index``, by page and part through each document; all their columns are shuffled, so it is best given few."""
+    return parts.withColumn("block_index", F.row_number().over(Window.partitionBy("document_id").orderBy("page", "part")) - 1)
 
 
 def page_warnings(pages: DataFrame, tables: DataFrame) -> DataFrame:
@@ -149,18 +261,32 @@ def document_text(blocks: DataFrame) -> DataFrame:
 def read_pages(words: DataFrame, tables: DataFrame, rows: DataFrame, plain: DataFrame, width: float) -> DataFrame:
     """Blocks of paged documents, from positioned words to numbered blocks.
 
-    words: (document_id, page, x0, x1, top, text); tables: as ``page_tables`` gives them; rows: their rows' texts (document_id, page,
-    text); plain: (document_id, page, plain_text), one for each page, for pages whose words give nothing. Words become lines in reading
-    order, headers and footers go, then lines that repeat a table; the rest of a page is its paragraph.
+    words: (document_id, page, x0, x1, top, text); the rest as in ``parts_of_pages``.
     """
-    lines = stored(reading_lines(words), "lines")
-    ordered = column_order(lines, width).select("document_id", "page", F.col("place").alias("line_index"), "text")
-    kept = repeated_edge_lines(ordered).where("not removed").drop("removed")
-    kept = outside_tables(kept, rows)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "text"))), lambda x: x["text"]), "\n")
-    texts = kept.groupBy("document_id", "page").agg(joined.alias("words_text"))
-    had = words.where(strip(F.col("text")) != "").select("document_id", "page", F.lit(True).alias("had")).distinct()
-    pages = plain.join(texts, ["document_id", "page"], "left").join(had, ["document_id", "page"], "left")
-    plain_text = F.when(F.col("had"), "").otherwise(F.col("plain_text"))
-    pages = page_text(pages.withColumn("plain_text", plain_text))
-    return page_blocks(pages, captions(tables, lines))
+    return numbered_parts(parts_of_pages(packed(words), tables, rows, plain, width)).select("document_id", "block_index", "page", "block_type", "text")
+
+
+def parts_of_pages(pages: DataFrame, tables: DataFrame, rows: DataFrame, plain: DataFrame, width: float) -> DataFrame:
+    """What ``page_parts`` gives for paged documents.
+
+    pages: (document_id, page, words), each page whole in one row; tables: as ``page_tables`` gives them; rows: their rows' texts
+    (document_id, page, text); plain: (document_id, page, plain_text), one for each page, for pages whose words give nothing. Words become
+    lines in reading order, headers and footers go, then lines that repeat a table; the rest of a page is its paragraph.
+
+    A page stays one row: its lines are made and ordered where its words are, stored without positions, and shuffled once, to what is known
+    of the page. Only the lines at its edges are looked at apart.
+    """
+    page = ["document_id", "page"]
+    found = F.filter("lines", lambda x: x["text"].rlike(CAPTION))
+    lines = stored(packed_lines(pages, width).select(*page, F.col("lines.text").alias("lines"), found.alias("found")), "lines")
+    ends = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i < EDGE) | (i >= F.size("lines") - EDGE))
+    edges = lines.select(*page, F.explode(F.transform(ends, lambda i: F.struct(i.alias("line_index"), F.get("lines", i).alias("text")))).alias("x")).select(*page, "x.line_index", "x.text")
+    gone = repeated_edge_lines(edges, EDGE).where("removed").groupBy(*page).agg(F.collect_list("line_index").alias("gone"))
+    whole = plain.join(lines.select(*page, "lines"), page, "left").join(gone, page, "left").join(_token_sets(rows), page, "left")
+    kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    outside = F.filter(kept, lambda x: ~let(F.array_distinct(tokens(x)), lambda own: _repeats(own, F.col("rows"))))
+    text = F.array_join(F.when(F.col("rows").isNull(), kept).otherwise(outside), "\n")
+    plain_text = F.when(F.col("lines").isNotNull(), "").otherwise(F.col("plain_text"))
+    texts = page_text(whole.select(*page, text.alias("words_text"), plain_text.alias("plain_text")))
+    captioned = lines.where(F.size("found") > 0).select(*page, F.explode("found").alias("x")).select(*page, "x.line_index", "x.top", "x.text")
+    return page_parts(texts, captions(tables, captioned))

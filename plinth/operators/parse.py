@@ -69,6 +69,11 @@ def lines(docs: DataFrame) -> DataFrame:
     return _by_batch(docs, {"line_index": "int", "start_char": "int", "text": "string"}, made)
 
 
+def line_texts(text: Column) -> Column:
+    """The lines of a text as an array, divided as by ``lines``."""
+    return F.split(F.regexp_replace(text, LINE_ENDS, "\n"), "\n")
+
+
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Runs of lines that aren't blank: document_id, block_index, start_char, end_char, text. Nothing is shuffled."""
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import text as T
 from plinth.functions import unicode as U
-from plinth.operators import evaluate, evidence, gates, history, pages, represent
+from plinth.operators import evaluate, evidence, gates, history, pages, parse, represent
 from plinth.operators.numbering import numbered
 from plinth.plans.engine import Engine, listed
 from plinth.plans.search_plans import CASES, MAPPED, RANKED, SUMMARY, _bm25, _metrics, _ranked, cases_of, gold_of, metrics_of, results_of
 from plinth.plans.text_plans import CHUNKS, FORMULA, LINES, SECTIONED, blocks_of, chunks_of, lines_of, packed_lines
 from plinth.sources import files, generations, paged, providers, snapshots
-from plinth.sources.shared import new_folder, stored
+from plinth.sources.shared import new_folder, sent, stored
 from plinth.sources.tables import documents, table, vectors
 from plinth.streaming import ingest, sessions
 
@@ -54,34 +54,53 @@ def formula_evidence(spark, sf_dir):
     return rows.where(F.size("f") > 0).select("document_id", F.array_join("f", "\n").alias("formulas"))
 
 
-def captioned_words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of documents, and above the pipe lines of two in three pages a caption; written as page files and read by the paged source."""
-    piped = lines_of(spark, sf_dir).where(F.contains("text", F.lit(" | "))).select("document_id", F.floor(F.col("line_index") / 10).cast("int").alias("page")).distinct().where("page % 3 <> 2")
-    words = F.posexplode(F.array(F.lit("Table"), (F.col("page") + 1).cast("string"), F.lit("lines"))).alias("w", "text")
-    captions = piped.select("document_id", "page", words).select("document_id", "page", (F.col("w") * 40.0).alias("x0"), (F.col("w") * 40.0 + 30.0).alias("x1"), F.lit(-12.0).alias("top"), "text")
-    rows = words_of(spark, sf_dir).unionByName(captions)
-    word = F.array(*(F.to_json(F.struct(c)) for c in ("x0", "x1", "top", "text")))
-    values = F.array_join(F.transform(word, lambda x: F.regexp_extract(x, r"(?s)^\{\"[a-z0-9]+\":(.*)\}$", 1)), ",")
-    listed = F.array_join(F.collect_list(F.concat(F.lit("["), values, F.lit("]"))), ",")
-    pages_ = rows.groupBy("document_id", "page").agg(listed.alias("words"))
-    line = F.concat(F.lit('{"document_id":'), F.col("document_id").cast("string"), F.lit(',"page":'), F.col("page").cast("string"), F.lit(',"words":['), F.col("words"), F.lit("]}"))
+#: Lines of a page; pages of a file, which one task reads.
+PAGE_LINES, PAGES_OF_FILE = 10, 1 << 11
+
+
+def captioned_pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents as in ``words_of``, and above the pipe lines of two in three pages a caption; written as compressed page files,
+    each page a line, and read by the paged source, each page a row. A page is made within its document's row; only pages of documents
+    with one id are shuffled, to meet."""
+    docs = documents(spark, sf_dir).select("document_id", "text")
+    twice = sent(stored(docs.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id"), "twice"))
+
+    def word(x: Column, w: Column, top: Column) -> Column:
+        x0 = w * 40.0 + F.floor(w / 7) * 150.0
+        return F.struct(x0.alias("x0"), (x0 + 30.0).alias("x1"), top.alias("top"), x.alias("text"))
+
+    def pages_of(rows: DataFrame) -> DataFrame:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PAGE_LINES)), lambda p: F.slice("lines", (p * PAGE_LINES + 1).cast("int"), PAGE_LINES))
+        own = rows.select("document_id", parse.line_texts(F.col("text")).alias("lines")).select("document_id", F.posexplode(parts).alias("page", "lines"))
+        words = F.transform("lines", lambda line, k: F.filter(F.transform(F.split(line, " "), lambda x, w: word(x, w, k * 12.0)), lambda x: x["text"] != ""))
+        return own.select("document_id", "page", F.flatten(words).alias("words"), F.exists("lines", lambda x: F.contains(x, F.lit(" | "))).alias("piped"))
+
+    joined = pages_of(docs.join(twice, "document_id", "left_semi")).groupBy("document_id", "page").agg(F.flatten(F.collect_list("words")).alias("words"), F.max("piped").alias("piped"))
+    rows = pages_of(docs.join(twice, "document_id", "left_anti")).unionByName(joined)
+    caption = F.transform(F.array(F.lit("Table"), (F.col("page") + 1).cast("string"), F.lit("lines")), lambda x, w: word(x, w, F.lit(-12.0)))
+    words = F.when(F.col("piped") & (F.col("page") % 3 != 2), F.concat("words", caption)).otherwise(F.col("words"))
+    rows = rows.select("document_id", "page", words.alias("words"))
+    line = F.when((F.size("words") > 0) & F.col("document_id").isNotNull(), F.to_json(F.struct("document_id", "page", *(F.col(f"words.{c}").alias(c) for c in ("x0", "x1", "top", "text")))))
     folder = new_folder(spark, "pages")
-    pages_.select(line.alias("value")).write.text(folder)
+    rows.select(line.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", PAGES_OF_FILE).text(folder)
     spark.dataSource.register(paged.PagedSource)
-    return spark.read.format("paged_words").option("path", folder).load()
+    return spark.read.format("paged_words").option("path", folder).option("packed", "true").load()
 
 
 def page_blocks(spark, sf_dir):
     """Blocks of documents as pages of positioned words; pipe lines are the rows of a table, which has a position in every other document."""
-    rows = lines_of(spark, sf_dir).withColumn("page", F.floor(F.col("line_index") / 10).cast("int"))
-    piped = rows.where(F.contains("text", F.lit(" | ")))
+    lines = documents(spark, sf_dir).select("document_id", parse.line_texts(F.col("text")).alias("lines"))
+    rows = lines.select("document_id", F.posexplode("lines").alias("line_index", "text")).withColumn("page", F.floor(F.col("line_index") / PAGE_LINES).cast("int"))
+    piped = stored(rows.where(F.contains("text", F.lit(" | "))), "piped")
     cells = F.struct("line_index", F.split("text", r" \| ").alias("cells"))
     found = piped.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(cells)).alias("c"), F.min(F.col("line_index") % 10 * 12.0).alias("top"))
     found = found.select("document_id", "page", F.lit(1).alias("table_index"), "top", F.transform("c", lambda x: x["cells"]).alias("rows"))
     tables = pages.page_tables(found.where("document_id % 2 = 0"), found.where("document_id % 2 = 1").drop("top"))
-    plain = rows.groupBy("document_id", "page").agg(F.lit("").alias("plain_text"))
-    blocks = pages.read_pages(stored(captioned_words_of(spark, sf_dir), "words"), tables, piped.select("document_id", "page", "text"), plain, 1000.0)
-    return blocks.select("document_id", "block_index", "page", "block_type", F.sha2("text", 256).alias("text_sha256"))
+    page = F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PAGE_LINES).cast("int"))).alias("page")
+    plain = lines.select("document_id", page).distinct().withColumn("plain_text", F.lit(""))
+    parts = pages.parts_of_pages(captioned_pages_of(spark, sf_dir), tables, piped.select("document_id", "page", "text"), plain, 1000.0)
+    hashed = parts.select("document_id", "page", "part", "block_type", F.sha2("text", 256).alias("text_sha256"))
+    return pages.numbered_parts(hashed).select("document_id", "block_index", "page", "block_type", "text_sha256")
 
 
 def committed_chunks(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import os
+import random
 import tracemalloc
 
 import duckdb
@@ -14,7 +16,7 @@ from plinth.operators import evidence, gates, history, pages, parse, represent,
 from plinth.operators.numbering import numbered
 from plinth.plans import more_plans, text_plans
 from plinth.plans.engine import Engine, listed
-from plinth.sources import providers
+from plinth.sources import providers, shared
 
 WORD = "document_id long, page int, x0 double, x1 double, top double, text string"
 LINE = "document_id long, page int, line_index int, top double, x0 double, text string"
@@ -66,6 +68,56 @@ def test_read_pages(spark):
     assert pages.document_text(pages.page_blocks(spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "document_id long, page int, text string"), pages.captions(tables.limit(0), spark.createDataFrame([], LINE)))).first()["text"] == "a\n\nb"
 
 
+def test_packed_pages_give_the_lines_of_words(spark):
+    """Whole pages, read where they stand, against the operators over words and lines: slants, gaps, columns, ties, blanks, odd blanks."""
+    rng, words = random.Random(4), []
+    for p in range(60):
+        steps = rng.choice([(12.0,), (0.5, 2.0, 4.0), (3.0,)])
+        tops = [0.0]
+        for _ in range(rng.choice([1, 4, 25])):
+            tops.append(tops[-1] + rng.choice(steps))
+        for top in tops:
+            for _ in range(rng.choice([1, 2, 6])):
+                x0 = rng.choice([0.0, 10.0, 40.0, 300.0, 520.0, 700.0])
+                words.append((p // 7, p % 7, x0, x0 + rng.choice([5.0, 30.0]), top + rng.choice([0.0, 0.0, 1.0]), rng.choice(["a", "b", "é", "\U0001d400", "\uffee", " c ", "", " \t", "\u3000d\xa0", "Table 1 x"])))
+    df = spark.createDataFrame([*words, (9, 0, 1.0, 2.0, 3.0, " ")], WORD)
+    lines = pages.reading_lines(df)
+    tops = lines.select("document_id", "page", "line_index", "top")
+    want = pages.column_order(lines, 700.0).join(tops, ["document_id", "page", "line_index"]).orderBy("document_id", "page", "place")
+    want = [(r["document_id"], r["page"], r["line_index"], r["column"], r["top"], r["text"]) for r in want.collect()]
+    got = pages.packed_lines(pages.packed(df).repartition(3), 700.0).orderBy("document_id", "page").collect()
+    assert [(r["document_id"], r["page"], *x) for r in got for x in r["lines"]] == want
+    assert len({(w[0], w[1]) for w in want if w[3]}) > 3 and (9, 0) not in {(r["document_id"], r["page"]) for r in got}
+    assert pages.packed_lines(pages.packed(df.limit(0)), 700.0).count() == 0
+    null = spark.createDataFrame([(1, 0, None)], "document_id long, page int, words array<struct<x0:double,x1:double,top:double,text:string>>")
+    assert pages.packed_lines(null, 700.0).count() == 0
+
+
+def test_page_files_hold_each_page_once(spark, tmp_path):
+    """Documents of one id share their pages; the files hold the words of all, and a caption a page."""
+    texts = [(1, "a b | c\nx  y\n" + "\n" * 9 + "tail | of it"), (1, 'quo"te \\n é\t| \u2028z'), (2, " "), (3, None), (None, "no id"), (4, "w " * 30 + "| end")]
+    spark.createDataFrame([(*t, "s", "en") for t in texts], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = more_plans.captioned_pages_of(spark, str(tmp_path))
+    assert got.count() == got.select("document_id", "page").distinct().count() == 3
+    flat = got.select("document_id", "page", F.explode("words").alias("w")).select("document_id", "page", "w.*")
+    want = more_plans.words_of(spark, str(tmp_path)).where("document_id is not null")
+    captions = [(d, p, 40.0 * w, 40.0 * w + 30, -12.0, t) for d, p in ((1, 0), (1, 1), (4, 0)) for w, t in enumerate(("Table", str(p + 1), "lines"))]
+    assert sorted(map(tuple, flat.collect())) == sorted([*map(tuple, want.collect()), *captions])
+
+
+def test_pages_take_little_disk(spark, sf_dir):
+    """Words are written once, compressed, and not shuffled: what the query keeps is less than twice its text."""
+
+    def kept():
+        folder = shared.shared_folder(spark).removeprefix("file://")
+        return sum(os.stat(os.path.join(at, name)).st_size for at, _, names in os.walk(folder) for name in names if name.startswith("part-"))
+
+    before = kept()
+    more_plans.page_blocks(spark, sf_dir)
+    text = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert 0 < kept() - before < 2 * text
+
+
 def test_headings(spark):
     pages_ = {
         "12\nThe Theory of Large Graphs\nbody": (["The Theory of Large Graphs"], "The Theory of Large Graphs"),

@@ -1,5 +1,6 @@
 """Stored indexes, percentiles by selection, the paged source and committed generations."""
 
+import gzip
 import json
 import os
 import random
@@ -192,6 +193,24 @@ def test_paged_source(spark, tmp_path, step):
     assert rows(df) == sorted(((p["document_id"], p["page"], *w) for p in PAGES for w in p["words"]), key=repr)
 
 
+def test_paged_source_packed_and_compressed(spark, tmp_path):
+    """A row a page, of either form of line, from plain and compressed files."""
+    one = [{"document_id": 1, "page": p, "words": [[float(w), w + 1, 0.5, f"wörd {w}"] for w in range(p % 3)]} for p in range(50)]
+    two = [{"document_id": 2, "page": p, "x0": [1, 2.5], "x1": [2.0, 3], "top": [0, 0], "text": ["a", None]} for p in range(50)]
+    (tmp_path / "one.jsonl").write_text("\n".join(map(json.dumps, one)))
+    with gzip.open(tmp_path / "two.jsonl.gz", "wt") as f:
+        f.write("\n\n".join(map(json.dumps, two)))
+    spark.dataSource.register(paged.PagedSource)
+    load = spark.read.format("paged_words").option("path", str(tmp_path)).option("rangeBytes", 100)
+    want = [(1, p, float(w), w + 1.0, 0.5, f"wörd {w}") for p in range(50) for w in range(p % 3)] + [(2, p, *w) for p in range(50) for w in ((1.0, 2.0, 0.0, "a"), (2.5, 3.0, 0.0, None))]
+    packed = load.option("packed", "true").load()
+    assert packed.count() == 50 + sum(p % 3 > 0 for p in range(50))
+    assert rows(packed.select("document_id", "page", F.inline("words"))) == rows(load.option("packed", "false").load()) == sorted(want, key=repr)
+    (tmp_path / "three.jsonl").write_text(json.dumps({"document_id": 3, "page": 0, "x0": [1], "x1": [2, 3], "top": [0], "text": ["a"]}))
+    with pytest.raises(Exception, match="no page"):
+        load.load().collect()
+
+
 class Backwards(paged.JsonPages):
     """A decoder of another format: each line is a page, the words reversed; one range a file."""
 
