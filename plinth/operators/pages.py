@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.text import let, strip, tokens
-from plinth.operators.parse import malformed_table, repeated_edge_lines, serialize_table
+from plinth.operators.parse import edge_sides, edge_text, malformed_table, serialize_table, short_edge
 from plinth.sources.shared import stored
 
 #: Distance within which words share a line, and gap that splits a line.
@@ -173,27 +173,23 @@ def outside_tables(lines: DataFrame, rows: DataFrame) -> DataFrame:
     two are shared, and these are four fifths of either side.
     """
     found = lines.withColumn("own", F.array_distinct(tokens(F.col("text")))).join(_token_sets(rows), ["document_id", "page"], "left")
-    found = found.withColumn("rows", F.coalesce("rows", F.array().cast("array<array<string>>")))
-    return found.where(~_repeats(F.col("own"), F.col("rows"))).select(*lines.columns)
+    return found.where(F.col("rows").isNull() | ~_repeats(F.col("own"), F.col("rows"), F.col("every"))).select(*lines.columns)
 
 
 def _token_sets(rows: DataFrame) -> DataFrame:
-    """document_id, page and ``rows``, the sets of tokens of its table rows."""
+    """document_id, page, ``rows``, the sets of tokens of its table rows, and ``every``, the set of all."""
     sets = F.collect_set(F.array_sort(F.array_distinct(tokens(F.col("text")))))
-    return rows.groupBy("document_id", "page").agg(sets.alias("rows"))
+    return rows.groupBy("document_id", "page").agg(sets.alias("rows")).withColumn("every", F.array_distinct(F.flatten("rows")))
 
 
-def _repeats(own: Column, rows: Column) -> Column:
+def _repeats(own: Column, rows: Column, every: Column) -> Column:
     """Whether a line with these tokens repeats the rows together, or one of them."""
 
-    def shared(other: Column) -> Column:
-        return F.size(F.array_intersect(own, other))
+    def enough(other: Column, also: Callable[[Column], Column]) -> Column:
+        return let(F.size(F.array_intersect(own, other)), lambda n: (n >= 2) & (n >= 0.8 * F.size(own)) & also(n))
 
-    def enough(other: Column) -> Column:
-        return (shared(other) >= 2) & (shared(other) >= 0.8 * F.size(own))
-
-    one = F.exists(rows, lambda r: (F.size(r) >= 2) & enough(r) & (shared(r) >= 0.8 * F.size(r)))
-    return (F.size(own) >= 2) & (enough(F.array_distinct(F.flatten(rows))) | one)
+    one = F.exists(rows, lambda r: (F.size(r) >= 2) & enough(r, lambda n: n >= 0.8 * F.size(r)))
+    return (F.size(own) >= 2) & (enough(every, lambda _: F.lit(True)) | one)
 
 
 # How the caption of a table begins.
@@ -277,16 +273,23 @@ def parts_of_pages(pages: DataFrame, tables: DataFrame, rows: DataFrame, plain:
     of the page. Only the lines at its edges are looked at apart.
     """
     page = ["document_id", "page"]
-    found = F.filter("lines", lambda x: x["text"].rlike(CAPTION))
-    lines = stored(packed_lines(pages, width).select(*page, F.col("lines.text").alias("lines"), found.alias("found")), "lines")
-    ends = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i < EDGE) | (i >= F.size("lines") - EDGE))
-    edges = lines.select(*page, F.explode(F.transform(ends, lambda i: F.struct(i.alias("line_index"), F.get("lines", i).alias("text")))).alias("x")).select(*page, "x.line_index", "x.text")
-    gone = repeated_edge_lines(edges, EDGE).where("removed").groupBy(*page).agg(F.collect_list("line_index").alias("gone"))
-    whole = plain.join(lines.select(*page, "lines"), page, "left").join(gone, page, "left").join(_token_sets(rows), page, "left")
-    kept = F.filter("lines", lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    outside = F.filter(kept, lambda x: ~let(F.array_distinct(tokens(x)), lambda own: _repeats(own, F.col("rows"))))
-    text = F.array_join(F.when(F.col("rows").isNull(), kept).otherwise(outside), "\n")
-    plain_text = F.when(F.col("lines").isNotNull(), "").otherwise(F.col("plain_text"))
-    texts = page_text(whole.select(*page, text.alias("words_text"), plain_text.alias("plain_text")))
+    read = packed_lines(pages, width)
+    found = F.filter("lines", lambda x: (F.contains(F.lower(x["text"]), F.lit("table")) | F.contains(x["text"], F.lit("表"))) & x["text"].rlike(CAPTION))
+    # A page is one string, which takes less room than its lines; those of one that holds line feeds within lines stay apart.
+    apart = F.when(F.exists("lines", lambda x: F.contains(x["text"], F.lit("\n"))), F.col("lines.text"))
+    lines = stored(read.select(*page, F.array_join("lines.text", "\n").alias("whole"), apart.alias("apart"), found.alias("found")), "lines")
+    single = F.coalesce("apart", F.split("whole", "\n"))
+    size = F.size("single")
+    ends = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i < EDGE) | (i >= size - EDGE))
+    place = F.when(F.col("i") < EDGE, "header").otherwise("footer")
+    edges = lines.select(*page, single.alias("single")).select(*page, F.explode(F.transform(ends, lambda i: F.struct(i.alias("i"), F.get("single", i).alias("text")))).alias("x")).select(*page, "x.*")
+    edges = edges.select(*page, F.col("i").alias("line_index"), place.alias("place"), edge_text(F.col("text")).alias("norm")).where(short_edge(F.col("norm")))
+    gone = edges.join(edge_sides(edges, lines), ["document_id", "norm"]).where(F.col("where") == F.col("place")).groupBy(*page).agg(F.collect_list("line_index").alias("gone"))
+    known = plain.join(lines.select(*page, "whole", "apart"), page, "left").join(gone, page, "left").join(_token_sets(rows), page, "left")
+    kept = F.filter(single, lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    outside = F.filter(kept, lambda x: ~let(F.array_distinct(tokens(x)), lambda own: _repeats(own, F.col("rows"), F.col("every"))))
+    text = F.when(F.col("rows").isNotNull(), F.array_join(outside, "\n")).when(F.col("gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("whole"))
+    plain_text = F.when(F.col("whole").isNotNull(), "").otherwise(F.col("plain_text"))
+    texts = page_text(known.select(*page, F.explode(F.array(text)).alias("words_text"), plain_text.alias("plain_text")))  # explode: made once, not again by each filter
     captioned = lines.where(F.size("found") > 0).select(*page, F.explode("found").alias("x")).select(*page, "x.line_index", "x.top", "x.text")
     return page_parts(texts, captions(tables, captioned))

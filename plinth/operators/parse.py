@@ -71,7 +71,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def line_texts(text: Column) -> Column:
     """The lines of a text as an array, divided as by ``lines``."""
-    return F.split(F.regexp_replace(text, LINE_ENDS, "\n"), "\n")
+    return F.split(text, LINE_ENDS.replace("[", "[\n"))
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
@@ -99,18 +99,31 @@ def repeated_edge_lines(pages: DataFrame, edge: int = 2, longest: int = 80, most
     """
     page = Window.partitionBy("document_id", "page")
     down, up = F.row_number().over(page.orderBy("line_index")), F.row_number().over(page.orderBy(F.desc("line_index")))
-    place = F.when(down <= edge, "header").when(up <= edge, "footer")
-    norm = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    rows = pages.withColumn("place", place).withColumn("norm", norm)
-    words = F.size(F.regexp_extract_all("norm", F.lit(r"[\p{L}\p{N}_]+(?:@[\p{L}\p{N}_]+)?"), F.lit(0)))
-    short = F.length("norm").between(1, longest) & words.between(1, most_words) & F.col("place").isNotNull()
+    rows = pages.withColumn("place", F.when(down <= edge, "header").when(up <= edge, "footer"))
+    rows = rows.withColumn("norm", edge_text(F.col("text"))).withColumn("short", F.col("place").isNotNull() & short_edge(F.col("norm"), longest, most_words))
+    joined = rows.join(edge_sides(rows.where("short"), pages), ["document_id", "norm"], "left")
+    return joined.select("document_id", "page", "line_index", "text", F.coalesce(F.col("where") == F.col("place"), F.lit(False)).alias("removed"))
+
+
+def edge_text(text: Column) -> Column:
+    """What lines at the edges of pages are compared by."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def short_edge(norm: Column, longest: int = 80, most_words: int = 8) -> Column:
+    """Whether a line is short enough for a header or footer, by its ``edge_text``."""
+    words = F.size(F.regexp_extract_all(norm, F.lit(r"[\p{L}\p{N}_]+(?:@[\p{L}\p{N}_]+)?"), F.lit(0)))
+    return F.length(norm).between(1, longest) & words.between(1, most_words)
+
+
+def edge_sides(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """document_id, norm and ``where`` of what repeats in the short lines at edges (document_id, page, line_index, place, norm): the place
+    from which its copies go. pages: (document_id, page); documents of one page have none."""
     first = F.min_by("place", F.struct("page", "line_index"))
-    votes = rows.where(short).groupBy("document_id", "norm").agg(F.count_if(F.col("place") == "header").alias("h"), F.count("*").alias("n"), first.alias("first"))
+    votes = rows.groupBy("document_id", "norm").agg(F.count_if(F.col("place") == "header").alias("h"), F.count("*").alias("n"), first.alias("first"))
     side = F.when(2 * F.col("h") > F.col("n"), "header").when(2 * F.col("h") < F.col("n"), "footer").otherwise(F.col("first"))
     several = pages.groupBy("document_id").agg((F.min("page") < F.max("page")).alias("several")).where("several").select("document_id")
-    votes = votes.where("n >= 2").join(several, "document_id").select("document_id", "norm", side.alias("where"))
-    joined = rows.join(votes, ["document_id", "norm"], "left")
-    return joined.select("document_id", "page", "line_index", "text", F.coalesce(F.col("where") == F.col("place"), F.lit(False)).alias("removed"))
+    return votes.where("n >= 2").join(several, "document_id").select("document_id", "norm", side.alias("where"))
 
 
 def malformed_table(rows: Column) -> Column:

@@ -66,18 +66,18 @@ def captioned_pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = sent(stored(docs.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id"), "twice"))
 
     def word(x: Column, w: Column, top: Column) -> Column:
-        x0 = w * 40.0 + F.floor(w / 7) * 150.0
-        return F.struct(x0.alias("x0"), (x0 + 30.0).alias("x1"), top.alias("top"), x.alias("text"))
+        x0 = w * 40 + F.floor(w / 7) * 150  # whole numbers, which are shorter
+        return F.struct(x0.alias("x0"), (x0 + 30).alias("x1"), top.alias("top"), x.alias("text"))
 
     def pages_of(rows: DataFrame) -> DataFrame:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / PAGE_LINES)), lambda p: F.slice("lines", (p * PAGE_LINES + 1).cast("int"), PAGE_LINES))
         own = rows.select("document_id", parse.line_texts(F.col("text")).alias("lines")).select("document_id", F.posexplode(parts).alias("page", "lines"))
-        words = F.transform("lines", lambda line, k: F.filter(F.transform(F.split(line, " "), lambda x, w: word(x, w, k * 12.0)), lambda x: x["text"] != ""))
+        words = F.transform("lines", lambda line, k: F.filter(F.transform(F.split(line, " "), lambda x, w: word(x, w, k * 12)), lambda x: x["text"] != ""))
         return own.select("document_id", "page", F.flatten(words).alias("words"), F.exists("lines", lambda x: F.contains(x, F.lit(" | "))).alias("piped"))
 
     joined = pages_of(docs.join(twice, "document_id", "left_semi")).groupBy("document_id", "page").agg(F.flatten(F.collect_list("words")).alias("words"), F.max("piped").alias("piped"))
     rows = pages_of(docs.join(twice, "document_id", "left_anti")).unionByName(joined)
-    caption = F.transform(F.array(F.lit("Table"), (F.col("page") + 1).cast("string"), F.lit("lines")), lambda x, w: word(x, w, F.lit(-12.0)))
+    caption = F.transform(F.array(F.lit("Table"), (F.col("page") + 1).cast("string"), F.lit("lines")), lambda x, w: word(x, w, F.lit(-12)))
     words = F.when(F.col("piped") & (F.col("page") % 3 != 2), F.concat("words", caption)).otherwise(F.col("words"))
     rows = rows.select("document_id", "page", words.alias("words"))
     line = F.when((F.size("words") > 0) & F.col("document_id").isNotNull(), F.to_json(F.struct("document_id", "page", *(F.col(f"words.{c}").alias(c) for c in ("x0", "x1", "top", "text")))))
@@ -89,8 +89,9 @@ def captioned_pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_blocks(spark, sf_dir):
     """Blocks of documents as pages of positioned words; pipe lines are the rows of a table, which has a position in every other document."""
-    lines = documents(spark, sf_dir).select("document_id", parse.line_texts(F.col("text")).alias("lines"))
-    rows = lines.select("document_id", F.posexplode("lines").alias("line_index", "text")).withColumn("page", F.floor(F.col("line_index") / PAGE_LINES).cast("int"))
+    docs = documents(spark, sf_dir)
+    lines = docs.select("document_id", parse.line_texts(F.col("text")).alias("lines"))
+    rows = docs.where(F.contains("text", F.lit(" | "))).select("document_id", parse.line_texts(F.col("text")).alias("lines")).select("document_id", F.posexplode("lines").alias("line_index", "text")).withColumn("page", F.floor(F.col("line_index") / PAGE_LINES).cast("int"))
     piped = stored(rows.where(F.contains("text", F.lit(" | "))), "piped")
     cells = F.struct("line_index", F.split("text", r" \| ").alias("cells"))
     found = piped.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(cells)).alias("c"), F.min(F.col("line_index") % 10 * 12.0).alias("top"))

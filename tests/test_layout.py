@@ -93,6 +93,16 @@ def test_packed_pages_give_the_lines_of_words(spark):
     assert pages.packed_lines(null, 700.0).count() == 0
 
 
+def test_pages_with_line_feeds_in_words(spark):
+    """A line that holds a line feed stays one line where headers, footers and table rows go."""
+    words = [(1, p, 0.0, 5.0, 10.0 * k, w) for p in range(3) for k, w in enumerate(("Head\nline", f"a\nb {p}", "c 1 d 2", "of all", f"tail\n{p}", "the\nend"))]
+    tables = spark.createDataFrame([], "document_id long, page int, table_index int, top double, text string")
+    rows = spark.createDataFrame([(1, 1, "c 1 d 2")], "document_id long, page int, text string")
+    plain = spark.createDataFrame([(1, p, "plain") for p in range(3)], "document_id long, page int, plain_text string")
+    got = pages.read_pages(spark.createDataFrame(words, WORD), tables, rows, plain, 1000.0).orderBy("block_index").collect()
+    assert [r["text"] for r in got] == [f"a\nb {p}\n" + ("" if p == 1 else "c 1 d 2\n") + f"of all\ntail\n{p}" for p in range(3)]
+
+
 def test_page_files_hold_each_page_once(spark, tmp_path):
     """Documents of one id share their pages; the files hold the words of all, and a caption a page."""
     texts = [(1, "a b | c\nx  y\n" + "\n" * 9 + "tail | of it"), (1, 'quo"te \\n é\t| \u2028z'), (2, " "), (3, None), (None, "no id"), (4, "w " * 30 + "| end")]
