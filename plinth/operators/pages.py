@@ -277,13 +277,13 @@ def parts_of_pages(pages: DataFrame, tables: DataFrame, rows: DataFrame, plain:
     found = F.filter("lines", lambda x: (F.contains(F.lower(x["text"]), F.lit("table")) | F.contains(x["text"], F.lit("表"))) & x["text"].rlike(CAPTION))
     # A page is one string, which takes less room than its lines; those of one that holds line feeds within lines stay apart.
     apart = F.when(F.exists("lines", lambda x: F.contains(x["text"], F.lit("\n"))), F.col("lines.text"))
-    lines = stored(read.select(*page, F.array_join("lines.text", "\n").alias("whole"), apart.alias("apart"), found.alias("found")), "lines")
-    single = F.coalesce("apart", F.split("whole", "\n"))
-    size = F.size("single")
+    size = F.size("lines")
     ends = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i < EDGE) | (i >= size - EDGE))
-    place = F.when(F.col("i") < EDGE, "header").otherwise("footer")
-    edges = lines.select(*page, single.alias("single")).select(*page, F.explode(F.transform(ends, lambda i: F.struct(i.alias("i"), F.get("single", i).alias("text")))).alias("x")).select(*page, "x.*")
-    edges = edges.select(*page, F.col("i").alias("line_index"), place.alias("place"), edge_text(F.col("text")).alias("norm")).where(short_edge(F.col("norm")))
+    ends = F.transform(ends, lambda i: F.struct(i.alias("line_index"), F.when(i < EDGE, "header").otherwise("footer").alias("place"), edge_text(F.get("lines", i)["text"]).alias("norm")))
+    ends = F.filter(ends, lambda x: short_edge(x["norm"]))
+    lines = stored(read.select(*page, F.array_join("lines.text", "\n").alias("whole"), apart.alias("apart"), found.alias("found"), ends.alias("ends")), "lines")
+    single = F.coalesce("apart", F.split("whole", "\n"))
+    edges = lines.select(*page, F.explode("ends").alias("x")).select(*page, "x.*")
     gone = edges.join(edge_sides(edges, lines), ["document_id", "norm"]).where(F.col("where") == F.col("place")).groupBy(*page).agg(F.collect_list("line_index").alias("gone"))
     known = plain.join(lines.select(*page, "whole", "apart"), page, "left").join(gone, page, "left").join(_token_sets(rows), page, "left")
     kept = F.filter(single, lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))

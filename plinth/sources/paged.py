@@ -31,6 +31,7 @@ import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,15 @@ RANGE_BYTES, BATCH, READ_BYTES = 8 << 20, 1 << 15, 1 << 18
 COMPRESSED, ENDLESS = (".gz", ".bz2", ".zst", ".lz4"), 1 << 62
 
 
+class Columns(NamedTuple):
+    """The words of a page, their values side by side."""
+
+    x0: list
+    x1: list
+    top: list
+    text: list
+
+
 class JsonPages:
     """Pages as JSON lines; a range holds the lines that begin in it."""
 
@@ -56,7 +66,7 @@ class JsonPages:
         return [(at, min(at + step, size)) for at in range(0, size, step)]
 
     def pages(self, file: pa.NativeFile, first: int, end: int) -> Iterator[tuple[int, int, list]]:
-        """document_id, page and words (x0, x1, top, text) of the pages of a range."""
+        """document_id, page and words (a list of (x0, x1, top, text), or Columns) of the pages of a range."""
         lines, at = io.BufferedReader(file, READ_BYTES), 0
         if first:
             lines.seek(first - 1)
@@ -65,8 +75,7 @@ class JsonPages:
             at += len(line)
             if line.strip():
                 page = json.loads(line)
-                words = page["words"] if "words" in page else [*zip(*(page[f.name] for f in _WORD), strict=True)]
-                yield page["document_id"], page["page"], words
+                yield page["document_id"], page["page"], page["words"] if "words" in page else Columns(*(page[f.name] for f in _WORD))
 
 
 @dataclass
@@ -118,10 +127,14 @@ class _Pages:
         self.document_id, self.page, self.size = [], [], []
         self.x0, self.x1, self.top, self.text = [], [], [], []
 
-    def add(self, document_id: int, page: int, words: list) -> None:
-        if not words:
+    def add(self, document_id: int, page: int, words: list | Columns) -> None:
+        if not isinstance(words, Columns):
+            words = Columns(*zip(*words, strict=True)) if words else Columns([], [], [], [])
+        if len({*map(len, words)}) > 1:
+            raise ValueError("values of other numbers of words")
+        x0, x1, top, text = words
+        if not text:
             return
-        x0, x1, top, text = zip(*words, strict=True)
         for own, values in ((self.x0, map(float, x0)), (self.x1, map(float, x1)), (self.top, map(float, top)), (self.text, text)):
             own.extend(values)
         self.document_id.append(document_id)
